@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import packing, token_counts, token_output
+from folio.llm import exact_dedup, mixing, packing, quality_rules, token_counts, token_output
 from folio.session import fresh_path
 
 
@@ -20,23 +20,40 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "source", "mix_share", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_output.write_token_files(documents(spark, sf_dir), path, tokenizer("byte_bpe_50k.json"), end_id=2)
     return token_output.read_token_files(spark, path, digest=True)
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicate_groups(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
     "op4_token_output": op4_token_output,
+    "op6_exact_dedup": op6_exact_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
 
