@@ -50,6 +50,14 @@ def repeated_filter(prints: DataFrame, bits_per_row: int = BITS_PER_ROW) -> tupl
     return keep(maps, "bloom"), bits
 
 
+def member_filter(members: DataFrame, rows: int, bits_per_row: int = BITS_PER_ROW) -> tuple[DataFrame, int]:
+    """The same kind of filter over the values ``print`` of a table with about ``rows`` rows."""
+    bits = min(MAX_BITS, max(_BLOCK, 1 << max(0, rows * bits_per_row - 1).bit_length()))
+    slots = members.select(F.explode(F.array(*_slots(F.col("print"), bits))).alias("slot"))
+    maps = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+    return keep(maps, "bloom"), bits
+
+
 def with_maybe(rows: DataFrame, maps: DataFrame, bits: int, print_: str = "print", flag: str = "maybe") -> DataFrame:
     """``rows`` with a boolean: whether the row may have a copy."""
     columns = rows.columns
