@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from folio.llm import _bytes as B
 from folio.llm._components import connected_components
 from folio.llm._skew import attach
+from folio.llm.exact_dedup import member_filter, with_maybe, without_ids
 from folio.session import keep, ship
 
 WORDS, GROUPS = 5, 64
@@ -327,8 +328,6 @@ def links_in_block(grams: np.ndarray, row: np.ndarray, rows: int) -> list[tuple[
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, wanted_rows: int) -> DataFrame:
     """``wanted`` (id, ...) with the texts; a bounded Bloom filter keeps other texts out of the shuffle."""
-    from folio.llm.exact_dedup import member_filter, with_maybe
-
     maps, bits = member_filter(wanted.select(F.col("id").alias("print")), wanted_rows)
     likely = with_maybe(docs.select("doc_id", "text").withColumn("print", F.col("doc_id")), maps, bits).where("maybe").select("doc_id", "text")
     return wanted.join(likely, F.col("id") == F.col("doc_id")).drop("id")
@@ -388,4 +387,4 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
     """The rows whose id names their component: one document of each group, with all columns."""
     found = near_duplicates(docs, text, key)
     gone = keep(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near")
-    return docs.join(gone, F.col(f"`{key}`") == F.col("__gone"), "left_anti")
+    return without_ids(docs, gone, key)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import exact_dedup, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, token_counts, token_output
+from folio.llm import exact_dedup, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, token_output
 from folio.session import fresh_path
 
 
@@ -25,6 +25,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), digest=True).drop("spans")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "source", "mix_share", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
@@ -64,6 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mixing": op3_mixing,
     "op4_token_output": op4_token_output,
     "op5_quality_classifier": op5_quality_classifier,
