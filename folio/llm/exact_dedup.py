@@ -75,10 +75,9 @@ def with_maybe(rows: DataFrame, maps: DataFrame, bits: int, print_: str = "print
 def without_ids(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without the ids in ``gone`` (one column, distinct): only rows that the filter over ``gone`` lets through shuffle."""
     columns = docs.columns
-    gone = gone.toDF("print")
-    maps, bits = member_filter(gone, gone.count())
+    maps, bits = member_filter(gone.toDF("print"), gone.count())
     flagged = with_maybe(docs.withColumn("__print", F.col(f"`{key}`")), maps, bits, "__print", "__maybe")
-    left = flagged.where("__maybe").join(gone, F.col("__print").eqNullSafe(F.col("print")), "left_anti")
+    left = flagged.where("__maybe").join(gone.toDF("__gone_id"), F.col("__print").eqNullSafe(F.col("__gone_id")), "left_anti")
     return flagged.where("not __maybe").unionByName(left).select(*[F.col(f"`{c}`") for c in columns])
 
 

@@ -13,7 +13,8 @@ or repeated.
 Defined cases: a null source is a source of its own; sources beyond the
 ``MAX_SOURCES`` largest share one pool; rows without or with repeated ``doc_id``
 are ordered by a hash of the whole row's id and text; an empty table gives no rows;
-other columns pass through.
+other columns pass
+through, but for those whose names begin with ``mix_``, which are replaced.
 """
 
 from __future__ import annotations
@@ -74,6 +75,7 @@ def schedule(spark: SparkSession, share_table: DataFrame, period: int = PERIOD)
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", text: str = "text", block: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """``docs`` plus mix_stream, mix_share, mix_block, mix_release, mix_deadline, mix_slot and mix_position (unique, in mixed order)."""
     spark = docs.sparkSession
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     counts = keep(docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count(F.lit(1)).alias("n")), "sources")
     top = counts.orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(MAX_SOURCES)
     named = keep(top.select("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("stream"), "n"), "streams")
