@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import exact_dedup, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, token_output
+from folio.llm import exact_dedup, lm_scoring, mixing, ngram_join, oracle, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, token_output
 from folio.session import fresh_path
 
 
@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": oracle.EXACT_DEDUP, "op9_quality_rules": oracle.QUALITY_RULES}
