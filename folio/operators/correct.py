@@ -51,9 +51,7 @@ def refusal(block_type: Column, source: Column, proposed: Column, guard: Guard =
     if guard.max_edit_ratio > 0:
         size = F.char_length(src)
         most = F.floor(size * guard.max_edit_ratio + 1e-9).cast("int")
-        within = lambda n: F.call_function("levenshtein", src, new, n) >= 0
-        # Most corrections change a few letters: a narrow band settles those, only the others pay for the wide one.
-        far = (F.abs(F.char_length(new) - size) > most) | ~(within(F.least(most, F.lit(24))) | within(most))
+        far = (F.abs(F.char_length(new) - size) > most) | (F.call_function("levenshtein", src, new, most) < 0)
         out = out.when((src != "") & far, "edit_distance_limit_exceeded")
     return out
 
