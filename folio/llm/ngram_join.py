@@ -1,14 +1,15 @@
 """Near-duplicate join: documents whose 5-word shingle sets have Jaccard >= 0.75.
 
 1.  One pass describes every document: number of shingles, a signature of the set,
-    and a vector that counts the set's shingles in ``GROUPS`` hash groups.  It also
-    reports shingles that are frequent in a stretch of text; the most frequent ones
+    and a vector that counts the set's shingles in hash groups, about four to a group
+    (a power of two, so that vectors of two sizes fold to one).  It also reports shingles that are frequent in a stretch of text; the most frequent ones
     (a bounded table) go last in the order of step 2, which changes only speed.
 2.  Two sets with Jaccard >= 0.75 share a shingle among the first
     n - ceil(0.75 n) + 1 of each in any common order.  A second pass sends those,
     packed by bucket and once per set, and keeps runs of sets that share one.
-3.  A run of at most ``SMALL_RUN`` sets gives its pairs; a longer run is indexed as an
-    R-tree over its count vectors and searched.  The overlap of two sets is at most
+3.  A run of at most ``SMALL_RUN`` sets gives its pairs, without those whose sizes, or
+    the places of the shared shingle, leave too little to share; a longer run is
+    indexed as an R-tree over its count vectors and searched.  The overlap of two sets is at most
     the sum of the coordinate minima of their vectors, so a pair or subtree whose
     bound is too low is dropped.  Of what survives, a run gives a spanning forest.
 4.  Connected survivors form blocks, and the texts of a block (only these shuffle)
@@ -42,12 +43,13 @@ from folio.llm._skew import attach
 from folio.llm.exact_dedup import member_filter, with_maybe, without_ids
 from folio.session import keep, ship
 
-WORDS, GROUPS = 5, 64
+WORDS, GROUPS, MOST_GROUPS = 5, 64, 1 << 16
 #: Jaccard >= NUM/DEN.
 NUM, DEN = 3, 4
-#: Frequent shingles kept for the order; runs whose pairs are listed; sets in a part of a split run or block.
-FREQUENT, SMALL_RUN, PART = 1 << 16, 8, 8192
-_FULL = 65535
+#: Frequent shingles kept for the order; runs whose pairs are listed; sets in a part of a split run; documents in a part of a split block.
+FREQUENT, SMALL_RUN, PART, BLOCK_PART = 1 << 16, 8, 8192, 4096
+_FULL = 255
+_ENTRY = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("place", "<u4")])
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +89,11 @@ def _signature(grams: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarra
     return B.mix(_row_sums(B.mix(grams), row, rows)).view(np.int64), B.mix(_row_sums(B.mix(grams ^ B.COMBINE[3]), row, rows)).view(np.int64)
 
 
+def group_counts(n: np.ndarray) -> np.ndarray:
+    """Groups of the count vector of sets with n shingles."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 4)).clip(0).astype(np.int64), GROUPS, MOST_GROUPS)
+
+
 def _chunked_text(batch: pa.RecordBatch):
     yield from B.chunks(batch, "text")
 
@@ -102,9 +109,11 @@ def describe(docs: DataFrame) -> DataFrame:
                 rows = len(offsets) - 1
                 grams, row = shingle_sets(buf, offsets)
                 sig, sig2 = _signature(grams, row, rows)
-                group = (grams >> np.uint64(40)).astype(np.int64) % GROUPS
-                vec = np.minimum(np.bincount(row * GROUPS + group, minlength=rows * GROUPS), _FULL).astype("<u2").reshape(rows, GROUPS)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.bincount(row, minlength=rows).astype(np.int64)), pa.array(sig), pa.array(sig2), pa.array([v.tobytes() for v in vec], pa.binary()), pa.nulls(rows, pa.binary())], names)
+                n = np.bincount(row, minlength=rows).astype(np.int64)
+                groups = group_counts(n)
+                at = np.cumsum(groups) - groups
+                vec = np.minimum(np.bincount(at[row] + ((grams >> np.uint64(40)).astype(np.int64) & (groups[row] - 1)), minlength=int(groups.sum())), _FULL).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(sig), pa.array(sig2), pa.array([vec[a : a + k] for a, k in zip(at.tolist(), groups.tolist(), strict=True)], pa.binary()), pa.nulls(rows, pa.binary())], names)
                 # each set once, so that plain copies do not make their shingles look frequent
                 _, once = np.unique(sig, return_index=True)
                 mine = np.isin(row, once)
@@ -119,7 +128,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def shared_prefixes(docs: DataFrame, frequent: list, buckets: int) -> DataFrame:
-    """(run, sig, size): sets that share a prefix shingle, for every shingle that two different sets share."""
+    """Pairs of sets that share a prefix shingle (run null, a, b), and members of runs too long to pair up (run, a)."""
     hot = np.array([r["sig"] for r in frequent], np.int64).view(np.uint64)
     count = np.array([r["c"] for r in frequent], np.int64)
     by_hash = np.argsort(hot)
@@ -147,49 +156,81 @@ def shared_prefixes(docs: DataFrame, frequent: list, buckets: int) -> DataFrame:
                 length = n - (NUM * n + DEN - 1) // DEN + 1
                 _, once = np.unique(sig, return_index=True)
                 take = by_order[(place < length[row]) & np.isin(row, once)]
-                keys, owner, split = grams[take], sig[row[take]], split[take]
+                e = np.empty(len(take), _ENTRY)
+                e["key"], e["sig"], e["n"], e["place"] = grams[take], sig[row[take]], n[row[take]], place[(place < length[row]) & np.isin(row, once)]
+                split = split[take]
                 if (split > 1).any():  # a frequent shingle: part i of its sets meets each part j
-                    times = split
-                    base = np.repeat(np.arange(len(keys)), times)
-                    j = np.arange(len(base)) - np.repeat(np.cumsum(times) - times, times)
-                    i = owner.view(np.uint64)[base] % split[base].astype(np.uint64)
-                    j = j.astype(np.uint64)
-                    pair = np.minimum(i, j) * np.uint64(1 << 32) + np.maximum(i, j)
-                    keys = np.where(split[base] > 1, B.mix(keys[base] ^ B.mix(pair + np.uint64(1))), keys[base])
-                    owner = owner[base]
-                bucket = (keys % np.uint64(buckets)).astype(np.int64)
+                    base = np.repeat(np.arange(len(e)), split)
+                    j = np.arange(len(base)) - np.repeat(np.cumsum(split) - split, split)
+                    i = (e["sig"].view(np.uint64)[base] % split[base].astype(np.uint64)).astype(np.int64)
+                    pair = (np.minimum(i, j) << 32 | np.maximum(i, j)).astype(np.uint64)
+                    many = split[base] > 1
+                    e = e[base]
+                    e["key"] = np.where(many, B.mix(e["key"] ^ B.mix(pair + np.uint64(1))), e["key"])
+                bucket = (e["key"] % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket.astype(np.uint16 if buckets <= 65536 else np.int64), kind="stable")
-                bucket, raw_k, raw_o = bucket[by], keys[by].tobytes(), owner[by].tobytes()
+                bucket, raw = bucket[by], e[by].tobytes()
                 cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-                ends = [*cut.tolist(), len(bucket)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([raw_k[8 * a : 8 * b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary()), pa.array([raw_o[8 * a : 8 * b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["bucket", "keys", "sigs"])
+                ends = [_ENTRY.itemsize * x for x in [*cut.tolist(), len(bucket)]]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["bucket", "data"])
 
     def runs(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        sigs = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.int64)
-        order = np.lexsort((sigs, keys))
-        keys, sigs = keys[order], sigs[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (sigs[1:] != sigs[:-1])
-        keys, sigs = keys[new], sigs[new]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(keys)))
-        # Runs with the same members are the same work: name a run by its members, and keep one in this bucket.
-        total = np.add.reduceat(B.mix(sigs.view(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
+        e = np.frombuffer(b"".join(table.column("data").to_pylist()), _ENTRY)
+        e = e[np.lexsort((e["sig"], e["key"]))]
+        new = np.ones(len(e), bool)
+        new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["sig"][1:] != e["sig"][:-1])
+        e = e[new]
+        first = np.flatnonzero(np.append(True, e["key"][1:] != e["key"][:-1])) if len(e) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(e)))
+        sig, n, place = e["sig"], e["n"].astype(np.int64), e["place"].astype(np.int64)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for k in range(2, SMALL_RUN + 1):
+            head = first[size == k]
+            for i in range(k):
+                for j in range(i + 1, k):
+                    a, b = head + i, head + j
+                    # If this is the first shingle the two share, they share no more than what follows it.
+                    ok = may_link(np.minimum(n[a] - place[a], n[b] - place[b]), n[a], n[b])
+                    pairs.append(np.stack([sig[a[ok]], sig[b[ok]]], axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        # Long runs with the same members are the same work: name a run by its members, and keep one in this bucket.
+        total = np.add.reduceat(B.mix(sig.view(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
         _, one = np.unique(total, return_index=True)
         chosen = np.zeros(len(first), bool)
         chosen[one] = True
-        chosen &= size > 1
+        chosen &= size > SMALL_RUN
         member = np.repeat(chosen, size)
-        return pa.table({"run": np.repeat(total, size)[member].view(np.int64), "sig": sigs[member], "size": np.repeat(size, size)[member]})
-
-    packed = docs.select("doc_id", "text").mapInArrow(send, "bucket long, keys binary, sigs binary")
-    return keep(packed.groupBy("bucket").applyInArrow(runs, "run long, sig long, size long"), "runs")
-
-
-def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    v = np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
-    return np.where(v == _FULL, 1 << 24, v)
+        long, none = np.repeat(total, size)[member].view(np.int64), np.zeros(len(pairs), np.int64)
+        empty = np.arange(len(pairs) + len(long)) < len(pairs)
+        return pa.table({"run": pa.array(np.append(none, long), mask=empty), "a": np.append(pairs[:, 0], sig[member]), "b": pa.array(np.append(pairs[:, 1], np.zeros(len(long), np.int64)), mask=~empty)})
+
+    packed = docs.select("doc_id", "text").mapInArrow(send, "bucket long, data binary")
+    return keep(packed.groupBy("bucket").applyInArrow(runs, "run long, a long, b long"), "runs")
+
+
+def _stack(vectors: list[bytes], groups: int) -> np.ndarray:
+    """Vectors as rows of ``groups`` counts each; a count that is full has no upper limit."""
+    out = np.empty((len(vectors), groups), np.int32)
+    size = np.fromiter(map(len, vectors), np.int64, len(vectors))
+    for k in np.unique(size).tolist():
+        which = np.flatnonzero(size == k)
+        v = np.frombuffer(b"".join(vectors[i] for i in which), np.uint8).reshape(len(which), k).astype(np.int32)
+        v[v == _FULL] = 1 << 20
+        out[which] = v.reshape(len(which), k // groups, groups).sum(axis=1)
+    return out
+
+
+def overlap_bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Sums of coordinate minima of pairs of vectors, each pair folded to the smaller size."""
+    least = np.fromiter((min(len(x), len(y)) for x, y in zip(a, b, strict=True)), np.int64, len(a))
+    out = np.zeros(len(a), np.int64)
+    for k in np.unique(least).tolist():
+        which = np.flatnonzero(least == k)
+        step = max(1, (1 << 22) // k)
+        for at in range(0, len(which), step):
+            part = which[at : at + step]
+            out[part] = np.minimum(_stack([a[i] for i in part], k), _stack([b[i] for i in part], k)).sum(axis=1)
+    return out
 
 
 def may_link(bound: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -232,9 +273,10 @@ class CountTree:
         return out[out < size]
 
 
-def forest(n: np.ndarray, vec: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that span the graph of pairs whose bound allows a link."""
-    tree, edges = CountTree(n, vec), []
+def forest(n: np.ndarray, vectors: list[bytes]) -> list[tuple[int, int]]:
+    """Edges that span the graph of pairs whose bound allows a link: a search over folded vectors, then the whole ones."""
+    tree, edges = CountTree(n, _stack(vectors, GROUPS)), []
+    vectors = [vectors[i] for i in tree.order]
     for seed in range(len(n)):
         if not tree.alive[seed]:
             continue
@@ -243,6 +285,7 @@ def forest(n: np.ndarray, vec: np.ndarray) -> list[tuple[int, int]]:
         while queue:
             u = queue.pop()
             found = tree.search(int(tree.n[u]), tree.vec[u])
+            found = found[may_link(overlap_bounds([vectors[u]] * len(found), [vectors[i] for i in found]), tree.n[found], tree.n[u])]
             tree.alive[found] = False
             for v in found.tolist():
                 edges.append((int(tree.order[u]), int(tree.order[v])))
@@ -252,34 +295,33 @@ def forest(n: np.ndarray, vec: np.ndarray) -> list[tuple[int, int]]:
 
 def surviving_pairs(runs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) node ids: survivors of the bound, pairs of short runs and a forest of each long one."""
-    small = runs.where(F.col("size") <= SMALL_RUN).groupBy("run").agg(F.array_sort(F.collect_set("sig")).alias("s"))  # SMALL_RUN at most
-    pairs = small.select(F.posexplode("s").alias("i", "x"), "s").select("x", F.explode(F.slice("s", F.col("i") + 2, F.lit(SMALL_RUN))).alias("y")).distinct()
+    pairs = runs.where("run is null").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
     left = nodes.select(F.col("sig").alias("x"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
     right = nodes.select(F.col("sig").alias("y"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            ok = may_link(np.minimum(_vectors(batch.column("va")), _vectors(batch.column("vb"))).sum(axis=1), na, nb)
+            ok = may_link(overlap_bounds(batch.column("va").to_pylist(), batch.column("vb").to_pylist()), na, nb)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
 
     short = pairs.join(left, "x").join(right, "y").select("a", "b", "na", "nb", "va", "vb").mapInArrow(bounded, "a long, b long")
 
     def spanned(table: pa.Table) -> pa.Table:
         run, node, n, vec = (table.column(c) for c in ("run", "node", "n", "vec"))
-        run, node, n, vec = run.to_numpy(), node.to_numpy(), n.to_numpy(), _vectors(vec)
+        run, node, n, vec = run.to_numpy(), node.to_numpy(), n.to_numpy(), vec.to_pylist()
         order = np.lexsort((node, run))
         cut = np.append(np.flatnonzero(np.append(True, np.diff(run[order]) != 0)), len(order))
         a, b = [], []
         for s, e in zip(cut, cut[1:], strict=False):
             own = order[s:e]
             own = own[np.append(True, np.diff(node[own]) != 0)]
-            for x, y in forest(n[own], vec[own]):
+            for x, y in forest(n[own], [vec[i] for i in own]):
                 a.append(node[own[x]])
                 b.append(node[own[y]])
         return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    long = runs.where(F.col("size") > SMALL_RUN).select("run", "sig").distinct().join(nodes, "sig").select("run", "node", "n", "vec")
+    long = runs.where("run is not null").select("run", F.col("a").alias("sig")).distinct().join(nodes, "sig").select("run", "node", "n", "vec")
     long = long.groupBy(F.pmod(F.xxhash64("run"), F.lit(4096)).alias("g")).applyInArrow(spanned, "a long, b long")
     return keep(short.unionByName(long).distinct(), "survivors")
 
@@ -337,9 +379,9 @@ def verified_links(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     blocks = keep(connected_components(survivors), "blocks")
     total = blocks.count()
     sizes = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    big = keep(sizes.where(F.col("size") > PART).select(F.col("component").alias("__c"), F.ceil(F.col("size") / PART).cast("int").alias("parts")), "big")
-    # A block beyond PART documents is split; there are at most total / PART of them.
-    parts = blocks.join(F.broadcast(big) if total < PART * 100_000 else big, F.col("component") == F.col("__c"), "left").select("id", "component", F.coalesce("parts", F.lit(1)).alias("parts"))
+    big = keep(sizes.where(F.col("size") > BLOCK_PART).select(F.col("component").alias("__c"), F.ceil(F.col("size") / BLOCK_PART).cast("int").alias("parts")), "big")
+    # A block beyond BLOCK_PART documents is split; there are at most total / BLOCK_PART of them.
+    parts = blocks.join(F.broadcast(big) if total < BLOCK_PART * 100_000 else big, F.col("component") == F.col("__c"), "left").select("id", "component", F.coalesce("parts", F.lit(1)).alias("parts"))
     i = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     parts = parts.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     parts = parts.select("id", "component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
@@ -351,9 +393,12 @@ def verified_links(docs: DataFrame, survivors: DataFrame) -> DataFrame:
         cut = np.append(np.flatnonzero(np.append(True, (np.diff(keys, axis=0) != 0).any(axis=1))), len(keys)) if len(keys) else np.zeros(1, int)
         ids, a, b = table.column("doc_id").to_numpy(), [], []
         for s, e in zip(cut.tolist(), cut.tolist()[1:], strict=False):
-            buf, offsets = B.text_buffer(table.column("text").slice(s, e - s))
-            grams, row = shingle_sets(buf, offsets)
-            for x, y in links_in_block(grams, row, e - s):
+            sets, done = [], 0
+            for part, buf, offsets in _chunked_text(pa.RecordBatch.from_arrays([table.column("text").slice(s, e - s).combine_chunks()], ["text"])):
+                grams, row = shingle_sets(buf, offsets)
+                sets.append((grams, row + done))
+                done += part.num_rows
+            for x, y in links_in_block(*map(np.concatenate, zip(*sets, strict=True)), e - s):
                 a.append(ids[s + x])
                 b.append(ids[s + y])
         return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
