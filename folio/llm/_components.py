@@ -11,8 +11,8 @@ from folio.session import keep
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b); component is the smallest id reached.
 
-    Each round is two grouped minima and joins; its edges are written to the shared
-    folder, so no lineage grows.  The number of rounds is logarithmic in practice;
+    Each round is two grouped minima and joins in one job; its edges are written to the
+    shared folder, so no lineage grows.  The number of rounds is logarithmic in practice;
     ``rounds`` only guards against a run that never ends.
     """
     now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -21,7 +21,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__u"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("__u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = keep(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "__u"), F.col("u") == F.col("__u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
