@@ -29,7 +29,7 @@ PERIOD = 1024
 MAX_SOURCES = 256
 BLOCK_ROWS = 64
 #: Rows numbered by one task, about.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 4096
 
 
 def shares(counts: DataFrame, weights: dict[str, float] | None, period: int = PERIOD, alpha: float = 0.5) -> DataFrame:
