@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import _bytes as B
 from folio.llm import _tokens as T
-from folio.session import ship
+from folio.session import keep, ship
 
 #: Entries of the broadcast table: 12 bytes each, 786 kB in all.
 TABLE = 1 << 16
@@ -56,7 +56,9 @@ def frequent_pieces(docs: DataFrame, tokenizer: str, text: str = "text", table:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([v[0] for _, v in best]), pa.array([v[1] for _, v in best], pa.binary()), pa.array([v[2] for _, v in best])], ["hash", "n", "piece", "first"])
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(report, "hash long, n long, piece binary, first boolean")
-    return found.groupBy("hash").agg(F.sum("n").alias("n"), F.first("piece").alias("piece"), F.first("first").alias("first")).orderBy(F.desc("n"), "hash").limit(table).collect()
+    counted = found.groupBy("hash").agg(F.sum("n").alias("n"), F.first("piece").alias("piece"), F.first("first").alias("first"))
+    # Written first: else every task would send the driver its own candidates.
+    return keep(counted.orderBy(F.desc("n"), "hash").limit(table), "pieces").collect()
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", limit: int = 4096, table: int = TABLE) -> DataFrame:
