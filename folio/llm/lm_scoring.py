@@ -40,8 +40,8 @@ END, START = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 BASE, MIN_COUNT, TYPES = 1.5, 2, 0.75
 #: Filter bits for an entry, and how many of a 64-bit word an entry sets.
 ENTRY_BITS, PROBES = 20, 5
-MAX_BROADCAST = 192 << 20
-TRAIN_CHUNK = 16 << 20
+MAX_BROADCAST = 96 << 20
+TRAIN_CHUNK = 4 << 20
 _SHARD_BYTES = 2 << 20
 _MAX_LEVEL = 60
 
@@ -163,7 +163,8 @@ def train(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
             deep = level >= k
             word, mask = _places(grams[deep], k, np.uint64(0), size[deep])
             np.bitwise_or.at(words, word, mask)
-        raw = [known.tobytes(), counts.astype("<i8").tobytes(), words.tobytes()]
+        narrow = counts.max(initial=0) < 1 << 32
+        raw = [known.tobytes(), counts.astype("<u4" if narrow else "<i8").tobytes(), words.tobytes()]
         return pa.table({"shard": table.column("shard")[:1], "tokens": [int(counts.sum())], "types": [len(known)], "bytes": [sum(map(len, raw))], "known": pa.array([raw[0]], pa.binary()), "counts": pa.array([raw[1]], pa.binary()), "words": pa.array([raw[2]], pa.binary())})
 
     counted = texts.mapInArrow(count, "shard long, kind int, keys binary, n binary")
@@ -171,13 +172,21 @@ def train(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
 
 
 def load(model: DataFrame, bits: int, low: int, high: int) -> Model:
-    rows = model.where((F.col("shard") >= low) & (F.col("shard") < high)).select("shard", "known", "counts", "words").collect()
-    rows.sort(key=lambda r: r["shard"])
-    size = np.zeros(high - low, np.uint64)
-    for r in rows:
-        size[r["shard"] - low] = len(r["words"]) // 8
-    join = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
-    return Model(low, high, bits, join("known", np.uint64), join("counts", "<i8"), np.cumsum(size) - size, size, join("words", np.uint64))
+    """A range of shards, filled in place as its rows come in, a partition of the table at a time."""
+    part = model.where((F.col("shard") >= low) & (F.col("shard") < high))
+    sizes = np.zeros((4, high - low), np.int64)
+    for r in part.select("shard", "types", F.octet_length("words"), F.octet_length("counts")).collect():
+        sizes[:, r[0] - low] = r[1], r[2] // 8, r[3] // max(1, r[1]), 1
+    types, words = sizes[0], sizes[1]
+    at, first = np.cumsum(types) - types, np.cumsum(words) - words
+    known, filter_ = np.empty(types.sum(), np.uint64), np.empty(words.sum(), np.uint64)
+    counts = np.empty(types.sum(), "<i8" if sizes[2].max(initial=0) > 4 else "<u4")
+    for r in part.select("shard", "known", "counts", "words").toLocalIterator():
+        k = r["shard"] - low
+        known[at[k] : at[k] + types[k]] = np.frombuffer(r["known"], np.uint64)
+        counts[at[k] : at[k] + types[k]] = np.frombuffer(r["counts"], "<i8" if sizes[2, k] > 4 else "<u4")
+        filter_[first[k] : first[k] + words[k]] = np.frombuffer(r["words"], np.uint64)
+    return Model(low, high, bits, known, counts, first.astype(np.uint64), words.astype(np.uint64), filter_)
 
 
 def ranges(model: DataFrame, bits: int, max_broadcast: int) -> list[tuple[int, int]]:
