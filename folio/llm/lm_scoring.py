@@ -3,10 +3,10 @@
 Training reads the texts of the training fold once.  Each task sums token and bigram
 counts of a stretch of text before anything shuffles; a shard (a range of hashes) then
 adds them up.  A shard keeps exact token counts, and a Bloom filter in which a bigram
-of count c is entered once for each level 1 .. 1 + floor(log_BASE(c / MIN_COUNT)).
+of count c is entered once for each level 1 .. 1 + floor(log_BASE(c / min_count)).
 A probe asks for level 1, 2, ... until one is missing; the last one found gives the
-count, rounded down.  Bigrams seen once are not entered (``MIN_COUNT``, the same at
-every size).
+count, rounded down.  :func:`score` enters every bigram of the training texts, those
+seen once at level 1 (``SCORED_COUNT``); :func:`train` by itself starts at ``MIN_COUNT``.
 
 Scores: P(w) = (c(w) + 1) / (N + V + 1); with h the token before w (or the start of
 the text), P(w | h) = (c(h w) + T P(w)) / (c(h) + T) with T = c(h)**TYPES, the
@@ -36,8 +36,10 @@ from folio.llm import _bytes as B
 from folio.session import keep, ship
 
 END, START = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Levels grow by this factor; smallest count entered; exponent of T.
+#: Levels grow by this factor; smallest count that ``train`` enters by default; exponent of T.
 BASE, MIN_COUNT, TYPES = 1.5, 2, 0.75
+#: Smallest count that ``score`` enters: all bigrams.
+SCORED_COUNT = 1
 #: Filter bits for an entry, and how many of a 64-bit word an entry sets.
 ENTRY_BITS, PROBES = 20, 5
 MAX_BROADCAST = 96 << 20
@@ -76,8 +78,8 @@ def _places(grams: np.ndarray, level: int, first: np.ndarray, size: np.ndarray)
     return word.astype(np.int64), mask
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(_MAX_LEVEL, 1 + np.floor(np.log(counts / MIN_COUNT) / np.log(BASE) + 1e-9)).astype(np.int64)
+def _levels(counts: np.ndarray, min_count: int) -> np.ndarray:
+    return np.minimum(_MAX_LEVEL, 1 + np.floor(np.log(counts / min_count) / np.log(BASE) + 1e-9)).astype(np.int64)
 
 
 def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +120,7 @@ class Model(NamedTuple):
             level[live] = k
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+def train(docs: DataFrame, text: str = "text", min_count: int = MIN_COUNT) -> tuple[DataFrame, int]:
     """The model, one row per shard, written to the shared folder; and the number of hash bits that name a shard."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(text).alias("text"))
@@ -155,8 +157,8 @@ def train(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
 
         known, counts = gather(0)
         grams, times = gather(1)
-        grams, times = grams[times >= MIN_COUNT], times[times >= MIN_COUNT]
-        level = _levels(times)
+        grams, times = grams[times >= min_count], times[times >= min_count]
+        level = _levels(times, min_count)
         words = np.zeros(-(-int(level.sum()) * ENTRY_BITS // 64), np.uint64)
         size = np.full(len(grams), len(words), np.uint64)
         for k in range(1, int(level.max(initial=0)) + 1):
@@ -206,7 +208,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", max_broadcas
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(key).alias("held_out"))
     training = rows.where("not held_out")
-    model, bits = train(training)
+    model, bits = train(training, min_count=SCORED_COUNT)
     total = model.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     n, v, texts = total["n"] or 0, total["v"] or 0, training.count()
     passes = ranges(model, bits, max_broadcast)
@@ -218,7 +220,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", max_broadcas
         before = np.empty_like(c)
         before[1:] = c[:-1]
         before[off[:-1]] = texts
-        seen = np.where(level > 0, MIN_COUNT * BASE ** (level.astype(np.float64) - 1), 0.0)
+        seen = np.where(level > 0, SCORED_COUNT * BASE ** (level.astype(np.float64) - 1), 0.0)
         seen = np.minimum(seen, np.minimum(c, before))
         types = np.maximum(before, 1).astype(np.float64) ** TYPES
         smooth = np.where(before > 0, (seen + types * p) / (before + types), p)

@@ -391,6 +391,15 @@ def test_log_frequency_filter(spark):
     assert level("r s")[1] == [0, 0, 0]
 
 
+def test_lm_scores_know_bigrams_seen_once(spark):
+    kept = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(100) if i not in kept)
+    table = [(kept[0], "p q r s"), (kept[1], "s r q p"), (held, "p q r s")]
+    got = rows(lm_scoring.score(spark.createDataFrame(table, "doc_id long, text string")))
+    p, t = (2 + 1) / (10 + 5 + 1), 2**lm_scoring.TYPES  # every token and every start occurs twice, every bigram once
+    assert got[held].score == pytest.approx(5 * np.log10((1 + t * p) / (2 + t)), rel=1e-9)
+
+
 def test_quality_classifier(spark):
     r = random.Random(9)
     good = lambda: " ".join(r.choice(WORDS) for _ in range(120))
