@@ -1,17 +1,22 @@
-"""Mixing sources to target weights by a Pfair schedule, in DataFrame operations only.
+"""Mixing sources to target weights by a Pfair schedule.
 
 The rows of a source are numbered in a pseudo-random order and cut into blocks of
 ``block`` rows.  A source with weight a/A gets block k (from 0) released at slot
 floor(k*A/a) and due at slot ceil((k+1)*A/a); one slot holds one block, and at each
-slot the released block with the earliest deadline goes next.  The weights are
-multiples of 1/A that sum to 1, so the schedule repeats after A slots: only one
-period (A rows, a fixed bound) is computed, and a block's slot is arithmetic.  Until
-a source runs out, after any number of slots it has had its exact share within less
-than one block.  A source that has run out leaves its slots empty; no row is dropped
-or repeated.
-
-Defined cases: a null source is a source of its own; sources beyond the
-``MAX_SOURCES`` largest share one pool; rows without or with repeated ``doc_id``
+slot the released block with the earliest deadline goes next, which meets every
+deadline.  So until a source runs out, after any number of slots it has had its
+weight's share within less than one block.  A source that has run out leaves its
+slots empty; no row is dropped or repeated.
+
+The weights are those given, as integers of ``SCALE``; releases and deadlines are
+exact integers.  With a ``period`` they are rounded to shares of at least 1 of that many
+slots instead.  Every source has its own weight.  The driver orders the blocks, from
+one number for each source, and writes ``SLOTS_AT_ONCE`` of them at a time; rows are
+only touched by DataFrame operations.
+
+Defined cases: a null source is a source of its own; a source that ``weights`` do not
+name, or give nothing, comes after the last slot of the others (equal weights);
+rows without or with repeated ``doc_id``
 are ordered by a hash of the whole row's id and text; an empty table gives no rows;
 other columns pass
 through, but for those whose names begin with ``mix_``, which are replaced.
@@ -19,102 +24,138 @@ through, but for those whose names begin with ``mix_``, which are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.session import keep
+from folio.session import fresh_path, keep
 
-#: Slots of a period, and sources with a weight of their own.
-PERIOD = 1024
-MAX_SOURCES = 256
+#: The sum of all weights as integers.
+SCALE = 1 << 52
 BLOCK_ROWS = 64
 #: Rows numbered by one task, about.
 RANGE_ROWS = 4096
-
-
-def shares(counts: DataFrame, weights: dict[str, float] | None, period: int = PERIOD, alpha: float = 0.5) -> DataFrame:
-    """(stream, share): integer shares of at least 1 that sum to ``period`` (largest remainders).
-
-    ``counts`` has stream and n.  Without ``weights`` a source weighs n**alpha.
+#: Blocks the driver holds before it writes them.
+SLOTS_AT_ONCE = 1 << 18
+
+
+def shares(weights: np.ndarray, period: int | None = None) -> list[int]:
+    """Integer shares in proportion to ``weights`` (all above 0); with a period, of at least 1 and of that sum (largest remainders)."""
+    part = weights / weights.sum()
+    if period is None:
+        base = [int(x * SCALE) for x in part.tolist()]
+        cut = [i for i in np.argsort([k - x * SCALE for k, x in zip(base, part.tolist(), strict=True)], kind="stable").tolist() if base[i] != part[i] * SCALE] or [0]
+        each, more = divmod(SCALE - sum(base), len(cut))
+        for at, i in enumerate(cut):
+            base[i] += each + (at < more)
+        return [max(1, x) for x in base]
+    if len(part) > period:
+        raise ValueError(f"{len(part)} sources do not fit a period of {period} slots")
+    exact = part * (period - len(part))
+    base = np.floor(exact).astype(np.int64) + 1
+    base[np.argsort(base - 1 - exact, kind="stable")[: period - base.sum()]] += 1
+    return base.tolist()
+
+
+def schedule(share: list[int], blocks: list[int], begin: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of every block of every source, by slot from ``begin``."""
+    whole, had = sum(share), [0] * len(share)
+    waiting, ready, t = [(0, i) for i, n in enumerate(blocks) if n], [], 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            released, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(had[i] + 1) * whole // share[i]), i, released))
+        due, i, released = heapq.heappop(ready)
+        yield i, had[i], begin + released, begin + due, begin + t
+        t += 1
+        had[i] += 1
+        if had[i] < blocks[i]:
+            heapq.heappush(waiting, (had[i] * whole // share[i], i))
+
+
+def _planned(streams: DataFrame, block: int, period: int | None) -> DataFrame:
+    """(id, share, weight, mix_block, release, deadline, slot): where the blocks of ``streams`` (id, n, w) go."""
+    spark = streams.sparkSession
+    table = streams.select("id", "n", "w").toArrow().sort_by("id")  # three numbers for each source
+    ids, n, w = (table.column(c).to_numpy() for c in ("id", "n", "w"))
+    blocks, path, begin = -(-n // block), fresh_path(spark, "schedule"), 0
+    kind = pa.schema([(c, pa.float64() if c == "weight" else pa.int64()) for c in ("id", "share", "weight", "mix_block", "release", "deadline", "slot")])
+
+    def write(rows: list[tuple]) -> None:
+        columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+        spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)).write.mode("append").parquet(path)
+
+    write([])
+    for which in (np.flatnonzero(w > 0), np.flatnonzero(~(w > 0))):
+        if not len(which):
+            continue
+        named = bool(w[which[0]] > 0)
+        share = shares(w[which] if named else np.ones(len(which)), period if named else None)
+        whole, held = sum(share), []
+        for i, k, release, due, slot in schedule(share, blocks[which].tolist(), begin):
+            held.append((int(ids[which[i]]), share[i] if named else 0, share[i] / whole if named else 0.0, k, release, due, slot))
+            if len(held) == SLOTS_AT_ONCE:
+                write(held)
+                held = []
+        if held:
+            write(held)
+        begin = slot + 1
+    return spark.read.parquet(path)
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", text: str = "text", block: int = BLOCK_ROWS, period: int | None = None, alpha: float = 0.5) -> DataFrame:
+    """``docs`` plus mix_stream, mix_share, mix_weight, mix_block, mix_release, mix_deadline, mix_slot and mix_position (unique, in mixed order).
+
+    Without ``weights`` a source of n rows weighs n**alpha.
     """
-    spark = counts.sparkSession
-    if weights is None:
-        raw = counts.select("stream", F.pow(F.col("n").cast("double"), F.lit(alpha)).alias("w"))
-    else:
-        given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, v double")
-        raw = counts.join(F.broadcast(given), F.col("stream") == F.col("name"), "left").select("stream", F.coalesce("v", F.lit(0.0)).alias("w"))
-    everything = Window.partitionBy(F.lit(0))  # at most MAX_SOURCES + 1 rows
-    streams, total = F.count(F.lit(1)).over(everything), F.sum("w").over(everything)
-    exact = F.when(total > 0, F.col("w") / total).otherwise(F.lit(1.0) / streams) * (F.lit(period) - streams)
-    cut = raw.withColumn("exact", exact).withColumn("base", F.floor("exact").cast("long") + 1)
-    order = Window.partitionBy(F.lit(0)).orderBy((F.floor("exact") - F.col("exact")).asc(), F.col("stream").asc_nulls_first())
-    return cut.withColumn("left", F.lit(period) - F.sum("base").over(everything)).select("stream", (F.col("base") + (F.row_number().over(order) <= F.col("left")).cast("long")).alias("share"))
-
-
-def schedule(spark: SparkSession, share_table: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(stream, share, k, slot): where the k-th block of each stream's period goes."""
-    table = share_table.agg(F.array_sort(F.collect_list(F.struct(F.col("share"), F.col("stream")))).alias("streams"))
-
-    def step(state, t):
-        def option(s, i):
-            had = F.get(state["had"], i)
-            released = F.floor(had * period / s["share"]) <= t
-            due = F.ceil((had + 1) * period / s["share"]).cast("long")
-            return F.when(released & (had < s["share"]), F.struct(due.alias("due"), i.alias("i")))
-
-        best = F.array_min(F.transform(F.col("streams"), option))["i"]
-        return F.transform(F.array(best), lambda b: F.struct(F.transform(state["had"], lambda n, i: n + (i == b).cast("long")).alias("had"), F.concat(state["order"], F.array(b)).alias("order")))[0]
-
-    empty = F.struct(F.transform("streams", lambda _: F.lit(0).cast("long")).alias("had"), F.array().cast("array<int>").alias("order"))
-    order = table.select("streams", F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), empty, step, lambda s: s["order"]).alias("order"))
-    slots = order.select("streams", F.posexplode("order").alias("slot", "i")).select(F.get("streams", F.col("i")).alias("s"), F.col("slot").cast("long").alias("slot"))
-    k = F.row_number().over(Window.partitionBy("s").orderBy("slot")).cast("long") - 1
-    return slots.select(F.col("s.stream").alias("stream"), F.col("s.share").alias("share"), k.alias("k"), "slot")
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", text: str = "text", block: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """``docs`` plus mix_stream, mix_share, mix_block, mix_release, mix_deadline, mix_slot and mix_position (unique, in mixed order)."""
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
-    counts = keep(docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count(F.lit(1)).alias("n")), "sources")
-    top = counts.orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(MAX_SOURCES)
-    named = keep(top.select("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("stream"), "n"), "streams")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    pooled = total - (named.agg(F.sum("n")).first()[0] or 0)
-    streams = named.select("stream", "n")
-    if pooled:
-        streams = streams.unionByName(spark.range(1).select(F.lit("pool").alias("stream"), F.lit(pooled).alias("n")))
-    if weights is not None:
-        weights = {f"={k}": v for k, v in weights.items()}
-    plan = keep(schedule(spark, shares(streams, weights, period), period), "schedule")  # PERIOD rows
+    total = docs.count()
 
     # Number the rows of each source without gathering a source in one task: by ranges of a hash.
     ranges = max(1, -(-total // RANGE_ROWS))
-    name = F.broadcast(named.select(F.col("source").alias("__source"), F.col("stream").alias("mix_stream")))  # MAX_SOURCES rows
     h = F.xxhash64(F.col(f"`{key}`"), F.lit(7))
-    rows = docs.join(name, F.col(f"`{source}`").eqNullSafe(F.col("__source")), "left").drop("__source")
-    rows = rows.withColumn("mix_stream", F.coalesce("mix_stream", F.lit("pool"))).withColumn("__hash", h)
+    rows = docs.withColumn("mix_stream", F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit("null"))).withColumn("__hash", h)
     rows = rows.withColumn("__range", F.floor((F.shiftright("__hash", 33) + F.lit(1 << 30)) * F.lit(ranges) / F.lit(1 << 31)).cast("int"))
     sizes = keep(rows.groupBy("mix_stream", "__range").count(), "ranges")
+
+    streams = sizes.groupBy("mix_stream").agg(F.sum("count").alias("n"))
+    if weights is None:
+        streams = streams.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)))
+    else:
+        given = spark.createDataFrame([("null" if k is None else f"={k}", float(v)) for k, v in weights.items()], "mix_stream string, w double")
+        streams = streams.join(given, "mix_stream", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    streams = keep(streams.orderBy(F.desc("n"), "mix_stream").withColumn("id", F.monotonically_increasing_id()), "streams")
+    plan = _planned(streams, block, period)
+
+    # A range of a source holds consecutive blocks: their slots go with the range, so that no text shuffles again.
     before = Window.partitionBy("mix_stream").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("mix_stream", "__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    starts = sizes.withColumn("__start", F.coalesce(F.sum("count").over(before), F.lit(0))).join(streams.select("mix_stream", "id"), "mix_stream")
+    first, last = F.floor(F.col("__start") / block), F.floor((F.col("__start") + F.col("count") - 1) / block)
+    planned = starts.withColumn("mix_block", F.explode(F.sequence(first, last))).join(plan, ["id", "mix_block"])
+    slots = F.array_sort(F.collect_list(F.struct("mix_block", "release", "deadline", "slot")))
+    starts = keep(planned.groupBy("mix_stream", "__range", "__start").agg(F.first("share").alias("mix_share"), F.first("weight").alias("mix_weight"), slots.alias("__slots")), "starts")
+
     inner = F.row_number().over(Window.partitionBy("mix_stream", "__range").orderBy("__hash", F.col(f"`{key}`"), F.col(f"`{text}`"))) - 1
     rows = rows.withColumn("__inner", inner).join(starts, ["mix_stream", "__range"]).withColumn("__rank", F.col("__start") + F.col("__inner"))
     rows = rows.withColumn("mix_block", F.floor(F.col("__rank") / block).cast("long"))
-
-    share = F.broadcast(plan.select(F.col("stream").alias("mix_stream"), F.col("share").alias("mix_share")).distinct())
-    slots = F.broadcast(plan.select(F.col("stream").alias("mix_stream"), F.col("k").alias("__k"), F.col("slot").alias("__slot")))  # PERIOD rows
-    rows = rows.join(share, "mix_stream").withColumn("__k", F.pmod("mix_block", "mix_share")).withColumn("__cycle", F.floor(F.col("mix_block") / F.col("mix_share")) * period)
-    rows = rows.join(slots, ["mix_stream", "__k"])
+    rows = rows.withColumn("__slot", F.get("__slots", (F.col("mix_block") - F.floor(F.col("__start") / block)).cast("int")))
     return rows.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         "mix_stream",
         "mix_share",
+        "mix_weight",
         "mix_block",
-        (F.col("__cycle") + F.floor(F.col("__k") * period / F.col("mix_share"))).cast("long").alias("mix_release"),
-        (F.col("__cycle") + F.ceil((F.col("__k") + 1) * period / F.col("mix_share"))).cast("long").alias("mix_deadline"),
-        (F.col("__cycle") + F.col("__slot")).cast("long").alias("mix_slot"),
-        ((F.col("__cycle") + F.col("__slot")) * block + F.pmod("__rank", F.lit(block))).cast("long").alias("mix_position"),
+        F.col("__slot.release").alias("mix_release"),
+        F.col("__slot.deadline").alias("mix_deadline"),
+        F.col("__slot.slot").alias("mix_slot"),
+        (F.col("__slot.slot") * block + F.pmod("__rank", F.lit(block))).cast("long").alias("mix_position"),
     )
 
 

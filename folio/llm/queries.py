@@ -31,7 +31,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
-    return mixed.select("doc_id", "source", "mix_share", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
+    return mixed.select("doc_id", "source", "mix_share", "mix_weight", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -354,6 +354,27 @@ def test_mixing(spark):
     assert ordered.columns == table.columns and ordered.count() == len(sources)
 
 
+def off_by(mixed, target):
+    """Largest distance of a source's blocks from its target, over all slots before it runs out."""
+    slots = {(r.source, r.mix_slot) for r in mixed}
+    worst = {}
+    for s, w in target.items():
+        mine = sorted(t for x, t in slots if x == s)
+        worst[s] = max(max(abs(k - w * t), abs(k + 1 - w * (t + 1))) for k, t in enumerate(mine))
+    return worst
+
+
+def test_mixing_holds_the_given_weights(spark):
+    weights = {"hot": 0.5, "rare": 0.0001} | {f"s{k}": 0.4999 / 198 for k in range(198)}
+    sources = ["hot"] * 1500 + ["rare"] * 2 + [f"s{k}" for k in range(198) for _ in range(9)]
+    table = spark.createDataFrame(list(enumerate(sources)), "doc_id long, source string").withColumn("text", F.lit("t"))
+    mixed = mixing.mix(table, weights, block=1).collect()
+    assert sorted(r.doc_id for r in mixed) == list(range(len(sources))) and len({r.mix_position for r in mixed}) == len(sources)
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in mixed)
+    assert max(off_by(mixed, weights).values()) < 1
+    assert {r.source: r.mix_weight for r in mixed} == pytest.approx(weights, rel=1e-9)
+
+
 def test_lm_scores(docs):
     count = collections.Counter()
     tokens = {i: [*words((t or "").translate(LOWER)), None] for i, t in DOCS}
