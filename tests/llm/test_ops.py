@@ -375,6 +375,19 @@ def test_mixing_holds_the_given_weights(spark):
     assert {r.source: r.mix_weight for r in mixed} == pytest.approx(weights, rel=1e-9)
 
 
+def test_mixing_schedules_every_source(spark):
+    n = {f"h{k}": 4 + k % 5 for k in range(400)} | {"big": 900}
+    table = spark.createDataFrame(list(enumerate(s for s, c in n.items() for _ in range(c))), "doc_id long, source string").withColumn("text", F.lit("t"))
+    mixed = mixing.mix(table, block=1).collect()
+    total = sum(c**0.5 for c in n.values())
+    assert len({r.mix_stream for r in mixed}) == len(n) and len({r.mix_position for r in mixed}) == sum(n.values())
+    assert max(off_by(mixed, {s: c**0.5 / total for s, c in n.items()}).values()) < 1
+    some = mixing.mix(table, {"h0": 0.75, "h399": 0.25}, block=1).collect()
+    named = [r for r in some if r.source in ("h0", "h399")]
+    assert max(off_by(named, {"h0": 0.75, "h399": 0.25}).values()) < 1
+    assert len(some) == sum(n.values()) and min(r.mix_slot for r in some if r not in named) > max(r.mix_slot for r in named)
+
+
 def test_lm_scores(docs):
     count = collections.Counter()
     tokens = {i: [*words((t or "").translate(LOWER)), None] for i, t in DOCS}
