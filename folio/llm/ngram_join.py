@@ -13,10 +13,11 @@
     the sum of the coordinate minima of their vectors, so a pair or subtree whose
     bound is too low is dropped.  Of what survives, a run gives a spanning forest.
 4.  Connected survivors form blocks, and the texts of a block (only these shuffle)
-    meet in a task, which compares exact sets: it grows components from a document at
-    a time, through an inverted index of those not reached yet.  The links found
-    span the same components as all links.
-5.  Components over verified links, and copies of a set by its signature.
+    meet in a task, which compares exact sets, every pair once, through an inverted
+    index of those that follow.  It adds up the links of each set, and gives links that
+    span the same components as all of them.
+5.  Components over verified links, and copies of a set by its signature.  A document's
+    ``n_links`` are the copies of its set and the documents of all linked sets.
 
 Large groups: a frequent shingle's run and a block are split into parts of bounded
 size, and each pair of parts meets in a task of its own, so memory is bounded.
@@ -24,7 +25,7 @@ size, and each pair of parts meets in a task of its own, so memory is bounded.
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing;
 fewer than five words are one shingle; rows that repeat a ``doc_id`` are
 judged one by one and may carry different components; a
-null ``doc_id`` has a null component; an empty table gives no rows; other columns are
+null ``doc_id`` has a null component and no links; an empty table gives no rows; other columns are
 ignored (or pass through :func:`drop_near_duplicates`).
 """
 
@@ -326,46 +327,38 @@ def surviving_pairs(runs: DataFrame, nodes: DataFrame) -> DataFrame:
     return keep(short.unionByName(long).distinct(), "survivors")
 
 
-def links_in_block(grams: np.ndarray, row: np.ndarray, rows: int) -> list[tuple[int, int]]:
-    """Links that span the components of these sets: each document reached is compared with all not reached yet."""
+def links_in_block(grams: np.ndarray, row: np.ndarray, rows: int, copies: np.ndarray, second: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that span the components of these sets, and for each set the copies of all sets linked with it.
+
+    With ``second`` (a mark for each set) only pairs of a marked and an unmarked set count.
+    """
     size = np.bincount(row, minlength=rows)
     _, item = np.unique(grams, return_inverse=True)
     own = np.searchsorted(row, np.arange(rows + 1))
-    alive, links = np.ones(rows, bool), []
-
-    def index() -> tuple[np.ndarray, np.ndarray]:
-        live = np.flatnonzero(alive[row])
-        by = live[np.argsort(item[live], kind="stable")]
-        return row[by], np.searchsorted(item[by], np.arange(item.max(initial=-1) + 2))
-
-    posting, start = index()
-    indexed = rows
-    for seed in range(rows):
-        if not alive[seed]:
+    component, links, linked = np.arange(rows), [], np.zeros(rows, np.int64)
+    indexed = np.arange(len(row)) if second is None else np.flatnonzero(second[row])
+    by = indexed[np.argsort(item[indexed], kind="stable")]  # ascending rows inside an item
+    posting, edge = row[by], np.searchsorted(item[by], np.arange(item.max(initial=-1) + 2))
+    start, end = edge[:-1].copy(), edge[1:]
+    for u in range(rows) if second is None else np.flatnonzero(~second).tolist():
+        mine = item[own[u] : own[u + 1]]
+        if second is None:
+            start[mine] += 1  # u itself: what is left follows u
+        s, length = start[mine], end[mine] - start[mine]
+        total = int(length.sum())
+        if not total:
             continue
-        alive[seed] = False
-        queue = [seed]
-        while queue:
-            u = queue.pop()
-            left = int(alive.sum())
-            if not left:
-                break
-            if 2 * left < indexed:
-                posting, start = index()
-                indexed = left
-            mine = item[own[u] : own[u + 1]]
-            s, length = start[mine], start[mine + 1] - start[mine]
-            total = int(length.sum())
-            if not total:
-                continue
-            at = np.repeat(s - (np.cumsum(length) - length), length) + np.arange(total)
-            overlap = np.bincount(posting[at], minlength=rows)
-            near = np.flatnonzero(alive & ((NUM + DEN) * overlap >= NUM * (size + size[u])) & (overlap > 0))
-            alive[near] = False
-            for v in near.tolist():
-                links.append((u, v))
-                queue.append(v)
-    return links
+        at = np.repeat(s - (np.cumsum(length) - length), length) + np.arange(total)
+        overlap = np.bincount(posting[at], minlength=rows)
+        near = np.flatnonzero(((NUM + DEN) * overlap >= NUM * (size + size[u])) & (overlap > 0))
+        linked[u] += copies[near].sum()
+        linked[near] += copies[u]
+        new = near[component[near] != component[u]]
+        if len(new):
+            old, first = np.unique(component[new], return_index=True)
+            links += [(u, v) for v in new[first].tolist()]
+            component[np.isin(component, old)] = component[u]
+    return links, linked
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, wanted_rows: int) -> DataFrame:
@@ -375,7 +368,8 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, wanted_rows: int) -> DataFrame
     return wanted.join(likely, F.col("id") == F.col("doc_id")).drop("id")
 
 
-def verified_links(docs: DataFrame, survivors: DataFrame) -> DataFrame:
+def verified_links(docs: DataFrame, survivors: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of links that span the components (a, b), and of linked documents of a set (a, sig, sig2, linked; b null)."""
     blocks = keep(connected_components(survivors), "blocks")
     total = blocks.count()
     sizes = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -383,33 +377,52 @@ def verified_links(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     # A block beyond BLOCK_PART documents is split; there are at most total / BLOCK_PART of them.
     parts = blocks.join(F.broadcast(big) if total < BLOCK_PART * 100_000 else big, F.col("component") == F.col("__c"), "left").select("id", "component", F.coalesce("parts", F.lit(1)).alias("parts"))
     i = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    parts = parts.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    parts = parts.select("id", "component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    parts = parts.withColumn("own", i).withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = parts.select("id", "component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("own") == F.greatest("i", "j")).alias("second"))
+    # An id that names several texts stands for each of their sets.
+    parts = parts.join(nodes.select(F.col("node").alias("__node"), "sig", "sig2", "copies"), F.col("id") == F.col("__node")).drop("__node")
     groups = max(64, total // 2000)
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by([("component", "ascending"), ("i", "ascending"), ("j", "ascending"), ("doc_id", "ascending")]).combine_chunks()
         keys = np.stack([table.column(c).to_numpy() for c in ("component", "i", "j")], axis=1)
         cut = np.append(np.flatnonzero(np.append(True, (np.diff(keys, axis=0) != 0).any(axis=1))), len(keys)) if len(keys) else np.zeros(1, int)
-        ids, a, b = table.column("doc_id").to_numpy(), [], []
+        ids, sig, sig2, copies = (table.column(c).to_numpy() for c in ("doc_id", "sig", "sig2", "copies"))
+        second = table.column("second").to_numpy(zero_copy_only=False)
+        a, b, of, sums = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip(cut.tolist(), cut.tolist()[1:], strict=False):
-            sets, done = [], 0
+            sets, done, mine = [], 0, []
             for part, buf, offsets in _chunked_text(pa.RecordBatch.from_arrays([table.column("text").slice(s, e - s).combine_chunks()], ["text"])):
                 grams, row = shingle_sets(buf, offsets)
                 sets.append((grams, row + done))
+                mine.append(np.stack(_signature(grams, row, part.num_rows), axis=1))
                 done += part.num_rows
-            for x, y in links_in_block(*map(np.concatenate, zip(*sets, strict=True)), e - s):
-                a.append(ids[s + x])
-                b.append(ids[s + y])
-        return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    texts = _texts_of(docs, parts, total).select("doc_id", "text", "component", "i", "j")
-    found = texts.groupBy(F.pmod(F.xxhash64("component", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(verify, "a long, b long")
+            grams, row = map(np.concatenate, zip(*sets, strict=True))
+            mine = np.concatenate(mine)
+            # Rows whose text has the set they stand for, each set once.
+            good = np.flatnonzero((mine[:, 0] == sig[s:e]) & (mine[:, 1] == sig2[s:e]))
+            good = np.sort(good[np.unique(np.column_stack([ids[s:e][good], mine[good]]), axis=0, return_index=True)[1]])
+            place = np.full(e - s, -1)
+            place[good] = np.arange(len(good))
+            stays = place[row] >= 0
+            good += s
+            links, linked = links_in_block(grams[stays], place[row[stays]], len(good), copies[good], second[good] if keys[s, 1] != keys[s, 2] else None)
+            a += [ids[good[x]] for x, _ in links]
+            b += [ids[good[y]] for _, y in links]
+            of.append(good[linked > 0])
+            sums.append(linked[linked > 0])
+        of, sums = np.concatenate(of), np.concatenate(sums)
+        link = np.arange(len(a) + len(of)) < len(a)
+        after = lambda x: pa.array(np.append(np.zeros(len(a), np.int64), x), mask=link)
+        return pa.table({"a": np.append(np.array(a, np.int64), ids[of]), "b": pa.array(np.append(np.array(b, np.int64), np.zeros(len(of), np.int64)), mask=~link), "sig": after(sig[of]), "sig2": after(sig2[of]), "linked": after(sums)})
+
+    texts = _texts_of(docs, parts, total).select("doc_id", "text", "component", "i", "j", "second", "sig", "sig2", "copies")
+    found = texts.groupBy(F.pmod(F.xxhash64("component", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(verify, "a long, b long, sig long, sig2 long, linked long")
     return keep(found, "links")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+    """doc_id, n_shingles, component_id and n_links of every row."""
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     described = describe(docs)
     sets = described.where("hot is null").select("doc_id", "n", "sig", "sig2", "vec")
@@ -419,12 +432,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     # One node per different set, named by its smallest document.
     nodes = keep(filled.groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "nodes")
     runs = shared_prefixes(docs.where("doc_id is not null"), frequent, max(512, int((total["shingles"] or 0) // 4_000_000)))
-    links = verified_links(docs, surviving_pairs(runs, nodes.select("sig", "node", "n", "vec")))
-    labels = keep(connected_components(links), "components")
-    named = nodes.join(labels, F.col("node") == F.col("id"), "left").select("sig", "sig2", "n", "copies", F.coalesce("component", "node").alias("component_id"))
+    links = verified_links(docs, surviving_pairs(runs, nodes.select("sig", "node", "n", "vec")), nodes)
+    labels = keep(connected_components(links.where("b is not null").select("a", "b")), "components")
+    linked = links.where("b is null").groupBy("a", "sig", "sig2").agg(F.sum("linked").alias("linked")).withColumnRenamed("a", "node")
+    named = nodes.join(linked, ["node", "sig", "sig2"], "left").join(labels, F.col("node") == F.col("id"), "left")
+    named = named.select("sig", "sig2", "n", "copies", F.coalesce("component", "node").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     named = keep(named, "named")
-    out = attach(filled.select("doc_id", "sig", "sig2", "n"), named, ["sig", "sig2", "n"], "copies", total["rows"] or 0).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = attach(filled.select("doc_id", "sig", "sig2", "n"), named, ["sig", "sig2", "n"], "copies", total["rows"] or 0).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
 
 

@@ -233,6 +233,19 @@ def test_near_duplicates(docs, monkeypatch, part, block, small):
     assert got == brute_components(DOCS)
 
 
+@pytest.mark.parametrize(("part", "block", "small"), [(8192, 4096, 8), (3, 3, 1)])
+def test_near_duplicates_count_all_links(spark, monkeypatch, part, block, small):
+    for name, v in (("PART", part), ("BLOCK_PART", block), ("SMALL_RUN", small)):
+        monkeypatch.setattr(ngram_join, name, v)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[:k]) for k in range(40, 61, 2)]
+    texts += texts[:2] + ["", "alone in the world with these words"]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    want = {i: sum(1 for j, y in enumerate(sets) if i != j and x and y and 4 * len(x & y) >= 3 * len(x | y)) for i, x in enumerate(sets)}
+    got = ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.n_links for r in got.collect()} == want
+
+
 def test_drop_near_duplicates(docs):
     left = ngram_join.drop_near_duplicates(docs)
     assert sorted(r.doc_id for r in left.collect()) == sorted({c for _, c in brute_components(DOCS).values()}) and left.columns == docs.columns
