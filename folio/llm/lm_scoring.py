@@ -1,21 +1,23 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training reads the texts of the training fold once.  Each task sums token and bigram
-counts of a stretch of text before anything shuffles; a shard (a range of hashes) then
-adds them up.  A shard keeps exact token counts, and a Bloom filter in which a bigram
-of count c is entered once for each level 1 .. 1 + floor(log_BASE(c / min_count)).
-A probe asks for level 1, 2, ... until one is missing; the last one found gives the
-count, rounded down.  :func:`score` enters every bigram of the training texts, those
-seen once at level 1 (``SCORED_COUNT``); :func:`train` by itself starts at ``MIN_COUNT``.
-
-Scores: P(w) = (c(w) + 1) / (N + V + 1); with h the token before w (or the start of
-the text), P(w | h) = (c(h w) + T P(w)) / (c(h) + T) with T = c(h)**TYPES, the
-expected number of different continuations.  As counts are rounded down, the
-probabilities of a context sum to at most 1 but for the filter's false positives.
-
-Broadcast: a range of shards of at most ``max_broadcast`` bytes at a time.  A larger
-model is probed in several passes over the texts, each with the next range, which
-carry the counts found so far along with each text.
+Training reads the texts of the training fold once.  Each task sums the counts of
+tokens and of n-grams up to ``ORDER`` over a stretch of text before anything shuffles;
+a shard (a range of hashes) then adds them up.  A shard keeps exact token counts, and a
+Bloom filter in which an n-gram of count c is entered once for each level
+1 .. 1 + floor(log_BASE(c)); every n-gram counts, those seen once too.  A probe asks
+for level 1, 2, ... until one is missing; the last one found gives the count, rounded
+down to a power of BASE.
+
+Scores: P(w) = (c(w) + 1) / (N + V + 1).  With h the one token, then the two tokens,
+before w (a text begins with START), P(w | h) = (c(h w) + T P') / (c(h) + T), where P'
+is the probability by the next shorter h and T = c(h)**TYPES, the expected number of
+different continuations.  A context that was never seen leaves P' as it is.
+
+Where the model is: one of at most ``max_broadcast`` bytes is broadcast, and the
+workers of an executor map the same copy into memory.  A larger one stays in its
+shards, and the probes go there: each stretch of text sends its distinct hashes once to
+the shards that own them and gets counts and levels back, so work and traffic are
+proportional to the text at any size.  Both ways give the same scores.
 
 Defined cases: a null text is empty (its end token alone); a null ``doc_id`` belongs
 to the training fold; repeated rows count once each; without training text every
@@ -24,11 +26,13 @@ token has P = 1 / 1, score 0; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,24 +40,30 @@ from folio.llm import _bytes as B
 from folio.session import keep, ship
 
 END, START = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Levels grow by this factor; smallest count that ``train`` enters by default; exponent of T.
-BASE, MIN_COUNT, TYPES = 1.5, 2, 0.75
-#: Smallest count that ``score`` enters: all bigrams.
-SCORED_COUNT = 1
+#: Longest n-gram; levels grow by BASE; exponent of T.
+ORDER, BASE, TYPES = 3, 1.5, 0.75
 #: Filter bits for an entry, and how many of a 64-bit word an entry sets.
-ENTRY_BITS, PROBES = 20, 5
-MAX_BROADCAST = 96 << 20
-TRAIN_CHUNK = 4 << 20
+ENTRY_BITS, PROBES = 12, 4
+#: Largest model that is broadcast.
+MAX_BROADCAST = 256 << 20
+TRAIN_CHUNK = 6 << 20
 _SHARD_BYTES = 2 << 20
-_MAX_LEVEL = 60
+#: Above the level of any 64-bit count.
+_MAX_LEVEL = 110
+#: n-gram hashes keep the bits that name a shard and 40 more.
+_KEY_BITS = 40
+_MAGIC = b"folio-lm-model-1"
 
 
 def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def sequences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes with an end after each text, their offsets, and bigram hashes (the first one of a text follows START)."""
+def sequences(buf: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Token hashes with an end after each text, their offsets, and for n = 2 .. order the hash of the n-gram that ends at each token.
+
+    The first token of a text follows START; an n-gram that would begin before START is 0.
+    """
     h, at = B.word_hashes(buf, offsets)
     rows = len(at) - 1
     off = at + np.arange(rows + 1)
@@ -62,10 +72,40 @@ def sequences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     inner = np.ones(len(tokens), bool)
     inner[off[1:] - 1] = False
     tokens[inner] = h
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[off[:-1]] = START
-    return tokens, off, B.mix(before * B.COMBINE[0] + tokens * B.COMBINE[1])
+    place = np.arange(len(tokens)) - np.repeat(off[:-1], np.diff(off))
+    grams, last = [], tokens
+    for n in range(2, order + 1):
+        before = np.empty_like(tokens)
+        before[1:] = last[:-1]
+        before[off[:-1]] = START
+        last = B.mix(before * B.COMBINE[0] + tokens * B.COMBINE[1] + np.uint64(n))
+        last[place < n - 2] = 0
+        grams.append(last)
+    return tokens, off, grams
+
+
+def _cut_hash(grams: np.ndarray, bits: int) -> np.ndarray:
+    low = np.uint64(max(0, 64 - bits - _KEY_BITS))
+    return grams >> low << low
+
+
+def _distinct(grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of n-grams, ascending (0 is none of them), and their counts."""
+    keys, n = np.unique(_cut_hash(grams, bits), return_counts=True)
+    return (keys[1:], n[1:]) if len(keys) and keys[0] == 0 else (keys, n)
+
+
+def _pack_keys(keys: np.ndarray, bits: int) -> bytes:
+    """The bits of n-gram hashes below those that name the shard, five bytes each."""
+    low = np.uint64(max(0, 64 - bits - _KEY_BITS))
+    return (keys << np.uint64(bits) >> np.uint64(bits) >> low).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpack_keys(raw: bytes, shard: int, bits: int) -> np.ndarray:
+    low = np.uint64(max(0, 64 - bits - _KEY_BITS))
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return (out.view("<u8").reshape(-1) << low) | np.uint64(shard << (64 - bits))
 
 
 def _places(grams: np.ndarray, level: int, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +118,8 @@ def _places(grams: np.ndarray, level: int, first: np.ndarray, size: np.ndarray)
     return word.astype(np.int64), mask
 
 
-def _levels(counts: np.ndarray, min_count: int) -> np.ndarray:
-    return np.minimum(_MAX_LEVEL, 1 + np.floor(np.log(counts / min_count) / np.log(BASE) + 1e-9)).astype(np.int64)
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    return (1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9)).astype(np.int64)
 
 
 def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,10 +130,9 @@ def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Model(NamedTuple):
-    """A range of shards [low, high) of the model."""
+    """A range of shards from ``low`` on."""
 
     low: int
-    high: int
     bits: int
     known: np.ndarray
     counts: np.ndarray
@@ -101,15 +140,20 @@ class Model(NamedTuple):
     size: np.ndarray
     words: np.ndarray
 
-    def probe(self, tokens: np.ndarray, grams: np.ndarray, c: np.ndarray, level: np.ndarray) -> None:
-        """Fill in what this range knows: exact token counts and bigram levels."""
-        shift = np.uint64(64 - self.bits)
-        if len(self.known):
-            uniq, inverse = np.unique(tokens, return_inverse=True)
-            at = np.minimum(np.searchsorted(self.known, uniq), len(self.known) - 1)
-            c += np.where(self.known[at] == uniq, self.counts[at], 0)[inverse]
-        shard = (grams >> shift).astype(np.int64) - self.low
-        live = np.flatnonzero((shard >= 0) & (shard < self.high - self.low))
+    def count_of(self, tokens: np.ndarray) -> np.ndarray:
+        """Exact counts of token hashes."""
+        if not len(self.known):
+            return np.zeros(len(tokens), np.int64)
+        uniq, inverse = np.unique(tokens, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, uniq), len(self.known) - 1)
+        return np.where(self.known[at] == uniq, self.counts[at], 0).astype(np.int64)[inverse]
+
+    def level_of(self, grams: np.ndarray) -> np.ndarray:
+        """Levels of n-gram hashes by repeated probes; 0 where even level 1 is missing."""
+        grams = _cut_hash(grams, self.bits)
+        level = np.zeros(len(grams), np.uint8)
+        shard = (grams >> np.uint64(64 - self.bits)).astype(np.int64) - self.low
+        live = np.flatnonzero(grams != 0)
         live = live[self.size[shard[live]] > 0]
         for k in range(1, _MAX_LEVEL + 1):
             if not len(live):
@@ -118,153 +162,217 @@ class Model(NamedTuple):
             word, mask = _places(grams[live], k, self.first[s], self.size[s])
             live = live[self.words[word] & mask == mask]
             level[live] = k
+        return level
+
+
+def _by_shard(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[int]]:
+    """The shards of ascending hashes, and where the hashes of each begin (and the last end)."""
+    shard = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
+    return shard[first], [*first.tolist(), len(keys)]
+
 
+def _parts(raw: bytes, cut: list[int], width: int) -> pa.Array:
+    return pa.array([raw[width * a : width * b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
 
-def train(docs: DataFrame, text: str = "text", min_count: int = MIN_COUNT) -> tuple[DataFrame, int]:
+
+def train(docs: DataFrame, text: str = "text", entry_bits: int = ENTRY_BITS, order: int = ORDER) -> tuple[DataFrame, int]:
     """The model, one row per shard, written to the shared folder; and the number of hash bits that name a shard."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(11, int(size // _SHARD_BYTES).bit_length())
-    shift = np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, buf, offsets in B.chunks(batch, "text", TRAIN_CHUNK):
-                tokens, _, grams = sequences(buf, offsets)
-                for kind, keys in enumerate((tokens, grams)):
-                    keys, n = np.unique(keys, return_counts=True)
+                tokens, _, grams = sequences(buf, offsets, order)
+                for kind, hashes in enumerate((tokens, *grams), 1):
+                    keys, n = np.unique(hashes, return_counts=True) if kind == 1 else _distinct(hashes, bits)
                     while len(keys):  # counts are sent as u16; more in further rows
-                        part = np.minimum(n, 65535)
-                        shard = (keys >> shift).astype(np.int64)
-                        cut = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(keys))
-                        raw_keys, raw_n = keys.tobytes(), part.astype("<u2").tobytes()
-                        ends = cut.tolist()
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(shard[cut[:-1]]), pa.array([kind] * (len(cut) - 1), pa.int32()), pa.array([raw_keys[8 * a : 8 * b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary()), pa.array([raw_n[2 * a : 2 * b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())],
-                            ["shard", "kind", "keys", "n"],
-                        )
+                        shard, cut = _by_shard(keys, bits)
+                        packed = _parts(keys.tobytes(), cut, 8) if kind == 1 else _parts(_pack_keys(keys, bits), cut, 5)
+                        yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array([min(kind, 2)] * len(shard), pa.int32()), packed, _parts(np.minimum(n, 65535).astype("<u2").tobytes(), cut, 2)], ["shard", "kind", "keys", "n"])
                         more = n > 65535
                         keys, n = keys[more], n[more] - 65535
 
     def build(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_numpy()
+        shard, kind = table.column("shard")[0].as_py(), table.column("kind").to_numpy()
         keys, n = table.column("keys").to_pylist(), table.column("n").to_pylist()
-
-        def gather(k: int) -> tuple[np.ndarray, np.ndarray]:
-            which = np.flatnonzero(kind == k)
-            return _add_up(np.frombuffer(b"".join(keys[i] for i in which), np.uint64), np.frombuffer(b"".join(n[i] for i in which), "<u2"))
-
-        known, counts = gather(0)
-        grams, times = gather(1)
-        grams, times = grams[times >= min_count], times[times >= min_count]
-        level = _levels(times, min_count)
-        words = np.zeros(-(-int(level.sum()) * ENTRY_BITS // 64), np.uint64)
+        add = lambda k, unpack: _add_up(unpack(b"".join(keys[i] for i in np.flatnonzero(kind == k))), np.frombuffer(b"".join(n[i] for i in np.flatnonzero(kind == k)), "<u2"))
+        known, counts = add(1, lambda raw: np.frombuffer(raw, np.uint64))
+        grams, times = add(2, lambda raw: _unpack_keys(raw, shard, bits))
+        level = levels_of(times)
+        words = np.zeros(-(-int(level.sum()) * entry_bits // 64), np.uint64)
         size = np.full(len(grams), len(words), np.uint64)
         for k in range(1, int(level.max(initial=0)) + 1):
             deep = level >= k
             word, mask = _places(grams[deep], k, np.uint64(0), size[deep])
             np.bitwise_or.at(words, word, mask)
-        narrow = counts.max(initial=0) < 1 << 32
-        raw = [known.tobytes(), counts.astype("<u4" if narrow else "<i8").tobytes(), words.tobytes()]
-        return pa.table({"shard": table.column("shard")[:1], "tokens": [int(counts.sum())], "types": [len(known)], "bytes": [sum(map(len, raw))], "known": pa.array([raw[0]], pa.binary()), "counts": pa.array([raw[1]], pa.binary()), "words": pa.array([raw[2]], pa.binary())})
+        raw = [known.tobytes(), counts.astype("<i8").tobytes(), words.tobytes()]
+        return pa.table({"shard": [shard], "tokens": [int(counts.sum())], "types": [len(known)], "most": [int(counts.max(initial=0))], "words": [len(words)], "known": pa.array([raw[0]], pa.binary()), "counts": pa.array([raw[1]], pa.binary()), "filter": pa.array([raw[2]], pa.binary())})
 
     counted = texts.mapInArrow(count, "shard long, kind int, keys binary, n binary")
-    return keep(counted.groupBy("shard").applyInArrow(build, "shard long, tokens long, types long, bytes long, known binary, counts binary, words binary"), "lm"), bits
-
-
-def load(model: DataFrame, bits: int, low: int, high: int) -> Model:
-    """A range of shards, filled in place as its rows come in, a partition of the table at a time."""
-    part = model.where((F.col("shard") >= low) & (F.col("shard") < high))
-    sizes = np.zeros((4, high - low), np.int64)
-    for r in part.select("shard", "types", F.octet_length("words"), F.octet_length("counts")).collect():
-        sizes[:, r[0] - low] = r[1], r[2] // 8, r[3] // max(1, r[1]), 1
-    types, words = sizes[0], sizes[1]
-    at, first = np.cumsum(types) - types, np.cumsum(words) - words
-    known, filter_ = np.empty(types.sum(), np.uint64), np.empty(words.sum(), np.uint64)
-    counts = np.empty(types.sum(), "<i8" if sizes[2].max(initial=0) > 4 else "<u4")
-    for r in part.select("shard", "known", "counts", "words").toLocalIterator():
-        k = r["shard"] - low
-        known[at[k] : at[k] + types[k]] = np.frombuffer(r["known"], np.uint64)
-        counts[at[k] : at[k] + types[k]] = np.frombuffer(r["counts"], "<i8" if sizes[2, k] > 4 else "<u4")
-        filter_[first[k] : first[k] + words[k]] = np.frombuffer(r["words"], np.uint64)
-    return Model(low, high, bits, known, counts, first.astype(np.uint64), words.astype(np.uint64), filter_)
-
-
-def ranges(model: DataFrame, bits: int, max_broadcast: int) -> list[tuple[int, int]]:
-    """Ranges of shards, each of at most ``max_broadcast`` bytes (or one shard)."""
-    sizes = sorted((r["shard"], r["bytes"]) for r in model.select("shard", "bytes").collect())
-    out, low, held = [], 0, 0
-    for shard, n in sizes:
-        if held and held + n > max_broadcast:
-            out.append((low, shard))
-            low, held = shard, 0
-        held += n
-    return [*out, (low, 1 << bits)]
-
-
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    return keep(counted.groupBy("shard").applyInArrow(build, "shard long, tokens long, types long, most long, words long, known binary, counts binary, filter binary"), "lm"), bits
+
+
+def _layout(shards: int, types: int, words: int, wide: bool) -> list[tuple[str, int]]:
+    return [("<u8", types), ("<u8", shards), ("<u8", shards), ("<u8", words), ("<i8" if wide else "<u4", types)]
+
+
+def _views(flat: np.ndarray, at: int, layout: list[tuple[str, int]]) -> list[np.ndarray]:
+    out = []
+    for kind, n in layout:
+        size = n * np.dtype(kind).itemsize
+        out.append(flat[at : at + size].view(kind))
+        at += size
+    return out
+
+
+class Shared:
+    """A whole model in one flat array that is broadcast; the workers of an executor map its file."""
+
+    def __init__(self, model: DataFrame, bits: int):
+        shards, info = 1 << bits, model.agg(F.sum("types"), F.sum("words"), F.max("most")).first()
+        self.bits, self.layout = bits, _layout(shards, info[0] or 0, info[1] or 0, (info[2] or 0) >= 1 << 32)
+        # Where the array begins in the pickled file, so that the numbers after the mark are aligned there.
+        mark = np.frombuffer(_MAGIC * (1 << 16), np.uint8).copy()
+        begins = pickle.dumps(mark, pickle.HIGHEST_PROTOCOL).find(_MAGIC)
+        self.at = 16 + -(begins + 16) % 64
+        flat = np.zeros(max(1 << 20, self.at + sum(n * np.dtype(k).itemsize for k, n in self.layout)), np.uint8)
+        flat[:16] = np.frombuffer(_MAGIC, np.uint8)
+        self.size = len(flat)
+        known, first, size, words, counts = _views(flat, self.at, self.layout)
+        types = np.zeros(shards, np.int64)
+        for r in model.select("shard", "types", "words").toLocalIterator():
+            types[r[0]], size[r[0]] = r[1], r[2]
+        first[:] = np.cumsum(size) - size
+        at = np.cumsum(types) - types
+        for r in model.select("shard", "known", "counts", "filter").toLocalIterator():
+            k = r["shard"]
+            known[at[k] : at[k] + types[k]] = np.frombuffer(r["known"], np.uint64)
+            counts[at[k] : at[k] + types[k]] = np.frombuffer(r["counts"], "<i8")
+            words[int(first[k]) : int(first[k] + size[k])] = np.frombuffer(r["filter"], np.uint64)
+        self.broadcast = model.sparkSession.sparkContext.broadcast(flat)
+
+    def model(self) -> Model:
+        known, first, size, words, counts = _views(_mapped(self.broadcast, self.size), self.at, self.layout)
+        return Model(0, self.bits, known, counts, first, size, words)
+
+
+def _mapped(shared: Broadcast, size: int) -> np.ndarray:
+    """The broadcast array: mapped from its file where that can be found, else read."""
+    path = getattr(shared, "_path", None)
+    if path:
+        try:
+            with open(path, "rb") as f:
+                at = f.read(4096).find(_MAGIC)
+            if at >= 0:
+                return np.memmap(path, np.uint8, "r", at, (size,))
+        except (OSError, ValueError):
+            pass
+    return shared.value
+
+
+def _probabilities(off: np.ndarray, c: np.ndarray, level: list[np.ndarray], n: int, v: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Base and smoothed probability of every token, from token counts and the levels of the n-grams that end there."""
+    base = (c + 1) / (n + v + 1)
+    smooth, held, begins = base, c.astype(np.float64), np.float64(texts)
+    for k in level:
+        before = np.empty_like(held)
+        before[1:] = held[:-1]
+        before[off[:-1]] = begins
+        begins = np.float64(0)
+        seen = np.where(k > 0, BASE ** (k.astype(np.float64) - 1), 0.0)
+        held = np.minimum(seen, np.minimum(held, before))
+        types = np.maximum(before, 1) ** TYPES
+        smooth = np.where(before > 0, (held + types * smooth) / (before + types), smooth)
+    return base, smooth
+
+
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", max_broadcast: int = MAX_BROADCAST, entry_bits: int = ENTRY_BITS, order: int = ORDER) -> DataFrame:
     """Train on the fold whose crc32(doc_id) mod 7 is not 2; score every text."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(key).alias("held_out"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), held_out(key).alias("held_out"))
     training = rows.where("not held_out")
-    model, bits = train(training, min_count=SCORED_COUNT)
-    total = model.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
+    model, bits = train(training, entry_bits=entry_bits, order=order)
+    total = model.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), F.sum(20 * F.col("types") + 8 * F.col("words")).alias("bytes")).first()
     n, v, texts = total["n"] or 0, total["v"] or 0, training.count()
-    passes = ranges(model, bits, max_broadcast)
-    single = len(passes) == 1
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def finish(batch: pa.RecordBatch, off: np.ndarray, c: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
-        p = (c + 1) / (n + v + 1)
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        before[off[:-1]] = texts
-        seen = np.where(level > 0, SCORED_COUNT * BASE ** (level.astype(np.float64) - 1), 0.0)
-        seen = np.minimum(seen, np.minimum(c, before))
-        types = np.maximum(before, 1).astype(np.float64) ** TYPES
-        smooth = np.where(before > 0, (seen + types * p) / (before + types), p)
+    def finish(part: pa.RecordBatch, off: np.ndarray, c: np.ndarray, level: list[np.ndarray]) -> pa.RecordBatch:
+        base, smooth = _probabilities(off, c, level, n, v, texts)
         add = lambda x: pa.array(np.add.reduceat(x, off[:-1]))  # noqa: E731  every text has its end token
         size = np.diff(off)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(size), add((c > 0).astype(np.int64)), pa.array(np.full(len(size), n, np.int64)), add(np.log10(p)), add(np.log10(smooth))],
+            [part.column("doc_id"), part.column("held_out"), pa.array(size), add((c > 0).astype(np.int64)), pa.array(np.full(len(size), n, np.int64)), add(np.log10(base)), add(np.log10(smooth))],
             [x.split()[0] for x in schema.split(", ")],
         )
 
-    def run(shared, last: bool):
-        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part = shared.value
-            for batch in batches:
-                for rows, buf, offsets in B.chunks(batch, "text"):
-                    tokens, off, grams = sequences(buf, offsets)
-                    if "levels" in rows.schema.names:
-                        c = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int64).copy()
-                        level = np.frombuffer(b"".join(rows.column("levels").to_pylist()), np.uint8).copy()
-                    else:
-                        c, level = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.uint8)
-                    part.probe(tokens, grams, c, level)
-                    if last:
-                        yield finish(rows, off, c, level)
-                    else:
-                        ends = off.tolist()
-                        pieces = [pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()) for x in (c, level)]
-                        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), rows.column("held_out"), *pieces], ["doc_id", "text", "held_out", "counts", "levels"])
-
-        return one
-
-    for at, (low, high) in enumerate(passes):
-        shared = spark.sparkContext.broadcast(tuple(load(model, bits, low, high)))
-        if single or at == len(passes) - 1:
-            return rows.mapInArrow(run(_Lazy(shared), True), schema)
-        rows = keep(rows.mapInArrow(run(_Lazy(shared), False), "doc_id long, text string, held_out boolean, counts binary, levels binary"), "probed")
-
-
-class _Lazy:
-    """A broadcast model as a :class:`Model`."""
-
-    def __init__(self, shared):
-        self.shared = shared
-
-    @property
-    def value(self) -> Model:
-        return Model(*self.shared.value)
+    if (total["bytes"] or 0) > max_broadcast:
+        return _score_in_shards(rows, model, bits, order, finish, schema)
+    shared = Shared(model, bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = shared.model()
+        for batch in batches:
+            for part, buf, offsets in B.chunks(batch, "text"):
+                tokens, off, grams = sequences(buf, offsets, order)
+                yield finish(part, off, whole.count_of(tokens), [whole.level_of(g) for g in grams])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _score_in_shards(rows: DataFrame, model: DataFrame, bits: int, order: int, finish, schema: str) -> DataFrame:
+    """The same scores from a model that is not broadcast: probes go to the shards, answers come back to the text."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part, _, _ in B.chunks(batch, "text"):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "data"])
+                chunk += 1
+
+    def opened(data: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[np.ndarray]]:
+        part = pa.ipc.open_stream(data).read_next_batch()
+        return (part, *sequences(*B.text_buffer(part.column("text")), order))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                _, tokens, _, grams = opened(data.as_buffer())
+                for kind, hashes in enumerate((tokens, *grams), 1):
+                    keys = np.unique(hashes) if kind == 1 else _distinct(hashes, bits)[0]
+                    shard, cut = _by_shard(keys, bits)
+                    packed = _parts(keys.tobytes(), cut, 8) if kind == 1 else _parts(_pack_keys(keys, bits), cut, 5)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array([chunk] * len(shard), pa.int64()), pa.array([kind] * len(shard), pa.int32()), packed], ["shard", "chunk", "kind", "keys"])
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return asked.select(["chunk", "kind", "shard"]).append_column("data", pa.array([], pa.binary()))
+        shard = asked.column("shard")[0].as_py()
+        blob = lambda c, kind: np.frombuffer(own.column(c)[0].as_py() if own.num_rows else b"", kind)
+        filter_ = blob("filter", np.uint64)
+        part = Model(shard, bits, blob("known", np.uint64), blob("counts", "<i8"), np.zeros(1, np.uint64), np.array([len(filter_)], np.uint64), filter_)
+        data = [part.count_of(np.frombuffer(raw, np.uint64)).tobytes() if kind == 1 else part.level_of(_unpack_keys(raw, shard, bits)).tobytes() for kind, raw in zip(asked.column("kind").to_pylist(), asked.column("keys").to_pylist(), strict=True)]
+        return pa.table({"chunk": asked.column("chunk"), "kind": asked.column("kind"), "shard": asked.column("shard"), "data": pa.array(data, pa.binary())})
+
+    def place(table: pa.Table, answers: pa.Table) -> pa.Table:
+        part, tokens, off, grams = opened(table.column("data")[0].as_buffer())
+        answers = answers.sort_by([("kind", "ascending"), ("shard", "ascending")])
+        kind, data = answers.column("kind").to_numpy(), answers.column("data").to_pylist()
+        got = []
+        for k, hashes in enumerate((tokens, *grams), 1):
+            own = np.frombuffer(b"".join(data[i] for i in np.flatnonzero(kind == k)), np.int64 if k == 1 else np.uint8)
+            hashes = hashes if k == 1 else _cut_hash(hashes, bits)
+            keys = np.unique(hashes) if k == 1 else _distinct(hashes, bits)[0]
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            got.append(np.where(keys[at] == hashes, own[at], 0).astype(own.dtype) if len(keys) else np.zeros(len(hashes), own.dtype))
+        return pa.Table.from_batches([finish(part, off, got[0], got[1:])])
+
+    chunks = keep(rows.mapInArrow(pack, "chunk long, data binary"), "chunks")
+    asked = chunks.mapInArrow(ask, "shard long, chunk long, kind int, keys binary")
+    answers = asked.groupBy("shard").cogroup(model.select("shard", "known", "counts", "filter").groupBy("shard")).applyInArrow(answer, "chunk long, kind int, shard long, data binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(place, schema)

@@ -401,50 +401,75 @@ def test_mixing_schedules_every_source(spark):
     assert len(some) == sum(n.values()) and min(r.mix_slot for r in some if r not in named) > max(r.mix_slot for r in named)
 
 
-def test_lm_scores(docs):
-    count = collections.Counter()
-    tokens = {i: [*words((t or "").translate(LOWER)), None] for i, t in DOCS}
+def brute_scores(documents, order=3):
+    """Scores by plain counting, counts of n-grams rounded down to their level."""
+    count, texts = collections.Counter(), 0
+    tokens = {i: [*words((t or "").translate(LOWER)), None] for i, t in documents}
     for i, w in tokens.items():
         if zlib.crc32(str(i).encode()) % 7 != 2:
-            count.update(w)
-    n, v = sum(count.values()), len(count)
-    got = rows(lm_scoring.score(docs))
+            texts += 1
+            count.update((x,) for x in w)
+            for n in range(2, order + 1):
+                count.update(tuple(["<s>", *w][k : k + n]) for k in range(len(w) + 2 - n))
+    n, v = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
+    rounded = lambda c: 1.5 ** int(np.floor(np.log(c) / np.log(1.5) + 1e-9)) if c else 0.0
+    out = {}
     for i, w in tokens.items():
+        s, score = ["<s>", *w], 0.0
+        held = {}
+        for k in range(1, len(s)):
+            p, held[k, 1] = (count[s[k],] + 1) / (n + v + 1), count[s[k],]
+            for m in range(2, min(order, k + 1) + 1):
+                before = held[k - 1, m - 1] if k > 1 else texts
+                held[k, m] = min(rounded(count[tuple(s[k + 1 - m : k + 1])]), held[k, m - 1], before)
+                if before:
+                    types = before**lm_scoring.TYPES
+                    p = (held[k, m] + types * p) / (before + types)
+            score += np.log10(p)
+        out[i] = (zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(count[x,] > 0 for x in w), n, sum(np.log10((count[x,] + 1) / (n + v + 1)) for x in w), score)
+    return out
+
+
+@pytest.mark.parametrize(("order", "max_broadcast"), [(3, 1 << 30), (4, 0)])
+def test_lm_scores(docs, order, max_broadcast):
+    want = brute_scores(DOCS, order)
+    got = rows(lm_scoring.score(docs, max_broadcast=max_broadcast, entry_bits=8000, order=order))
+    for i, w in want.items():
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(count[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(np.log10((count[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
-        assert r.score < 0
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
+        assert (r.base_score, r.score) == pytest.approx(w[4:], rel=1e-9)
+
+
+def test_lm_scores_at_production_size_of_the_filter(docs):
+    want, got = brute_scores(DOCS), rows(lm_scoring.score(docs))
+    apart = [abs(got[i].score - w[5]) / w[1] for i, w in want.items()]
+    assert max(apart) < 0.15 and np.mean(apart) < 0.02  # false positives only
     total = lambda c, held: sum(getattr(r, c) for r in got.values() if r.held_out == held)
     assert total("score", False) > total("base_score", False)
-    parts = rows(lm_scoring.score(docs, max_broadcast=2000))
-    assert all(parts[i].score == pytest.approx(got[i].score, rel=1e-12) for i in got)
 
 
 def test_log_frequency_filter(spark):
     lines = ["x y " * 40, "p q", "p q", "r s"]
-    model, bits = lm_scoring.train(spark.createDataFrame([(t,) for t in lines], "text string"))
-    m = lm_scoring.load(model, bits, 0, 1 << bits)
+    model, bits = lm_scoring.train(spark.createDataFrame([(t,) for t in lines], "text string"), entry_bits=200)
+    m = lm_scoring.Shared(model, bits).model()
 
     def level(text):
         raw = np.frombuffer(text.encode(), np.uint8)
         tokens, off, grams = lm_scoring.sequences(raw, np.array([0, len(raw)]))
-        c, q = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.uint8)
-        m.probe(tokens, grams, c, q)
-        return c.tolist(), q.tolist()
+        return m.count_of(tokens).tolist(), [m.level_of(g).tolist() for g in grams]
 
-    assert level("p q") == ([2, 2, 4], [1, 1, 1])
-    c, q = level("x y")
-    assert c == [40, 40, 4] and q[1] == 1 + int(np.log(40 / 2) / np.log(1.5))
-    assert level("r s")[1] == [0, 0, 0]
+    assert level("p q") == ([2, 2, 4], [[2, 2, 2], [0, 2, 2]])
+    c, (two, three) = level("x y x")
+    assert c == [40, 40, 40, 4] and two[1] == 1 + int(np.log(40) / np.log(1.5)) and three[2] == 1 + int(np.log(39) / np.log(1.5))
+    assert level("s r")[1] == [[0, 0, 0], [0, 0, 0]]
 
 
-def test_lm_scores_know_bigrams_seen_once(spark):
+def test_lm_scores_know_what_was_seen_once(spark):
     kept = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
-    held = next(i for i in range(100) if i not in kept)
-    table = [(kept[0], "p q r s"), (kept[1], "s r q p"), (held, "p q r s")]
-    got = rows(lm_scoring.score(spark.createDataFrame(table, "doc_id long, text string")))
-    p, t = (2 + 1) / (10 + 5 + 1), 2**lm_scoring.TYPES  # every token and every start occurs twice, every bigram once
-    assert got[held].score == pytest.approx(5 * np.log10((1 + t * p) / (2 + t)), rel=1e-9)
+    held = [i for i in range(100) if i not in kept][:2]
+    table = [(kept[0], "p q r s"), (kept[1], "s r q p"), (held[0], "p q r s"), (held[1], "q s p r")]
+    got = rows(lm_scoring.score(spark.createDataFrame(table, "doc_id long, text string"), entry_bits=200))
+    assert got[held[0]].base_score == got[held[1]].base_score and got[held[0]].score > got[held[1]].score + 1
 
 
 def test_quality_classifier(spark):
