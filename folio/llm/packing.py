@@ -3,19 +3,24 @@
 Method: each task tokenises the documents of its input split (no shuffle) and packs
 ``BATCH_IDS`` ids at a time.  A document longer than a window is first cut into full
 windows; then pieces go, longest first, into the open window with the least room
-that still holds them, found with a segment tree over remaining capacities.  Windows
-that stay short of full by more than ``slack`` are opened again: their pieces are
-laid end to end and cut at window borders, and what is left over at the end becomes
-sequences of power-of-two length, which need no padding.
-
-Sequence ids are ``split number * 2**32 + counter``: unique, and the same whenever a
-lost task runs again over its split.  Defined cases: null text is empty (its piece
-is the end id alone); repeated or null ``doc_id`` values are documents of their own;
-an empty table gives no rows; other columns are ignored.
+that still holds them, found with a segment tree over remaining capacities.  A batch
+has as many windows as its ids fill, and the ids beyond the last full one have windows
+of power-of-two length, which need no padding; so every window ends up full.  A piece
+that no open window holds opens the next one; when all are open, its head fills the
+window with the most room, and the rest of it goes back among the pieces.  No window is
+packed again.
+
+Sequence ids are ``stretch * 2**32 + counter``: unique, and the same whenever a lost
+task runs again over its split.  The stretch is the number of the split; with
+:func:`pack_in_order` it is the place of the batch's first row in the files that were
+read, so sequence ids follow the order of the rows, batch by batch.  Defined cases:
+null text is empty (its piece is the end id alone); repeated or null ``doc_id`` values
+are documents of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +36,8 @@ from folio.session import ship
 
 #: Ids packed together: about a thousand windows, 8 MB.
 BATCH_IDS = 1 << 22
+#: Bits of a sequence id for the file, for the row a batch begins with, and for the windows of a batch (a batch has less than 2**32 ids).
+FILE_BITS, ROW_BITS, WINDOW_BITS = 20, 23, 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -53,6 +60,15 @@ class CapacityTree:
             self.open.setdefault(room, []).append(window)
             self._add(room, 1)
 
+    def most(self) -> tuple[int, int]:
+        """(room, window) with the most room; it leaves the tree."""
+        node = 1
+        while node < self.leaves:
+            node = 2 * node + (self.count[2 * node + 1] > 0)
+        room = node - self.leaves
+        self._add(room, -1)
+        return room, self.open[room].pop()
+
     def take(self, length: int) -> tuple[int, int] | None:
         """(room, window) with the least room of at least ``length``; it leaves the tree."""
         count, node = self.count, self.leaves + length
@@ -71,62 +87,74 @@ class CapacityTree:
         return room, self.open[room].pop()
 
 
-def pack_lengths(lengths: np.ndarray, window: int, slack: int) -> list[list[tuple[int, int, int]]]:
+def stretch_id(part: int, row: int) -> int:
+    if part >> FILE_BITS or row >> ROW_BITS:
+        raise ValueError(f"row {row} of file {part} has no sequence id; write smaller or fewer files")
+    return (part << ROW_BITS | row) << WINDOW_BITS
+
+
+def pack_lengths(lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (document, start, length), for documents of these lengths."""
     windows: list[list[tuple[int, int, int]]] = []
-    rest: list[tuple[int, int, int]] = []
+    rest: list[tuple[int, int, int]] = []  # (-length, document, start): longest first
     for d, n in enumerate(lengths.tolist()):
         full = n // window
         windows += [[(d, k * window, window)] for k in range(full)]
         if n % window:
-            rest.append((d, full * window, n % window))
-    rest.sort(key=lambda x: (-x[2], x[0]))
-    tree, done, room = CapacityTree(window), len(windows), []
-    for piece in rest:
-        got = tree.take(piece[2])
-        if got is None:
+            rest.append((-(n % window), d, full * window))
+    heapq.heapify(rest)
+    still, over = divmod(-sum(x[0] for x in rest), window)
+    tree = CapacityTree(window)
+    for bit in range(over.bit_length()):
+        if over >> bit & 1:
+            tree.put(1 << bit, len(windows))
+            windows.append([])
+    while rest:
+        n, d, start = heapq.heappop(rest)
+        n = -n
+        got = tree.take(n)
+        if got is None and still:
+            still -= 1
             windows.append([])
-            room.append(window)
             got = window, len(windows) - 1
-        windows[got[1]].append(piece)
-        room[got[1] - done] = got[0] - piece[2]
-        tree.put(got[0] - piece[2], got[1])
-    loose = [w for w, r in enumerate(room, done) if r > slack and (window - r) & (window - r - 1)]
-    pool = [p for w in loose for p in windows[w]]
-    gone = set(loose)
-    windows = [x for w, x in enumerate(windows) if w not in gone]
-    left = sum(p[2] for p in pool)
-    current, want = [], 0
-    for d, start, n in pool:
-        while n:
-            if not want:
-                want = window if left >= window else 1 << (left.bit_length() - 1)
-                current = []
-                windows.append(current)
-            part = min(n, want)
-            current.append((d, start, part))
-            start, n, want, left = start + part, n - part, want - part, left - part
+        if got is None:
+            got = tree.most()
+            heapq.heappush(rest, (got[0] - n, d, start + got[0]))
+            n = got[0]
+        windows[got[1]].append((d, start, n))
+        tree.put(got[0] - n, got[1])
     return windows
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, slack: int = 32, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per piece; with ``with_ids`` also its ids as little-endian u32 bytes."""
-    ship(docs.sparkSession)
+    return _pack(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("long").alias("row")), tokenizer, end_id, window, with_ids)
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """The same for rows read from files ``part-<number>...``, whose order the sequence ids keep from batch to batch."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
+    return _pack(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), part.alias("part"), F.col("_metadata.row_index").alias("row")), tokenizer, end_id, window, with_ids)
+
+
+def _pack(rows: DataFrame, tokenizer: str, end_id: int, window: int, with_ids: bool) -> DataFrame:
+    ship(rows.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, base = T.worker_cache(tokenizer), TaskContext.get().partitionId() << 32
+        cache, task = T.worker_cache(tokenizer), TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
         lengths: list[np.ndarray] = []
-        sequence, held = 0, 0
+        sequence, held, first_of = 0, 0, (None, 0)
 
         def flush() -> pa.RecordBatch:
             nonlocal sequence
-            flat, size = np.concatenate(ids).astype("<u4"), np.concatenate(lengths)
+            flat, size = np.concatenate(ids).astype("<u4", copy=False), np.concatenate(lengths)
             first = np.cumsum(size) - size
             raw = memoryview(flat).cast("B")
+            begin = (task << 32) + sequence if first_of[0] is None else stretch_id(*first_of)
             out = []
-            for n, content in enumerate(pack_lengths(size, window, slack), base + sequence):
+            for n, content in enumerate(pack_lengths(size, window), begin):
                 offset = 0
                 for d, start, length in content:
                     at = 4 * (int(first[d]) + start)
@@ -144,15 +172,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4
 
         for batch in batches:
             for rows, buf, offsets in B.chunks(batch, "text"):
+                part = rows.column("part")
+                edge = [0, *(np.flatnonzero(np.diff(part.to_numpy())) + 1).tolist(), len(part)] if part.null_count == 0 else [0, len(part)]
                 flat, off = cache.encode(buf, offsets, end_id)
-                ids.append(flat)
-                keys += rows.column(0).to_pylist()
-                lengths.append(np.diff(off))
-                held += len(flat)
-                if held >= BATCH_IDS:
-                    yield flush()
-                    held = 0
+                for a, b in zip(edge, edge[1:], strict=False):
+                    now = part[a].as_py()
+                    if keys and now != first_of[0]:  # another file
+                        yield flush()
+                        held = 0
+                    if not keys:
+                        first_of = now, rows.column("row")[a].as_py() or 0
+                    ids.append(flat[off[a] : off[b]])
+                    keys += rows.column(0).slice(a, b - a).to_pylist()
+                    lengths.append(np.diff(off[a : b + 1]))
+                    held += int(off[b] - off[a])
+                    if held >= BATCH_IDS:
+                        yield flush()
+                        held = 0
         if keys:
             yield flush()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, SCHEMA + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(pack, SCHEMA + (", ids binary" if with_ids else ""))

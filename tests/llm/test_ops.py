@@ -172,13 +172,53 @@ def test_packing(docs):
         assert [p.start for p in mine] == np.cumsum([0, *[p.length for p in mine[:-1]]]).tolist()
         assert b"".join(bytes(p.ids) for p in mine) == struct.pack(f"<{len(ids)}I", *ids)
         assert all(p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(bytes(p.ids)) for p in mine)
-    padding = 0
     for content in by_seq.values():
         content.sort(key=lambda p: p.offset)
         used = sum(p.length for p in content)
-        assert [p.offset for p in content] == np.cumsum([0, *[p.length for p in content[:-1]]]).tolist() and used <= 512
-        padding += 0 if used & (used - 1) == 0 else 512 - used
-    assert padding <= 0.02 * sum(p.length for p in pieces)
+        assert [p.offset for p in content] == np.cumsum([0, *[p.length for p in content[:-1]]]).tolist()
+        assert used <= 512 and used & (used - 1) == 0
+
+
+def brute_best_fit(lengths, window):
+    """Every window looked at for every piece."""
+    rest, done = [], []
+    for d, n in enumerate(lengths):
+        done += [[(d, k, window)] for k in range(0, n - n % window, window)]
+        if n % window:
+            rest.append((d, n - n % window, n % window))
+    still, over = divmod(sum(n for _, _, n in rest), window)
+    open_, turn = [[1 << b, [], 0] for b in range(13) if over >> b & 1], 0
+    while rest:
+        rest.sort(key=lambda x: (-x[2], x[0], x[1]))
+        d, start, n = rest.pop(0)
+        fits = [w for w in open_ if w[0] >= n]
+        if fits:
+            w = min(fits, key=lambda w: (w[0], -w[2]))  # of equal windows the one used last
+        elif still:
+            still -= 1
+            open_.append(w := [window, [], 0])
+        else:
+            w = max(open_, key=lambda w: (w[0], w[2]))
+            rest.append((d, start + w[0], n - w[0]))
+            n = w[0]
+        w[1].append((d, start, n))
+        turn += 1
+        w[0], w[2] = w[0] - n, turn
+    assert all(w[0] == 0 for w in open_)
+    return done + [w[1] for w in open_]
+
+
+@pytest.mark.parametrize(("low", "high"), [(2100, 4000), (1500, 3000), (1, 900), (1, 20000), (4096, 4097)])
+def test_packing_is_best_fit_decreasing(low, high):
+    lengths = np.random.default_rng(low).integers(low, high, 400)
+    got, want = packing.pack_lengths(lengths, 4096), brute_best_fit(lengths.tolist(), 4096)
+    assert sorted(map(sorted, got)) == sorted(map(sorted, want))
+    assert all((n := sum(p[2] for p in w)) == 4096 or n & (n - 1) == 0 for w in got)  # no padding at all
+    pieces = sorted(p for w in got for p in w)
+    assert sum(p[2] for p in pieces) == lengths.sum() and all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(pieces, pieces[1:]))
+    if high == 4000:
+        cut = len({p[0] for p in pieces if p[2] < lengths[p[0]]})
+        assert cut <= 0.45 * len(lengths)
 
 
 def test_best_fit_takes_the_tightest_window():
@@ -188,6 +228,18 @@ def test_best_fit_takes_the_tightest_window():
     assert tree.take(4) == (5, 0) and tree.take(4) == (9, 3) and tree.take(3) == (3, 2) and tree.take(10) is None and tree.take(9) == (9, 1) and tree.take(1) is None
 
 
+def test_packing_keeps_the_order_of_files(spark, tmp_path):
+    table = spark.createDataFrame([(i, " ".join(WORDS[(i + k) % len(WORDS)] for k in range(1 + i % 90))) for i in range(900)], "doc_id long, text string")
+    table.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "t"))
+    pieces = packing.pack_in_order(spark.read.parquet(str(tmp_path / "t")), tokenizer("word_bpe_49k.json"), 2, window=256).collect()
+    spans = collections.defaultdict(list)
+    for p in pieces:
+        spans[p.sequence_id >> packing.WINDOW_BITS].append(p.doc_id)
+    ends = [(min(spans[k]), max(spans[k])) for k in sorted(spans)]
+    assert len(ends) >= 5 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0) and {p.doc_id for p in pieces} == set(range(900))
+
+
 def test_exact_dedup(docs):
     groups = collections.defaultdict(list)
     norm = {i: re.sub(SPACE + "+", " ", t or "") for i, t in DOCS}
@@ -489,6 +541,50 @@ def test_quality_classifier(spark):
     assert by["h0", "spam"].path_posterior < by["h0", "spam"].host_posterior < by["h0", "p0"].path_posterior
 
 
+def test_quality_posteriors(spark):
+    """Every posterior and score from plain sums over the documents' own scores."""
+    r = random.Random(2)
+    table = [(k, " ".join(r.choices(WORDS, k=60)) + " #$" * (30 * (k % 4 == 0)), f"h{min(k % 7, 3)}" if k % 11 else None, f"p{k % 3}") for k in range(160)] + [(500, "alone", "h9", "p0"), (None, "no id", "h9", "p1")]
+    labels = {k: int(k % 4 != 0) for k in range(0, 160, 2)} | {500: 1, 10_001: 0}  # the last one is of no document
+    docs = spark.createDataFrame(table, "doc_id long, text string, host string, path string")
+    got = quality_classifier.classify(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), F.col("host"), F.col("path")).collect()
+    seen = [float(labels[x.doc_id]) if x.doc_id in labels else x.doc_score for x in got]
+    strength = lambda m, v: min(1000.0, max(1.0, m * (1 - m) / v - 1 if v else 1000.0))
+    mean = sum(seen) / len(seen)
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for x, s in zip(got, seen, strict=True):
+        hosts[x.host].append(s)
+        paths[x.host, x.path].append(s)
+    avg = lambda v: sum(v) / len(v)
+    alpha = strength(mean, sum(len(v) * (avg(v) - mean) ** 2 for v in hosts.values()) / len(seen))
+    posterior = {h: (alpha * mean + sum(v)) / (alpha + len(v)) for h, v in hosts.items()}
+    beta = strength(mean, sum(len(v) * (avg(v) - posterior[h]) ** 2 for (h, _), v in paths.items()) / len(seen))
+    odds = lambda p: np.log(min(0.999, max(0.001, p)) / (1 - min(0.999, max(0.001, p))))
+    for x, s in zip(got, seen, strict=True):
+        host, path = hosts[x.host], paths[x.host, x.path]
+        assert x.host_posterior == pytest.approx(posterior[x.host]) and x.path_posterior == pytest.approx((beta * posterior[x.host] + sum(path)) / (beta + len(path)))
+        rest = (sum(seen) - s) / (len(seen) - 1)
+        others = (beta * (alpha * rest + sum(host) - s) / (alpha + len(host) - 1) + sum(path) - s) / (beta + len(path) - 1)
+        assert x.score == pytest.approx(1 / (1 + np.exp(-(odds(x.doc_score) + 0.5 * (odds(others) - odds(rest))))))
+        assert x.kept == (x.score >= quality_classifier.KEEP_AT)
+
+
+def test_labels_of_absent_documents_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(k, "good words here" if k % 2 else "### $$$") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5000)], "doc_id long, label int")
+    assert quality_classifier.train(docs, labels, sample=40) is not None
+
+
+def test_ids_beyond_16_bits():
+    cache = K.PieceCache(tokenizer("byte_bpe_50k.json"))
+    ids, _ = cache.encode(np.frombuffer(b"some text", np.uint8), np.array([0, 9]), 70_000)
+    assert ids[-1] == 70_000 and ids[:-1].tolist() == cache.lib.model.encode("some text").ids
+    cache.lib.dtype = np.uint32
+    cache.clear()
+    cache.lib.encode = lambda pieces, first: [[100_000 + len(p)] for p in pieces]
+    assert cache.encode(np.frombuffer(b"some text", np.uint8), np.array([0, 9]), 2)[0].tolist() == [100_004, 100_005, 2]
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
