@@ -101,6 +101,9 @@ class Library:
 
             self.model = Tokenizer.from_file(path)
             self.family = "byte" if self.model.normalizer is None else "word"
+        size = self.model.get_piece_size() if self.family == "piece" else max(self.model.get_vocab(with_added_tokens=True).values(), default=0) + 1
+        #: The narrowest type that holds every id.
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
 
     def encode(self, pieces: list[bytes], first: list[bool] | None = None) -> list[list[int]]:
         if self.family != "piece":
@@ -139,7 +142,7 @@ class PieceCache:
         self.known = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.uint16)
+        self.flat = np.zeros(0, self.lib.dtype)
         self.used = 0
 
     def _learn(self, fresh: np.ndarray, pieces: list[bytes], first: list[bool]) -> None:
@@ -147,10 +150,10 @@ class PieceCache:
         length = np.fromiter(map(len, got), np.int32, len(got))
         at = np.zeros(len(got), np.int64)
         if self.ids:
-            flat = np.fromiter((i for x in got for i in x), np.uint16, int(length.sum()))
+            flat = np.fromiter((i for x in got for i in x), self.lib.dtype, int(length.sum()))
             at = self.used + np.cumsum(length) - length
             if self.used + len(flat) > len(self.flat):
-                grown = np.zeros(max(2 * len(self.flat), self.used + len(flat), 1 << 16), np.uint16)
+                grown = np.zeros(max(2 * len(self.flat), self.used + len(flat), 1 << 16), self.lib.dtype)
                 grown[: self.used] = self.flat[: self.used]
                 self.flat = grown
             self.flat[self.used : self.used + len(flat)] = flat
@@ -205,7 +208,7 @@ class PieceCache:
         extra = 0 if end_id is None else 1
         out_off = np.zeros(rows + 1, np.int64)
         np.cumsum(per_row + extra, out=out_off[1:])
-        out = np.empty(out_off[-1], np.uint16)
+        out = np.empty(out_off[-1], self.lib.dtype if extra == 0 or end_id <= np.iinfo(self.lib.dtype).max else np.uint32)
         total = int(length.sum())
         if total:
             begin = np.cumsum(length) - length

@@ -7,8 +7,9 @@ Spark reads can hold it; ``index`` columns give documents per segment and their
 lengths, the payload gives block starts.
 
 Defined cases: a null text is an empty text (only the end id); rows with a null
-``doc_id`` come first; rows that repeat a ``doc_id`` are documents of their own,
-ordered by text; an empty table gives an empty file set; other columns are ignored.
+``doc_id`` come first; rows that repeat a ``doc_id``, or have none, are documents of
+their own, ordered by a hash of the text and then the text, so many of them are not one
+range; an empty table gives an empty file set; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
 
         def flush() -> pa.RecordBatch:
             nonlocal segment
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
+            flat = np.concatenate(ids)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(flat)]), pa.array([list(keys)], pa.list_(pa.int64())), pa.array([list(lengths)], pa.list_(pa.int64())), pa.array([pfor.encode(flat, percentile)], pa.binary())],
                 ["part", "segment", "n_ids", "doc_ids", "lengths", "payload"],
@@ -67,7 +68,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             yield flush()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, FILES).write.parquet(path)
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInArrow(encode, FILES).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
