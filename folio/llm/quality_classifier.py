@@ -2,13 +2,15 @@
 
 A logistic model over text statistics and hashed words gives each document its own
 evidence.  It is fitted on at most ``SAMPLE`` labelled documents (a documented bound;
-the ones with the smallest id hash); everything after it covers all documents.
+of those in the table, the ones with the smallest id hash); everything after it covers
+all documents.
 Evidence (the label where there is one, else the model's probability) is summed by
 path and by host.  A host's posterior shrinks its mean toward the global mean with a
 prior strength fitted by moments, and a path's posterior shrinks toward its host's in
 the same way, so a site with few documents says little.  The final odds are the
-document's odds times the ratio of its path's odds, without the document itself, to
-the global odds, raised to ``SITE_WEIGHT``.
+document's odds times the ratio of its path's odds to the global odds, raised to
+``SITE_WEIGHT``; the document itself is taken out of its path, its host and the whole
+for that ratio, so it never votes for itself.
 
 Hosts and paths are summed map-side first; their posteriors come back by
 ``_skew.attach``, so a host with a third of all rows is no hot key.
@@ -87,7 +89,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 12) ->
 def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     """Model weights from labelled rows; ``rows`` has doc_id and text, ``labels`` has doc_id and label."""
     ship(rows.sparkSession)
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most SAMPLE rows
+    present = labels.join(rows.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most SAMPLE rows
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,15 +141,18 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, tex
     host_mean = F.col("hs") / F.col("hn")
     between = F.sum(F.col("hn") * (host_mean - m) * (host_mean - m)) / F.sum("hn")
     alpha = float(hosts.agg(_strength(m, between).alias("a")).first()["a"] or 1000.0)
-    hosts = hosts.select("host", (F.lit(alpha) * m + F.col("hs")).alias("h_s"), (F.lit(alpha) + F.col("hn")).alias("h_n"), F.col("hn"))
-    sites = paths.join(hosts.withColumnRenamed("host", "__host"), F.col("host").eqNullSafe(F.col("__host"))).drop("__host").withColumn("host_posterior", F.col("h_s") / F.col("h_n"))
+    hosts = hosts.select(F.col("host").alias("__host"), "hn", "hs", ((F.lit(alpha) * m + F.col("hs")) / (F.lit(alpha) + F.col("hn"))).alias("host_posterior"))
+    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("__host"))).drop("__host")
     inner = F.col("s") / F.col("n")
     within = F.sum(F.col("n") * (inner - F.col("host_posterior")) * (inner - F.col("host_posterior"))) / F.sum("n")
-    sites = keep(sites.select("host", "path", "n", "s", "host_posterior"), "sites")
+    sites = keep(sites.select("host", "path", "n", "s", "hn", "hs", "host_posterior"), "sites")
     beta = float(sites.agg(_strength(m, within).alias("b")).first()["b"] or 1000.0)
 
     joined = attach(scored, sites, ["host", "path"], "n", total)
     posterior = (F.lit(beta) * F.col("host_posterior") + F.col("s")) / (F.lit(beta) + F.col("n"))
-    others = (F.lit(beta) * F.col("host_posterior") + F.col("s") - F.col("seen")) / (F.lit(beta) + F.col("n") - 1)
-    final = 1 / (1 + F.exp(-(_odds(F.col("doc_score")) + F.lit(SITE_WEIGHT) * (_odds(others) - _odds(m)))))
+    # The same three means without the document itself.
+    without = F.coalesce(F.try_divide(F.lit(float(mean) * total) - F.col("seen"), F.lit(total - 1.0)), m)
+    host_others = (F.lit(alpha) * without + F.col("hs") - F.col("seen")) / (F.lit(alpha) + F.col("hn") - 1)
+    others = (F.lit(beta) * host_others + F.col("s") - F.col("seen")) / (F.lit(beta) + F.col("n") - 1)
+    final = 1 / (1 + F.exp(-(_odds(F.col("doc_score")) + F.lit(SITE_WEIGHT) * (_odds(others) - _odds(without)))))
     return joined.select("doc_id", "host", "path", "doc_score", "host_posterior", posterior.alias("path_posterior"), final.alias("score")).withColumn("kept", (F.col("score") >= keep_at) | F.lit(weights is None))
