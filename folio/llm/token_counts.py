@@ -1,7 +1,7 @@
 """Token counts without a pre-token shuffle.
 
-Method: a first pass over all texts lets every task report its most frequent
-pieces; their sums give a compact table (64-bit piece hash -> token count) of at
+Method: a first pass over all texts, in at most ``REPORTERS`` tasks, lets every task
+report its most frequent pieces (so what shuffles has a bound); their sums give a compact table (64-bit piece hash -> token count) of at
 most ``TABLE`` entries, which is broadcast.  The second pass looks every piece up
 there, and encodes misses once per worker in a bounded cache.  The table changes
 only speed, never a count.
@@ -27,6 +27,8 @@ from folio.session import keep, ship
 TABLE = 1 << 16
 #: Pieces a task reports, and those it tracks while it runs.
 REPORT, TRACK = 1 << 14, 1 << 18
+#: Tasks of the first pass, at most; each reads many splits of a large table.
+REPORTERS = 1 << 13
 
 
 def frequent_pieces(docs: DataFrame, tokenizer: str, text: str = "text", table: int = TABLE) -> list:
@@ -55,7 +57,7 @@ def frequent_pieces(docs: DataFrame, tokenizer: str, text: str = "text", table:
             keys = np.array([k for k, _ in best], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([v[0] for _, v in best]), pa.array([v[1] for _, v in best], pa.binary()), pa.array([v[2] for _, v in best])], ["hash", "n", "piece", "first"])
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(report, "hash long, n long, piece binary, first boolean")
+    found = docs.select(F.col(f"`{text}`").alias("text")).coalesce(REPORTERS).mapInArrow(report, "hash long, n long, piece binary, first boolean")
     counted = found.groupBy("hash").agg(F.sum("n").alias("n"), F.first("piece").alias("piece"), F.first("first").alias("first"))
     # Written first: else every task would send the driver its own candidates.
     return keep(counted.orderBy(F.desc("n"), "hash").limit(table), "pieces").collect()
@@ -78,4 +80,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
                 n = cache.count(buf, offsets, known, length)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
