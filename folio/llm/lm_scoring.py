@@ -45,8 +45,8 @@ ORDER, BASE, TYPES = 3, 1.5, 0.75
 #: Filter bits for an entry, and how many of a 64-bit word an entry sets.
 ENTRY_BITS, PROBES = 12, 4
 #: Largest model that is broadcast.
-MAX_BROADCAST = 256 << 20
-TRAIN_CHUNK = 6 << 20
+MAX_BROADCAST = 384 << 20
+TRAIN_CHUNK = 4 << 20
 _SHARD_BYTES = 2 << 20
 #: Above the level of any 64-bit count.
 _MAX_LEVEL = 110
@@ -295,7 +295,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", max_broadcas
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), held_out(key).alias("held_out"))
     training = rows.where("not held_out")
     model, bits = train(training, entry_bits=entry_bits, order=order)
-    total = model.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), F.sum(20 * F.col("types") + 8 * F.col("words")).alias("bytes")).first()
+    total = model.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), F.sum(F.when(F.col("most") < 1 << 32, 12).otherwise(16) * F.col("types") + 8 * F.col("words")).alias("bytes")).first()
     n, v, texts = total["n"] or 0, total["v"] or 0, training.count()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
