@@ -3,8 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``; all but the last return the
 columns of ``documents``.  The mixed order lives in the order of the mixing stage's
-files: the packing stage packs each input split by itself, so the documents of a
-sequence come from one stretch of the mixed stream.
+files and their rows; the packing stage packs stretches of it and numbers sequences by
+stretch, so sequence ids follow the mixed order.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=2)
+    """Pieces of sequences of at most 4096 tokens, numbered in mixed order."""
+    return packing.pack_in_order(docs, tokenizer("word_bpe_49k.json"), end_id=2)
 
 
 STAGES = [("quality_rules", rules), ("exact_dedup", exact), ("near_duplicates", near), ("mixing", mix), ("packing", pack)]
