@@ -229,6 +229,21 @@ def _views(flat: np.ndarray, at: int, layout: list[tuple[str, int]]) -> list[np.
     return out
 
 
+def _itself(x: np.ndarray) -> np.ndarray:
+    return x
+
+
+class _Once:
+    """An array that is let go as soon as it is pickled, before the JVM takes its copy."""
+
+    def __init__(self, array: np.ndarray):
+        self.array = array
+
+    def __reduce__(self):
+        array, self.array = self.array, None
+        return _itself, (array,)
+
+
 class Shared:
     """A whole model in one flat array that is broadcast; the workers of an executor map its file."""
 
@@ -237,7 +252,7 @@ class Shared:
         self.bits, self.layout = bits, _layout(shards, info[0] or 0, info[1] or 0, (info[2] or 0) >= 1 << 32)
         # Where the array begins in the pickled file, so that the numbers after the mark are aligned there.
         mark = np.frombuffer(_MAGIC * (1 << 16), np.uint8).copy()
-        begins = pickle.dumps(mark, pickle.HIGHEST_PROTOCOL).find(_MAGIC)
+        begins = pickle.dumps(_Once(mark), pickle.HIGHEST_PROTOCOL).find(_MAGIC)
         self.at = 16 + -(begins + 16) % 64
         flat = np.zeros(max(1 << 20, self.at + sum(n * np.dtype(k).itemsize for k, n in self.layout)), np.uint8)
         flat[:16] = np.frombuffer(_MAGIC, np.uint8)
@@ -253,7 +268,9 @@ class Shared:
             known[at[k] : at[k] + types[k]] = np.frombuffer(r["known"], np.uint64)
             counts[at[k] : at[k] + types[k]] = np.frombuffer(r["counts"], "<i8")
             words[int(first[k]) : int(first[k] + size[k])] = np.frombuffer(r["filter"], np.uint64)
-        self.broadcast = model.sparkSession.sparkContext.broadcast(flat)
+        once = _Once(flat)
+        del flat, known, first, size, words, counts
+        self.broadcast = model.sparkSession.sparkContext.broadcast(once)
 
     def model(self) -> Model:
         known, first, size, words, counts = _views(_mapped(self.broadcast, self.size), self.at, self.layout)
