@@ -1,20 +1,22 @@
 """Exact deduplication with a two-pass Bloom filter, in DataFrame operations only.
 
-Pass 1 reads every text once and keeps (doc_id, sha256 of the normalised text).  Two
-hash functions map each fingerprint to slots of a bit array; the slots that more
-than one row hits are set in a filter of bitmaps.  Pass 2 probes it: a row with a
-slot that nobody else hits is unique and passes straight through; only the others
+Pass 1 reads every text once and writes (doc_id, sha256 of the normalised text, row
+number).  Two hash functions map each fingerprint to slots of a bit array; the slots
+that more than one row hits are set in a filter of bitmaps.  To find them, every task
+packs the slots of its rows by block of the array, in two bytes each (as a sparse
+bitmap would); no fingerprint, id or text moves.  Pass 2 probes the filter: a row with
+a slot that nobody else hits is unique and passes straight through; only the others
 shuffle, to be grouped by their full fingerprint.
 
 The filter has ``bits_per_row`` bits a row, at most ``MAX_BITS`` (64 MB, the bound
 of what is broadcast).  Beyond that size it only lets more rows through to the
-grouping, so results stay exact.
+grouping, so results stay exact.  A large group of copies is summed map-side, and its
+rows get their group by broadcast (``_skew.attach``), so it is no hot key.
 
 Defined cases: null text counts as empty, so null and empty texts are copies; the
-smallest non-null ``doc_id`` of a group stays; a group without any id keeps one of
-its rows (keep_id null); of rows that repeat both id and text one stays in
-:func:`drop_duplicates`, and :func:`duplicate_groups` reports each of them; an empty
-table gives no rows; other columns pass through and may have any name.
+smallest non-null ``doc_id`` of a group stays; of several rows with that id, or in a
+group without any id (keep_id null), the first one read stays; an empty table gives no
+rows; other columns pass through and may have any name.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm._skew import attach
 from folio.session import keep
 
 BITS_PER_ROW = 16
@@ -41,21 +44,30 @@ def _slots(print_: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(print_, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
 
 
+def _bitmaps(slots: DataFrame) -> DataFrame:
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+
+
+def _filter_bits(rows: int, bits_per_row: int) -> int:
+    return min(MAX_BITS, max(_BLOCK, 1 << max(0, rows * bits_per_row - 1).bit_length()))
+
+
 def repeated_filter(prints: DataFrame, bits_per_row: int = BITS_PER_ROW) -> tuple[DataFrame, int]:
     """Bitmaps of the slots that at least two rows hit, and the filter's size in bits."""
-    rows = prints.count()
-    bits = min(MAX_BITS, max(_BLOCK, 1 << max(0, rows * bits_per_row - 1).bit_length()))
-    hit = prints.select(F.explode(F.array(*_slots(F.col("print"), bits))).alias("slot")).groupBy("slot").count().where("count > 1")
-    maps = hit.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
-    return keep(maps, "bloom"), bits
+    bits = _filter_bits(prints.count(), bits_per_row)
+    slots = prints.select(F.explode(F.array(*_slots(F.col("print"), bits))).alias("slot"))
+    # collect_list packs map-side: an array of two-byte places for each block and task.
+    place = F.bitmap_bit_position("slot").cast("short")
+    packed = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.sort_array(F.collect_list(place)).alias("places"))
+    twice = F.filter("places", lambda x, i: F.coalesce(F.get("places", i - 1) == x, F.lit(False)))
+    hit = packed.select("bucket", F.explode(F.array_distinct(twice).cast("array<bigint>")).alias("place"))
+    return keep(hit.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bitmap")), "bloom"), bits
 
 
 def member_filter(members: DataFrame, rows: int, bits_per_row: int = BITS_PER_ROW) -> tuple[DataFrame, int]:
     """The same kind of filter over the values ``print`` of a table with about ``rows`` rows."""
-    bits = min(MAX_BITS, max(_BLOCK, 1 << max(0, rows * bits_per_row - 1).bit_length()))
-    slots = members.select(F.explode(F.array(*_slots(F.col("print"), bits))).alias("slot"))
-    maps = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
-    return keep(maps, "bloom"), bits
+    bits = _filter_bits(rows, bits_per_row)
+    return keep(_bitmaps(members.select(F.explode(F.array(*_slots(F.col("print"), bits))).alias("slot"))), "bloom"), bits
 
 
 def with_maybe(rows: DataFrame, maps: DataFrame, bits: int, print_: str = "print", flag: str = "maybe") -> DataFrame:
@@ -82,11 +94,14 @@ def without_ids(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def _prints(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return keep(docs.select(F.col(f"`{key}`").alias("doc_id"), fingerprint(F.col(f"`{text}`")).alias("print")), "prints")
+    """(doc_id, print, row): ``row`` numbers the rows as they are written, and tells equal ones apart."""
+    return keep(docs.select(F.col(f"`{key}`").alias("doc_id"), fingerprint(F.col(f"`{text}`")).alias("print"), F.monotonically_increasing_id().alias("row")), "prints")
 
 
 def _groups(flagged: DataFrame) -> DataFrame:
-    return keep(flagged.where("maybe").groupBy("print").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
+    groups = flagged.where("maybe").groupBy("print").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    return keep(groups.select("print", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"), "groups")
 
 
 def duplicate_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -94,11 +109,11 @@ def duplicate_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     prints = _prints(docs, text, key)
     maps, bits = repeated_filter(prints)
     flagged = with_maybe(prints, maps, bits)
-    groups = _groups(flagged).where("group_size > 1").withColumnRenamed("print", "group_print")
-    alone = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "print")
-    shared = flagged.where("maybe").join(groups, F.col("print") == F.col("group_print"), "left")
-    shared = shared.select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "print")
-    return alone.unionByName(shared).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("print")).alias("text_sha256"))
+    groups = _groups(flagged)
+    hex_ = F.lower(F.hex("print")).alias("text_sha256")
+    alone = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hex_)
+    shared = attach(flagged.where("maybe"), groups, ["print"], "group_size", groups.agg(F.sum("group_size")).first()[0] or 0)
+    return alone.unionByName(shared.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), hex_))
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
