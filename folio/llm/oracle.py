@@ -12,22 +12,20 @@ SELECT doc_id, k AS keep_id, c AS group_size, doc_id = k AS kept, sha256(t) AS t
 
 QUALITY_RULES = rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-langs AS (SELECT lang FROM (SELECT lang, count(*) AS c FROM d WHERE lang IS NOT NULL GROUP BY lang) ORDER BY c DESC, lang LIMIT {Q.MAX_LANGS}),
-spoken AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM d) WHERE length(word) <= {Q.COMMON_LENGTH} GROUP BY ALL),
-ranked AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM spoken WHERE lang IN (SELECT lang FROM langs)
-  UNION ALL SELECT NULL, word, row_number() OVER (ORDER BY n DESC, word) FROM (SELECT word, sum(n) AS n FROM spoken GROUP BY word)),
+spoken AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM d) GROUP BY ALL),
+ranked AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM spoken),
 common AS (SELECT lang, list(word ORDER BY word) AS ref FROM ranked WHERE r <= {Q.COMMON_WORDS} GROUP BY lang),
 win AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM win) WHERE k > 1),
 again AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
-m AS (SELECT d.doc_id, CASE WHEN k.lang IS NOT NULL THEN d.lang END AS ref_lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+m AS (SELECT d.doc_id, d.lang AS ref_lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     (SELECT len(l) - len(list_distinct(l)) FROM (SELECT list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l)) AS n_dup_lines,
     coalesce(again.n, 0) AS n_repeat_words,
     length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper_, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS digit_,
     length(text) - length(regexp_replace(text, '[!-/:-@\[-`{{-~]', '', 'g')) AS marks_, strlen(text) - length(text) AS wide_, length(text) AS chars_,
-    list_transform(coalesce(k.ref, (SELECT ref FROM common WHERE lang IS NULL)), lambda r: len(list_filter(w, lambda x: x = r))) AS hits
-  FROM d LEFT JOIN common k ON k.lang = d.lang LEFT JOIN again USING (doc_id)),
+    list_transform(coalesce(k.ref, []), lambda r: len(list_filter(w, lambda x: x = r))) AS hits
+  FROM d LEFT JOIN common k ON k.lang IS NOT DISTINCT FROM d.lang LEFT JOIN again USING (doc_id)),
 h AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT} * n_words AS base_failed,
     [upper_, greatest(0, chars_ - upper_ - digit_ - marks_ - (chars_ - word_chars) - wide_), digit_, chars_ - word_chars, marks_ - n_symbols, n_symbols, wide_] AS c,
     list_append(hits, n_words - coalesce(list_sum(hits), 0)) AS t FROM m),
@@ -37,6 +35,6 @@ ref AS (SELECT ref_lang, kind, k, sum(v) AS v FROM cell WHERE NOT base_failed GR
 part AS (SELECT c.doc_id, c.kind, c.v / sum(c.v) OVER (PARTITION BY c.doc_id, c.kind) AS p, r.v / sum(r.v) OVER (PARTITION BY c.doc_id, c.kind) AS q FROM cell c LEFT JOIN ref r ON r.ref_lang IS NOT DISTINCT FROM c.ref_lang AND r.kind = c.kind AND r.k = c.k),
 dist AS (SELECT doc_id, kind, sqrt(greatest(0.0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS x FROM part GROUP BY ALL)
 SELECT h.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n_words >= {Q.CHAR_MIN_WORDS} AND coalesce(a.x, 0) > {Q.MAX_CHAR_DISTANCE}) AND NOT (n_words >= {Q.WORD_MIN_WORDS} AND coalesce(b.x, 0) > {Q.MAX_WORD_DISTANCE}) AS kept
+  NOT base_failed AND NOT (n_words >= {Q.TEST_MIN_WORDS} AND (coalesce(a.x, 0) > {Q.MAX_CHAR_DISTANCE} OR coalesce(b.x, 0) > {Q.WORD_DISTANCE} + {Q.WORD_NOISE} / sqrt(n_words))) AS kept
 FROM h LEFT JOIN dist a ON a.doc_id = h.doc_id AND a.kind = 0 LEFT JOIN dist b ON b.doc_id = h.doc_id AND b.kind = 1
 """

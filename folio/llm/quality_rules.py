@@ -1,22 +1,28 @@
 """Quality rules from distribution divergence, in DataFrame operations only.
 
 Every document gets two histograms: code points by character class, and words by
-the most common short words of its language.  Each is compared with the reference of
-its language - the pooled histogram of all documents of that language that pass the
-base rules - by Jensen-Shannon distance (square root of the base-2 divergence, 0 to
-1).  A document is rejected if it fails the base rules, or if it is long enough for a
-histogram to mean something and the distance exceeds the limit.
-
-Passes: one counts short words by language (map-side sums first); one computes all
+the most common words of its language.  Each is compared with the reference of its
+language - the pooled histogram of all documents of that language that pass the base
+rules - by Jensen-Shannon distance (square root of the base-2 divergence, 0 to 1).  A
+document is rejected if it fails the base rules, or if it is long enough for a
+histogram to mean something and the distance exceeds the limit.  A histogram of n words
+is off its language by chance alone, by a distance that falls with the square root of
+n; so does the limit of the word test.
+
+Passes: one counts words by language (map-side sums first); one computes all
 per-document numbers, written once as a table of about a hundred bytes a row; the
-references are sums over that table.  Languages beyond the ``MAX_LANGS`` largest,
-and rows without one, use the reference of all documents together, so what is
-broadcast has at most MAX_LANGS + 1 rows.
-
-Defined cases: null or blank text has no words and fails the base rules; null or
-repeated ``doc_id`` values are judged row by row; equal texts get equal verdicts; an
-empty table gives no rows; other columns are ignored (or passed through by
-:func:`keep_good`).
+references are sums over that table.  Every language has its own reference.  Up to
+``BROADCAST_LANGS`` of them are broadcast; beyond that only those with a large share of
+the rows are, and the rows of the others are joined by language.
+
+Repeated 3-word windows are found by hash, sorted with their places; the words of every
+window so found are compared, and a text with windows of equal hash and different words
+is counted over the words themselves.
+
+Defined cases: null or blank text has no words and fails the base rules; rows without a
+language are a language of their own; null or repeated ``doc_id`` values are judged row
+by row; equal texts of a language get equal verdicts; an empty table gives no rows;
+other columns are ignored (or passed through by :func:`keep_good`).
 """
 
 from __future__ import annotations
@@ -26,16 +32,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.llm._skew import attach
 from folio.llm.exact_dedup import without_ids
 from folio.session import keep
 
 #: The rules' limits: smallest document, share of repeated words in per cent.
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: Largest distances, and the words a document must have for each test.
-MAX_CHAR_DISTANCE, CHAR_MIN_WORDS = 0.32, 50
-MAX_WORD_DISTANCE, WORD_MIN_WORDS = 0.45, 100
-COMMON_WORDS, COMMON_LENGTH = 24, 4
-MAX_LANGS = 64
+#: Words a document must have for the tests; largest distance of characters; of words: WORD_DISTANCE + WORD_NOISE / sqrt(words).
+TEST_MIN_WORDS, MAX_CHAR_DISTANCE = 50, 0.32
+WORD_DISTANCE, WORD_NOISE = 0.10, 2.2
+#: Words in the list of a language; languages whose lists are broadcast; parts in which the counts of a language are ranked first.
+COMMON_WORDS, BROADCAST_LANGS, RANK_PARTS = 24, 4096, 32
 _SPACE = r"[\x20\x09-\x0D]"
 CLASSES = ("upper", "lower", "digit", "space", "mark", "symbol", "wide")
 
@@ -52,60 +59,72 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur at least twice in the text."""
     n = F.size(words)
-    hashes = F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), F.lit(1), F.greatest(n - 2, F.lit(0)))
+    at = lambda i: F.get(words, i.cast("int"))
+    # The place of a window takes the low bits of its hash, as many as the text needs.
+    low = F.length(F.bin(n)).cast("int")
+    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1)
+    key = lambda x: F.call_function("shiftright", x, low)
+    hashes = F.transform(F.slice(words, F.lit(1), n - 2), lambda w, i: F.call_function("shiftleft", key(F.xxhash64(w, at(i + 1), at(i + 2))), low).bitwiseOR(i.cast("long")))
+    differ = lambda x, y: (at(place(x)) != at(place(y))) | (at(place(x) + 1) != at(place(y) + 1)) | (at(place(x) + 2) != at(place(y) + 2))
 
     def covered(places: Column) -> Column:
-        steps = F.transform(places, lambda p, j: F.least(F.lit(3), p - F.coalesce(F.get(places, j - 1), p - 3)))
+        steps = F.transform(places, lambda p, j: F.least(F.lit(3).cast("long"), p - F.coalesce(F.get(places, j - 1), p - 3)))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, s: a + s)
 
-    def short(sorted_: Column) -> Column:  # hash bits above 14 bits of place
-        key = lambda x: F.shiftright(x, 14)
+    def by_hash(sorted_: Column) -> Column:
         twice = F.filter(sorted_, lambda x, j: F.coalesce(key(F.get(sorted_, j - 1)) == key(x), F.lit(False)) | F.coalesce(key(F.get(sorted_, j + 1)) == key(x), F.lit(False)))
-        return F.array_sort(F.transform(twice, lambda x: x.bitwiseAND(F.lit(16383).cast("long"))))
 
-    def long(sorted_: Column) -> Column:
-        twice = F.filter(sorted_, lambda x, j: F.coalesce(F.get(sorted_, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(sorted_, j + 1)["h"] == x["h"], F.lit(False)))
-        return F.array_sort(F.transform(twice, lambda x: x["i"].cast("long")))
+        def checked(twice: Column) -> Column:
+            clash = F.filter(twice, lambda x, j: F.coalesce((key(F.get(twice, j - 1)) == key(x)) & differ(x, F.get(twice, j - 1)), F.lit(False)))
+            return F.when(F.size(clash) == 0, _let(F.sort_array(F.transform(twice, place)), covered)).otherwise(by_words())
 
-    packed = F.array_sort(F.transform(hashes, lambda h, i: F.shiftleft(F.shiftright(h, 14), 14).bitwiseOR(i.cast("long"))))
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    places = F.when(n <= 16384, _let(packed, short)).otherwise(_let(pairs, long))
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(_let(places, covered))
+        return _let(twice, checked)
 
+    def by_words() -> Column:
+        windows = F.transform(F.slice(words, F.lit(1), n - 2), lambda w, i: F.struct(w.alias("a"), at(i + 1).alias("b"), at(i + 2).alias("c"), i.cast("long").alias("i")))
+        equal = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
 
-def common_words(docs: DataFrame) -> DataFrame:
-    """(lang, ref_words): the most common short words of each language and of all (lang null)."""
-    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).where("lang is not null")
-    langs = sizes.orderBy(F.desc("docs"), "lang").limit(MAX_LANGS)
-    counted = docs.select("lang", F.explode(F.filter(words_of(F.col("text")), lambda w: F.length(w) <= COMMON_LENGTH)).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    counted = keep(counted, "words")
-    per_lang = counted.join(F.broadcast(langs.select("lang")), "lang")
-    overall = counted.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "n")
+        def twice(sorted_: Column) -> Column:
+            return F.filter(sorted_, lambda x, j: F.coalesce(equal(F.get(sorted_, j - 1), x), F.lit(False)) | F.coalesce(equal(F.get(sorted_, j + 1), x), F.lit(False)))
+
+        return _let(F.sort_array(F.transform(_let(F.sort_array(windows), twice), lambda x: x["i"])), covered)
+
+    return F.when(n < 4, F.lit(0).cast("long")).otherwise(_let(F.sort_array(hashes), by_hash))
 
-    def top(rows: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-        return rows.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS)
 
-    best = overall.orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
-    both = top(per_lang).select("lang", "word", "n").unionByName(best)
-    lists = both.groupBy("lang").agg(F.array_sort(F.collect_list("word")).alias("ref_words"))
-    return keep(lists, "common")
+def common_words(docs: DataFrame) -> DataFrame:
+    """(lang, docs, ref_words): the rows of each language and its most common words."""
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    counted = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.desc("n"), "word"]
+    # Ranked in parts of a language first, so that no task gets the candidates of all tasks.
+    parts = counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(RANK_PARTS)))
+    first = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= COMMON_WORDS).drop("rank")
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= COMMON_WORDS)
+    lists = best.groupBy(F.col("lang").alias("__lang")).agg(F.array_sort(F.collect_list("word")).alias("ref_words"))
+    none = F.array().cast("array<string>")
+    return keep(sizes.join(lists, F.col("lang").eqNullSafe(F.col("__lang")), "left").select("lang", "docs", F.coalesce("ref_words", none).alias("ref_words")), "common")
+
+
+def _with_language(rows: DataFrame, langs: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``langs``, one row (lang, docs, ...) for every language of ``rows``."""
+    if langs.count() <= BROADCAST_LANGS:
+        side = langs.drop("docs").withColumnRenamed("lang", "__lang")
+        return rows.join(F.broadcast(side), F.col("lang").eqNullSafe(F.col("__lang"))).drop("__lang")
+    total = langs.agg(F.sum("docs")).first()[0] or 0
+    return attach(rows, langs, ["lang"], "docs", total).drop("docs")
 
 
 def measures(docs: DataFrame, common: DataFrame) -> DataFrame:
     """Per document: the base counts, and both histograms as arrays."""
-    rows = common.collect()  # at most MAX_LANGS + 1 lists of COMMON_WORDS words
-    every = next((list(r["ref_words"]) for r in rows if r["lang"] is None), [])
-    vocabulary = sorted({w for r in rows for w in r["ref_words"]})
-    own = F.broadcast(common.where("lang is not null").select(F.col("lang").alias("ref_lang"), "ref_words"))
-    docs = docs.join(own, F.col("lang") == F.col("ref_lang"), "left").select("doc_id", "ref_lang", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("ref_words", F.array(*map(F.lit, every)).cast("array<string>")).alias("ref_words"))
+    docs = _with_language(docs.withColumn("text", F.coalesce("text", F.lit(""))), common)
     docs = docs.withColumn("words", words_of(F.col("text")))
     count = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
     solid = F.length(F.array_join("words", ""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     docs = docs.select(
         "doc_id",
-        "ref_lang",
+        "lang",
         "ref_words",
         F.size("words").cast("long").alias("n_words"),
         solid.cast("long").alias("word_chars"),
@@ -115,33 +134,25 @@ def measures(docs: DataFrame, common: DataFrame) -> DataFrame:
         count("[A-Z]+").alias("upper"),
         count("[0-9]+").alias("digit"),
         count(r"[!-/:-@\[-`{-~]+").alias("marks"),
-        (F.length("text") - solid).alias("space"),
         (F.octet_length("text") - F.length("text")).alias("wide"),
         F.length("text").alias("chars"),
-        F.filter("words", lambda w: w.isin(vocabulary) if vocabulary else F.lit(False)).alias("found"),
+        F.filter("words", lambda w: F.array_contains(F.col("ref_words"), w)).alias("found"),
     )
-    mark = F.col("marks") - F.col("n_symbols")
-    lower = F.greatest(F.lit(0), F.col("chars") - F.col("upper") - F.col("digit") - F.col("marks") - F.col("space") - F.col("wide"))
-    histogram = F.array(*[x.cast("double") for x in (F.col("upper"), lower, F.col("digit"), F.col("space"), mark, F.col("n_symbols").cast("int"), F.col("wide"))])
+    mark, space = F.col("marks") - F.col("n_symbols"), F.col("chars") - F.col("word_chars")
+    lower = F.greatest(F.lit(0).cast("long"), F.col("word_chars") - F.col("upper") - F.col("digit") - F.col("marks") - F.col("wide"))
+    histogram = F.array(*[x.cast("double") for x in (F.col("upper"), lower, F.col("digit"), space, mark, F.col("n_symbols"), F.col("wide"))])
     hits = F.transform("ref_words", lambda r: (F.size("found") - F.size(F.array_remove("found", r))).cast("double"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return docs.select("doc_id", "ref_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), histogram.alias("chars"), hits.alias("hits")).withColumn(
-        "hits", F.concat("hits", F.array(F.col("n_words") - F.aggregate("hits", F.lit(0.0), lambda a, x: a + x)))
-    )
+    return docs.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), histogram.alias("chars"), hits.alias("hits"), (F.col("n_words") - F.size("found")).cast("double").alias("other")).select(
+        "*", F.concat("hits", F.array("other")).alias("words")
+    ).drop("hits", "other")
 
 
 def references(measured: DataFrame) -> DataFrame:
-    """(ref_lang, ref_chars, ref_hits): histograms pooled by language, and over all (null)."""
-    good = measured.where("not base_failed")
-
-    def pool(rows: DataFrame, by: list[str]) -> DataFrame:
-        sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in (("chars", len(CLASSES)), ("hits", COMMON_WORDS + 1)) for i in range(n)]
-        out = rows.groupBy(*by).agg(*sums)
-        fold = lambda c, n: F.array(*[F.coalesce(f"{c}{i}", F.lit(0.0)) for i in range(n)])
-        lang = F.col("ref_lang") if by else F.lit(None).cast("string")
-        return out.select(lang.alias("ref_lang"), fold("chars", len(CLASSES)).alias("ref_chars"), fold("hits", COMMON_WORDS + 1).alias("ref_hits"))
-
-    return pool(good.where("ref_lang is not null"), ["ref_lang"]).unionByName(pool(good.where("ref_lang is null"), []))
+    """(lang, docs, ref_chars, ref_hits): the histograms of good documents pooled by language; empty ones where none is good."""
+    sums = [F.sum(F.when(~F.col("base_failed"), F.get(c, F.lit(i)))).alias(f"{c}{i}") for c, n in (("chars", len(CLASSES)), ("words", COMMON_WORDS + 1)) for i in range(n)]
+    fold = lambda c, n: F.array(*[F.coalesce(f"{c}{i}", F.lit(0.0)) for i in range(n)])
+    return measured.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *sums).select("lang", "docs", fold("chars", len(CLASSES)).alias("ref_chars"), fold("words", COMMON_WORDS + 1).alias("ref_hits"))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -157,12 +168,10 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
     """One row per document: the base counts, both distances, base_failed and kept."""
     plain = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     measured = keep(measures(plain, common_words(plain)), "measures")
-    ref = keep(references(measured), "references").withColumnRenamed("ref_lang", "__lang")
-    joined = measured.join(F.broadcast(ref), F.col("ref_lang").eqNullSafe(F.col("__lang")), "left")
-    joined = joined.withColumn("char_distance", distance(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", distance(F.col("hits"), F.col("ref_hits")))
-    odd_chars = (F.col("n_words") >= CHAR_MIN_WORDS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)
-    odd_words = (F.col("n_words") >= WORD_MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", (~F.col("base_failed") & ~odd_chars & ~odd_words).alias("kept"))
+    joined = _with_language(measured, keep(references(measured), "references"))
+    joined = joined.withColumn("char_distance", distance(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", distance(F.col("words"), F.col("ref_hits")))
+    odd = (F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > WORD_DISTANCE + WORD_NOISE / F.sqrt(F.col("n_words")))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", (~F.col("base_failed") & ~((F.col("n_words") >= TEST_MIN_WORDS) & odd)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:

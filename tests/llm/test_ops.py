@@ -259,6 +259,30 @@ def test_exact_dedup_with_a_full_filter(docs, monkeypatch):
     assert exact_dedup.drop_duplicates(docs).count() == len({re.sub(SPACE + "+", " ", t or "") for _, t in DOCS})
 
 
+def test_exact_dedup_keeps_one_row_of_every_group(spark):
+    table = [(None, "a  b"), (None, "a b"), (None, "a\tb"), (4, "c"), (4, "c"), (9, "c"), (None, "c"), (5, "d"), (None, "e")]
+    table += [(100 + k, "hot copy") for k in range(2500)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    got = collections.defaultdict(list)
+    for r in exact_dedup.duplicate_groups(docs).collect():
+        got[r.text_sha256].append(r)
+    want = {"a b": (None, 3), "c": (4, 4), "d": (5, 1), "e": (None, 1), "hot copy": (100, 2500)}
+    for text, (keep_id, size) in want.items():
+        mine = got.pop(hashlib.sha256(text.encode()).hexdigest())
+        assert len(mine) == size and {(r.keep_id, r.group_size) for r in mine} == {(keep_id, size)}
+        assert [r.doc_id for r in mine if r.kept] == [keep_id]
+    assert not got
+    assert sorted(str(r.doc_id) for r in exact_dedup.drop_duplicates(docs).collect()) == sorted(map(str, (None, None, 4, 5, 100)))
+
+
+def test_only_possible_repeats_leave_their_task(spark):
+    """Of unique rows only two-byte places move: no exchange but that of the filter carries rows."""
+    docs = spark.createDataFrame([(k, f"text number {k}") for k in range(3000)], "doc_id long, text string").repartition(3)
+    prints = exact_dedup._prints(docs, "text", "doc_id")
+    maps, bits = exact_dedup.repeated_filter(prints)
+    assert exact_dedup.with_maybe(prints, maps, bits).where("maybe").count() <= 60
+
+
 def brute_components(documents):
     sets = {}
     for i, t in documents:
@@ -390,6 +414,47 @@ def test_quality_rules(spark, docs):
     assert left == {i for i, r in verdict.items() if r.kept}
 
 
+def brute_word_verdicts(table):
+    """Word distances of documents that pass the base rules, language by language."""
+    out, by = {}, collections.defaultdict(list)
+    for i, t, lang in table:
+        by[lang].append((i, words(t or ""), not brute_rules(t or "")[5]))
+    for group in by.values():
+        counts = collections.Counter(w for _, ws, _ in group for w in ws)
+        common = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON_WORDS]]
+        hist = {i: np.array([*(ws.count(c) for c in common), sum(w not in common for w in ws)], float) for i, ws, _ in group}
+        pool = sum(hist[i] for i, _, good in group if good)
+        for i, ws, good in group:
+            p, q = hist[i] / hist[i].sum(), pool / pool.sum()
+            kl = lambda x: sum(v * np.log2(2 * v / (a + b)) for v, a, b in zip(x, p, q, strict=True) if v)  # noqa: E731, B023
+            out[i] = np.sqrt((kl(p) + kl(q)) / 2)
+    return out
+
+
+def test_word_rule_with_more_languages_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "BROADCAST_LANGS", 3)
+    r = random.Random(8)
+    speak = lambda k: " ".join(r.choices([f"{w}{k}" for w in ("commonplace", "of", "the", "understanding", "and", *(f"x{j}" for j in range(200)))], weights=[40, 60, 70, 30, 50] + [1] * 200, k=100 + 9 * k))
+    table = [(10 * k + j, speak(k), f"l{k}" if k else None) for k in range(6) for j in range(8)]
+    table += [(900 + k, " ".join(f"none{j}" for j in range(120)), f"l{k}" if k else None) for k in range(6)]
+    got = rows(quality_rules.judge(spark.createDataFrame(table, "doc_id long, text string, lang string")))
+    want = brute_word_verdicts(table)
+    for i, d in want.items():
+        assert got[i].word_distance == pytest.approx(d, abs=1e-9)
+        assert got[i].kept == (got[i].char_distance <= quality_rules.MAX_CHAR_DISTANCE and d <= 0.1 + 2.2 / np.sqrt(got[i].n_words) and not got[i].base_failed)
+    assert all(got[i].kept for i in want if i < 900) and not any(got[i].kept for i in want if i >= 900)
+
+
+def test_windows_of_equal_hash_are_compared(spark, monkeypatch):
+    texts = ["a b c d a b c", "a b c a b d a b c", "x " * 9, "one two three four", "a b", "a b c"]
+    real = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(7).cast("long"))  # every window has the same hash
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", quality_rules.words_of(F.col("text")).alias("w"))
+    got = rows(table.select("doc_id", quality_rules.repeated_words(F.col("w")).alias("n")))
+    monkeypatch.setattr(F, "xxhash64", real)
+    assert [got[i].n for i in range(len(texts))] == [brute_rules(t)[4] for t in texts]
+
+
 def test_jensen_shannon_distance(spark):
     p, q = [3.0, 1.0, 0.0], [0.0, 1.0, 3.0]
     a, b = np.array(p) / 4, np.array(q) / 4
