@@ -11,15 +11,15 @@ slots empty; no row is dropped or repeated.
 The weights are those given, as integers of ``SCALE``; releases and deadlines are
 exact integers.  With a ``period`` they are rounded to shares of at least 1 of that many
 slots instead.  Every source has its own weight.  The driver orders the blocks, from
-one number for each source, and writes ``SLOTS_AT_ONCE`` of them at a time; rows are
-only touched by DataFrame operations.
+one number for each source, and writes ``SLOTS_AT_ONCE`` of them at a time; blocks have
+``BLOCK_ROWS`` rows, or as many more as keep them at ``MAX_BLOCKS``, so this work has a
+bound.  Rows are only touched by DataFrame operations, and texts only hashed.
 
 Defined cases: a null source is a source of its own; a source that ``weights`` do not
-name, or give nothing, comes after the last slot of the others (equal weights);
-rows without or with repeated ``doc_id``
-are ordered by a hash of the whole row's id and text; an empty table gives no rows;
-other columns pass
-through, but for those whose names begin with ``mix_``, which are replaced.
+name, or give nothing, comes after the last slot of the others (equal weights); rows
+without or with repeated ``doc_id`` are ordered by hashes of id and text, and rows equal
+in both stand in any order; an empty table gives no rows; other columns pass through,
+but for those whose names begin with ``mix_``, which are replaced.
 """
 
 from __future__ import annotations
@@ -36,9 +36,10 @@ from folio.session import fresh_path, keep
 
 #: The sum of all weights as integers.
 SCALE = 1 << 52
-BLOCK_ROWS = 64
+#: Rows of a block, and blocks (besides one for each source) that the driver orders at most.
+BLOCK_ROWS, MAX_BLOCKS = 64, 1 << 22
 #: Rows numbered by one task, about.
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 #: Blocks the driver holds before it writes them.
 SLOTS_AT_ONCE = 1 << 18
 
@@ -109,7 +110,7 @@ def _planned(streams: DataFrame, block: int, period: int | None) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", text: str = "text", block: int = BLOCK_ROWS, period: int | None = None, alpha: float = 0.5) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", text: str = "text", block: int | None = None, period: int | None = None, alpha: float = 0.5) -> DataFrame:
     """``docs`` plus mix_stream, mix_share, mix_weight, mix_block, mix_release, mix_deadline, mix_slot and mix_position (unique, in mixed order).
 
     Without ``weights`` a source of n rows weighs n**alpha.
@@ -117,13 +118,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     total = docs.count()
+    block = block or max(BLOCK_ROWS, -(-total // MAX_BLOCKS))
+    own = "mix__"  # no column of ``docs`` begins like this
 
     # Number the rows of each source without gathering a source in one task: by ranges of a hash.
     ranges = max(1, -(-total // RANGE_ROWS))
-    h = F.xxhash64(F.col(f"`{key}`"), F.lit(7))
-    rows = docs.withColumn("mix_stream", F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit("null"))).withColumn("__hash", h)
-    rows = rows.withColumn("__range", F.floor((F.shiftright("__hash", 33) + F.lit(1 << 30)) * F.lit(ranges) / F.lit(1 << 31)).cast("int"))
-    sizes = keep(rows.groupBy("mix_stream", "__range").count(), "ranges")
+    hashes = [F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit(seed)) for seed in (7, 11)]
+    rows = docs.withColumn("mix_stream", F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit("null"))).withColumn(f"{own}hash", hashes[0]).withColumn(f"{own}next", hashes[1])
+    rows = rows.withColumn(f"{own}range", F.floor((F.shiftright(f"{own}hash", 33) + F.lit(1 << 30)) * F.lit(ranges) / F.lit(1 << 31)).cast("int"))
+    sizes = keep(rows.groupBy("mix_stream", F.col(f"{own}range").alias("range")).count(), "ranges")
 
     streams = sizes.groupBy("mix_stream").agg(F.sum("count").alias("n"))
     if weights is None:
@@ -135,27 +138,28 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     plan = _planned(streams, block, period)
 
     # A range of a source holds consecutive blocks: their slots go with the range, so that no text shuffles again.
-    before = Window.partitionBy("mix_stream").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("__start", F.coalesce(F.sum("count").over(before), F.lit(0))).join(streams.select("mix_stream", "id"), "mix_stream")
-    first, last = F.floor(F.col("__start") / block), F.floor((F.col("__start") + F.col("count") - 1) / block)
+    before = Window.partitionBy("mix_stream").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).join(streams.select("mix_stream", "id"), "mix_stream")
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("count") - 1) / block)
     planned = starts.withColumn("mix_block", F.explode(F.sequence(first, last))).join(plan, ["id", "mix_block"])
     slots = F.array_sort(F.collect_list(F.struct("mix_block", "release", "deadline", "slot")))
-    starts = keep(planned.groupBy("mix_stream", "__range", "__start").agg(F.first("share").alias("mix_share"), F.first("weight").alias("mix_weight"), slots.alias("__slots")), "starts")
-
-    inner = F.row_number().over(Window.partitionBy("mix_stream", "__range").orderBy("__hash", F.col(f"`{key}`"), F.col(f"`{text}`"))) - 1
-    rows = rows.withColumn("__inner", inner).join(starts, ["mix_stream", "__range"]).withColumn("__rank", F.col("__start") + F.col("__inner"))
-    rows = rows.withColumn("mix_block", F.floor(F.col("__rank") / block).cast("long"))
-    rows = rows.withColumn("__slot", F.get("__slots", (F.col("mix_block") - F.floor(F.col("__start") / block)).cast("int")))
-    return rows.select(
+    starts = planned.groupBy("mix_stream", F.col("range").alias(f"{own}range"), F.col("start").alias(f"{own}start")).agg(F.first("share").alias("mix_share"), F.first("weight").alias("mix_weight"), slots.alias(f"{own}slots"))
+    starts = keep(starts, "starts")
+
+    inner = F.row_number().over(Window.partitionBy("mix_stream", f"{own}range").orderBy(f"{own}hash", f"{own}next")) - 1
+    rows = rows.withColumn(f"{own}inner", inner).join(starts, ["mix_stream", f"{own}range"]).withColumn(f"{own}rank", F.col(f"{own}start") + F.col(f"{own}inner"))
+    rows = rows.withColumn("mix_block", F.floor(F.col(f"{own}rank") / block).cast("long"))
+    slot = F.get(f"{own}slots", (F.col("mix_block") - F.floor(F.col(f"{own}start") / block)).cast("int"))
+    return rows.withColumn(f"{own}slot", slot).select(
         *[F.col(f"`{c}`") for c in docs.columns],
         "mix_stream",
         "mix_share",
         "mix_weight",
         "mix_block",
-        F.col("__slot.release").alias("mix_release"),
-        F.col("__slot.deadline").alias("mix_deadline"),
-        F.col("__slot.slot").alias("mix_slot"),
-        (F.col("__slot.slot") * block + F.pmod("__rank", F.lit(block))).cast("long").alias("mix_position"),
+        F.col(f"{own}slot.release").alias("mix_release"),
+        F.col(f"{own}slot.deadline").alias("mix_deadline"),
+        F.col(f"{own}slot.slot").alias("mix_slot"),
+        (F.col(f"{own}slot.slot") * block + F.pmod(F.col(f"{own}rank"), F.lit(block))).cast("long").alias("mix_position"),
     )
 
 

@@ -557,6 +557,33 @@ def test_lm_scores(docs, order, max_broadcast):
         assert (r.base_score, r.score) == pytest.approx(w[4:], rel=1e-9)
 
 
+def brute_schedule(counts, weights, block):
+    """Slot by slot: of the sources whose next block is released, the one whose deadline is earliest."""
+    total, had, t, out = sum(weights.values()), dict.fromkeys(counts, 0), 0, {}
+    while any(had[s] * block < n for s, n in counts.items()):
+        free = [s for s, n in counts.items() if had[s] * block < n and had[s] * total <= t * weights[s]]
+        if free:
+            s = min(free, key=lambda s: (-(-(had[s] + 1) * total // weights[s]), -counts[s], s))
+            out[t] = (s, had[s])
+            had[s] += 1
+        t += 1
+    return out
+
+
+def test_mixing_is_the_schedule_slot_by_slot(spark):
+    counts, weights = {"a": 90, "b": 61, "c": 40, "d": 7}, {"a": 8, "b": 4, "c": 3, "d": 1}  # a sixteenth each: exact
+    table = spark.createDataFrame([(k, s, f"{s}{k % 5}", "mine", "mine") for s, n in counts.items() for k in range(n)], "doc_id long, source string, text string, __hash string, mix_slot string").repartition(4)
+    mixed = mixing.mix(table, weights, block=4).collect()
+    assert {r.mix_slot: (r.source, r.mix_block) for r in mixed} == brute_schedule(counts, weights, 4)
+    assert len({r.mix_position for r in mixed}) == sum(counts.values()) and all(r["__hash"] == "mine" for r in mixed)
+
+
+def test_blocks_grow_so_that_the_driver_orders_a_bounded_number(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 5)
+    mixed = mixing.mix(spark.createDataFrame([(None, "t" * (k % 9), f"s{k % 2}") for k in range(1000)], "doc_id long, text string, source string")).collect()
+    assert len({(r.source, r.mix_block) for r in mixed}) <= 5 + 2 and len({r.mix_position for r in mixed}) == 1000
+
+
 def test_lm_scores_at_production_size_of_the_filter(docs):
     want, got = brute_scores(DOCS), rows(lm_scoring.score(docs))
     apart = [abs(got[i].score - w[5]) / w[1] for i, w in want.items()]
