@@ -19,8 +19,10 @@
 5.  Components over verified links, and copies of a set by its signature.  A document's
     ``n_links`` are the copies of its set and the documents of all linked sets.
 
-Large groups: a frequent shingle's run and a block are split into parts of bounded
-size, and each pair of parts meets in a task of its own, so memory is bounded.
+Large groups: the entries of step 2 are counted by bucket and, in buckets with more than
+their share, by shingle, over all texts.  A run of more than ``PART`` sets and a block of
+more than ``BLOCK_PART`` documents are split into parts of that size, and each pair of
+parts meets in a task of its own, so memory is bounded.
 
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing;
 fewer than five words are one shingle; rows that repeat a ``doc_id`` are
@@ -49,6 +51,8 @@ WORDS, GROUPS, MOST_GROUPS = 5, 64, 1 << 16
 NUM, DEN = 3, 4
 #: Frequent shingles kept for the order; runs whose pairs are listed; sets in a part of a split run; documents in a part of a split block.
 FREQUENT, SMALL_RUN, PART, BLOCK_PART = 1 << 16, 8, 8192, 4096
+#: A bucket is heavy with so many times its share of the entries.
+HEAVY = 4
 _FULL = 255
 _ENTRY = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("place", "<u4")])
 
@@ -135,22 +139,31 @@ def shared_prefixes(docs: DataFrame, frequent: list, buckets: int) -> DataFrame:
     by_hash = np.argsort(hot)
     rank = np.empty(len(hot), np.uint64)
     rank[np.argsort(count, kind="stable")] = np.arange(len(hot), dtype=np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast((hot[by_hash], rank[by_hash], -(-count[by_hash] // PART)))  # FREQUENT entries
+    shared = docs.sparkSession.sparkContext.broadcast((hot[by_hash], rank[by_hash]))  # FREQUENT entries
+    names = ["bucket", "entries", "data"]
+    schema = "bucket long, entries long, data binary"
+
+    def packed(e: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+        by = np.argsort(bucket, kind="stable")
+        bucket, raw = bucket[by], e[by].tobytes()
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        ends = np.append(cut, len(bucket))
+        at = (_ENTRY.itemsize * ends).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(np.diff(ends)), pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], names)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, rank, parts = shared.value
+        hot, rank = shared.value
         for batch in batches:
             for _, buf, offsets in _chunked_text(batch):
                 rows = len(offsets) - 1
                 grams, row = shingle_sets(buf, offsets)
                 sig, _ = _signature(grams, row, rows)
                 n = np.bincount(row, minlength=rows)
-                order, split = grams >> np.uint64(1), np.ones(len(grams), np.int64)
+                order = grams >> np.uint64(1)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
                     is_hot = hot[at] == grams
                     order = np.where(is_hot, np.uint64(1 << 63) + rank[at], order)
-                    split = np.where(is_hot, parts[at], 1)
                 by_order = np.argsort(order)
                 by_order = by_order[np.argsort(row[by_order].astype(np.uint16 if rows <= 65536 else np.int64), kind="stable")]
                 place = np.arange(len(grams)) - np.searchsorted(row, row)
@@ -159,23 +172,22 @@ def shared_prefixes(docs: DataFrame, frequent: list, buckets: int) -> DataFrame:
                 take = by_order[(place < length[row]) & np.isin(row, once)]
                 e = np.empty(len(take), _ENTRY)
                 e["key"], e["sig"], e["n"], e["place"] = grams[take], sig[row[take]], n[row[take]], place[(place < length[row]) & np.isin(row, once)]
-                split = split[take]
-                if (split > 1).any():  # a frequent shingle: part i of its sets meets each part j
-                    base = np.repeat(np.arange(len(e)), split)
-                    j = np.arange(len(base)) - np.repeat(np.cumsum(split) - split, split)
-                    i = (e["sig"].view(np.uint64)[base] % split[base].astype(np.uint64)).astype(np.int64)
-                    pair = (np.minimum(i, j) << 32 | np.maximum(i, j)).astype(np.uint64)
-                    many = split[base] > 1
-                    e = e[base]
-                    e["key"] = np.where(many, B.mix(e["key"] ^ B.mix(pair + np.uint64(1))), e["key"])
-                bucket = (e["key"] % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(bucket.astype(np.uint16 if buckets <= 65536 else np.int64), kind="stable")
-                bucket, raw = bucket[by], e[by].tobytes()
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-                ends = [_ENTRY.itemsize * x for x in [*cut.tolist(), len(bucket)]]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["bucket", "data"])
-
-    def runs(table: pa.Table) -> pa.Table:
+                yield packed(e, (e["key"] % np.uint64(buckets)).astype(np.int64))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                e = np.frombuffer(data.as_buffer(), _ENTRY)
+                yield pa.RecordBatch.from_arrays([pa.array(e["key"].astype(np.int64)), pa.array(e["sig"].copy()), pa.array(e["n"].astype(np.int64)), pa.array(e["place"].astype(np.int64))], ["key", "sig", "n", "place"])
+
+    def repack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = np.empty(batch.num_rows, _ENTRY)
+            for c in _ENTRY.names:
+                e[c] = batch.column(c).to_numpy().astype(_ENTRY[c])
+            yield packed(e, batch.column("bucket").to_numpy())
+
+    def runs(table: pa.Table, dealt: bool = False) -> pa.Table:
         e = np.frombuffer(b"".join(table.column("data").to_pylist()), _ENTRY)
         e = e[np.lexsort((e["sig"], e["key"]))]
         new = np.ones(len(e), bool)
@@ -201,12 +213,38 @@ def shared_prefixes(docs: DataFrame, frequent: list, buckets: int) -> DataFrame:
         chosen[one] = True
         chosen &= size > SMALL_RUN
         member = np.repeat(chosen, size)
-        long, none = np.repeat(total, size)[member].view(np.int64), np.zeros(len(pairs), np.int64)
+        long, own = np.repeat(total, size)[member], sig[member]
+        # A run of several parts: each pair of parts is a run of its own.  (Those dealt below have two parts at most.)
+        parts = np.repeat(-(-size // (2 * PART)) * 2 - 1 if not dealt else np.ones(len(size), np.int64), size)[member]
+        if (parts > 1).any():
+            base = np.repeat(np.arange(len(own)), parts)
+            j = np.arange(len(base)) - np.repeat(np.cumsum(parts) - parts, parts)
+            i = (B.mix(own.view(np.uint64))[base] % parts[base].astype(np.uint64)).astype(np.int64)
+            pair = (np.minimum(i, j) << 32 | np.maximum(i, j)).astype(np.uint64)
+            long, own = np.where(parts[base] > 1, B.mix(long[base] ^ B.mix(pair + np.uint64(1))), long[base]), own[base]
+        none, long = np.zeros(len(pairs), np.int64), long.view(np.int64)
         empty = np.arange(len(pairs) + len(long)) < len(pairs)
-        return pa.table({"run": pa.array(np.append(none, long), mask=empty), "a": np.append(pairs[:, 0], sig[member]), "b": pa.array(np.append(pairs[:, 1], np.zeros(len(long), np.int64)), mask=~empty)})
-
-    packed = docs.select("doc_id", "text").mapInArrow(send, "bucket long, data binary")
-    return keep(packed.groupBy("bucket").applyInArrow(runs, "run long, a long, b long"), "runs")
+        return pa.table({"run": pa.array(np.append(none, long), mask=empty), "a": np.append(pairs[:, 0], own), "b": pa.array(np.append(pairs[:, 1], np.zeros(len(long), np.int64)), mask=~empty)})
+
+    found = "run long, a long, b long"
+    sent = keep(docs.select("doc_id", "text").mapInArrow(send, schema), "prefixes")
+    loads = keep(sent.groupBy("bucket").agg(F.sum("entries").alias("load")), "loads")
+    total = loads.agg(F.sum("load")).first()[0] or 0
+    heavy = loads.where(F.col("load") > max(HEAVY * total // buckets, 4 * PART)).select(F.col("bucket").alias("__heavy"))
+    light = sent.join(heavy, F.col("bucket") == F.col("__heavy"), "left_anti").groupBy("bucket").applyInArrow(lambda t: runs(t), found)
+    if heavy.isEmpty():
+        return keep(light, "runs")
+    # Heavy buckets: every frequent shingle is counted, and its sets are dealt in pairs of parts.
+    rows = keep(sent.join(heavy, F.col("bucket") == F.col("__heavy"), "left_semi").mapInArrow(unpack, "key long, sig long, n long, place long"), "heavy")
+    often = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PART).select(F.col("key").alias("__key"), F.ceil(F.col("c") / PART).cast("int").alias("parts")), "often")
+    n_often = often.count()
+    dealt = rows.join(F.broadcast(often) if n_often <= FREQUENT else often, F.col("key") == F.col("__key"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    i, j = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"), F.col("j")
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("key", F.when(F.col("parts") > 1, F.xxhash64("key", F.least(i, j), F.greatest(i, j))).otherwise(F.col("key")))
+    groups = max(64, rows.count() // 500_000 + n_often)
+    dealt = dealt.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("bucket"), "key", "sig", "n", "place").mapInArrow(repack, schema)
+    return keep(light.unionByName(dealt.groupBy("bucket").applyInArrow(lambda t: runs(t, True), found)), "runs")
 
 
 def _stack(vectors: list[bytes], groups: int) -> np.ndarray:
@@ -323,7 +361,8 @@ def surviving_pairs(runs: DataFrame, nodes: DataFrame) -> DataFrame:
         return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     long = runs.where("run is not null").select("run", F.col("a").alias("sig")).distinct().join(nodes, "sig").select("run", "node", "n", "vec")
-    long = long.groupBy(F.pmod(F.xxhash64("run"), F.lit(4096)).alias("g")).applyInArrow(spanned, "a long, b long")
+    groups = max(512, runs.where("run is not null").count() // 20_000)
+    long = long.groupBy(F.pmod(F.xxhash64("run"), F.lit(groups)).alias("g")).applyInArrow(spanned, "a long, b long")
     return keep(short.unionByName(long).distinct(), "survivors")
 
 
