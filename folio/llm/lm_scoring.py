@@ -44,8 +44,8 @@ END, START = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 ORDER, BASE, TYPES = 3, 1.5, 0.75
 #: Filter bits for an entry, and how many of a 64-bit word an entry sets.
 ENTRY_BITS, PROBES = 12, 4
-#: Largest model that is broadcast.
-MAX_BROADCAST = 384 << 20
+#: Largest model that is broadcast, and the bytes of one broadcast.
+MAX_BROADCAST, BROADCAST_PART = 384 << 20, 48 << 20
 TRAIN_CHUNK = 4 << 20
 _SHARD_BYTES = 2 << 20
 #: Above the level of any 64-bit count.
@@ -130,9 +130,10 @@ def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Model(NamedTuple):
-    """A range of shards from ``low`` on."""
+    """The shards from ``low`` to ``high`` (exclusive) of a model."""
 
     low: int
+    high: int
     bits: int
     known: np.ndarray
     counts: np.ndarray
@@ -140,29 +141,42 @@ class Model(NamedTuple):
     size: np.ndarray
     words: np.ndarray
 
-    def count_of(self, tokens: np.ndarray) -> np.ndarray:
-        """Exact counts of token hashes."""
-        if not len(self.known):
-            return np.zeros(len(tokens), np.int64)
-        uniq, inverse = np.unique(tokens, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, uniq), len(self.known) - 1)
-        return np.where(self.known[at] == uniq, self.counts[at], 0).astype(np.int64)[inverse]
-
-    def level_of(self, grams: np.ndarray) -> np.ndarray:
-        """Levels of n-gram hashes by repeated probes; 0 where even level 1 is missing."""
-        grams = _cut_hash(grams, self.bits)
-        level = np.zeros(len(grams), np.uint8)
-        shard = (grams >> np.uint64(64 - self.bits)).astype(np.int64) - self.low
-        live = np.flatnonzero(grams != 0)
-        live = live[self.size[shard[live]] > 0]
+    def _own(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shard = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        own = np.flatnonzero((shard >= self.low) & (shard < self.high))
+        return own, shard[own] - self.low
+
+    def count_of(self, tokens: np.ndarray, out: np.ndarray) -> None:
+        """Fill in the exact counts of the token hashes that belong here."""
+        own, _ = self._own(tokens)
+        if len(own) and len(self.known):
+            uniq, inverse = np.unique(tokens[own], return_inverse=True)
+            at = np.minimum(np.searchsorted(self.known, uniq), len(self.known) - 1)
+            out[own] = np.where(self.known[at] == uniq, self.counts[at], 0).astype(np.int64)[inverse]
+
+    def level_of(self, grams: np.ndarray, out: np.ndarray) -> None:
+        """Fill in the levels of the n-gram hashes that belong here, by repeated probes; 0 where even level 1 is missing."""
+        live, s = self._own(grams)
+        ok = (grams[live] != 0) & (self.size[s] > 0)
+        live, s = live[ok], s[ok]
         for k in range(1, _MAX_LEVEL + 1):
             if not len(live):
                 break
-            s = shard[live]
             word, mask = _places(grams[live], k, self.first[s], self.size[s])
-            live = live[self.words[word] & mask == mask]
-            level[live] = k
-        return level
+            ok = self.words[word] & mask == mask
+            live, s = live[ok], s[ok]
+            out[live] = k
+
+
+def look_up(parts: list[Model], tokens: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Counts of tokens and levels of n-grams."""
+    c, levels = np.zeros(len(tokens), np.int64), [np.zeros(len(g), np.uint8) for g in grams]
+    grams = [_cut_hash(g, parts[0].bits) for g in grams]
+    for m in parts:
+        m.count_of(tokens, c)
+        for g, out in zip(grams, levels, strict=True):
+            m.level_of(g, out)
+    return c, levels
 
 
 def _by_shard(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[int]]:
@@ -245,11 +259,12 @@ class _Once:
 
 
 class Shared:
-    """A whole model in one flat array that is broadcast; the workers of an executor map its file."""
+    """A range of shards in one flat array that is broadcast; the workers of an executor map its file."""
 
-    def __init__(self, model: DataFrame, bits: int):
-        shards, info = 1 << bits, model.agg(F.sum("types"), F.sum("words"), F.max("most")).first()
-        self.bits, self.layout = bits, _layout(shards, info[0] or 0, info[1] or 0, (info[2] or 0) >= 1 << 32)
+    def __init__(self, model: DataFrame, bits: int, low: int, sizes: np.ndarray):
+        types, size = sizes[:, 0], sizes[:, 1]
+        self.low, self.high, self.bits = low, low + len(sizes), bits
+        self.layout = _layout(len(sizes), int(types.sum()), int(size.sum()), int(sizes[:, 2].max(initial=0)) >= 1 << 32)
         # Where the array begins in the pickled file, so that the numbers after the mark are aligned there.
         mark = np.frombuffer(_MAGIC * (1 << 16), np.uint8).copy()
         begins = pickle.dumps(_Once(mark), pickle.HIGHEST_PROTOCOL).find(_MAGIC)
@@ -257,24 +272,32 @@ class Shared:
         flat = np.zeros(max(1 << 20, self.at + sum(n * np.dtype(k).itemsize for k, n in self.layout)), np.uint8)
         flat[:16] = np.frombuffer(_MAGIC, np.uint8)
         self.size = len(flat)
-        known, first, size, words, counts = _views(flat, self.at, self.layout)
-        types = np.zeros(shards, np.int64)
-        for r in model.select("shard", "types", "words").toLocalIterator():
-            types[r[0]], size[r[0]] = r[1], r[2]
+        known, first, size_, words, counts = _views(flat, self.at, self.layout)
+        size_[:] = size
         first[:] = np.cumsum(size) - size
         at = np.cumsum(types) - types
-        for r in model.select("shard", "known", "counts", "filter").toLocalIterator():
-            k = r["shard"]
+        for r in model.where((F.col("shard") >= low) & (F.col("shard") < self.high)).select("shard", "known", "counts", "filter").toLocalIterator():
+            k = r["shard"] - low
             known[at[k] : at[k] + types[k]] = np.frombuffer(r["known"], np.uint64)
             counts[at[k] : at[k] + types[k]] = np.frombuffer(r["counts"], "<i8")
-            words[int(first[k]) : int(first[k] + size[k])] = np.frombuffer(r["filter"], np.uint64)
+            words[int(first[k]) : int(first[k] + size_[k])] = np.frombuffer(r["filter"], np.uint64)
         once = _Once(flat)
-        del flat, known, first, size, words, counts
+        del flat, known, first, size_, words, counts
         self.broadcast = model.sparkSession.sparkContext.broadcast(once)
 
     def model(self) -> Model:
         known, first, size, words, counts = _views(_mapped(self.broadcast, self.size), self.at, self.layout)
-        return Model(0, self.bits, known, counts, first, size, words)
+        return Model(self.low, self.high, self.bits, known, counts, first, size, words)
+
+
+def share(model: DataFrame, bits: int, part: int = BROADCAST_PART) -> list[Shared]:
+    """The whole model as broadcasts of about ``part`` bytes each, so that the driver holds no more at once."""
+    sizes = np.zeros((1 << bits, 3), np.int64)
+    for r in model.select("shard", "types", "words", "most").toLocalIterator():
+        sizes[r[0]] = r[1:]
+    number = np.cumsum(12 * sizes[:, 0] + 8 * sizes[:, 1]) // part
+    cut = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), 1 << bits]
+    return [Shared(model, bits, a, sizes[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
 
 def _mapped(shared: Broadcast, size: int) -> np.ndarray:
@@ -327,14 +350,14 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", max_broadcas
 
     if (total["bytes"] or 0) > max_broadcast:
         return _score_in_shards(rows, model, bits, order, finish, schema)
-    shared = Shared(model, bits)
+    shared = share(model, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = shared.model()
+        parts = [x.model() for x in shared]
         for batch in batches:
             for part, buf, offsets in B.chunks(batch, "text"):
                 tokens, off, grams = sequences(buf, offsets, order)
-                yield finish(part, off, whole.count_of(tokens), [whole.level_of(g) for g in grams])
+                yield finish(part, off, *look_up(parts, tokens, grams))
 
     return rows.mapInArrow(run, schema)
 
@@ -372,8 +395,11 @@ def _score_in_shards(rows: DataFrame, model: DataFrame, bits: int, order: int, f
         shard = asked.column("shard")[0].as_py()
         blob = lambda c, kind: np.frombuffer(own.column(c)[0].as_py() if own.num_rows else b"", kind)
         filter_ = blob("filter", np.uint64)
-        part = Model(shard, bits, blob("known", np.uint64), blob("counts", "<i8"), np.zeros(1, np.uint64), np.array([len(filter_)], np.uint64), filter_)
-        data = [part.count_of(np.frombuffer(raw, np.uint64)).tobytes() if kind == 1 else part.level_of(_unpack_keys(raw, shard, bits)).tobytes() for kind, raw in zip(asked.column("kind").to_pylist(), asked.column("keys").to_pylist(), strict=True)]
+        part = Model(shard, shard + 1, bits, blob("known", np.uint64), blob("counts", "<i8"), np.zeros(1, np.uint64), np.array([len(filter_)], np.uint64), filter_)
+        none, data = np.zeros(0, np.uint64), []
+        for kind, raw in zip(asked.column("kind").to_pylist(), asked.column("keys").to_pylist(), strict=True):
+            c, level = look_up([part], np.frombuffer(raw, np.uint64) if kind == 1 else none, [none if kind == 1 else _unpack_keys(raw, shard, bits)])
+            data.append((c if kind == 1 else level[0]).tobytes())
         return pa.table({"chunk": asked.column("chunk"), "kind": asked.column("kind"), "shard": asked.column("shard"), "data": pa.array(data, pa.binary())})
 
     def place(table: pa.Table, answers: pa.Table) -> pa.Table:

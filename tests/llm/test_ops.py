@@ -431,8 +431,10 @@ def brute_word_verdicts(table):
     return out
 
 
-def test_word_rule_with_more_languages_than_are_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "BROADCAST_LANGS", 3)
+@pytest.mark.parametrize("langs", [3, 1000])
+def test_word_rule_with_many_languages(spark, monkeypatch, langs):
+    monkeypatch.setattr(quality_rules, "BROADCAST_LANGS", langs)
+    monkeypatch.setattr(quality_rules, "LITERAL_LANGS", langs)
     r = random.Random(8)
     speak = lambda k: " ".join(r.choices([f"{w}{k}" for w in ("commonplace", "of", "the", "understanding", "and", *(f"x{j}" for j in range(200)))], weights=[40, 60, 70, 30, 50] + [1] * 200, k=100 + 9 * k))
     table = [(10 * k + j, speak(k), f"l{k}" if k else None) for k in range(6) for j in range(8)]
@@ -595,12 +597,14 @@ def test_lm_scores_at_production_size_of_the_filter(docs):
 def test_log_frequency_filter(spark):
     lines = ["x y " * 40, "p q", "p q", "r s"]
     model, bits = lm_scoring.train(spark.createDataFrame([(t,) for t in lines], "text string"), entry_bits=200)
-    m = lm_scoring.Shared(model, bits).model()
+    parts = [x.model() for x in lm_scoring.share(model, bits, 40)]
+    assert len(parts) > 1 and parts[0].low == 0 and parts[-1].high == 1 << bits
 
     def level(text):
         raw = np.frombuffer(text.encode(), np.uint8)
         tokens, off, grams = lm_scoring.sequences(raw, np.array([0, len(raw)]))
-        return m.count_of(tokens).tolist(), [m.level_of(g).tolist() for g in grams]
+        c, levels = lm_scoring.look_up(parts, tokens, grams)
+        return c.tolist(), [x.tolist() for x in levels]
 
     assert level("p q") == ([2, 2, 4], [[2, 2, 2], [0, 2, 2]])
     c, (two, three) = level("x y x")
