@@ -43,6 +43,8 @@ TEST_MIN_WORDS, MAX_CHAR_DISTANCE = 50, 0.32
 WORD_DISTANCE, WORD_NOISE = 0.10, 2.2
 #: Words in the list of a language; languages whose lists are broadcast; parts in which the counts of a language are ranked first.
 COMMON_WORDS, BROADCAST_LANGS, RANK_PARTS = 24, 4096, 32
+#: Languages whose words become one set of literals; with more, each text looks through its own list.  Results are the same.
+LITERAL_LANGS = 512
 _SPACE = r"[\x20\x09-\x0D]"
 CLASSES = ("upper", "lower", "digit", "space", "mark", "symbol", "wide")
 
@@ -60,25 +62,31 @@ def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur at least twice in the text."""
     n = F.size(words)
     at = lambda i: F.get(words, i.cast("int"))
-    # The place of a window takes the low bits of its hash, as many as the text needs.
-    low = F.length(F.bin(n)).cast("int")
-    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1)
-    key = lambda x: F.call_function("shiftright", x, low)
-    hashes = F.transform(F.slice(words, F.lit(1), n - 2), lambda w, i: F.call_function("shiftleft", key(F.xxhash64(w, at(i + 1), at(i + 2))), low).bitwiseOR(i.cast("long")))
-    differ = lambda x, y: (at(place(x)) != at(place(y))) | (at(place(x) + 1) != at(place(y) + 1)) | (at(place(x) + 2) != at(place(y) + 2))
+    none = F.lit(0).cast("long")
 
     def covered(places: Column) -> Column:
         steps = F.transform(places, lambda p, j: F.least(F.lit(3).cast("long"), p - F.coalesce(F.get(places, j - 1), p - 3)))
-        return F.aggregate(steps, F.lit(0).cast("long"), lambda a, s: a + s)
+        return F.aggregate(steps, none, lambda a, s: a + s)
 
-    def by_hash(sorted_: Column) -> Column:
-        twice = F.filter(sorted_, lambda x, j: F.coalesce(key(F.get(sorted_, j - 1)) == key(x), F.lit(False)) | F.coalesce(key(F.get(sorted_, j + 1)) == key(x), F.lit(False)))
+    def by_hash(span: Column) -> Column:
+        """``span`` is a power of two above n: the place of a window takes the low bits of its hash, as many as the text needs."""
+        place = lambda x: x.bitwiseAND(span - 1)
+        packed = F.transform(F.slice(words, F.lit(1), n - 2), lambda w, i: F.xxhash64(w, at(i + 1), at(i + 2)).bitwiseAND(-span).bitwiseOR(i.cast("long")))
+        equal = lambda x, y: x.bitwiseXOR(y).between(0, span - 1)
+        differ = lambda x, y: (at(place(x)) != at(place(y))) | (at(place(x) + 1) != at(place(y) + 1)) | (at(place(x) + 2) != at(place(y) + 2))
 
-        def checked(twice: Column) -> Column:
-            clash = F.filter(twice, lambda x, j: F.coalesce((key(F.get(twice, j - 1)) == key(x)) & differ(x, F.get(twice, j - 1)), F.lit(False)))
-            return F.when(F.size(clash) == 0, _let(F.sort_array(F.transform(twice, place)), covered)).otherwise(by_words())
+        def compared(sorted_: Column) -> Column:
+            with_next = F.zip_with(F.slice(sorted_, F.lit(1), F.size(sorted_) - 1), F.slice(sorted_, F.lit(2), F.size(sorted_)), equal)
 
-        return _let(twice, checked)
+            def places(same: Column) -> Column:
+                twice = F.filter(sorted_, lambda x, j: F.coalesce(F.get(same, j - 1), F.lit(False)) | F.coalesce(F.get(same, j), F.lit(False)))
+                clash = lambda t: F.filter(t, lambda x, j: F.coalesce(equal(x, F.get(t, j - 1)) & differ(x, F.get(t, j - 1)), F.lit(False)))
+                checked = _let(twice, lambda t: F.when(F.size(clash(t)) == 0, _let(F.sort_array(F.transform(t, place)), covered)).otherwise(by_words()))
+                return F.when(F.array_contains(same, True), checked).otherwise(none)
+
+            return _let(with_next, places)
+
+        return _let(F.sort_array(packed), compared)
 
     def by_words() -> Column:
         windows = F.transform(F.slice(words, F.lit(1), n - 2), lambda w, i: F.struct(w.alias("a"), at(i + 1).alias("b"), at(i + 2).alias("c"), i.cast("long").alias("i")))
@@ -89,7 +97,8 @@ def repeated_words(words: Column) -> Column:
 
         return _let(F.sort_array(F.transform(_let(F.sort_array(windows), twice), lambda x: x["i"])), covered)
 
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(_let(F.sort_array(hashes), by_hash))
+    span = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n)).cast("int"))
+    return F.when(n < 4, none).otherwise(_let(span, by_hash))
 
 
 def common_words(docs: DataFrame) -> DataFrame:
@@ -117,6 +126,10 @@ def _with_language(rows: DataFrame, langs: DataFrame) -> DataFrame:
 
 def measures(docs: DataFrame, common: DataFrame) -> DataFrame:
     """Per document: the base counts, and both histograms as arrays."""
+    # Words of any list first (a hash set, where the lists are few enough to be literals), then those of the text's own.
+    lists = common.select("ref_words").collect() if common.count() <= LITERAL_LANGS else None
+    vocabulary = sorted({w for r in lists for w in r["ref_words"]}) if lists is not None else None
+    found = F.filter("words", lambda w: F.array_contains(F.col("ref_words"), w) if vocabulary is None else w.isin(vocabulary) if vocabulary else F.lit(False))
     docs = _with_language(docs.withColumn("text", F.coalesce("text", F.lit(""))), common)
     docs = docs.withColumn("words", words_of(F.col("text")))
     count = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
@@ -136,16 +149,16 @@ def measures(docs: DataFrame, common: DataFrame) -> DataFrame:
         count(r"[!-/:-@\[-`{-~]+").alias("marks"),
         (F.octet_length("text") - F.length("text")).alias("wide"),
         F.length("text").alias("chars"),
-        F.filter("words", lambda w: F.array_contains(F.col("ref_words"), w)).alias("found"),
+        found.alias("found"),
     )
     mark, space = F.col("marks") - F.col("n_symbols"), F.col("chars") - F.col("word_chars")
     lower = F.greatest(F.lit(0).cast("long"), F.col("word_chars") - F.col("upper") - F.col("digit") - F.col("marks") - F.col("wide"))
     histogram = F.array(*[x.cast("double") for x in (F.col("upper"), lower, F.col("digit"), space, mark, F.col("n_symbols"), F.col("wide"))])
     hits = F.transform("ref_words", lambda r: (F.size("found") - F.size(F.array_remove("found", r))).cast("double"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return docs.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), histogram.alias("chars"), hits.alias("hits"), (F.col("n_words") - F.size("found")).cast("double").alias("other")).select(
-        "*", F.concat("hits", F.array("other")).alias("words")
-    ).drop("hits", "other")
+    docs = docs.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), histogram.alias("chars"), hits.alias("hits"))
+    other = F.col("n_words") - F.aggregate("hits", F.lit(0.0), lambda a, x: a + x)
+    return docs.select("*", F.concat("hits", F.array(other)).alias("words")).drop("hits")
 
 
 def references(measured: DataFrame) -> DataFrame:
