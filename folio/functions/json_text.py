@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A string (closed or not), or a brace outside strings.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', re.S)
+
+
 def find_object(text: str | None) -> str | None:
-    """The first complete JSON object in a text, whatever stands around it."""
-    if not text:
+    """The first balanced {...} of a model's answer, whether it parses or not.
+
+    A code fence around the answer is taken off.  Without a closing brace it is all from
+    the opening one, without an opening brace the whole text.
+    """
+    if text is None:
         return None
-    decoder, at = json.JSONDecoder(), text.find("{")
-    while at >= 0:
-        try:
-            found, end = decoder.raw_decode(text, at)
-        except ValueError:
-            at = text.find("{", at + 1)
-            continue
-        if isinstance(found, dict):
-            return text[at:end]
-        at = text.find("{", at + 1)
-    return None
+    body = text.strip().removeprefix("```json").removeprefix("```").removesuffix("```").strip()
+    start = body.find("{")
+    if start < 0:
+        return body
+    depth = 0
+    for token in _TOKEN.finditer(body, start):
+        depth += {"{": 1, "}": -1}.get(token[0], 0)
+        if depth == 0:
+            return body[start : token.end()]
+    return body[start:]
 
 
 def first_json_object(c: Column) -> Column:

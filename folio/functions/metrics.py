@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-
-
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
+from folio.functions.lines import common_length
+from folio.functions.text import let
 
 
 def character_error_rate(reference: Column, prediction: Column) -> Column:
     """Edit distance over the reference's length; may exceed 1.  An empty reference gives 0 or 1."""
     ref, pred = T.normalize_prose(reference), T.normalize_prose(prediction)
-    return _let(F.struct(ref.alias("r"), pred.alias("p")), lambda s: F.when(s["r"] == "", F.when(s["p"] == "", 0.0).otherwise(1.0)).otherwise(F.levenshtein(s["r"], s["p"]) / F.char_length(s["r"])))
+    return let(F.struct(ref.alias("r"), pred.alias("p")), lambda s: F.when(s["r"] == "", F.when(s["p"] == "", 0.0).otherwise(1.0)).otherwise(F.levenshtein(s["r"], s["p"]) / F.char_length(s["r"])))
 
 
 def best_snippet_error(reference: Column, page: Column) -> Column:
@@ -37,27 +36,24 @@ def best_snippet_error(reference: Column, page: Column) -> Column:
         best = F.least(F.lit(1.0), F.coalesce(F.array_min(F.transform(worth, one)), F.lit(1.0)))
         return F.when(ref == "", 0.0).when(s["p"] == "", 1.0).when(F.contains(s["p"], ref), 0.0).otherwise(best)
 
-    return _let(F.struct(T.normalize_prose(reference).alias("r"), T.normalize_prose(page).alias("p")), search)
-
-
-def longest_common(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays."""
+    return let(F.struct(T.normalize_prose(reference).alias("r"), T.normalize_prose(page).alias("p")), search)
 
-    def row(previous: Column, x: Column) -> Column:
-        def cell(state: Column, j: Column) -> Column:
-            best = F.when(F.get(b, j) == x, F.get(previous, j) + 1).otherwise(F.greatest(F.element_at(state, -1), F.get(previous, j + 1)))
-            return F.concat(state, F.array(best))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.array(F.lit(0)), cell)
+def _accuracy(reference: pd.Series, prediction: pd.Series) -> pd.Series:
+    def one(r, p):
+        if r is None or p is None:
+            return None
+        return common_length(r, p) / len(r) if len(r) else float(len(p) == 0)
 
-    start = F.array_repeat(F.lit(0), F.size(b) + 1)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, start, row), -1))
+    return pd.Series([one(r, p) for r, p in zip(reference, prediction, strict=True)], dtype="float64")
 
 
 def code_line_accuracy(reference: Column, prediction: Column) -> Column:
-    """Share of the reference's code lines that the prediction has in the same order."""
-    pair = F.struct(T.code_lines(reference).alias("r"), T.code_lines(prediction).alias("p"))
-    return _let(pair, lambda s: F.when(F.size(s["r"]) == 0, F.when(F.size(s["p"]) == 0, 1.0).otherwise(0.0)).otherwise(longest_common(s["r"], s["p"]) / F.size(s["r"])))
+    """Share of the reference's code lines that the prediction has in the same order; without code lines 1 if both have none.
+
+    Built-in lambdas would copy a row of the table for every cell, so this is an Arrow kernel.
+    """
+    return F.pandas_udf(_accuracy, "double")(T.code_lines(reference), T.code_lines(prediction))
 
 
 def set_f1(expected: Column, actual: Column) -> Column:
@@ -67,18 +63,22 @@ def set_f1(expected: Column, actual: Column) -> Column:
         ne, na, tp = F.size(s["e"]), F.size(s["a"]), F.size(F.array_intersect(s["e"], s["a"]))
         return F.when((ne == 0) & (na == 0), 1.0).when((ne == 0) | (na == 0) | (tp == 0), 0.0).otherwise(2.0 * tp / (ne + na))
 
-    return _let(F.struct(T.unique_strings(expected).alias("e"), F.array_distinct(actual).alias("a")), score)
+    return let(F.struct(T.unique_strings(expected).alias("e"), F.array_distinct(actual).alias("a")), score)
 
 
 def snippet_positions(page: Column, snippets: Column) -> Column:
     """First place of each snippet in the page's search key, from 0; -1 if it is missing."""
-    return _let(T.search_key(page), lambda key: F.transform(snippets, lambda s: F.instr(key, T.search_key(s)) - 1))
+    return let(T.search_key(page), lambda key: F.transform(snippets, lambda s: F.instr(key, T.search_key(s)) - 1))
 
 
 def in_order(positions: Column) -> Column:
     """Whether no snippet is missing and each starts after the one before."""
-    steps = F.zip_with(F.slice(positions, F.lit(1), F.greatest(F.size(positions) - 1, F.lit(0))), F.slice(positions, F.lit(2), F.size(positions)), lambda a, b: a < b)
-    return F.forall(positions, lambda p: p >= 0) & F.forall(steps, lambda ok: ok)
+
+    def check(p: Column) -> Column:
+        steps = F.zip_with(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, F.lit(2), F.size(p)), lambda a, b: a < b)
+        return F.forall(p, lambda x: x >= 0) & F.forall(steps, lambda ok: ok)
+
+    return let(positions, check)
 
 
 def ratio(part: Column, whole: Column) -> Column:

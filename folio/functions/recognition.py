@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folio.functions.text import utrim
+from folio.functions.text import let, utrim
 
 # The patterns and symbols below define what the block types mean.
 SYMBOLS = "{}[]();=<>:+-*/_.`\"'\\"
@@ -27,16 +27,21 @@ def normalize_line(c: Column) -> Column:
     return F.regexp_replace(suffix, REST_PATH, "$1 /users/$2")
 
 
-def symbol_ratio(c: Column) -> Column:
-    t = utrim(c)
+def _ratio(trimmed: Column) -> Column:
     escaped = "".join("\\" + s for s in SYMBOLS)
-    return F.when(t == "", 0.0).otherwise((F.char_length(t) - F.char_length(F.regexp_replace(t, f"[{escaped}]", ""))) / F.char_length(t))
+    return F.when(trimmed == "", 0.0).otherwise((F.char_length(trimmed) - F.char_length(F.regexp_replace(trimmed, f"[{escaped}]", ""))) / F.char_length(trimmed))
+
+
+def symbol_ratio(c: Column) -> Column:
+    return let(utrim(c), _ratio)
 
 
 def classify_block(c: Column) -> Column:
-    t = utrim(c)
-    code = t.rlike(CODE_WORD) | t.rlike(JSON_KEY) | t.rlike(VERB_PREFIX) | (symbol_ratio(c) >= CODE_RATIO)
-    return F.when(t == "", "paragraph").when(t.rlike(HEADING), "heading").when(t.rlike(CAPTION), "caption").when(code, "code").otherwise("paragraph")
+    def kind(t: Column) -> Column:
+        code = t.rlike(CODE_WORD) | t.rlike(JSON_KEY) | t.rlike(VERB_PREFIX) | (_ratio(t) >= CODE_RATIO)
+        return F.when(t == "", "paragraph").when(t.rlike(HEADING), "heading").when(t.rlike(CAPTION), "caption").when(code, "code").otherwise("paragraph")
+
+    return F.coalesce(let(utrim(c), kind), F.lit("paragraph"))
 
 
 def render_scale(profile: Column) -> Column:

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What counts as an edge, a number and an address.
 _EDGE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+NUMBER = r"([0-9]+)"
 #: Dotted domains, www and http addresses; ASCII look-arounds stand for an ASCII word boundary.
 URL = r"(?i)(https?://\S+|www\.\S+|(?<![A-Za-z0-9_])(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/\S*)?(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?:[a-z0-9-]+\.)+[a-z]{2,}(?![A-Za-z0-9_]))"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def utrim(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(c, _EDGE, "")
@@ -70,7 +79,7 @@ def dump_lines(c: Column) -> Column:
 
 
 def number_tokens(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"([0-9]+)"), 1)
+    return F.regexp_extract_all(c, F.lit(NUMBER), 1)
 
 
 def url_tokens(c: Column) -> Column:

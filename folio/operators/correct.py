@@ -40,27 +40,43 @@ def protected(block_type: Column, source: Column, guard: Guard = Guard()) -> Col
 def refusal(block_type: Column, source: Column, proposed: Column, guard: Guard = Guard()) -> Column:
     """Why a proposal is refused, or null; the cheap tests come first and the edit distance stops at the limit."""
     guard = guard.resolved()
-    src, new = T.utrim(source), T.utrim(proposed)
-    out = F.when(src == new, F.lit(None).cast("string"))
-    if guard.code_blocks:
-        out = out.when(F.lower(block_type) == "code", "protected_code_block")
-    if guard.numbers:
-        out = out.when(T.number_tokens(src) != T.number_tokens(new), "protected_number_sequence")
-    if guard.urls:
-        out = out.when(T.url_tokens(src) != T.url_tokens(new), "protected_url")
-    if guard.max_edit_ratio > 0:
-        size = F.char_length(src)
-        most = F.floor(size * guard.max_edit_ratio + 1e-9).cast("int")
-        far = (F.abs(F.char_length(new) - size) > most) | (F.call_function("levenshtein", src, new, most) < 0)
-        out = out.when((src != "") & far, "edit_distance_limit_exceeded")
-    return out
+
+    def judge(s: Column) -> Column:
+        src, new = s["src"], s["new"]
+        out = F.when(src == new, F.lit(None).cast("string"))
+        if guard.code_blocks:
+            out = out.when(s["code"], "protected_code_block")
+        if guard.numbers:
+            out = out.when(T.number_tokens(src) != T.number_tokens(new), "protected_number_sequence")
+        if guard.urls:
+            out = out.when(T.url_tokens(src) != T.url_tokens(new), "protected_url")
+        if guard.max_edit_ratio > 0:
+            size = F.char_length(src)
+            most = F.floor(size * guard.max_edit_ratio + 1e-9).cast("int")
+            # Word by word is an upper bound, and settles most corrections; else small limits come first, as the work grows with the limit.
+            size_of = lambda w: F.coalesce(F.char_length(w) + 1, F.lit(0))
+            changed = F.zip_with(F.split(src, " "), F.split(new, " "), lambda v, w: F.when(v.eqNullSafe(w), 0).otherwise(F.greatest(size_of(v), size_of(w))))
+            within = lambda limit: F.call_function("levenshtein", src, new, F.least(limit, most)) >= 0
+            far = F.when(F.abs(F.char_length(new) - size) > most, F.lit(True)).when(F.aggregate(changed, F.lit(0), lambda s, x: s + x) <= most, F.lit(False))
+            for part in (256, 64, 16):
+                far = far.when(within(F.floor(size / part).cast("int") + 1), F.lit(False))
+            out = out.when((src != "") & far.otherwise(~within(most)), "edit_distance_limit_exceeded")
+        return out
+
+    return T.let(F.struct(T.utrim(source).alias("src"), T.utrim(proposed).alias("new"), (F.lower(block_type) == "code").alias("code")), judge)
 
 
 def apply_blocks(blocks: DataFrame, proposals: DataFrame, guard: Guard = Guard()) -> DataFrame:
-    """Normalised blocks with block proposals (source_pdf, page, block_id, p_text, p_status, p_reasons, p_protected, p_notes) merged in."""
+    """Normalised blocks with block proposals (source_pdf, page, block_id, p_text, p_status, p_reasons, p_protected, p_notes) merged in.
+
+    Of several proposals for a block the last counts (by ``p_seq`` where there is one, else
+    as they come); of several blocks with one id on a page the last is changed.
+    """
     guard = guard.resolved()
-    rows = blocks.join(proposals.withColumn("__given", F.lit(True)), [*model.PAGE_KEY, "block_id"], "left")
-    given = F.coalesce("__given", F.lit(False))
+    key = [*model.PAGE_KEY, "block_id"]
+    given_rows = model.last_of(proposals, key, "p_seq").drop("p_seq")
+    rows = blocks.withColumn("__last", F.max("n").over(Window.partitionBy(*key))).join(given_rows.withColumn("__given", F.lit(True)), key, "left")
+    given = F.coalesce("__given", F.lit(False)) & (F.col("n") == F.col("__last"))
     candidate = F.coalesce(F.nullif(T.utrim(F.col("p_text")), F.lit("")), F.col("source_text"))
     rows = rows.withColumn("__new", candidate).withColumn("__why", F.when(given, refusal(F.col("block_type"), F.col("source_text"), F.col("__new"), guard)))
     refused, same = F.col("__why").isNotNull(), F.col("__new") == F.col("source_text")
@@ -80,7 +96,16 @@ def apply_blocks(blocks: DataFrame, proposals: DataFrame, guard: Guard = Guard()
 
 
 def apply_pages(pages: DataFrame, blocks: DataFrame, page_proposals: DataFrame) -> DataFrame:
-    """Pages with proposed status and notes; the text of a page with a proposal is joined again from its blocks."""
+    """Pages with proposed status and notes; the text of a page with a proposal is joined again from its blocks.
+
+    Of several proposals for a page the last status that is not empty counts, and the last notes that are not.
+    """
+    own = "p_seq" in page_proposals.columns
+    at = F.col("p_seq") if own else F.monotonically_increasing_id()
+    page_proposals = page_proposals.withColumn("__at", at).groupBy(*model.PAGE_KEY).agg(
+        F.max_by("page_status", F.when(F.col("page_status") != "", F.col("__at"))).alias("page_status"),
+        F.max_by("page_notes", F.when(F.size("page_notes") > 0, F.col("__at"))).alias("page_notes"),
+    )
     texts = blocks.groupBy(*model.PAGE_KEY).agg(model.join_texts(F.col("text"), F.col("n")).alias("__text"))
     rows = pages.join(page_proposals.withColumn("__given", F.lit(True)), model.PAGE_KEY, "left").join(texts, model.PAGE_KEY, "left")
     given = F.coalesce("__given", F.lit(False))
@@ -91,11 +116,12 @@ def apply_pages(pages: DataFrame, blocks: DataFrame, page_proposals: DataFrame)
 
 
 def flatten_proposals(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Page and block proposals from nested answers (source_pdf, pages)."""
-    p = answers.select("source_pdf", F.explode("pages").alias("p"))
-    pages = p.select("source_pdf", "p.page", F.col("p.status").alias("page_status"), F.col("p.notes").alias("page_notes"))
-    b = p.select("source_pdf", "p.page", F.explode("p.blocks").alias("b"))
-    return pages, b.select("source_pdf", "page", "b.block_id", *[F.col(f"b.{c}").alias(f"p_{c}") for c in ("text", "status", "reasons", "protected", "notes")])
+    """Page and block proposals from nested answers (source_pdf, pages), with their order (``p_seq``; by ``answer`` first, where there is such a column)."""
+    answer = F.col("answer").cast("long") if "answer" in answers.columns else F.lit(0).cast("long")
+    p = answers.select("source_pdf", answer.alias("answer"), F.posexplode("pages").alias("pos", "p"))
+    pages = p.select("source_pdf", "p.page", F.col("p.status").alias("page_status"), F.col("p.notes").alias("page_notes"), F.struct("answer", "pos").alias("p_seq"))
+    b = p.select("source_pdf", "answer", "p.page", "pos", F.posexplode("p.blocks").alias("i", "b"))
+    return pages, b.select("source_pdf", "page", F.struct("answer", "pos", "i").alias("p_seq"), "b.block_id", *[F.col(f"b.{c}").alias(f"p_{c}") for c in ("text", "status", "reasons", "protected", "notes")])
 
 
 def unmatched(blocks: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -103,6 +129,11 @@ def unmatched(blocks: DataFrame, proposals: DataFrame) -> DataFrame:
     return proposals.join(blocks, [*model.PAGE_KEY, "block_id"], "left_anti")
 
 
+def request_counters(requests: DataFrame) -> DataFrame:
+    """One row of a table of requests (source_pdf, pages, seconds): how many, their seconds and the pages done."""
+    return requests.agg(F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("request_seconds"), F.coalesce(F.sum("pages"), F.lit(0)).cast("long").alias("completed_pages"))
+
+
 def page_batches(pages: DataFrame, size: int = 1) -> DataFrame:
     """(source_pdf, page, batch): groups of ``size`` pages in a row, blank pages without blocks left out."""
     rows = pages.where(~(T.blank(F.col("source_text")) & (F.col("correction.total_blocks") == 0)))

@@ -7,15 +7,24 @@ from pyspark.sql import functions as F
 
 from folio.functions import metrics as M
 from folio.functions import text as T
+from folio.operators import model
 
 
 def predicted(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(source_pdf, page, p_text, p_code, p_types): code blocks in stored order, and the types that occur."""
-    own = blocks.groupBy("source_pdf", "page").agg(
+    """(source_pdf, page, p_text, p_code, p_types): code blocks in stored order, and the types that occur.
+
+    Of several pages with one number the last counts, by its place ``page_pos`` in the
+    document where there is one; its blocks are those with the same ``page_pos``.
+    """
+    placed = "page_pos" in pages.columns and "page_pos" in blocks.columns
+    key = ["source_pdf", "page", "page_pos"] if placed else ["source_pdf", "page"]
+    own = blocks.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.when(F.col("block_type") == "code", F.struct("pos", "text")))).alias("code"),
         F.collect_set(F.when(T.blank(F.col("block_type")), "paragraph").otherwise(F.col("block_type"))).alias("p_types"),
     )
-    rows = pages.select("source_pdf", "page", F.col("text").alias("p_text")).join(own, ["source_pdf", "page"], "left")
+    place = ["page_pos"] if "page_pos" in pages.columns else []
+    last = model.last_of(pages.select("source_pdf", "page", *place, F.col("text").alias("p_text")), ["source_pdf", "page"], "page_pos")
+    rows = last.join(own, key, "left")
     return rows.select("source_pdf", "page", "p_text", F.coalesce(F.array_join(F.transform("code", lambda x: x["text"]), "\n"), F.lit("")).alias("p_code"), F.coalesce("p_types", F.array().cast("array<string>")).alias("p_types"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.operators import model
+
 DONE = ("succeeded", "skipped")
 #: Errors that no retry can mend.
 FINAL_ERRORS = ("must be .pdf", "not accessible")
@@ -15,7 +17,7 @@ FINAL_ERRORS = ("must be .pdf", "not accessible")
 def run_dir(path: Column, input_path: str, output_root: str, single: bool = False) -> Column:
     """Output folder of a file: its path below the input folder, or its name alone, without the extension."""
     name = F.regexp_extract(path, r"([^/]+)$", 1)
-    below = name if single else F.when(path.startswith(input_path.rstrip("/") + "/"), F.substring(path, len(input_path.rstrip("/")) + 2, 1 << 20)).otherwise(name)
+    below = name if single else F.when(path.startswith(input_path.rstrip("/") + "/"), F.substr(path, F.lit(len(input_path.rstrip("/")) + 2))).otherwise(name)
     return F.concat(F.lit(output_root.rstrip("/") + "/"), F.regexp_replace(below, r"\.[^./]*$", ""))
 
 
@@ -31,8 +33,9 @@ def plan(files: DataFrame, state: DataFrame, reports: DataFrame, resume: bool =
     """The jobs of ``files`` (input_pdf, run_dir) given a saved ``state`` and the folders that hold a report (``run_dir``).
 
     A finished job whose report exists is skipped, any other saved one starts afresh;
-    saved jobs without a file vanish.
+    saved jobs without a file vanish.  Of several saved states of a file the last counts (by ``seq`` where there is one, else as they come).
     """
+    state = model.last_of(state, ["input_pdf"], "seq")
     saved = state.select("input_pdf", F.col("status").alias("s"), F.col("run_dir").alias("saved_dir"), F.col("attempts").alias("a"))
     there = reports.select(F.col("run_dir").alias("r")).distinct()
     rows = files.join(saved, "input_pdf", "left")

@@ -11,6 +11,16 @@ from folio.functions import text as T
 PAGE_KEY = ["source_pdf", "page"]
 
 
+def last_of(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row of each key: the last by the column ``order``, or as rows come where there is no such column."""
+    own = order in rows.columns
+    rows = rows if own else rows.withColumn("__at", F.monotonically_increasing_id())
+    at = order if own else "__at"
+    rest = [c for c in rows.columns if c not in keys and c != "__at"]
+    out = rows.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.col(at)).alias("__last"))
+    return out.select(*keys, *[F.col(f"__last.`{c}`").alias(c) for c in rest])
+
+
 def line_order(lines: DataFrame) -> DataFrame:
     """Recognised lines with a reading order from the top, then from the left."""
     w = Window.partitionBy(*PAGE_KEY).orderBy("y0", "x0", "pos")

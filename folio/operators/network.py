@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.session import keep
+
 
 def remote_endpoint(line: Column) -> Column:
     """What follows the arrow in a connection line; empty without one."""
@@ -14,8 +16,9 @@ def remote_endpoint(line: Column) -> Column:
 def is_loopback(endpoint: Column) -> Column:
     """Whether the host part (before the last colon, or inside brackets) is this machine."""
     host = F.when(endpoint.rlike(r"^\[[^\]]+\]"), F.regexp_extract(endpoint, r"^\[([^\]]+)\]", 1)).when(endpoint.rlike(r"^.+:"), F.regexp_extract(endpoint, r"^(.+):[^:]*$", 1)).otherwise(endpoint)
-    host = F.trim(host)
-    return host.isin("localhost", "::1") | host.rlike(r"^127(\.([0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$")
+    host = F.lower(F.trim(host))
+    v4 = F.regexp_replace(host, r"^(::ffff:|(0+:){5}ffff:)", "")
+    return host.isin("localhost", "::1") | host.rlike(r"^(0{1,4}:){7}0{0,3}1$") | v4.rlike(r"^127(\.([0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$")
 
 
 def violations(samples: DataFrame) -> DataFrame:
@@ -30,13 +33,15 @@ def local_only(report: DataFrame) -> DataFrame:
 
 
 def process_tree(processes: DataFrame, root: int) -> DataFrame:
-    """(pid, depth) of a process and all below it, each once (pid, ppid)."""
-    from uuid import uuid4
-
-    view = f"processes_{uuid4().hex}"
-    processes.select("pid", "ppid").createOrReplaceTempView(view)
+    """(pid, depth) of a process and all below it (pid, ppid), level by level; a pid that was seen does not come again, so cycles end."""
     spark = processes.sparkSession
-    return spark.sql(f"""WITH RECURSIVE tree(pid, depth) MAX RECURSION LEVEL 1000 AS (
-        SELECT CAST({int(root)} AS BIGINT) AS pid, 0 AS depth
-        UNION ALL SELECT CAST(p.pid AS BIGINT), tree.depth + 1 FROM tree JOIN {view} p ON p.ppid = tree.pid WHERE p.pid <> p.ppid)
-      SELECT pid, min(depth) AS depth FROM tree GROUP BY pid""")
+    edges = processes.select(F.col("pid").cast("long").alias("pid"), F.col("ppid").cast("long").alias("ppid"))
+    level = seen = spark.range(int(root), int(root) + 1).select(F.col("id").alias("pid"), F.lit(0).alias("depth"))
+    depth = 0
+    while True:
+        depth += 1
+        below = edges.join(level.select(F.col("pid").alias("ppid")), "ppid").select("pid").distinct()
+        level = keep(below.join(seen.select("pid"), "pid", "left_anti").select("pid", F.lit(depth).alias("depth")), "processes")
+        if level.isEmpty():
+            return seen
+        seen = seen.unionByName(level)

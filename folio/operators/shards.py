@@ -10,16 +10,18 @@ from folio.functions.text import union_strings
 
 
 def ranges(documents: DataFrame, shards: int) -> DataFrame:
-    """(source_pdf, shard, start, pages) of (source_pdf, page_count): contiguous, balanced, the first ones a page longer.
+    """(source_pdf, shard, start, pages, error) of (source_pdf, page_count): contiguous, balanced, the first ones a page longer.
 
     Plain arithmetic, so no page has to be sorted.  A document with fewer pages than
-    shards has no ranges: see :func:`check`.
+    shards has one row, with an ``error`` and nothing else; :func:`check` raises for it.
     """
     if shards < 1:
         raise ValueError("at least one shard")
-    rows = documents.where(F.col("page_count") >= shards).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    few = F.col("page_count") < shards
+    rows = documents.withColumn("shard", F.explode(F.when(few, F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(shards - 1)))))
     base, extra = F.floor(F.col("page_count") / shards), F.pmod("page_count", F.lit(shards))
-    return rows.select("source_pdf", "shard", (F.col("shard") * base + F.least(F.col("shard"), extra)).alias("start"), (base + (F.col("shard") < extra).cast("int")).alias("pages"))
+    error = F.when(few, F.format_string(f"{shards} shards for %d pages", F.col("page_count").cast("long")))
+    return rows.select("source_pdf", "shard", (F.col("shard") * base + F.least(F.col("shard"), extra)).alias("start"), (base + (F.col("shard") < extra).cast("int")).alias("pages"), error.alias("error"))
 
 
 def check(page_count: int, shards: int) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.functions.lines import edit_script
 
 
 def page_matches(expected: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -42,28 +43,6 @@ def first_failing(pages: DataFrame, k: int, min_ratio: float = 0.85) -> DataFram
     return failing(pages, min_ratio).orderBy("page").limit(k)
 
 
-def edit_script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """Lines kept (=), added (+) and removed (-) on a longest common subsequence; of equal choices an addition goes first."""
-    rows = len(a) + 1
-    best = [[0] * (len(b) + 1) for _ in range(rows)]
-    for i in reversed(range(len(a))):
-        here, below = best[i], best[i + 1]
-        for j in reversed(range(len(b))):
-            here[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], here[j + 1])
-    out, i, j = [], 0, 0
-    while (i, j) != (len(a), len(b)):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append(("=", a[i]))
-            i, j = i + 1, j + 1
-        elif i == len(a) or (j < len(b) and best[i][j + 1] >= best[i + 1][j]):
-            out.append(("+", b[j]))
-            j += 1
-        else:
-            out.append(("-", a[i]))
-            i += 1
-    return out
-
-
 def line_diff(pages: DataFrame) -> DataFrame:
     """(page, seq, op, line) of (page, text, found): an edit script has a traceback, which no built-in expresses."""
 

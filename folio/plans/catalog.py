@@ -51,7 +51,7 @@ CLASSIFY = lambda x: f"""(CASE WHEN {TRIM(x)} = '' THEN 'paragraph'
   WHEN regexp_matches({TRIM(x)}, '(?i)^(그림|표|fig\\.?|figure|table)\\s*') THEN 'caption'
   WHEN regexp_matches({TRIM(x)}, '(?i)({WORDS})') OR regexp_matches({TRIM(x)}, '^\\s*"[A-Za-z0-9_]+"\\s*:') OR regexp_matches({TRIM(x)}, '(?i)^(GET|POST|PUT|DELETE) /') OR {RATIO(x)} >= 0.12 THEN 'code'
   ELSE 'paragraph' END)"""
-PAGES = "pages_ AS (SELECT source AS source_pdf, doc_id + 1 AS page, coalesce(text, '') AS text, doc_id FROM documents)"
+PAGES = f"pages_ AS (SELECT source || '-' || (doc_id // {A.PAGES_OF}) AS source_pdf, doc_id + 1 AS page, coalesce(text, '') AS text, doc_id FROM documents)"
 
 
 def lines(of: str = "pages_", name: str = "lines_") -> str:
@@ -61,7 +61,8 @@ def lines(of: str = "pages_", name: str = "lines_") -> str:
 
 EVAL = f"""WITH {PAGES},
 gold AS (SELECT source_pdf, page, text AS t, regexp_extract(text, '^\\S+(?: \\S+){{0,7}}') AS a, regexp_extract(text, '(\\S+(?: \\S+){{0,5}})\\s*$', 1) AS b, doc_id FROM (SELECT source_pdf, page, {PLAIN('text')} AS text, doc_id FROM pages_)),
-pred AS (SELECT source_pdf, page, {MISREAD('t')} AS text, {PROSE(MISREAD('t'))} AS p FROM gold WHERE doc_id % 7 <> 3),
+delivered AS (SELECT source_pdf, page, 1 AS pos, {MISREAD('t')} AS text FROM gold WHERE doc_id % 7 <> 3 UNION ALL SELECT source_pdf, page, 0, 'def bad(): return' FROM gold WHERE doc_id % 7 <> 3 AND doc_id % 13 = 5),
+pred AS (SELECT source_pdf, page, text, {PROSE('text')} AS p FROM delivered QUALIFY row_number() OVER (PARTITION BY source_pdf, page ORDER BY pos DESC) = 1),
 {lines('pred', 'plines')},
 typed AS (SELECT source_pdf, page, n, text, {CLASSIFY('text')} AS kind FROM plines),
 own AS (SELECT source_pdf, page, coalesce(string_agg(text, chr(10) ORDER BY n) FILTER (kind = 'code'), '') AS code, list_distinct(list(kind)) AS kinds FROM typed GROUP BY ALL),
@@ -109,13 +110,13 @@ def eval_summary(spark, sf_dir):
 
 @query(EVAL + "SELECT source_pdf, page FROM gold WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p.page = gold.page AND p.source_pdf = gold.source_pdf)")
 def missing_predictions(spark, sf_dir):
-    pages, _ = A.predicted_pages(spark, sf_dir)
+    pages, _ = A.predicted_pages(spark, sf_dir)  # an anti-join: pages that come twice do no harm
     return A.gold_pages(spark, sf_dir).join(pages, ["source_pdf", "page"], "left_anti").select("source_pdf", "page")
 
 
 @query(EVAL + "SELECT source_pdf, page, round(e, 6) AS cer FROM cer WHERE k = 1")
 def best_snippet_cer(spark, sf_dir):
-    pages, _ = A.predicted_pages(spark, sf_dir)
+    pages = model.last_of(A.predicted_pages(spark, sf_dir)[0], ["source_pdf", "page"], "page_pos")
     rows = A.gold_pages(spark, sf_dir).join(pages, ["source_pdf", "page"])
     return rows.select("source_pdf", "page", F.round(M.best_snippet_error(F.col("prose_kr"), F.col("text")), 6).alias("cer"))
 
@@ -134,7 +135,7 @@ def layout_f1(spark, sf_dir):
 
 @query(EVAL + "SELECT source_pdf, page, x::BIGINT AS first_at, y::BIGINT AS last_at, (x >= 0 AND y >= 0 AND x < y) AS in_order FROM place")
 def reading_order(spark, sf_dir):
-    pages, _ = A.predicted_pages(spark, sf_dir)
+    pages = model.last_of(A.predicted_pages(spark, sf_dir)[0], ["source_pdf", "page"], "page_pos")
     rows = A.gold_pages(spark, sf_dir).join(pages, ["source_pdf", "page"]).select("source_pdf", "page", M.snippet_positions(F.col("text"), F.col("reading_order_snippets")).alias("at"))
     return rows.select("source_pdf", "page", F.get("at", F.lit(0)).cast("long").alias("first_at"), F.get("at", F.lit(1)).cast("long").alias("last_at"), M.in_order(F.col("at")).alias("in_order"))
 
@@ -283,16 +284,19 @@ def guard_reason_counts(spark, sf_dir):
 
 
 def _corrected(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = _proposed(spark, sf_dir)
+    """Every ninth line has a first proposal too, which the later one replaces."""
     pages = A.document_pages(spark, sf_dir)
-    blocks = A.bare(rows).drop("block_type").join(rows.select("source_pdf", "page", "pos", "block_type"), ["source_pdf", "page", "pos"])
-    reasons = F.array(F.lit("ocr_fix"), F.lit(" ocr_fix "))
+    rows = _proposed(spark, sf_dir)
+    blocks = A.bare(rows, ("block_type", "p_text")).withColumnRenamed("p_text", "offered")
     none = F.lit(None)
 
     def provider(numbered: DataFrame) -> DataFrame:
-        item = F.struct(F.col("block_id"), F.col("p_text").alias("text"), F.lit("").alias("status"), reasons.alias("reasons"), none.cast("boolean").alias("protected"), none.cast("array<string>").alias("notes"))
-        asked = numbered.select("source_pdf", "page", "pos", "block_id").join(rows.select("source_pdf", "page", "pos", "p_text"), ["source_pdf", "page", "pos"])
-        by_page = asked.groupBy("source_pdf", "page").agg(F.collect_list(item).alias("blocks"))
+        def item(text, reasons):
+            return F.struct(F.col("block_id"), text.alias("text"), F.lit("").alias("status"), reasons.alias("reasons"), none.cast("boolean").alias("protected"), none.cast("array<string>").alias("notes"))
+
+        real = item(F.col("offered"), F.array(F.lit("ocr_fix"), F.lit(" ocr_fix ")))
+        items = F.when(F.col("pos") % 9 == 0, F.array(item(F.lit("a first try"), F.array(F.lit("draft"))), real)).otherwise(F.array(real))
+        by_page = numbered.groupBy("source_pdf", "page").agg(F.flatten(F.collect_list(items)).alias("blocks"))
         page = F.struct("page", F.lit("").alias("status"), none.cast("array<string>").alias("notes"), "blocks")
         return by_page.select("source_pdf", F.array(page).alias("pages"))
 
@@ -358,7 +362,10 @@ def runnable_jobs_round(spark, sf_dir):
 @query(JOBS + " SELECT input_pdf, CASE WHEN s IN ('succeeded') OR s IS NULL THEN CASE WHEN o_orderkey % 2 = 0 THEN 'skipped' ELSE 'pending' END ELSE 'pending' END AS status, CASE WHEN s = 'succeeded' AND o_orderkey % 2 = 0 THEN attempts ELSE 0 END AS attempts, NOT ((s = 'succeeded' OR s IS NULL) AND o_orderkey % 2 = 0) AS retryable FROM (SELECT *, CASE WHEN o_orderkey % 11 <> 4 THEN status END AS s FROM jobs_)")
 def resume_state(spark, sf_dir):
     j = A.jobs(spark, sf_dir)
-    state, reports = j.where("o_orderkey % 11 <> 4"), j.where("o_orderkey % 2 = 0").select("run_dir")
+    # Some jobs were saved twice; the earlier state counts for nothing.
+    state = j.where("o_orderkey % 11 <> 4").withColumn("seq", F.lit(1))
+    state = state.unionByName(state.where("o_orderkey % 5 = 0").withColumn("status", F.lit("failed")).withColumn("attempts", F.lit(9)).withColumn("seq", F.lit(0)))
+    reports = j.where("o_orderkey % 2 = 0").select("run_dir")
     return jobs.plan(j.select("input_pdf", "run_dir"), state, reports).select("input_pdf", "status", F.col("attempts").cast("long").alias("attempts"), "retryable")
 
 
@@ -407,10 +414,10 @@ def peak_concurrency(spark, sf_dir):
     return telemetry.peak_concurrency(A.timings(spark, sf_dir)).select(F.col("peak").cast("long").alias("peak"))
 
 
-@query("WITH n AS (SELECT source AS source_pdf, count(*) AS c FROM documents GROUP BY ALL) SELECT source_pdf, shard, shard * (c // 4) + least(shard, c % 4) AS start, c // 4 + CASE WHEN shard < c % 4 THEN 1 ELSE 0 END AS pages FROM n, (SELECT unnest(range(4)) AS shard) WHERE c >= 4")
+@query(f"WITH {PAGES}, n AS (SELECT source_pdf, count(*) AS c FROM pages_ GROUP BY ALL) SELECT source_pdf, shard, shard * (c // 4) + least(shard, c % 4) AS start, c // 4 + CASE WHEN shard < c % 4 THEN 1 ELSE 0 END AS pages, NULL::VARCHAR AS error FROM n, (SELECT unnest(range(4)) AS shard) WHERE c >= 4 UNION ALL SELECT source_pdf, NULL, NULL, NULL, '4 shards for ' || c || ' pages' FROM n WHERE c < 4")
 def shard_ranges(spark, sf_dir):
     n = A.document_pages(spark, sf_dir).groupBy("source_pdf").agg(F.count(F.lit(1)).alias("page_count"))
-    return shards.ranges(n, 4).select("source_pdf", *[F.col(c).cast("long").alias(c) for c in ("shard", "start", "pages")])
+    return shards.ranges(n, 4).select("source_pdf", *[F.col(c).cast("long").alias(c) for c in ("shard", "start", "pages")], "error")
 
 
 @query(f"WITH {PAGES} SELECT source_pdf, md5(string_agg({TRIM('text')}, chr(10) || chr(10) ORDER BY page)) AS text_md5 FROM pages_ WHERE {TRIM('text')} <> '' GROUP BY ALL")
@@ -598,10 +605,19 @@ def conversation_assembly(spark, sf_dir):
     return c.select("conv_id", F.md5(F.array_join(F.transform("t", lambda x: x["t"]), "\n")).alias("text_md5"), "turns")
 
 
-@query("SELECT conv_id, turn, '{\"text\":\"' || conv_id || '\"}' AS found FROM conversations")
+@query("""SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN '{"a":{"b":"} \\" {' || conv_id || '"}}' WHEN 1 THEN 'no brace ' || conv_id WHEN 2 THEN '{"a": ' || conv_id || ' never closed "}"'
+  WHEN 3 THEN '{not json}' ELSE '{"text":"' || conv_id || '"}' END AS found FROM conversations""")
 def answer_objects(spark, sf_dir):
-    c = A.table(spark, sf_dir, "conversations")
-    prose = F.concat(F.lit("```json\n{not json} "), F.format_string('{"text":"%d"}', "conv_id"), F.lit("\n```\n"), F.col("text"))
+    c, k = A.table(spark, sf_dir, "conversations"), F.col("conv_id").cast("string")
+    around = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    shape = (F.col("conv_id") + F.col("turn")) % 5
+    prose = (
+        F.when(shape == 0, around("Here: ", '{"a":{"b":"} \\" {', k, '"}}', " and {more} ", F.col("text")))
+        .when(shape == 1, around(" \n no brace ", k, " "))
+        .when(shape == 2, around("```json\n", '{"a": ', k, ' never closed "}"', "\n```"))
+        .when(shape == 3, around('{not json} {"x":', k, "}"))
+        .otherwise(around("```\n", '{"text":"', k, '"}', "\n```"))
+    )
     return c.select("conv_id", "turn", json_text.first_json_object(prose).alias("found"))
 
 
@@ -621,21 +637,50 @@ def stream_snapshot(spark, sf_dir):
     return out.select("event_type", "events", F.col("last.event_id").alias("last_event"))
 
 
-@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL")
 def stream_windowed_counts(spark, sf_dir):
     e = progress.table_stream(spark, f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    out = progress.drain(progress.windowed_counts(e, "ts", "event_type"), "windows", "complete")
+    # Append mode: windows that the watermark has passed, whose state is gone.
+    out = progress.drain(progress.windowed_counts(e, "ts", "event_type"), "windows")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n")
 
 
-@query("WITH RECURSIVE p AS (SELECT DISTINCT user_id + 1 AS pid, (user_id + 1) // 3 AS ppid FROM events), t AS (SELECT 1::BIGINT AS pid, 0 AS depth UNION ALL SELECT p.pid, depth + 1 FROM t JOIN p ON p.ppid = t.pid WHERE p.pid <> p.ppid) SELECT pid, min(depth)::BIGINT AS depth FROM t GROUP BY ALL")
+# A tree, and a cycle of two processes under its root.
+@query("WITH RECURSIVE p AS (SELECT DISTINCT user_id + 1 AS pid, (user_id + 1) // 3 AS ppid FROM events UNION ALL VALUES (-1, 1), (-2, -1), (-1, -2), (1, -2)), t AS (SELECT 1::BIGINT AS pid, 0 AS depth UNION SELECT p.pid, depth + 1 FROM t JOIN p ON p.ppid = t.pid WHERE depth < 40) SELECT pid, min(depth)::BIGINT AS depth FROM t GROUP BY ALL")
 def process_tree(spark, sf_dir):
     pid = F.col("user_id") + 1
     p = A.table(spark, sf_dir, "events").select(pid.alias("pid"), F.floor(pid / 3).alias("ppid")).distinct()
-    return network.process_tree(p, 1).select("pid", F.col("depth").cast("long").alias("depth"))
+    cycle = spark.createDataFrame([(-1, 1), (-2, -1), (-1, -2), (1, -2)], "pid long, ppid long")
+    return network.process_tree(p.unionByName(cycle), 1).select("pid", F.col("depth").cast("long").alias("depth"))
+
+
+# A run for each user: two stages, every tenth event the start of a page, 0.7 s from event to event.
+PROGRESS = """WITH RECURSIVE n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+e AS (SELECT *, i * 0.7 AS clock, CASE WHEN i = 1 THEN 'document_started' WHEN i % 10 = 0 THEN 'page_started' ELSE 'page_done' END AS phase, CASE WHEN 3 * i < total THEN 'render' ELSE 'recognize' END AS stage FROM n),
+f AS (SELECT user_id, i, true AS shown, stage AS ls, i AS lc, clock AS la FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, c.shown, CASE WHEN c.shown THEN e.stage ELSE f.ls END, CASE WHEN c.shown THEN e.i ELSE f.lc END, CASE WHEN c.shown THEN e.clock ELSE f.la END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1,
+  LATERAL (SELECT e.phase <> 'page_started' AND ({rule}) AS shown) c)
+"""
+_SPARSE = "e.stage <> f.ls OR e.i >= e.total OR e.i // greatest(1, e.total // 20) <> f.lc // greatest(1, e.total // 20) OR e.clock - f.la >= 5"
 
 
-@query("WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1e6 AS at, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT user_id, count(*) FILTER (b IS NULL OR b <> event_type) AS changes FROM e GROUP BY ALL")
+def _renders(spark, sf_dir, live: bool) -> DataFrame:
+    from pyspark.sql import Window
+
+    w, i = Window.partitionBy("user_id"), F.col("i")
+    e = A.table(spark, sf_dir, "events").select("user_id", F.row_number().over(w.orderBy("event_id")).cast("long").alias("i"), F.count(F.lit(1)).over(w).alias("total"))
+    phase = F.when(i == 1, "document_started").when(i % 10 == 0, "page_started").otherwise("page_done")
+    stage = F.when(3 * i < F.col("total"), "render").otherwise("recognize")
+    events = e.select(F.col("user_id").cast("string").alias("run"), i.alias("seq"), (i * 0.7).alias("at"), phase.alias("phase"), stage.alias("stage"), i.alias("current_page"), i.alias("completed_pages"), F.col("total").alias("total_pages"))
+    return progress.rendered(events, live).groupBy(F.col("run").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("lines"), F.max("seq").alias("last"))
+
+
+@query(PROGRESS.format(rule=_SPARSE) + "SELECT user_id, count(*) FILTER (shown) AS lines, max(i) FILTER (shown) AS last FROM f GROUP BY ALL")
 def rendered_events(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("seq"), F.lit(0.0).alias("at"), F.col("event_type").alias("signature"))
-    return progress.rendered(e).groupBy(F.col("run").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("changes"))
+    return _renders(spark, sf_dir, live=False)
+
+
+@query(PROGRESS.format(rule="true") + "SELECT user_id, count(*) FILTER (shown) AS lines, max(i) FILTER (shown) AS last FROM f GROUP BY ALL")
+def rendered_live(spark, sf_dir):
+    return _renders(spark, sf_dir, live=True)

@@ -11,6 +11,8 @@ from folio.functions import text as T
 #: Accented letters of the tables' four languages, and what a plain-letter recogniser reads.
 ACCENTS = "èéêçÉÈÊößäüÄÖóíñÇÓÑÍÜ"
 PLAIN = "eeecEEEosauAOoinCONIU"
+#: Most pages of a document.
+PAGES_OF = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,22 +29,24 @@ def misread(c: Column) -> Column:
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_pdf, page, text): a document is a page of its source."""
+    """(source_pdf, page, text): a row is a page, and ``PAGES_OF`` ids in a row of one source are a document, whatever the size of the table."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("source_pdf"), (F.col("doc_id") + 1).alias("page"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    volume = F.floor(F.col("doc_id") / PAGES_OF).cast("string")
+    return d.select(F.concat_ws("-", "source", volume).alias("source_pdf"), (F.col("doc_id") + 1).alias("page"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
 
 
 def document_blocks(pages: DataFrame) -> DataFrame:
     """(source_pdf, page, pos, text): the lines of pages that are not blank, trimmed."""
     lines = F.filter(F.transform(F.split("text", "\n"), T.utrim), lambda x: x != "")
-    return pages.select("source_pdf", "page", F.posexplode(lines).alias("pos", "text"))
+    return pages.select(*[c for c in ("source_pdf", "page", "page_pos") if c in pages.columns], F.posexplode(lines).alias("pos", "text"))
 
 
-def bare(rows: DataFrame, blocks: bool = True) -> DataFrame:
-    """Rows with the model's other columns empty."""
+def bare(rows: DataFrame, more: tuple[str, ...] = (), blocks: bool = True) -> DataFrame:
+    """Rows with the model's other columns empty, but for those named in ``more``."""
     none = F.lit(None).cast("string")
     if blocks:
-        return rows.select("source_pdf", "page", "pos", none.alias("block_id"), "text", none.alias("source_text"), none.alias("block_type"), F.lit(0).alias("reading_order"), F.lit(None).cast(schemas.BLOCK_CORRECTION).alias("correction"))
+        kind = "block_type" if "block_type" in more else none.alias("block_type")
+        return rows.select("source_pdf", "page", "pos", *[c for c in more if c != "block_type"], none.alias("block_id"), "text", none.alias("source_text"), kind, F.lit(0).alias("reading_order"), F.lit(None).cast(schemas.BLOCK_CORRECTION).alias("correction"))
     return rows.select("source_pdf", "page", F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit(False).alias("is_blank"), F.lit("").alias("text"), F.lit("").alias("source_text"), F.lit(None).cast(schemas.PAGE_CORRECTION).alias("correction"))
 
 
@@ -53,10 +57,12 @@ def gold_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predicted_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """What a recogniser made of the gold pages: confusions, and some pages it never delivered."""
+    """What a recogniser made of the gold pages: confusions, some pages it never delivered, and some it delivered twice, badly at first."""
     from folio.functions.recognition import classify_block
 
-    p = document_pages(spark, sf_dir).where("doc_id % 7 <> 3").withColumn("text", misread(plain(F.col("text")))).drop("doc_id")
+    p = document_pages(spark, sf_dir).where("doc_id % 7 <> 3").withColumn("text", misread(plain(F.col("text"))))
+    twice = F.when(F.col("doc_id") % 13 == 5, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    p = p.withColumn("page_pos", F.explode(twice)).withColumn("text", F.when(F.col("page_pos") == 0, "def bad(): return").otherwise(F.col("text"))).drop("doc_id")
     return p, document_blocks(p).withColumn("block_type", classify_block(F.col("text")))
 
 

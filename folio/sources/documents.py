@@ -61,7 +61,7 @@ def discover_files(spark: SparkSession, path: str, recursive: bool = False, suff
 def parse_progress(lines: DataFrame, prefix: str = "PROGRESS ", column: str = "value") -> DataFrame:
     """(value, event): ``event`` is null for lines without the prefix or with bad JSON."""
     line = F.col(column)
-    body = F.when(line.startswith(prefix), F.substring(line, len(prefix) + 1, 1 << 20))
+    body = F.when(line.startswith(prefix), F.substr(line, F.lit(len(prefix) + 1)))
     event = F.from_json(body, schemas.PROGRESS, {"mode": "PERMISSIVE"})
     return lines.select(line.alias("value"), F.when(event["phase"].isNotNull(), event).alias("event"))
 

@@ -31,7 +31,10 @@ def snapshot(events: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Tumbling counts with a watermark: an extension, the data model has no event time of its own."""
+    """Tumbling counts with a watermark: an extension, the data model has no event time of its own.
+
+    In append mode a window comes out, and its state goes, once the watermark has passed its end.
+    """
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), by, "n")
 
 
@@ -56,39 +59,84 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return out
 
 
-def rendered(events: DataFrame, heartbeat_seconds: float = 5.0) -> DataFrame:
-    """Which events (run, seq, at, signature) a progress renderer prints: a new signature, or a heartbeat after the last print.
+#: What a live renderer looks at.
+SIGNATURE = ("phase", "stage", "current_page", "completed_pages", "total_pages")
+#: Phases that a sparse renderer always prints.
+ALWAYS = ("document_started", "document_done", "stage_started", "stage_done")
+
+
+def _milestone(done: int, total: int) -> int:
+    return done // max(1, total // 20) if done > 0 and total > 0 else 0
+
+
+def _crossed(done: int, total: int, before: int) -> bool:
+    return done > 0 and (0 < total <= done or (done == 1 and before < 1) or _milestone(done, total) != _milestone(before, total))
+
+
+def _prints(e, last, live: bool, heartbeat: float) -> bool:
+    """Whether event ``e`` is printed; ``last`` is the event printed before, or None."""
+    paged = e.total_pages > 0
+    if paged and e.phase == "page_started":
+        return False
+    if last is None:
+        return True
+    if live:
+        return any(getattr(e, c) != last[c] for c in SIGNATURE)
+    if e.stage != last["stage"]:
+        return True
+    if paged and (e.phase in ALWAYS or e.completed_pages == 1):
+        return True
+    if paged and e.completed_pages > last["completed_pages"] and _crossed(e.completed_pages, e.total_pages, last["completed_pages"]):
+        return True
+    return e.at - last["at"] >= heartbeat
 
-    What is printed depends on what was printed last, so this is a fold with state.
+
+def rendered(events: DataFrame, live: bool = False, heartbeat_seconds: float = 5.0) -> DataFrame:
+    """The events (run, seq, at, phase, stage, current_page, completed_pages, total_pages) that a progress renderer prints.
+
+    A live one rewrites its line on any change of ``SIGNATURE``.  Otherwise lines are
+    sparse: a new stage, the start and end of documents and stages, the first page,
+    milestones of a twentieth, and a heartbeat.  What is printed depends on what was
+    printed last, so this is a fold with state: by state store in a stream, by sorted
+    partitions, batch by batch, in a table.
     """
+    schema = "run string, seq long, at double, phase string, stage string"
+    names = ["run", "seq", "at", "phase", "stage"]
+    kept = [*SIGNATURE, "at"]
+
+    def fold(pdf: pd.DataFrame, last: dict | None) -> tuple[list[tuple], dict | None]:
+        rows = []
+        for e in pdf.itertuples(index=False):
+            if _prints(e, last, live, heartbeat_seconds):
+                last = {c: getattr(e, c) for c in kept}
+                rows.append((e.run, e.seq, e.at, e.phase, e.stage))
+        return rows, last
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, at = state.get if state.exists else ("", float("-inf"))
-        for batch in batches:
-            rows = []
-            for row in batch.sort_values("seq").itertuples():
-                if row.signature != last or row.at - at >= heartbeat_seconds:
-                    last, at = row.signature, row.at
-                    rows.append((key[0], row.seq, row.signature))
-            yield pd.DataFrame(rows, columns=["run", "seq", "signature"])
-        state.update((last, at))
-
-    schema = "run string, seq long, signature string"
     if events.isStreaming:
         from pyspark.sql.streaming.state import GroupStateTimeout
 
-        return events.groupBy("run").applyInPandasWithState(fold, schema, "signature string, at double", "append", GroupStateTimeout.NoTimeout)
+        def stateful(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+            last = dict(zip(kept, state.get, strict=True)) if state.exists else None
+            for batch in batches:
+                rows, last = fold(batch.sort_values("seq"), last)
+                yield pd.DataFrame(rows, columns=names)
+            if last is not None:
+                state.update(tuple(last[c] if isinstance(last[c], str) else float(last[c]) if c == "at" else int(last[c]) for c in kept))
 
-    class Fresh:
-        exists = False
+        return events.groupBy("run").applyInPandasWithState(stateful, schema, "phase string, stage string, current_page long, completed_pages long, total_pages long, at double", "append", GroupStateTimeout.NoTimeout)
 
-        @staticmethod
-        def update(_) -> None: ...
-
-    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(fold(key, iter([pdf]), Fresh)))
-
-    return events.groupBy("run").applyInPandas(whole, schema)
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, last = None, None
+        for batch in batches:
+            rows = []
+            for key, part in batch.groupby("run", sort=False):
+                got, last = fold(part, last if key == run else None)
+                run = key
+                rows += got
+            yield pd.DataFrame(rows, columns=names)
+
+    columns = ["run", "seq", "at", *SIGNATURE]
+    return events.select(*columns).repartition("run").sortWithinPartitions("run", "seq").mapInPandas(whole, schema)
 
 
 def job_states(transitions: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
