@@ -10,6 +10,9 @@ text are consecutive; the bytes they cover are a context of at most 2 * LENGTH b
     repeat inside a stretch of text are settled there and only their first goes on.
 2.  By anchor: of equal contexts all but the earliest are covered.  An anchor with one
     distinct context is done; the contexts of others are compared below.
+    Buckets with more than their share of the entries (an anchor in very many
+    surroundings, or a context in very many texts) are settled row by row instead, with
+    map-side sums, so that no task gets a whole anchor.
 3.  Only texts that hold such contexts shuffle.  Their contexts meet in buckets, where
     a suffix array (``suffix``) and its adjacent common prefixes find equal windows;
     all but the earliest are covered.  An anchor with more than ``PART`` contexts is
@@ -33,12 +36,15 @@ from pyspark.sql import functions as F
 
 from folio.llm import _bytes as B
 from folio.llm import suffix
+from folio.llm._skew import attach
 from folio.llm.exact_dedup import member_filter, with_maybe
 from folio.session import keep, ship
 
 LENGTH, KGRAM = 100, 24
 #: Contexts of an anchor that meet in one bucket, at most.
 PART = 4096
+#: A bucket is heavy with so many times its share of all entries, and so many at least.
+HEAVY, HEAVY_LEAST = 4, 1 << 18
 _REACH = LENGTH - KGRAM + 1  # k-grams in a window
 _SEGMENT = 1 << 23
 _PLACE = np.uint64((1 << 24) - 1)
@@ -123,13 +129,14 @@ def settle(docs: DataFrame, buckets: int) -> DataFrame:
                 bucket, raw = bucket[by], e[by].tobytes()
                 cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 ends = [_ENTRY.itemsize * x for x in [*cut.tolist(), len(bucket)]]
-                blobs, target, kind = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], bucket[cut].tolist(), [0] * len(cut)
+                blobs, target, kind, count = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], bucket[cut].tolist(), [0] * len(cut), np.diff(np.append(cut, len(bucket))).tolist()
                 if len(covered):  # settled here; some bucket hands them on
                     blobs.append(covered.tobytes())
                     target.append((int(e["anchor"][0] >> np.uint64(20)) + turn) % buckets)
                     kind.append(1)
+                    count.append(0)
                     turn += 1
-                yield pa.RecordBatch.from_arrays([pa.array(target, pa.int64()), pa.array(kind, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(target, pa.int64()), pa.array(kind, pa.int32()), pa.array(count, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "kind", "entries", "data"])
 
     def meet(table: pa.Table) -> pa.Table:
         kind, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
@@ -148,8 +155,32 @@ def settle(docs: DataFrame, buckets: int) -> DataFrame:
         out["size"] = np.append(np.zeros(settled, np.int64), size)
         return pa.table(out)
 
-    packed = docs.mapInArrow(send, "bucket long, kind int, data binary")
-    return keep(packed.groupBy("bucket").applyInArrow(meet, "doc long, start long, windows long, anchor long, size long"), "contexts")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "start", "windows", "anchor", "context"]
+        for batch in batches:
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+                e = np.frombuffer(data.as_buffer(), _COVER if kind else _ENTRY)
+                place = [pa.array(e[c].astype(np.int64)) for c in _COVER.names]
+                yield pa.RecordBatch.from_arrays([*place, *([pa.nulls(len(e), pa.int64())] * 2 if kind else [pa.array(e[c].astype(np.int64)) for c in ("anchor", "context")])], names)
+
+    found = "doc long, start long, windows long, anchor long, size long"
+    sent = keep(docs.mapInArrow(send, "bucket long, kind int, entries long, data binary"), "sent")
+    loads = keep(sent.groupBy("bucket").agg(F.sum("entries").alias("load")), "loads")
+    total = loads.agg(F.sum("load")).first()[0] or 0
+    heavy = loads.where(F.col("load") > max(HEAVY * total // buckets, HEAVY_LEAST)).select(F.col("bucket").alias("__heavy"))
+    light = sent.join(heavy, F.col("bucket") == F.col("__heavy"), "left_anti").select("bucket", "kind", "data").groupBy("bucket").applyInArrow(meet, found)
+    if heavy.isEmpty():
+        return keep(light, "contexts")
+    rows = keep(sent.join(heavy, F.col("bucket") == F.col("__heavy"), "left_semi").mapInArrow(unpack, "doc long, start long, windows long, anchor long, context long"), "heavy")
+    entries, total = rows.where("anchor is not null"), rows.count()
+    first = F.min(F.struct("doc", "start")).alias("first")
+    groups = keep(entries.groupBy("anchor", "context").agg(first, F.first("windows").alias("own_windows"), F.count(F.lit(1)).alias("n")), "groups")
+    sizes = keep(groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    later = attach(entries, groups.where("n > 1").select("anchor", "context", "first", "n"), ["anchor", "context"], "n", total).where(F.struct("doc", "start") != F.col("first"))
+    none = F.lit(None).cast("long").alias("anchor")
+    covered = rows.where("anchor is null").select("doc", "start", "windows", none, F.lit(0).cast("long").alias("size")).unionByName(later.select("doc", "start", "windows", none, F.lit(0).cast("long").alias("size")))
+    rest = attach(groups.select(F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), F.col("own_windows").alias("windows"), "anchor"), sizes, ["anchor"], "size", total)
+    return keep(light.unionByName(covered).unionByName(rest.select("doc", "start", "windows", "anchor", "size")), "contexts")
 
 
 def _with_texts(docs: DataFrame, lists: DataFrame, rows: int) -> DataFrame:

@@ -375,9 +375,10 @@ def brute_removed(documents):
     return out
 
 
-@pytest.mark.parametrize("part", [4096, 1])
-def test_suffix_dedup(docs, monkeypatch, part):
+@pytest.mark.parametrize(("part", "heavy"), [(4096, 1 << 18), (1, 1)])
+def test_suffix_dedup(docs, monkeypatch, part, heavy):
     monkeypatch.setattr(suffix_dedup, "PART", part)
+    monkeypatch.setattr(suffix_dedup, "HEAVY_LEAST", heavy)
     got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in rows(suffix_dedup.remove_repeats(docs, digest=True)).items()}
     assert got == brute_removed(DOCS)
     kept = rows(suffix_dedup.remove_repeats(docs))
