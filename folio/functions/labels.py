@@ -70,3 +70,19 @@ def milestone(done: Column, total: Column) -> Column:
 def crossed(done: Column, total: Column, before: Column) -> Column:
     """Whether a progress line is due: at the first page, at the last, and when a twentieth is passed."""
     return F.when(done <= 0, False).when((total > 0) & (done >= total), True).when((done == 1) & (before < 1), True).otherwise(milestone(done, total) != milestone(before, total))
+
+
+def active_names(events: Column) -> Column:
+    """Names of running jobs, in the order they started, from an array of (phase, name) in order; a second start of a running job changes nothing."""
+    none = F.array().cast("array<string>")
+
+    def step(active: Column, e: Column) -> Column:
+        new = (e["phase"] == "job_started") & ~F.array_contains(active, e["name"])
+        return F.when(new, F.concat(active, F.array(e["name"]))).when(e["phase"] == "job_done", F.array_remove(active, e["name"])).otherwise(active)
+
+    return F.aggregate(F.filter(events, lambda e: F.coalesce(e["name"], F.lit("")) != ""), none, step)
+
+
+def credential_kind(kind: Column, provider: Column) -> Column:
+    """The given kind, else ``none`` without a provider and ``unknown`` with one."""
+    return F.coalesce(F.nullif(F.trim(kind), F.lit("")), F.when(provider == "none", "none").otherwise("unknown"))

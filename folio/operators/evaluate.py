@@ -58,3 +58,11 @@ def summary(pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("evaluated_pages"),
         F.count_if("missing_prediction").alias("missing_pages"),
     )
+
+
+def result(pages: DataFrame) -> DataFrame:
+    """One row (summary, per_page): what an evaluation file holds; of a page evaluated twice the last row counts."""
+    metrics = ["missing_prediction", "prose_cer", "mixed_cer", "code_accuracy", "layout_f1", "order_error"]
+    one = model.last_of(pages.select("source_pdf", "page", *metrics), ["source_pdf", "page"], "__none")
+    per = one.groupBy("source_pdf").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("page", F.struct(*metrics).alias("metrics"))))).alias("per_page"))
+    return per.crossJoin(F.broadcast(summary(pages).select(F.struct("*").alias("summary")))).select("source_pdf", "summary", "per_page")

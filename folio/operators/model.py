@@ -99,3 +99,18 @@ def nest(pages: DataFrame, blocks: DataFrame, engine: str) -> DataFrame:
     p = pages.drop("blocks").join(b, PAGE_KEY, "left")
     inner = F.struct("page", "width", "height", "is_blank", "text", "source_text", "blocks", "correction")
     return p.groupBy("source_pdf").agg(F.array_sort(F.collect_list(inner), lambda x, y: x["page"] - y["page"]).alias("pages")).withColumn("engine", F.lit(engine))
+
+
+def artifact_pages(pages: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Pages with the bounds they are drawn in and their image size, from the source's page sizes (source_pdf, page, source_width, source_height).
+
+    Without a source page the page's own size counts, and US letter where it has none; such a page has a warning.
+    """
+    rows = pages.select("source_pdf", "page", F.greatest("width", F.lit(1)).alias("w"), F.greatest("height", F.lit(1)).alias("h")).join(last_of(bounds, PAGE_KEY, "__none"), PAGE_KEY, "left")
+    there = (F.col("source_width") > 0) & (F.col("source_height") > 0)
+    own = (F.col("w") > 1) & (F.col("h") > 1)
+    side = lambda source, size, letter: F.when(there, F.col(source)).when(F.col("source_width").isNotNull() | own, F.col(size).cast("double")).otherwise(F.lit(letter))
+    rows = rows.withColumn("bounds_width", side("source_width", "w", 612.0)).withColumn("bounds_height", side("source_height", "h", 792.0))
+    image = lambda size, bound: F.greatest(F.col(size), F.col(bound).cast("int"), F.lit(1))
+    warning = F.when(F.col("source_width").isNull(), F.format_string("corrected_page_missing_source_bounds_%d", "page"))
+    return rows.select("source_pdf", "page", "bounds_width", "bounds_height", image("w", "bounds_width").alias("image_width"), image("h", "bounds_height").alias("image_height"), warning.alias("warning"))

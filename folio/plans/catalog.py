@@ -624,8 +624,10 @@ def answer_objects(spark, sf_dir):
 @query("SELECT conv_id AS answer_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY ALL HAVING string_agg(text, '' ORDER BY turn) <> ''")
 def answer_streams(spark, sf_dir):
     c = A.table(spark, sf_dir, "conversations")
-    line = F.concat(F.lit("data: "), F.to_json(F.struct(F.col("text").alias("delta"))))
-    parts = c.select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("seq"), line.alias("line"))
+    # An event a turn, ended by an empty line; the payload of every other one is two data lines.
+    body = F.substr(F.to_json(F.struct(F.col("text").alias("delta"))), F.lit(2))
+    head = F.when(F.col("turn") % 2 == 0, F.array(F.lit("data: {"), F.concat(F.lit("data: "), body), F.lit(""))).otherwise(F.array(F.concat(F.lit("data: {"), body), F.lit("")))
+    parts = c.select(F.col("conv_id").alias("answer_id"), "turn", F.posexplode(head).alias("k", "line")).select("answer_id", (F.col("turn") * 4 + F.col("k")).alias("seq"), "line")
     ends = c.select(F.col("conv_id").alias("answer_id"), F.lit(1 << 40).alias("seq"), F.lit("data: [DONE]").alias("line")).distinct()
     return D.join_answer_parts(parts.unionByName(ends)).where("text is not null")
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
+from pathlib import Path
 
 from folio.operators.correct import Guard
 
@@ -85,6 +89,33 @@ def allow_remote(config: Config, profile: Profile, flag: bool) -> None:
         raise PermissionError("remote correction needs the allow_remote flag")
 
 
+#: Where a config is looked for when no path is given, and what settings fall back to.
+CONFIG_VARIABLE, MODEL_VARIABLE, TIMEOUT_VARIABLE = "FOLIO_CONFIG", "FOLIO_MODEL", "FOLIO_TIMEOUT_SECONDS"
+DEFAULT_TIMEOUT = 120
+
+
+def load(path: str | None = None, environ: Mapping[str, str] = os.environ) -> Config:
+    """The config at ``path``, else where the environment says, else an empty one."""
+    path = path or environ.get(CONFIG_VARIABLE, "").strip()
+    if not path:
+        return Config()
+    raw = json.loads(Path(path).read_text())
+    guard = lambda d: Guard(**d) if d is not None else Guard()
+    profiles = {k: Profile(**{**v, "guard": guard(v.get("guard"))}) for k, v in raw.get("profiles", {}).items()}
+    return Config(raw.get("version", ""), raw.get("credentials", {}), profiles, raw.get("runtime_profile"), Override(**raw.get("runtime_override", {})), raw.get("allow_remote", True))
+
+
+def with_defaults(profile: Profile, environ: Mapping[str, str] = os.environ) -> Profile:
+    """Model and timeout from the profile, else from the environment, else fixed ones; a guard that protects nothing becomes the default."""
+    timeout = profile.timeout_seconds or int(environ.get(TIMEOUT_VARIABLE, "0") or 0) or DEFAULT_TIMEOUT
+    return replace(profile, model=profile.model or environ.get(MODEL_VARIABLE) or None, timeout_seconds=timeout, page_batch_size=max(1, profile.page_batch_size), guard=profile.guard.resolved())
+
+
+def check_pdf(path: str) -> None:
+    if not path.lower().endswith(".pdf"):
+        raise ValueError(f"input file must be .pdf: {path}")
+
+
 def check_run(input_path: str, workers: int = 1, retries: int = 0) -> None:
     if not input_path:
         raise ValueError("input path is required")
@@ -97,5 +128,5 @@ def check_run(input_path: str, workers: int = 1, retries: int = 0) -> None:
 def output_mode(requested: str, can_rebuild: bool) -> tuple[str, list[str]]:
     """Rebuilding primary artifacts needs a provider that can; otherwise a sidecar and a warning."""
     if requested == "primary_artifacts" and not can_rebuild:
-        return "sidecar", ["primary_artifacts_unsupported"]
+        return "sidecar", ["primary_artifacts_not_supported_by_provider"]
     return requested, []

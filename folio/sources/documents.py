@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio import schemas
+from folio.functions import json_text
 from folio.functions import text as T
 
 
@@ -14,9 +15,25 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.DOCUMENT).option("multiLine", True).json(path)
 
 
-def explode_pages(docs: DataFrame) -> DataFrame:
-    """(source_pdf, page, ...): the page number falls back to the position, sizes to 0, texts to each other."""
-    rows = docs.select("source_pdf", F.posexplode("pages").alias("pos", "p"))
+def read_raw_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents whose pages stay JSON texts (engine, source_pdf, pages), for merging without a page schema."""
+    docs = spark.read.schema("engine string, source_pdf string, pages array<variant>").option("multiLine", True).json(path)
+    return docs.select("engine", "source_pdf", F.transform("pages", lambda p: F.to_json(p)).alias("pages"))
+
+
+def read_tolerant_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents whose pages may miss fields or hold them in the wrong type: such a page keeps what can be read of it."""
+    raw = read_raw_documents(spark, path)
+    return raw.select("engine", "source_pdf", F.transform("pages", lambda p: F.from_json(p, schemas.PAGE_FIELDS, {"mode": "PERMISSIVE"})).alias("pages"))
+
+
+def explode_pages(docs: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """(source_pdf, page, ...): the page number falls back to the position, sizes to 0, texts to each other.
+
+    With ``keep_empty`` a document without pages has one row, whose ``page`` is null.
+    """
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    rows = docs.select("source_pdf", explode("pages").alias("pos", "p"))
     joined = F.array_join(F.filter(F.transform(F.col("p.blocks"), lambda b: T.utrim(F.coalesce(b["text"], F.lit("")))), lambda x: x != ""), "\n")
     text = F.coalesce(F.nullif(T.utrim(F.col("p.text")), F.lit("")), joined, F.lit(""))
     return rows.select(
@@ -53,9 +70,15 @@ def page_count(docs: DataFrame) -> DataFrame:
 
 
 def discover_files(spark: SparkSession, path: str, recursive: bool = False, suffix: str = ".pdf") -> DataFrame:
-    """Paths of matching files, whatever the case of their suffix; contents are not read."""
+    """Paths of matching files of a folder, or the one file named, whatever the case of their suffix; contents are not read.
+
+    No matching file is an error.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return found.select(F.col("path").alias("input_pdf")).where(F.lower("path").endswith(suffix)).orderBy("input_pdf")
+    found = found.select(F.col("path").alias("input_pdf")).where(F.lower("path").endswith(suffix)).orderBy("input_pdf")
+    if found.isEmpty():
+        raise ValueError(f"no {suffix} file in {path}")
+    return found
 
 
 def parse_progress(lines: DataFrame, prefix: str = "PROGRESS ", column: str = "value") -> DataFrame:
@@ -67,21 +90,49 @@ def parse_progress(lines: DataFrame, prefix: str = "PROGRESS ", column: str = "v
 
 
 def join_answer_parts(parts: DataFrame) -> DataFrame:
-    """(answer_id, text) from event-stream lines (answer_id, seq, line): ``data:`` payloads in order, end marks skipped."""
-    data = F.trim(F.regexp_extract("line", r"^data:(.*)$", 1))
-    rows = parts.where(F.col("line").startswith("data:")).select("answer_id", "seq", data.alias("data")).where("data <> '[DONE]'")
-    rows = rows.select("answer_id", "seq", F.get_json_object("data", "$.delta").alias("delta"), F.get_json_object("data", "$.response.output_text").alias("whole"))
-    out = rows.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.when(F.col("delta").isNotNull(), F.struct("seq", "delta")))).alias("d"), F.max("whole").alias("whole"))
-    return out.select("answer_id", F.coalesce(F.nullif(F.array_join(F.transform("d", lambda x: x["delta"]), ""), F.lit("")), "whole").alias("text"))
+    """(answer_id, text) from event-stream lines (answer_id, seq, line).
+
+    The ``data:`` lines of an event, up to an empty line, are one payload; end marks are
+    skipped, deltas and finished texts joined in order, and without any the completed
+    answer counts.
+    """
+    ordered = Window.partitionBy("answer_id").orderBy("seq")
+    event = F.sum((F.col("line") == "").cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lines = parts.withColumn("event", event).where(F.col("line").startswith("data:"))
+    data = F.array_sort(F.collect_list(F.struct("seq", F.trim(F.substr("line", F.lit(6))).alias("data"))))
+    rows = lines.groupBy("answer_id", "event").agg(F.array_join(F.transform(data, lambda x: x["data"]), "\n").alias("data")).where("data <> '[DONE]'")
+    field = lambda path: F.get_json_object("data", path)
+    kind = F.coalesce(field("$.type"), F.lit(""))
+    other = F.coalesce(field("$.delta"), json_text.answer_text(F.col("data")))
+    part = F.when(kind == "response.output_text.delta", field("$.delta")).when(kind == "response.output_text.done", field("$.text")).when(kind != "response.completed", other)
+    rows = rows.select("answer_id", "event", part.alias("part"), json_text.answer_text(F.coalesce(field("$.response"), F.lit("{}"))).alias("whole"))
+    out = rows.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("event", "part")))).alias("d"), F.max_by("whole", F.when(F.col("whole").isNotNull(), F.col("event"))).alias("whole"))
+    return out.select("answer_id", F.coalesce(F.nullif(F.array_join(F.transform("d", lambda x: x["part"]), ""), F.lit("")), "whole").alias("text"))
+
+
+def as_json(df: DataFrame, indent: bool = False) -> DataFrame:
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": str(indent).lower()}).alias("value"))
+
+
+def write_json(df: DataFrame, path: str, indent: bool = False) -> None:
+    """JSON objects written by the executors: one a line, or indented by two blanks and each in a file of its own."""
+    as_json(df, indent).write.mode("overwrite").option("maxRecordsPerFile", int(indent)).text(path)
+
+
+def read_json_rows(spark: SparkSession, path: str, schema: str, indent: bool = False) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", indent).json(path)
 
 
-def as_json(df: DataFrame) -> DataFrame:
-    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+def run_summary(reports: DataFrame) -> DataFrame:
+    """One flat row for each report; timings that a report does not have are 0."""
+    at = lambda key: F.coalesce(F.try_element_at("stage_timings", F.lit(key)), F.lit(0.0))
+    minute = F.when((F.col("pages") > 0) & (F.col("elapsed_seconds") > 0), F.col("pages") / F.col("elapsed_seconds") * 60).otherwise(0.0)
+    none = F.array().cast("array<string>")
+    return reports.select("engine", "input_pdf", "profile", "elapsed_seconds", "pages", minute.alias("pages_per_minute"), at("ocr_seconds").alias("ocr_seconds"), at("pdf_seconds").alias("pdf_seconds"), at("total_seconds").alias("provider_seconds"), F.coalesce("warnings", none).alias("warnings"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """One JSON object a line, written by the executors."""
-    as_json(df).write.mode("overwrite").text(path)
+def has_warning(warnings: Column, name: str) -> Column:
+    return F.coalesce(F.array_contains(warnings, name), F.lit(False))
 
 
 def progress_line(event: Column, prefix: str = "PROGRESS ") -> Column:

@@ -1,9 +1,11 @@
 """Column functions on literal cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from folio.functions import json_text, labels
+from folio.functions import json_text, labels, lines
 from folio.functions import metrics as M
 from folio.functions import recognition as R
 from folio.functions import text as T
@@ -123,10 +125,46 @@ def test_labels(spark):
     assert value(spark, labels.active_label(lit([]), lit("z"))) == " | last z"
 
 
-@pytest.mark.parametrize(("raw", "want"), [('```json\n{"a": {"b": "}"}}\n```', '{"a": {"b": "}"}}'), ("x {bad} {\"k\":1} y", '{"k":1}'), ("none", None), (None, None)])
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ('```json\n{"a": {"b": "}"}}\n```', '{"a": {"b": "}"}}'),
+        ('x {bad} {"k":1} y', "{bad}"),
+        ('{a: 1} tail {"x":2}', "{a: 1}"),
+        (" no brace here ", "no brace here"),
+        ('say {"a": {"b": 1}', '{"a": {"b": 1}'),
+        ('{"a": "\\"}{"} b', '{"a": "\\"}{"}'),
+        ('{"open: }', '{"open: }'),
+        ("", ""),
+        (None, None),
+    ],
+)
 def test_json_object(spark, raw, want):
     assert value(spark, json_text.first_json_object(F.lit(raw).cast("string"))) == want
 
 
+def brute_common(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def test_common_lines():
+    r = random.Random(1)
+    for _ in range(200):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 14))] for _ in range(2))
+        script = lines.edit_script(a, b)
+        assert lines.common_length(a, b) == brute_common(a, b) == sum(op == "=" for op, _ in script)
+        assert [x for op, x in script if op != "+"] == a and [x for op, x in script if op != "-"] == b
+
+
+def test_active_names(spark):
+    events = F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(n).alias("name")) for p, n in (("job_started", "a"), ("job_started", "b"), ("job_started", "a"), ("job_done", "c"), ("job_done", "a"), ("job_started", "d"), ("page_done", "z"), ("job_started", ""))])
+    assert value(spark, labels.active_names(events)) == ["b", "d"]
+    assert value(spark, labels.credential_kind(lit(" "), lit("none"))) == "none" and value(spark, labels.credential_kind(lit(" k "), lit("x"))) == "k" and value(spark, labels.credential_kind(lit(""), lit("model"))) == "unknown"
+
+
 def test_answer_text(spark):
     assert value(spark, json_text.answer_text(lit('{"choices":[{"message":{"content":"hi"}}]}'))) == "hi"

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio import schemas
+from folio import api
+from folio.functions import lines
 from folio.functions import text as T
 from folio.operators import bench, correct, evaluate, jobs, model, network, render, shards, telemetry, validate
 from folio.plans import config as C
@@ -193,7 +195,7 @@ def test_peak_concurrency(spark):
 
 def test_shards(spark):
     n = spark.createDataFrame([("d", 8), ("e", 2)], "source_pdf string, page_count int")
-    assert [(r.start, r.pages) for r in shards.ranges(n, 3).orderBy("shard").collect()] == [(0, 3), (3, 3), (6, 2)]
+    assert [(r.source_pdf, r.start, r.pages, r.error) for r in shards.ranges(n, 3).orderBy("source_pdf", "shard").collect()] == [("d", 0, 3, None), ("d", 3, 3, None), ("d", 6, 2, None), ("e", None, None, "3 shards for 2 pages")]
     pages = spark.range(8).select(shards.shard_of(F.col("id"), F.lit(8), 3).alias("s"))
     assert [r.s for r in pages.collect()] == [0, 0, 0, 1, 1, 1, 2, 2]
     with pytest.raises(ValueError):
@@ -230,12 +232,12 @@ def test_validation(spark):
 
 
 def test_line_diff(spark):
-    assert validate.edit_script(["a", "b"], ["b", "a"]) == [("+", "b"), ("=", "a"), ("-", "b")]
+    assert lines.edit_script(["a", "b"], ["b", "a"]) == [("+", "b"), ("=", "a"), ("-", "b")]
     df = spark.createDataFrame([(1, "a\r\nb\n\n", "a\nc")], "page long, text string, found string")
     assert [(r.op, r.line) for r in validate.line_diff(df).orderBy("seq").collect()] == [("=", "a"), ("+", "c"), ("-", "b")]
 
 
-@pytest.mark.parametrize(("endpoint", "want"), [("127.0.0.1:80", True), ("localhost:443", True), ("[::1]:443", True), ("1.1.1.1:53", False), ("example.com:443", False), ("127.0.0.999:1", False), ("127.1.2.3", True)])
+@pytest.mark.parametrize(("endpoint", "want"), [("127.0.0.1:80", True), ("localhost:443", True), ("[::1]:443", True), ("1.1.1.1:53", False), ("example.com:443", False), ("127.0.0.999:1", False), ("127.1.2.3", True), ("[0:0:0:0:0:0:0:1]:9", True), ("[::ffff:127.0.0.1]:9", True), ("[::ffff:9.9.9.9]:9", False), ("LOCALHOST:1", True)])
 def test_loopback(spark, endpoint, want):
     assert spark.range(1).select(network.is_loopback(F.lit(endpoint)).alias("v")).first().v is want
 
@@ -245,7 +247,7 @@ def test_network(spark):
     v = network.violations(s)
     assert (v.first().samples, v.first().violations) == (4, ["1/1.1.1.1:53"])
     assert network.local_only(v.withColumn("selfcheck_ok", F.lit(True))).first().monitor_ok is False
-    tree = spark.createDataFrame([(2, 1), (3, 2), (9, 8), (1, 1)], "pid long, ppid long")
+    tree = spark.createDataFrame([(2, 1), (3, 2), (9, 8), (1, 1), (2, 3)], "pid long, ppid long")  # 2 and 3 below each other
     assert sorted((r.pid, r.depth) for r in network.process_tree(tree, 1).collect()) == [(1, 0), (2, 1), (3, 2)]
 
 
@@ -256,9 +258,14 @@ def test_progress_lines(spark):
 
 
 def test_answer_parts(spark):
-    rows = [("a", 0, 'data: {"delta":"Hel"}'), ("a", 1, 'data: {"delta":"lo"}'), ("a", 2, "data: [DONE]"), ("b", 0, 'data: {"response":{"output_text":"whole"}}')]
+    events = {
+        "a": ['data: {"delta":"Hel"}', "", "data: {", 'data: "delta":"lo"}', "", "data: [DONE]"],
+        "b": ['data: {"response":{"output_text":"whole"},"type":"response.completed"}'],
+        "c": ["event: x", 'data: {"type":"response.output_text.delta","delta":"p"}', "", 'data: {"type":"response.output_text.done","text":"q"}'],
+    }
+    rows = [(k, n, line) for k, all_ in events.items() for n, line in enumerate(all_)]
     got = {r.answer_id: r.text for r in D.join_answer_parts(spark.createDataFrame(rows, "answer_id string, seq int, line string")).collect()}
-    assert got == {"a": "Hello", "b": "whole"}
+    assert got == {"a": "Hello", "b": "whole", "c": "pq"}
 
 
 def test_streams(spark, tmp_path):
@@ -266,13 +273,57 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text('PROGRESS {"phase":"p","stage":"s","current_page":1}\nnoise\n')
     out = progress.drain(progress.progress_events(spark, str(tmp_path / "in")), "events")
     assert sorted(r.event.stage if r.event else "-" for r in out.collect()) == ["-", "s"]
-    rows = [("r", n, at, sig) for n, (at, sig) in enumerate([(0.0, "a"), (1.0, "a"), (6.0, "a"), (7.0, "b")])]
-    e = spark.createDataFrame(rows, "run string, seq long, at double, signature string")
-    assert [r.seq for r in progress.rendered(e).orderBy("seq").collect()] == [0, 2, 3]
-    e.write.parquet(str(tmp_path / "t" / "e.parquet"))
-    streamed = spark.readStream.schema(e.schema).parquet(str(tmp_path / "t" / "e.parquet"))
-    got = progress.drain(progress.rendered(streamed), "rendered")
-    assert sorted(r.seq for r in got.collect()) == [0, 2, 3]
+
+
+EVENTS = "run string, seq long, at double, phase string, stage string, current_page long, completed_pages long, total_pages long"
+
+
+def test_sparse_progress(spark, tmp_path):
+    """The start and the first page are printed, pages 2 to 4 of 100 are not, page 5 is a twentieth."""
+    steps = [("r", 0, 0.0, "document_started", "ocr", 0, 0, 100)] + [("r", n, n / 10, "page_done", "ocr", n, n, 100) for n in range(1, 7)]
+    steps += [("r", 7, 0.7, "page_started", "ocr", 7, 6, 100), ("r", 8, 6.0, "page_done", "ocr", 7, 7, 100), ("r", 9, 6.1, "page_done", "post", 8, 8, 100)]
+    steps += [("s", 0, 0.0, "page_started", "ocr", 1, 0, 5), ("s", 1, 0.1, "tick", "ocr", 1, 0, 0), ("s", 2, 0.2, "tick", "ocr", 1, 0, 0)]
+    e = spark.createDataFrame(steps, EVENTS)
+    sparse = [("r", 0), ("r", 1), ("r", 5), ("r", 8), ("r", 9), ("s", 1)]
+    assert sorted((r.run, r.seq) for r in progress.rendered(e).collect()) == sparse
+    live = sorted((r.run, r.seq) for r in progress.rendered(e, live=True).collect())
+    assert live == [("r", n) for n in range(10) if n != 7] + [("s", 1)]
+    e.write.parquet(str(tmp_path / "e.parquet"))
+    streamed = spark.readStream.schema(e.schema).parquet(str(tmp_path / "e.parquet"))
+    assert sorted((r.run, r.seq) for r in progress.drain(progress.rendered(streamed), "rendered").collect()) == sparse
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    gold = spark.createDataFrame([("d", 1, "good text", None, "a=1", ["code"], None)], GOLD)
+    pages = spark.createDataFrame([("d", 1, 3, "good text"), ("d", 1, 2, "bad")], "source_pdf string, page int, page_pos int, text string")
+    blocks = spark.createDataFrame([("d", 1, 3, 0, "a=1", "code"), ("d", 1, 2, 0, "x", "heading")], "source_pdf string, page int, page_pos int, pos int, text string, block_type string")
+    per = evaluate.per_page(gold, evaluate.predicted(pages, blocks))
+    assert evaluate.summary(per).first().evaluated_pages == 1
+    one = per.first()
+    assert (one.prose_cer, one.code_accuracy, one.layout_f1) == (0.0, 1.0, 1.0)
+
+    _, out = correct.run(*document(spark, "Hcllo world"), lambda b: proposal(spark, ("p1-b1", "Hcllo worlds", ["first"]), ("p1-b1", "Hello world", ["second"])))
+    assert [(b.text, b.correction.reasons) for b in out.collect()] == [("Hello world", ["second"])]
+    same = document(spark, "Hcllo", "Hcllo")
+    twins = same[0], same[1].withColumn("block_id", F.lit("x"))
+    _, out = correct.run(*twins, lambda b: proposal(spark, ("x", "Hello", [])))
+    assert [b.text for b in out.orderBy("pos").collect()] == ["Hcllo", "Hello"]
+    answers = [{"page": 1, "status": "corrected", "notes": ["n"], "blocks": []}, {"page": 1, "status": "", "blocks": []}]
+    page = spark.range(1).select(F.lit("d").alias("source_pdf"), F.from_json(F.lit(json.dumps({"pages": answers})), schemas.PROPOSAL)["pages"].alias("pages"))
+    pages, _ = correct.run(*document(spark, "a"), lambda b: page)
+    assert [(p.correction.status, p.correction.notes) for p in pages.collect()] == [("corrected", ["n"])]
+
+    files = spark.createDataFrame([("/in/a.pdf", "/out/a")], "input_pdf string, run_dir string")
+    state = spark.createDataFrame([("/in/a.pdf", "/out/a", "succeeded", 2, True, 1), ("/in/a.pdf", "/out/a", "failed", 9, True, 0)], JOB + ", seq int")
+    got = jobs.plan(files, state, spark.createDataFrame([("/out/a",)], "run_dir string")).collect()
+    assert [(r.status, r.attempts) for r in got] == [("skipped", 2)]
+
+
+def test_word_bound_and_edit_distance_agree(spark):
+    pairs = [("the cat sat on it", "the cot sat on it"), ("a b c d", "a x y z"), ("one two", "one two three four"), ("shifted by one word", "now shifted by one word"), ("abcdefghij", "abcdefgxyz"), ("", "x")]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    got = rows.select("a", "b", correct.refusal(F.lit("paragraph"), F.col("a"), F.col("b")).alias("why"), F.levenshtein("a", "b").alias("d")).collect()
+    assert all((r.why is None) == (r.a == "" or r.d <= 0.35 * len(r.a)) for r in got)
 
 
 def test_config():
@@ -309,3 +360,94 @@ def test_adapters_cover_every_document(spark):
     pages = A.document_pages(spark, "/root/testdata/sf0.001")
     assert pages.count() == pages.select("source_pdf", "page").distinct().count()
     assert A.document_blocks(pages).where(T.blank(F.col("text"))).count() == 0
+
+
+def test_readers_and_writers(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"source_pdf":"d","pages":[{"page":"x","text":"t","blocks":[{"text":"b"}]},{"page":2,"text":"u"}]}')
+    (tmp_path / "q.json").write_text('{"source_pdf":"e"}')
+    assert [json.loads(p)["page"] for p in D.read_raw_documents(spark, str(tmp_path / "p.json")).first().pages] == ["x", 2]
+    tolerant = D.explode_pages(D.read_tolerant_documents(spark, str(tmp_path / "p.json"))).orderBy("pos").collect()
+    assert [p.page for p in tolerant][1] == 2 and len(tolerant) == 2
+    assert D.explode_pages(D.read_documents(spark, str(tmp_path / "q.json")), keep_empty=True).count() == 1
+    report = spark.createDataFrame([("e", "a.pdf", "none", 30.0, 2, {"ocr_seconds": 4.0}, ["w"])], schemas.REPORT)
+    D.write_json(report, str(tmp_path / "report"), indent=True)
+    assert D.read_json_rows(spark, str(tmp_path / "report"), schemas.REPORT, indent=True).first() == report.first()
+    s = D.run_summary(report).first()
+    assert (s.pages_per_minute, s.ocr_seconds, s.pdf_seconds) == (4.0, 4.0, 0.0)
+    assert report.select(D.has_warning(F.col("warnings"), "w").alias("v")).first().v
+    c = correct.request_counters(spark.createDataFrame([("d", 2, 1.5), ("d", 1, 0.5)], "source_pdf string, pages int, seconds double")).first()
+    assert (c.requests, c.request_seconds, c.completed_pages) == (2, 2.0, 3)
+
+
+def test_artifact_pages(spark):
+    pages = spark.createDataFrame([("d", 1, 100, 200), ("d", 2, 0, 0), ("d", 3, 50, 60)], "source_pdf string, page int, width int, height int")
+    bounds = spark.createDataFrame([("d", 1, 300.0, 400.0)], "source_pdf string, page int, source_width double, source_height double")
+    got = [tuple(r)[2:] for r in model.artifact_pages(pages, bounds).orderBy("page").collect()]
+    missing = "corrected_page_missing_source_bounds_%d"
+    assert got == [(300.0, 400.0, 300, 400, None), (612.0, 792.0, 612, 792, missing % 2), (50.0, 60.0, 50, 60, missing % 3)]
+
+
+def test_run_api(spark, tmp_path):
+    from folio.plans.recognizer import FixedRecognizer, LineRecognizer
+
+    files = spark.createDataFrame([("/in/a.pdf",), ("/in/b.PDF",)], "input_pdf string")
+    seen = []
+    fix = lambda b: b.groupBy("source_pdf").agg(F.array(F.struct(F.lit(1).alias("page"), F.lit("").alias("status"), F.lit(None).cast("array<string>").alias("notes"), F.array(F.struct(F.lit("p1-b1").alias("block_id"), F.lit("Hello world").alias("text"), F.lit("").alias("status"), F.lit(None).cast("array<string>").alias("reasons"), F.lit(False).alias("protected"), F.lit(None).cast("array<string>").alias("notes"))).alias("blocks"))).alias("pages"))
+    done = api.run(files, FixedRecognizer(("Hcllo world",)), fix, C.Profile(provider="table", mode="primary_artifacts"), progress=lambda *x: seen.append(x[0]))
+    assert {r.value for r in done.result.text.collect()} == {"Hello world\n"} and seen[:2] == ["document_started", "document_done"]
+    report = done.report.orderBy("input_pdf").collect()
+    assert [(r.pages, r.changed_pages, r.output_mode, r.warnings) for r in report] == [(1, 1, "primary_artifacts", [])] * 2
+    lines_ = spark.createDataFrame([("/in/a.pdf", 1, 0, "text", 0.0, 0.0)], "source_pdf string, page int, pos int, text string, y0 double, x0 double")
+    side = api.run(files, LineRecognizer(lines_), profile=C.Profile(mode="primary_artifacts"))
+    assert [(r.output_mode, r.warnings) for r in side.report.collect()] == [("sidecar", ["primary_artifacts_not_supported_by_provider"])]
+    leak = spark.createDataFrame([(1, "1.1.1.1:53")], "pid long, endpoint string")
+    with pytest.raises(api.LocalOnlyViolation) as e:
+        api.run(files, FixedRecognizer(samples=leak), local_only=True)
+    assert e.value.report.first().violations == ["1/1.1.1.1:53"]
+    assert api.run(files, FixedRecognizer(samples=leak)).local_only.first().monitor_ok is False
+    with pytest.raises(ValueError, match="must be .pdf"):
+        api.run(spark.createDataFrame([("/in/a.txt",)], "input_pdf string"), FixedRecognizer())
+    with pytest.raises(PermissionError):
+        api.run(files, FixedRecognizer(), profile=C.Profile(provider="model"))
+    assert api.selfcheck(spark)
+    api.save(done, f"file://{tmp_path}/saved")
+    assert D.read_json_rows(spark, f"file://{tmp_path}/saved/run_report", schemas.REPORT, indent=True).count() == 2
+
+
+def test_batch_api(spark, tmp_path):
+    from folio.plans.recognizer import FixedRecognizer
+
+    for name in ("a.pdf", "b.pdf"):
+        (tmp_path / name).write_text("x")
+    where = str(tmp_path)
+    done, report = api.batch(spark, where, f"{where}/out", FixedRecognizer())
+    assert {r.status for r in done.collect()} == {"succeeded"} and report.first().succeeded == 2
+    assert spark.read.parquet(f"{where}/out/round-0/pages").count() == 2
+    again, report = api.batch(spark, where, f"{where}/out", FixedRecognizer(), state=done, reports=done.where("input_pdf like '%a.pdf'").select("run_dir"))
+    assert report.first().asDict() == {"total": 2, "succeeded": 1, "skipped": 1, "failed": 0}
+
+    class Broken(FixedRecognizer):
+        def recognize(self, *a, **b):
+            raise RuntimeError("timeout")
+
+    failed, report = api.batch(spark, f"{where}/a.pdf", f"{where}/out2", Broken(), retry_failed=1)
+    assert [(r.status, r.attempts) for r in failed.collect()] == [("failed", 2)]
+    with pytest.raises(ValueError, match="no .pdf"):
+        api.batch(spark, str(tmp_path / "out"), where, FixedRecognizer())
+
+
+def test_evaluation_api(spark, tmp_path):
+    (tmp_path / "gold.json").write_text('{"version":"1","source_pdf":"d","pages":[{"page":1,"prose_kr":"abc","code":"a=1"},{"page":2,"prose_kr":"x"}]}')
+    (tmp_path / "pred.json").write_text('{"source_pdf":"d","pages":[{"page":1,"text":"bad"},{"page":1,"text":"abc","blocks":[{"text":"a=1","block_type":"code"}]}]}')
+    got = api.evaluation(spark, str(tmp_path / "gold.json"), str(tmp_path / "pred.json"), str(tmp_path / "out")).first()
+    assert (got.summary.evaluated_pages, got.summary.missing_pages, got.summary.prose_cer, got.summary.code_accuracy) == (2, 1, 0.0, 1.0)
+    assert got.per_page[2].missing_prediction and got.per_page[1].prose_cer == 0.0
+
+
+def test_config_file_and_environment(tmp_path):
+    raw = {"version": "v1alpha1", "profiles": {"p": {"provider": "table", "timeout_seconds": 0, "guard": {"code_blocks": False, "numbers": False, "urls": False, "max_edit_ratio": 0}}}, "runtime_override": {"model": "m"}}
+    (tmp_path / "c.json").write_text(json.dumps(raw))
+    config = C.load(environ={C.CONFIG_VARIABLE: str(tmp_path / "c.json")})
+    got = C.with_defaults(C.resolve(config), {C.TIMEOUT_VARIABLE: "7"})
+    assert (got.provider, got.model, got.timeout_seconds, got.guard) == ("table", "m", 7, correct.Guard())
+    assert C.load(environ={}) == C.Config() and C.with_defaults(C.Profile(timeout_seconds=0), {}).timeout_seconds == C.DEFAULT_TIMEOUT
