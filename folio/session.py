@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
 _shipped: set[str] = set()
+_made: dict[str, list[str]] = {}
 
 
 def build(app: str = "folio", master: str = "local[8]", **conf: str) -> SparkSession:
@@ -31,28 +35,46 @@ def build(app: str = "folio", master: str = "local[8]", **conf: str) -> SparkSes
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  A local master may do without: it gets a temporary one, gone when Python ends."""
     conf = spark.sparkContext.getConf()
     if folder := conf.get("spark.checkpoint.dir"):
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _fallback:
         _fallback[key] = tempfile.mkdtemp(prefix="folio-")
+        atexit.register(shutil.rmtree, _fallback[key], ignore_errors=True)
     return f"file://{_fallback[key]}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
+    """Write a table to the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
+
+    Results may read it until they are used, so it stays until :func:`clean`.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete what this application has kept in the shared folder; the number of tables.  Results that still read them end here."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for p in paths:
+        path = hadoop.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that were started without it on their path."""
     root = Path(__file__).resolve().parent

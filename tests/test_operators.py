@@ -451,3 +451,18 @@ def test_config_file_and_environment(tmp_path):
     got = C.with_defaults(C.resolve(config), {C.TIMEOUT_VARIABLE: "7"})
     assert (got.provider, got.model, got.timeout_seconds, got.guard) == ("table", "m", 7, correct.Guard())
     assert C.load(environ={}) == C.Config() and C.with_defaults(C.Profile(timeout_seconds=0), {}).timeout_seconds == C.DEFAULT_TIMEOUT
+
+
+def test_kept_tables_are_cleaned_and_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from folio import session
+
+    monkeypatch.setattr(session, "_made", {})
+    table = session.keep(spark.range(3), "some")
+    assert table.count() == 3 and session.clean(spark) == 1
+    with pytest.raises(Exception, match="(?i)not.exist|no such file|not found"):
+        spark.read.parquet(table.inputFiles()[0]).count()
+    bare = SimpleNamespace(sparkContext=SimpleNamespace(getConf=dict, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.work_dir(bare)
