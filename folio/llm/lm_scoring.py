@@ -43,7 +43,7 @@ END, START = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Longest n-gram; levels grow by BASE; exponent of T.
 ORDER, BASE, TYPES = 3, 1.5, 0.75
 #: Filter bits for an entry, and how many of a 64-bit word an entry sets.
-ENTRY_BITS, PROBES = 12, 4
+ENTRY_BITS, PROBES = 10, 3
 #: Largest model that is broadcast, and the bytes of one broadcast.
 MAX_BROADCAST, BROADCAST_PART = 384 << 20, 48 << 20
 TRAIN_CHUNK = 4 << 20
