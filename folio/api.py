@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.operators import correct, evaluate, jobs, model, network, render
+from folio.operators import bench, correct, evaluate, jobs, model, network, render, validate
 from folio.plans import config as C
 from folio.plans.recognizer import FixedRecognizer, Progress, Recognition, Recognizer
 from folio.plans.run import Result, write
@@ -137,6 +139,44 @@ def evaluation(spark: SparkSession, gold_path: str, predicted_path: str, output_
     return out
 
 
+def validation(expected: DataFrame, extracted: DataFrame, output_path: str | None = None, dumps: int = 10, min_coverage: float = 1.0, min_ratio: float = 0.85) -> tuple[bool, DataFrame]:
+    """Whether the extracted text layer (page, found) holds the expected pages (page, text), and the one-row report; with a path also the report and the first failing pages are written."""
+    matches = keep(validate.page_matches(expected, extracted), "matches")
+    report = keep(validate.rollup(matches, min_coverage, min_ratio), "validation")
+    if output_path:
+        D.write_json(report, f"{output_path}/report", indent=True)
+        D.write_json(validate.dumps(matches, expected.join(extracted, "page", "left"), dumps, min_ratio), f"{output_path}/failing", indent=True)
+    return bool(report.first()["ok"]), report
+
+
+#: What a benchmark run reports.
+BENCH_RUN = "run_no long, label string, workers int, mode string, elapsed_seconds double, pages_per_minute double, ocr_seconds double, pdf_seconds double"
+
+
+def benchmark(spark: SparkSession, specs: list[tuple[str, int, str]], execute: Callable[[str, int, str], dict[str, float]], path: str, title: str = "Workers") -> DataFrame:
+    """Runs of ``specs`` (label, workers, mode) with their speed-up; one whose report lies below ``path`` is not run again.
+
+    ``execute`` gives pages, elapsed_seconds, ocr_seconds and pdf_seconds.  The summary is
+    written as JSON and as Markdown.
+    """
+    done = []
+    for n, (label, workers, mode) in enumerate(specs, 1):
+        where = f"{path}/{label}"
+        try:
+            done.append(D.read_json_rows(spark, where, BENCH_RUN, indent=True).first())
+            continue
+        except AnalysisException:  # no report yet
+            got = execute(label, workers, mode)
+        rate = got["pages"] / got["elapsed_seconds"] * 60 if got["pages"] > 0 and got["elapsed_seconds"] > 0 else 0.0
+        row = spark.createDataFrame([(n, label, workers, mode, got["elapsed_seconds"], rate, got["ocr_seconds"], got["pdf_seconds"])], BENCH_RUN)
+        D.write_json(row, where, indent=True)
+        done.append(row.first())
+    runs = bench.relative(spark.createDataFrame(done, BENCH_RUN))
+    D.write_json(runs, f"{path}/summary")
+    bench.markdown(runs, title).write.mode("overwrite").text(f"{path}/summary_markdown")
+    return runs
+
+
 def selfcheck(spark: SparkSession) -> bool:
     """Whether a local-only run over one fixed page gives its text, unchanged and without warnings."""
     files = spark.createDataFrame([("check.pdf",)], "input_pdf string")

@@ -82,8 +82,12 @@ def number_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(NUMBER), 1)
 
 
+#: Every address has one of these; a plain scan for them spares most texts the full pattern.
+URL_SIGN = r"(?i)://|www\.|[a-z0-9-]\.[a-z]{2}"
+
+
 def url_tokens(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(URL), 1), F.lower)
+    return F.when(~c.rlike(URL_SIGN), F.array().cast("array<string>")).otherwise(F.transform(F.regexp_extract_all(c, F.lit(URL), 1), F.lower))
 
 
 def unique_strings(items: Column) -> Column:

@@ -63,8 +63,13 @@ def table_rows(runs: DataFrame) -> DataFrame:
     return runs.select("run_no", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+# Header and separator of the summary table.
+TABLE_HEAD = "| Label | Workers | Mode | Seconds | Pages/min | OCR(s) | PDF(s) | Speedup | Throughput |\n|---|---:|---|---:|---:|---:|---:|---:|---:|\n"
+
+
 def markdown(runs: DataFrame, title: str) -> DataFrame:
-    head = f"# {title}\n\n| Label | Workers | Mode | Seconds | Pages/min | OCR(s) | PDF(s) | Speedup | Throughput |\n|---|---:|---|---:|---:|---:|---:|---:|---:|\n"
+    """One row: the whole summary, runs in order and the fastest one named."""
+    head = f"# {title}\n\n{TABLE_HEAD}"
     lines = table_rows(runs).agg(F.array_sort(F.collect_list(F.struct("run_no", "line"))).alias("l"))
     best = fastest(runs)
     return lines.crossJoin(F.broadcast(best)).select(F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n\n- Fastest run: `"), "label", F.lit("`\n")).alias("value"))

@@ -56,11 +56,13 @@ def line_diff(pages: DataFrame) -> DataFrame:
 
 
 def dumps(pages: DataFrame, texts: DataFrame, k: int, min_ratio: float = 0.85) -> DataFrame:
-    """(page, value): a readable diff of the first ``k`` failing pages."""
+    """(page, expected, extracted, value): both texts and a readable diff of the first ``k`` failing pages."""
     chosen = first_failing(pages, k, min_ratio)
-    ops = line_diff(texts.join(F.broadcast(chosen.select("page")), "page"))
+    own = texts.join(F.broadcast(chosen.select("page")), "page")
+    ops = line_diff(own)
     shown = F.concat(F.when(F.col("op") == "=", " ").otherwise(F.col("op")), F.col("line"))
     body = ops.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("seq", shown.alias("s")))).alias("b"))
     head = F.format_string("page=%d\nexpected_lines=%d matched_lines=%d line_ratio=%.4f\n--- expected\n+++ extracted\n", "page", "expected_lines", "matched_lines", "line_ratio")
-    rows = chosen.join(body, "page", "left")
-    return rows.select("page", F.concat(head, F.coalesce(F.array_join(F.transform("b", lambda x: x["s"]), "\n"), F.lit("")), F.lit("\n")).alias("value"))
+    both = own.select("page", F.coalesce("text", F.lit("")).alias("expected"), F.coalesce("found", F.lit("")).alias("extracted"))
+    rows = chosen.join(both, "page", "left").join(body, "page", "left")
+    return rows.select("page", "expected", "extracted", F.concat(head, F.coalesce(F.array_join(F.transform("b", lambda x: x["s"]), "\n"), F.lit("")), F.lit("\n")).alias("value"))

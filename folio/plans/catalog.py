@@ -469,6 +469,14 @@ def bench_markdown(spark, sf_dir):
     return bench.table_rows(bench.relative(A.bench_runs(spark, sf_dir)))
 
 
+_CELLS = "printf('| `%s` | %d | manual | %.3f | %.3f | %.3f | %.3f | %.2fx | %.2fx |', label, run_no, elapsed_seconds, pages_per_minute, ocr_seconds, pdf_seconds, speedup, throughput)"
+
+
+@query(RUNS + f" SELECT '# Runs' || chr(10) || chr(10) || '{bench.TABLE_HEAD}' || string_agg({_CELLS}, chr(10) ORDER BY run_no) || chr(10) || chr(10) || '- Fastest run: `' || arg_min(label, (elapsed_seconds, run_no)) || '`' || chr(10) AS value FROM rel")
+def bench_document(spark, sf_dir):
+    return bench.markdown(bench.relative(A.bench_runs(spark, sf_dir)), "Runs")
+
+
 # Expected pages are the raw pages without tags; a text layer lost every page divisible by 9 and misreads others.
 EXTRACTED = f"""WITH e AS (SELECT page_id AS page, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS text FROM pages),
 x AS (SELECT page, text, CASE WHEN page % 9 = 0 THEN '' WHEN page % 2 = 0 THEN {MISREAD('text')} ELSE text END AS found FROM e),

@@ -444,6 +444,30 @@ def test_evaluation_api(spark, tmp_path):
     assert got.per_page[2].missing_prediction and got.per_page[1].prose_cer == 0.0
 
 
+def test_validation_api(spark, tmp_path):
+    expected = spark.createDataFrame([(1, "Ab c"), (2, "one\ntwo")], "page long, text string")
+    found = spark.createDataFrame([(1, "xABCx"), (2, "one")], "page long, found string")
+    ok, report = api.validation(expected, found, f"file://{tmp_path}/v")
+    assert not ok and report.first().covered == 2
+    dump = D.read_json_rows(spark, f"file://{tmp_path}/v/failing", "page long, expected string, extracted string, value string", indent=True).first()
+    assert (dump.page, dump.expected, dump.extracted) == (2, "one\ntwo", "one") and dump.value.endswith(" one\n-two\n")
+    assert api.validation(expected.where("page = 1"), found)[0]
+
+
+def test_benchmark_api(spark, tmp_path):
+    calls = []
+
+    def execute(label, workers, mode):
+        calls.append(label)
+        return {"pages": 20, "elapsed_seconds": 120.0 / workers, "ocr_seconds": 1.0, "pdf_seconds": 0.5}
+
+    where = f"file://{tmp_path}/b"
+    for specs in ([("w1", 1, "manual")], [("w1", 1, "manual"), ("w4", 4, "manual")]):
+        runs = {r.label: r for r in api.benchmark(spark, specs, execute, where).collect()}
+    assert calls == ["w1", "w4"] and runs["w4"].speedup == 4.0 and runs["w1"].pages_per_minute == 10.0
+    assert "- Fastest run: `w4`" in "\n".join(r.value for r in spark.read.text(f"{where}/summary_markdown").collect())
+
+
 def test_config_file_and_environment(tmp_path):
     raw = {"version": "v1alpha1", "profiles": {"p": {"provider": "table", "timeout_seconds": 0, "guard": {"code_blocks": False, "numbers": False, "urls": False, "max_edit_ratio": 0}}}, "runtime_override": {"model": "m"}}
     (tmp_path / "c.json").write_text(json.dumps(raw))
