@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import exact_dedup, lm_scoring, mixing, ngram_join, oracle, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, token_output
+from folio.llm import exact_dedup, lm_scoring, merkle, mixing, ngram_join, oracle, packing, quality_classifier, quality_rules, spelling, suffix_dedup, token_counts, token_output, toxicity
 from folio.session import fresh_path
 
 
@@ -66,6 +66,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.tampered_documents(documents(spark, sf_dir)))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(documents(spark, sf_dir), one_in=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -77,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_toxicity": op12_toxicity,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": oracle.EXACT_DEDUP, "op9_quality_rules": oracle.QUALITY_RULES}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": oracle.EXACT_DEDUP, "op9_quality_rules": oracle.QUALITY_RULES, "op11_merkle_manifest": oracle.MERKLE_MANIFEST, "op13_spelling_variants": oracle.SPELLING}
