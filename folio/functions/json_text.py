@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folio.functions import text as T
 
 #: A string (closed or not), or a brace outside strings.
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', re.S)
@@ -43,6 +44,21 @@ def first_json_object(c: Column) -> Column:
 
 
 def answer_text(payload: Column) -> Column:
-    """The answer's text in any of three payload shapes: whole text, output items, or chat choices."""
-    paths = ("$.output_text", "$.output[0].content[0].text", "$.choices[0].message.content")
-    return F.coalesce(*[F.nullif(F.get_json_object(payload, p), F.lit("")) for p in paths])
+    """The answer's text: ``output_text``, else the first choice's content, else the contents of all output items, a line each; null without any.
+
+    A content is a text, or a list of texts and of objects with a ``text`` or ``value``, which are lines too.
+    """
+    part = lambda v, path: F.try_variant_get(v, path, "variant")
+
+    def text(v: Column) -> Column:
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    def content(v: Column) -> Column:
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(text(x), text(part(x, "$.text")), text(part(x, "$.value"))))
+        return F.coalesce(text(v), F.when(F.schema_of_variant(v).startswith("ARRAY"), F.array_join(F.filter(items, lambda x: x.isNotNull()), "\n")))
+
+    filled = lambda c: F.when(~T.blank(c), c)
+    doc = F.try_parse_json(payload)
+    outputs = F.transform(F.try_variant_get(doc, "$.output", "array<variant>"), lambda x: filled(content(part(x, "$.content"))))
+    whole = F.nullif(F.array_join(F.filter(outputs, lambda x: x.isNotNull()), "\n"), F.lit(""))
+    return F.coalesce(filled(text(part(doc, "$.output_text"))), filled(content(part(doc, "$.choices[0].message.content"))), whole)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folio.functions import nearest
 from folio.functions import text as T
 from folio.functions.lines import common_length
 from folio.functions.text import let
@@ -17,26 +18,21 @@ def character_error_rate(reference: Column, prediction: Column) -> Column:
     return let(F.struct(ref.alias("r"), pred.alias("p")), lambda s: F.when(s["r"] == "", F.when(s["p"] == "", 0.0).otherwise(1.0)).otherwise(F.levenshtein(s["r"], s["p"]) / F.char_length(s["r"])))
 
 
-def best_snippet_error(reference: Column, page: Column) -> Column:
-    """0 if the page contains the snippet, else the least error of any line, 1 at most.
+def _errors(snippets: pd.Series, page: pd.Series) -> pd.Series:
+    return pd.Series(nearest.snippet_errors([None if x is None else list(x) for x in snippets], list(page)))
 
-    A distance beyond the snippet's length would be capped at 1 anyway, so the
-    edit distance stops there.
-    """
 
-    def search(s: Column) -> Column:
-        ref, size = s["r"], F.char_length(s["r"])
-        lines = F.filter(F.transform(F.split(s["p"], "\n"), T.utrim), lambda x: x != "")
+def best_snippet_errors(snippets: Column, page: Column) -> Column:
+    """For normalised snippets (an array) and a normalised page: 0 if the page contains a snippet, else the least error of any line, 1 at most.
 
-        def one(line: Column) -> Column:
-            near = F.call_function("levenshtein", ref, line, size)
-            return F.when(near < 0, 1.0).otherwise(near / size)
+    An Arrow kernel over all pairs of a batch, whose limit is the best line so far.
+    """
+    return F.pandas_udf(_errors, "array<double>")(snippets, page)
 
-        worth = F.filter(lines, lambda x: F.abs(F.char_length(x) - size) < size)
-        best = F.least(F.lit(1.0), F.coalesce(F.array_min(F.transform(worth, one)), F.lit(1.0)))
-        return F.when(ref == "", 0.0).when(s["p"] == "", 1.0).when(F.contains(s["p"], ref), 0.0).otherwise(best)
 
-    return let(F.struct(T.normalize_prose(reference).alias("r"), T.normalize_prose(page).alias("p")), search)
+def best_snippet_error(reference: Column, page: Column) -> Column:
+    """The same for one snippet and page as they are."""
+    return best_snippet_errors(F.array(T.normalize_prose(reference)), T.normalize_prose(page))[0]
 
 
 def _accuracy(reference: pd.Series, prediction: pd.Series) -> pd.Series:
@@ -66,9 +62,9 @@ def set_f1(expected: Column, actual: Column) -> Column:
     return let(F.struct(T.unique_strings(expected).alias("e"), F.array_distinct(actual).alias("a")), score)
 
 
-def snippet_positions(page: Column, snippets: Column) -> Column:
+def snippet_positions(page: Column, snippets: Column, normalised: bool = False) -> Column:
     """First place of each snippet in the page's search key, from 0; -1 if it is missing."""
-    return let(T.search_key(page), lambda key: F.transform(snippets, lambda s: F.instr(key, T.search_key(s)) - 1))
+    return let(T.key_of(page) if normalised else T.search_key(page), lambda key: F.transform(snippets, lambda s: F.instr(key, T.search_key(s)) - 1))
 
 
 def in_order(positions: Column) -> Column:

@@ -58,9 +58,14 @@ def code_lines(c: Column) -> Column:
     return F.transform(lines, normalize_code_line)
 
 
+def key_of(prose: Column) -> Column:
+    """The search key of normalised prose."""
+    return F.regexp_replace(F.lower(prose), r"[^0-9a-z가-힣]+", "")
+
+
 def search_key(c: Column) -> Column:
     """Lower case, digits, Latin letters and Hangul syllables only."""
-    return F.regexp_replace(F.lower(normalize_prose(c)), r"[^0-9a-z가-힣]+", "")
+    return key_of(normalize_prose(c))
 
 
 def match_key(c: Column) -> Column:

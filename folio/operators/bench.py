@@ -67,6 +67,25 @@ def table_rows(runs: DataFrame) -> DataFrame:
 TABLE_HEAD = "| Label | Workers | Mode | Seconds | Pages/min | OCR(s) | PDF(s) | Speedup | Throughput |\n|---|---:|---|---:|---:|---:|---:|---:|---:|\n"
 
 
+# Header and separator of the shard summary's table.
+SHARD_HEAD = "| Label | Shards | Workers/Shard | Mode | Seconds | Pages/min | OCR Total(s) | Slowest Shard(s) | Speedup | Throughput |\n|---|---:|---:|---|---:|---:|---:|---:|---:|---:|\n"
+
+
+def shard_rows(runs: DataFrame) -> DataFrame:
+    """(run_no, line): one Markdown table row per run of a shard benchmark; null figures count as 0."""
+    seconds = [_cell(F.col(c), 3) for c in ("elapsed_seconds", "pages_per_minute", "ocr_seconds_total", "slowest_shard_seconds")]
+    cells = [F.concat(F.lit("`"), "label", F.lit("`")), F.col("shards").cast("string"), F.coalesce("workers", F.lit(0)).cast("string"), F.col("mode"), *seconds, _cell(F.col("speedup"), 2, "x"), _cell(F.col("throughput"), 2, "x")]
+    return runs.select("run_no", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def shard_markdown(runs: DataFrame, generated_at: str, input_pdf: str, profile: str, local_only: bool, workers: int, mode: str) -> DataFrame:
+    """One row: the summary of a shard benchmark, its settings, its runs in order, and the fastest one (ties: the first)."""
+    facts = {"Generated at": f"`{generated_at}`", "Input": f"`{input_pdf}`", "Profile": f"`{profile}`", "Local only": f"`{str(local_only).lower()}`", "Max workers per shard": f"`{workers}` ({mode})"}
+    head = "# Process Shard Benchmark\n\n" + "".join(f"- {k}: {v}\n" for k, v in facts.items()) + f"\n{SHARD_HEAD}"
+    lines = shard_rows(runs).agg(F.array_sort(F.collect_list(F.struct("run_no", "line"))).alias("l"))
+    return lines.crossJoin(F.broadcast(fastest(runs))).select(F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n\n- Fastest run: `"), "label", F.lit("`\n")).alias("value"))
+
+
 def markdown(runs: DataFrame, title: str) -> DataFrame:
     """One row: the whole summary, runs in order and the fastest one named."""
     head = f"# {title}\n\n{TABLE_HEAD}"

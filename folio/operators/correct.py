@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import model
+from folio.operators import model, order
+from folio.session import keep
 
 
 @dataclass(frozen=True)
@@ -134,11 +135,17 @@ def request_counters(requests: DataFrame) -> DataFrame:
     return requests.agg(F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("request_seconds"), F.coalesce(F.sum("pages"), F.lit(0)).cast("long").alias("completed_pages"))
 
 
+def requests(pages: DataFrame, size: int = 1) -> DataFrame:
+    """The requests of a correction loop, in order: source_pdf, batch, pages, current_page (the last of the batch), completed_pages (so far) and total_pages."""
+    batches = page_batches(pages, size).groupBy("source_pdf", "batch").agg(F.count(F.lit(1)).alias("pages"), F.max("page").alias("current_page"))
+    totals = batches.groupBy("source_pdf").agg(F.sum("pages").alias("total_pages"))
+    return order.running(batches, ["source_pdf"], ["batch"], completed_pages=F.col("pages")).join(totals, "source_pdf")
+
+
 def page_batches(pages: DataFrame, size: int = 1) -> DataFrame:
-    """(source_pdf, page, batch): groups of ``size`` pages in a row, blank pages without blocks left out."""
-    rows = pages.where(~(T.blank(F.col("source_text")) & (F.col("correction.total_blocks") == 0)))
-    n = F.row_number().over(Window.partitionBy("source_pdf").orderBy("page")) - 1
-    return rows.select("source_pdf", "page", F.floor(n / max(1, size)).alias("batch"))
+    """(source_pdf, page, batch): groups of ``size`` pages in a row, blank pages without blocks left out; pages are numbered by ranges, so no document is one task."""
+    rows = pages.where(~(T.blank(F.col("source_text")) & (F.col("correction.total_blocks") == 0))).select("source_pdf", "page")
+    return order.numbered(rows, ["source_pdf"], ["page"]).select("source_pdf", "page", F.floor(F.col("index") / max(1, size)).alias("batch"))
 
 
 def prompt_rows(blocks: DataFrame, guard: Guard = Guard()) -> DataFrame:
@@ -152,6 +159,22 @@ def prompt_rows(blocks: DataFrame, guard: Guard = Guard()) -> DataFrame:
 Provider = Callable[[DataFrame], DataFrame]
 
 
+def run_in_batches(pages: DataFrame, blocks: DataFrame, provider: Provider, size: int = 1, guard: Guard = Guard()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, blocks, counters) of :func:`run` where the provider sees its blocks with the ``batch`` of their page, and blank pages not at all.
+
+    The provider may give the ``seconds`` of its answers by (source_pdf, batch); the counters are
+    those of ``request_counters``.
+    """
+    b = model.normalize_blocks(blocks)
+    asked = requests(model.normalize_pages(pages, b), size)
+    groups = page_batches(model.normalize_pages(pages, b), size)
+    answers = keep(provider(b.join(groups, ["source_pdf", "page"])), "answers")
+    out = run(pages, blocks, lambda _: answers, guard)
+    timed = answers.groupBy("source_pdf", "batch").agg(F.sum("seconds").alias("seconds")) if {"batch", "seconds"} <= set(answers.columns) else None
+    rows = asked.withColumn("seconds", F.lit(0.0)) if timed is None else asked.join(timed, ["source_pdf", "batch"], "left").fillna({"seconds": 0.0})
+    return *out, request_counters(rows)
+
+
 def run(pages: DataFrame, blocks: DataFrame, provider: Provider | None, guard: Guard = Guard()) -> tuple[DataFrame, DataFrame]:
     """Normalise, merge the provider's answers, normalise again.  A page's status is set before the merge, so only an explicit one changes it."""
     b = model.normalize_blocks(blocks)

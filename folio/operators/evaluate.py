@@ -33,16 +33,20 @@ def per_page(gold: DataFrame, pred: DataFrame) -> DataFrame:
     rows = gold.join(pred.withColumn("__found", F.lit(True)), ["source_pdf", "page"], "left")
     found = F.coalesce("__found", F.lit(False))
     has = lambda c: found & ~T.blank(F.col(c))
+    asked = lambda c: F.when(has(c), T.normalize_prose(F.col(c)))
     snippets = F.coalesce("reading_order_snippets", F.array().cast("array<string>"))
+    # The page is normalised once, for both snippets and their places.
+    rows = rows.withColumn("__prose", T.normalize_prose(F.col("p_text")))
+    rows = rows.withColumn("__errors", M.best_snippet_errors(F.array(asked("prose_kr"), asked("prose_mixed")), F.col("__prose")))
     return rows.select(
         "source_pdf",
         "page",
         (~found).alias("missing_prediction"),
-        F.when(has("prose_kr"), M.best_snippet_error(F.col("prose_kr"), F.col("p_text"))).alias("prose_cer"),
-        F.when(has("prose_mixed"), M.best_snippet_error(F.col("prose_mixed"), F.col("p_text"))).alias("mixed_cer"),
+        F.when(has("prose_kr"), F.get("__errors", F.lit(0))).alias("prose_cer"),
+        F.when(has("prose_mixed"), F.get("__errors", F.lit(1))).alias("mixed_cer"),
         F.when(has("code"), M.code_line_accuracy(F.col("code"), F.col("p_code"))).alias("code_accuracy"),
         F.when(found & (F.size(T.unique_strings(F.coalesce("expected_block_types", F.array().cast("array<string>")))) > 0), M.set_f1(F.col("expected_block_types"), F.col("p_types"))).alias("layout_f1"),
-        F.when(found & (F.size(snippets) > 0), ~M.in_order(M.snippet_positions(F.col("p_text"), snippets))).alias("order_error"),
+        F.when(found & (F.size(snippets) > 0), ~M.in_order(M.snippet_positions(F.col("__prose"), snippets, normalised=True))).alias("order_error"),
     )
 
 

@@ -71,17 +71,29 @@ def effective_workers(workers: Column, pending: Column) -> Column:
     return F.when(pending == 0, 0).otherwise(F.least(F.greatest(workers, F.lit(1)), pending))
 
 
-def run(jobs: DataFrame, execute: Callable[[DataFrame], DataFrame], retry_failed: int = 0) -> DataFrame:
-    """All rounds: ``execute`` takes runnable jobs and returns (input_pdf, error); failed ones are tried again at the end."""
+def run(jobs: DataFrame, execute: Callable[[DataFrame], DataFrame], retry_failed: int = 0, on_change: Callable[[DataFrame], object] = lambda jobs: None) -> DataFrame:
+    """All rounds: ``execute`` takes runnable jobs and returns (input_pdf, error); failed ones are tried again at the end.
+
+    ``on_change`` is given all jobs at the start, with those of a round running, and after each round.
+    """
     from folio.session import keep
 
+    jobs = jobs if "error" in jobs.columns else jobs.withColumn("error", F.lit(None).cast("string"))
+    on_change(jobs)
     for attempt in range(retry_failed + 1):
         todo = runnable(jobs, attempt)
+        if todo.isEmpty():
+            continue
+        now = F.col("__todo").isNotNull()
+        started = jobs.join(todo.select("input_pdf", F.lit(True).alias("__todo")), "input_pdf", "left")
+        on_change(started.withColumn("status", F.when(now, "running").otherwise(F.col("status"))).withColumn("error", F.when(~now, F.col("error"))).drop("__todo"))
         got = execute(todo).select("input_pdf", F.col("error").alias("__error"), F.lit(True).alias("__ran"))
         rows = jobs.join(got, "input_pdf", "left")
         ran = F.coalesce("__ran", F.lit(False))
         rows = rows.withColumn("attempts", F.col("attempts") + ran.cast("int"))
         rows = rows.withColumn("status", F.when(~ran, F.col("status")).when(F.col("__error").isNull(), "succeeded").otherwise("failed"))
         rows = rows.withColumn("retryable", F.when(ran, retryable(F.col("__error"))).otherwise(F.col("retryable")))
-        jobs = keep(rows.select("input_pdf", "run_dir", "status", "attempts", "retryable"), "jobs")
+        rows = rows.withColumn("error", F.when(ran, F.col("__error")).otherwise(F.col("error")))
+        jobs = keep(rows.select("input_pdf", "run_dir", "status", "attempts", "retryable", "error"), "jobs")
+        on_change(jobs)
     return jobs

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +14,33 @@ from folio.functions import text as T
 from folio.functions.lines import edit_script
 
 
+def found_lines(lines: list[str], key: str) -> int:
+    """How many of ``lines`` (repeated ones each) the text ``key`` holds: one automaton over the distinct lines, one pass over the text."""
+    if not lines or not key:
+        return 0
+    count = Counter(lines)
+    automaton = ahocorasick.Automaton()
+    for line in count:
+        automaton.add_word(line, line)
+    automaton.make_automaton()
+    seen: set[str] = set()
+    for _, line in automaton.iter(key):
+        seen.add(line)
+        if len(seen) == len(count):
+            break
+    return sum(count[line] for line in seen)
+
+
+def _found(lines: pd.Series, key: pd.Series) -> pd.Series:
+    return pd.Series([found_lines(list(a), k) for a, k in zip(lines, key, strict=True)], dtype="int32")
+
+
 def page_matches(expected: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Per expected page (page, text): how many of its lines the extracted text (page, found) holds, in any order."""
-    rows = expected.join(extracted, "page", "left").select("page", "text", F.coalesce("found", F.lit("")).alias("found"))
+    """Per expected page (page, text; null is empty): how many of its lines the extracted text (page, found) holds, in any order."""
+    rows = expected.join(extracted, "page", "left").select("page", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("found", F.lit("")).alias("found"))
     rows = rows.select("page", T.match_lines(F.col("text")).alias("lines"), T.match_key(F.col("found")).alias("key"))
-    matched = F.size(F.filter("lines", lambda x: F.contains(F.col("key"), x)))
-    size = F.size("lines")
+    rows = rows.withColumn("matched", F.pandas_udf(_found, "int")("lines", "key"))
+    size, matched = F.size("lines"), F.col("matched")
     return rows.select("page", (size > 0).alias("expected_filled"), (F.col("key") != "").alias("extracted_filled"), size.alias("expected_lines"), matched.alias("matched_lines"), F.when(size == 0, 1.0).otherwise(matched / size).alias("line_ratio"))
 
 

@@ -11,10 +11,13 @@ from folio.functions import json_text, labels
 from folio.functions import metrics as M
 from folio.functions import recognition as R
 from folio.functions import text as T
-from folio.operators import bench, correct, evaluate, jobs, model, network, render, shards, telemetry, validate
+from folio.operators import bench, correct, evaluate, jobs, model, network, order, render, shards, telemetry, validate
+from folio.session import fresh_path
 from folio.sources import adapters as A
 from folio.sources import documents as D
-from folio.streaming import progress
+from folio.sources import pages as P
+from folio.streaming import machine, progress
+from folio.streaming.state import SavedState
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,6 +48,7 @@ PLAIN = f"translate({{0}}, '{A.ACCENTS}', '{A.PLAIN}')".format
 MISREAD = "replace(replace({0}, 'tion', 'tlon'), 'the ', 'tbe ')".format
 SYMBOL_CLASS = "".join("\\" + s for s in R.SYMBOLS).replace("'", "''")
 RATIO = lambda x: f"(CASE WHEN {TRIM(x)} = '' THEN 0.0 ELSE (length({TRIM(x)}) - length(regexp_replace({TRIM(x)}, '[{SYMBOL_CLASS}]', '', 'g'))) / length({TRIM(x)})::DOUBLE END)"
+# The patterns of block types.
 WORDS = "(^|[^\\p{L}\\p{N}_])(def|class|return|import|SELECT|FROM|WHERE|if|for|while)([^\\p{L}\\p{N}_]|$)|[{}\\[\\];]|=>|==|!="
 CLASSIFY = lambda x: f"""(CASE WHEN {TRIM(x)} = '' THEN 'paragraph'
   WHEN regexp_matches({TRIM(x)}, '(?i)^(\\d+\\s*장|chapter\\s+\\d+|part\\s+\\d+)') THEN 'heading'
@@ -664,15 +668,16 @@ def process_tree(spark, sf_dir):
     return network.process_tree(p.unionByName(cycle), 1).select("pid", F.col("depth").cast("long").alias("depth"))
 
 
-# A run for each user: two stages, every tenth event the start of a page, 0.7 s from event to event.
+# A run for each user: two stages, every tenth event the start of a page, 0.7 s from event to event; ``done`` pages are those completed.
 PROGRESS = """WITH RECURSIVE n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS total FROM events),
-e AS (SELECT *, i * 0.7 AS clock, CASE WHEN i = 1 THEN 'document_started' WHEN i % 10 = 0 THEN 'page_started' ELSE 'page_done' END AS phase, CASE WHEN 3 * i < total THEN 'render' ELSE 'recognize' END AS stage FROM n),
-f AS (SELECT user_id, i, true AS shown, stage AS ls, i AS lc, clock AS la FROM e WHERE i = 1
-  UNION ALL SELECT e.user_id, e.i, c.shown, CASE WHEN c.shown THEN e.stage ELSE f.ls END, CASE WHEN c.shown THEN e.i ELSE f.lc END, CASE WHEN c.shown THEN e.clock ELSE f.la END
+e AS (SELECT *, i * 0.7 AS clock, {done} AS done, CASE WHEN i = 1 THEN 'document_started' WHEN i % 10 = 0 THEN 'page_started' ELSE 'page_done' END AS phase, CASE WHEN 3 * i < total THEN 'render' ELSE 'recognize' END AS stage FROM n),
+f AS (SELECT user_id, i, true AS shown, stage AS ls, done AS lc, clock AS la, phase AS lp FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, c.shown, CASE WHEN c.shown THEN e.stage ELSE f.ls END, CASE WHEN c.shown THEN e.done ELSE f.lc END, CASE WHEN c.shown THEN e.clock ELSE f.la END, CASE WHEN c.shown THEN e.phase ELSE f.lp END
   FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1,
   LATERAL (SELECT e.phase <> 'page_started' AND ({rule}) AS shown) c)
 """
-_SPARSE = "e.stage <> f.ls OR e.i >= e.total OR e.i // greatest(1, e.total // 20) <> f.lc // greatest(1, e.total // 20) OR e.clock - f.la >= 5"
+_SPARSE = "e.stage <> f.ls OR e.done >= e.total OR e.done // greatest(1, e.total // 20) <> f.lc // greatest(1, e.total // 20) OR e.clock - f.la >= 5"
+_LIVE = "e.phase <> f.lp OR e.stage <> f.ls OR e.done <> f.lc"
 
 
 def _renders(spark, sf_dir, live: bool) -> DataFrame:
@@ -682,15 +687,194 @@ def _renders(spark, sf_dir, live: bool) -> DataFrame:
     e = A.table(spark, sf_dir, "events").select("user_id", F.row_number().over(w.orderBy("event_id")).cast("long").alias("i"), F.count(F.lit(1)).over(w).alias("total"))
     phase = F.when(i == 1, "document_started").when(i % 10 == 0, "page_started").otherwise("page_done")
     stage = F.when(3 * i < F.col("total"), "render").otherwise("recognize")
-    events = e.select(F.col("user_id").cast("string").alias("run"), i.alias("seq"), (i * 0.7).alias("at"), phase.alias("phase"), stage.alias("stage"), i.alias("current_page"), i.alias("completed_pages"), F.col("total").alias("total_pages"))
+    # Live, three events in a row differ in nothing but the page at hand.
+    done = F.floor(i / 3) if live else i
+    events = e.select(F.col("user_id").cast("string").alias("run"), i.alias("seq"), (i * 0.7).alias("at"), phase.alias("phase"), stage.alias("stage"), i.alias("current_page"), done.alias("completed_pages"), F.col("total").alias("total_pages"))
     return progress.rendered(events, live).groupBy(F.col("run").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("lines"), F.max("seq").alias("last"))
 
 
-@query(PROGRESS.format(rule=_SPARSE) + "SELECT user_id, count(*) FILTER (shown) AS lines, max(i) FILTER (shown) AS last FROM f GROUP BY ALL")
+@query(PROGRESS.format(rule=_SPARSE, done="i") + "SELECT user_id, count(*) FILTER (shown) AS lines, max(i) FILTER (shown) AS last FROM f GROUP BY ALL")
 def rendered_events(spark, sf_dir):
     return _renders(spark, sf_dir, live=False)
 
 
-@query(PROGRESS.format(rule="true") + "SELECT user_id, count(*) FILTER (shown) AS lines, max(i) FILTER (shown) AS last FROM f GROUP BY ALL")
+@query(PROGRESS.format(rule=_LIVE, done="i // 3") + "SELECT user_id, count(*) FILTER (shown) AS lines, max(i) FILTER (shown) AS last FROM f GROUP BY ALL")
 def rendered_live(spark, sf_dir):
     return _renders(spark, sf_dir, live=True)
+
+
+# A batch for each customer, a job for each order: it waits, runs, reports a page, and ends 2.5 orders later.
+BATCHES = """WITH RECURSIVE o AS (SELECT o_custkey::VARCHAR AS batch, o_orderkey AS k, o_orderstatus AS s FROM orders),
+t AS (SELECT batch, -1 - k AS seq, k, 'pending' AS status, '' AS phase FROM o UNION ALL SELECT batch, 10 * k, k, 'running', 'job_started' FROM o
+  UNION ALL SELECT batch, 10 * k + 12, k, 'running', 'page' FROM o UNION ALL SELECT batch, 10 * k + 25, k, CASE s WHEN 'O' THEN 'succeeded' WHEN 'F' THEN 'failed' ELSE 'skipped' END, 'job_done' FROM o),
+b AS (SELECT *, lag(status) OVER (PARTITION BY batch, k ORDER BY seq) AS old FROM t),
+c AS (SELECT batch, seq, k, phase, seq * 0.05 AS clock, CASE k % 3 WHEN 0 THEN 'vision_ocr' ELSE 'searchable_pdf' END AS stage, k % 41 AS pages, 40 AS of_pages,
+  (sum(CASE WHEN old IS NULL THEN 1 ELSE 0 END) OVER w)::BIGINT AS total, """ + ", ".join(f"(sum((status = '{s}')::INT - coalesce((old = '{s}')::INT, 0)) OVER w)::BIGINT AS {s}" for s in progress.STATUSES) + """
+  FROM b WINDOW w AS (PARTITION BY batch ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, succeeded + failed + skipped AS completed FROM c)"""
+_STEP = "CASE WHEN {0} > 0 AND {1} > 0 THEN {0} // greatest(1, {1} // 20) ELSE 0 END".format
+_CROSSED = lambda d, t, b: f"({d} > {b} AND {d} > 0 AND (({t} > 0 AND {d} >= {t}) OR ({d} = 1 AND {b} < 1) OR {_STEP(d, t)} <> {_STEP(b, t)}))"
+_BATCH_SPARSE = f"e.phase IN ('job_started', 'job_done') OR e.stage <> f.ls OR {_CROSSED('e.completed', 'e.total', 'f.lc')} OR {_CROSSED('e.pages', 'e.of_pages', 'f.lp')} OR e.clock - f.la >= 5"
+BATCH_FOLD = BATCHES + """, e AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY seq) AS i, concat_ws('|', phase, completed, succeeded, failed, skipped, running, total, k // 2, pages, of_pages, stage) AS sign FROM s WHERE seq >= 0),
+f AS (SELECT batch, i, seq, true AS shown, stage AS ls, completed AS lc, pages AS lp, clock AS la, sign AS lsign FROM e WHERE i = 1
+  UNION ALL SELECT e.batch, e.i, e.seq, c.shown, CASE WHEN c.shown THEN e.stage ELSE f.ls END, CASE WHEN c.shown THEN e.completed ELSE f.lc END, CASE WHEN c.shown THEN e.pages ELSE f.lp END, CASE WHEN c.shown THEN e.clock ELSE f.la END, CASE WHEN c.shown THEN e.sign ELSE f.lsign END
+  FROM f JOIN e ON e.batch = f.batch AND e.i = f.i + 1, LATERAL (SELECT ({rule}) AS shown) c)
+SELECT batch, count(*) FILTER (shown) AS lines, sum(seq) FILTER (shown)::BIGINT AS which FROM f GROUP BY ALL"""
+
+
+def _batch_snapshots(spark, sf_dir) -> DataFrame:
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    end = F.when(s == "O", "succeeded").when(s == "F", "failed").otherwise("skipped")
+    step = lambda seq, status, phase: F.struct(seq.cast("long").alias("seq"), status.alias("status"), F.lit(phase).alias("phase"))
+    running = F.lit("running")
+    steps = F.array(step(-1 - k, F.lit("pending"), ""), step(10 * k, running, "job_started"), step(10 * k + 12, running, "page"), step(10 * k + 25, end, "job_done"))
+    rows = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("batch"), k.alias("k"), F.explode(steps).alias("e")).select("batch", "k", "e.*")
+    rows = rows.withColumn("input_pdf", F.col("k").cast("string")).withColumn("stage", F.when(F.col("k") % 3 == 0, "vision_ocr").otherwise("searchable_pdf"))
+    rows = rows.withColumn("at", F.col("seq") * 0.05).withColumn("completed_pages", F.col("k") % 41).withColumn("total_pages", F.lit(40).cast("long"))
+    return progress.batch_snapshots(rows)
+
+
+@query(BATCHES + " SELECT batch, seq, total, completed, pending, running, succeeded, failed, skipped FROM s")
+def batch_snapshots(spark, sf_dir):
+    return _batch_snapshots(spark, sf_dir).select("batch", "seq", "total", "completed", *progress.STATUSES)
+
+
+def _batch_lines(spark, sf_dir, live: bool) -> DataFrame:
+    rows = _batch_snapshots(spark, sf_dir).where("seq >= 0").withColumn("input_pdf", F.floor(F.col("k") / 2).cast("string"))
+    return progress.rendered_batch(rows, live).groupBy("batch").agg(F.count(F.lit(1)).alias("lines"), F.sum("seq").alias("which"))
+
+
+@query(BATCH_FOLD.format(rule=_BATCH_SPARSE))
+def rendered_batch(spark, sf_dir):
+    return _batch_lines(spark, sf_dir, live=False)
+
+
+@query(BATCH_FOLD.format(rule="e.sign <> f.lsign"))
+def rendered_batch_live(spark, sf_dir):
+    return _batch_lines(spark, sf_dir, live=True)
+
+
+# Changes of a job for each user, many of them not allowed.
+_NEXT = "CASE f.status " + " ".join(f"WHEN '{a}' THEN {list(b)}" for a, b in machine.TRANSITIONS.items()) + " END"
+MACHINE = f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS input_pdf, event_id AS seq, (['pending', 'running', 'succeeded', 'failed', 'skipped'])[1 + (event_id * 7 + user_id) % 5] AS status, event_id % 4 <> 0 AS retryable, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT DISTINCT input_pdf, 0::BIGINT AS i, NULL::BIGINT AS seq, '' AS from_status, '' AS to_status, true AS legal, '' AS status, 0::BIGINT AS attempts, true AS retryable FROM e
+  UNION ALL SELECT e.input_pdf, e.i, e.seq, f.status, e.status, c.legal, CASE WHEN c.legal THEN e.status ELSE f.status END,
+    CASE WHEN c.legal AND e.status IN ('succeeded', 'failed') THEN f.attempts + 1 WHEN c.legal AND e.status = 'pending' AND f.status <> 'running' THEN 0 ELSE f.attempts END, CASE WHEN c.legal THEN e.retryable ELSE f.retryable END
+  FROM f JOIN e ON e.input_pdf = f.input_pdf AND e.i = f.i + 1, LATERAL (SELECT list_contains({_NEXT}, e.status) AND NOT (f.status = 'failed' AND e.status = 'running' AND NOT f.retryable) AS legal) c)
+SELECT input_pdf, seq, from_status, to_status, legal, attempts FROM f WHERE i > 0"""
+
+
+def _changes(spark, sf_dir) -> DataFrame:
+    e = progress.table_stream(spark, f"{sf_dir}/events.parquet")
+    status = F.element_at(F.array(*map(F.lit, ("pending", "running", "succeeded", "failed", "skipped"))), (1 + (F.col("event_id") * 7 + F.col("user_id")) % 5).cast("int"))
+    return e.select(F.col("user_id").cast("string").alias("input_pdf"), F.col("event_id").alias("seq"), status.alias("status"), (F.col("event_id") % 4 != 0).alias("retryable"))
+
+
+@query(MACHINE)
+def job_transitions(spark, sf_dir):
+    return machine.run_changes(spark, _changes(spark, sf_dir))
+
+
+@query("SELECT input_pdf, max(seq) AS seq, arg_max(status, seq) AS status FROM (SELECT user_id::VARCHAR AS input_pdf, event_id AS seq, (['pending', 'running', 'succeeded', 'failed', 'skipped'])[1 + (event_id * 7 + user_id) % 5] AS status FROM events) GROUP BY ALL")
+def saved_job_state(spark, sf_dir):
+    saved = SavedState(spark, fresh_path(spark, "state"))
+    stream = _changes(spark, sf_dir).writeStream.foreachBatch(saved.sink(["input_pdf"], "seq")).option("checkpointLocation", fresh_path(spark, "state-checkpoint")).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return saved.load().select("input_pdf", "seq", "status")
+
+
+# Documents of any size: a whole source is one.
+WHOLE = "pages_ AS (SELECT source AS source_pdf, doc_id + 1 AS page, coalesce(text, '') AS text, doc_id FROM documents)"
+_DIGEST = "source_pdf, count(*) AS n_lines, sum((n % 997 + 1) * ('0x' || substr(md5(value), 1, 8))::BIGINT)::BIGINT AS digest"
+_LINES_OF = "l_ AS (SELECT source_pdf, unnest(l) AS value, generate_subscripts(l, 1) - 1 AS n FROM (SELECT source_pdf, string_split(value, chr(10)) AS l FROM whole_))"
+
+
+def _digest(lines: DataFrame) -> DataFrame:
+    """Lines of documents in one number that depends on their order."""
+    part = F.conv(F.substr(F.md5("value"), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    return lines.groupBy("source_pdf").agg(F.count(F.lit(1)).alias("n_lines"), F.sum((F.col("line") % 997 + 1) * part).alias("digest"))
+
+
+@query(f"WITH {WHOLE}, whole_ AS (SELECT source_pdf, string_agg({TRIM('text')}, chr(10) || chr(10) ORDER BY page) AS value FROM pages_ GROUP BY ALL), {_LINES_OF} SELECT {_DIGEST} FROM l_ GROUP BY source_pdf")
+def render_text_files(spark, sf_dir):
+    path = fresh_path(spark, "text")
+    render.write_text(A.document_pages(spark, sf_dir, whole=True), path)
+    return _digest(order.read_lines(spark, path, "source_pdf"))
+
+
+@query(
+    f"WITH {WHOLE}, {lines()}, shown AS (SELECT source_pdf, page, n, CASE {CLASSIFY('text')} WHEN 'heading' THEN '### ' || text WHEN 'code' THEN '```text' || chr(10) || text || chr(10) || '```' WHEN 'caption' THEN '*' || text || '*' ELSE text END AS s FROM lines_),"
+    " page_ AS (SELECT p.source_pdf, p.page, '## Page ' || p.page || chr(10) || coalesce(string_agg(s, chr(10) ORDER BY n) || chr(10), '') AS v FROM pages_ p LEFT JOIN shown USING (source_pdf, page) GROUP BY p.source_pdf, p.page),"
+    f" whole_ AS (SELECT source_pdf, string_agg(v, chr(10) ORDER BY page) AS value FROM page_ GROUP BY ALL), {_LINES_OF} SELECT {_DIGEST} FROM l_ GROUP BY source_pdf"
+)
+def render_markdown_files(spark, sf_dir):
+    path, pages = fresh_path(spark, "markdown"), A.document_pages(spark, sf_dir, whole=True)
+    blocks = model.number_blocks(A.bare(A.document_blocks(pages)).withColumn("block_type", R.classify_block(F.col("text"))))
+    render.write_markdown(A.bare(pages, blocks=False), blocks, path)
+    return _digest(order.read_lines(spark, path, "source_pdf"))
+
+
+@query(f"WITH {WHOLE}, s_ AS (SELECT source_pdf, page, octet_length(encode({TRIM('text')}))::BIGINT AS size FROM pages_) SELECT source_pdf, page, size, (sum(size + 2) OVER (PARTITION BY source_pdf ORDER BY page) - size - 2)::BIGINT AS start FROM s_")
+def text_layout(spark, sf_dir):
+    return render.text_layout(A.document_pages(spark, sf_dir, whole=True))
+
+
+@query(f"WITH {WHOLE}, {lines()} SELECT source_pdf, page, md5(p.text) AS text_md5, count(l.text) AS blocks, coalesce(md5(string_agg(l.text, '|' ORDER BY n)), md5('')) AS blocks_md5 FROM pages_ p LEFT JOIN lines_ l USING (source_pdf, page) GROUP BY source_pdf, page, p.text")
+def large_documents(spark, sf_dir):
+    path, pages = fresh_path(spark, "documents"), A.document_pages(spark, sf_dir, whole=True)
+    blocks = F.transform(F.filter(F.transform(F.split("text", "\n"), T.utrim), lambda x: x != ""), lambda x: F.struct(x.alias("text")))
+    # A text of white space alone stands for no text; such pages keep it in ``source_text``.
+    D.write_large_documents(pages.select("source_pdf", F.col("page").cast("int").alias("page"), "text", F.concat(F.lit("="), "text").alias("source_text"), blocks.alias("blocks")), "tables", path)
+    read = P.read_pages(spark, path, separator="\n", folders=True)
+    texts = F.transform("blocks", lambda b: b["text"])
+    return read.select("source_pdf", F.col("page").cast("long").alias("page"), F.md5(F.substr("source_text", F.lit(2))).alias("text_md5"), F.size("blocks").cast("long").alias("blocks"), F.md5(F.array_join(texts, "|")).alias("blocks_md5"))
+
+
+WHOLE_ASSEMBLED = ASSEMBLED.replace(PAGES, WHOLE)
+
+
+@query(WHOLE_ASSEMBLED + ", b_ AS (SELECT *, (row_number() OVER (PARTITION BY source_pdf ORDER BY page) - 1) // 5 AS batch, count(*) OVER (PARTITION BY source_pdf) AS total_pages FROM texts_ WHERE blocks > 0), g_ AS (SELECT source_pdf, batch, count(*) AS pages, max(page) AS current_page, any_value(total_pages) AS total_pages FROM b_ GROUP BY source_pdf, batch) SELECT *, (sum(pages) OVER (PARTITION BY source_pdf ORDER BY batch))::BIGINT AS completed_pages FROM g_")
+def correction_requests(spark, sf_dir):
+    pages = A.document_pages(spark, sf_dir, whole=True)
+    blocks = A.bare(A.document_blocks(pages)).withColumn("block_type", R.classify_block(F.col("text")))
+    asked = correct.requests(correct.run(A.bare(pages, blocks=False), blocks, None)[0], 5)
+    return asked.select("source_pdf", "batch", "pages", "current_page", "total_pages", "completed_pages")
+
+
+_Q = "('q' || conv_id || ' ' || coalesce(text, ''))"
+
+
+@query(f"SELECT conv_id, turn, CASE (conv_id + turn) % 7 WHEN 0 THEN {_Q} WHEN 1 THEN 'choice ' || {_Q} WHEN 2 THEN {_Q} || chr(10) || 'value' || chr(10) || 'plain' || chr(10) || 'last' WHEN 3 THEN 'a' || chr(10) || {_Q} WHEN 4 THEN {_Q} WHEN 5 THEN {_Q} END AS answer FROM conversations")
+def answer_payloads(spark, sf_dir):
+    c, shape = A.table(spark, sf_dir, "conversations"), (F.col("conv_id") + F.col("turn")) % 7
+    q = F.to_json(F.struct(F.concat(F.lit("q"), F.col("conv_id").cast("string"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("t")))
+    q = F.substr(q, F.lit(6), F.char_length(q) - 6)  # the JSON string alone
+    shaped = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    payload = (
+        F.when(shape == 0, shaped('{"output_text":', q, ',"choices":[{"message":{"content":"no"}}]}'))
+        .when(shape == 1, shaped('{"output":[{"content":"no"}],"choices":[{"message":{"content":"choice ', F.substr(q, F.lit(2)), "}}]}"))
+        .when(shape == 2, shaped('{"output":[{"content":[{"text":', q, '},{"value":"value"},{"other":1},"plain"]},{"content":" "},{"content":"last"},7]}'))
+        .when(shape == 3, shaped('{"choices":[{"message":{"content":["a",{"text":', q, '}]}},{"message":{"content":"no"}}]}'))
+        .when(shape == 4, shaped('{"output_text":5,"output":[{"content":', q, "}]}"))
+        .when(shape == 5, shaped('{"output_text":" ","choices":[],"output":[{"content":[{"text":3,"value":', q, "}]}]}"))
+        .otherwise(F.lit('{"output":[],"choices":[{"message":{}}]}'))
+    )
+    return c.select("conv_id", "turn", json_text.answer_text(payload).alias("answer"))
+
+
+_SHARD_RUNS = SHARDS + ", r AS (SELECT run, sum(pages)::BIGINT AS pages, count(*) AS shards, round(sum(s * 0.5), 3) AS ocr, round(max(s), 3) AS slowest, row_number() OVER (ORDER BY run) AS run_no FROM sh GROUP BY run), x AS (SELECT *, slowest AS e, round(pages / slowest * 60, 4) AS ppm, 's' || run_no || '-w2' AS label FROM r), rel AS (SELECT *, first_value(e) OVER (ORDER BY run_no) / e AS speedup, ppm / first_value(ppm) OVER (ORDER BY run_no) AS throughput FROM x)"
+_SHARD_LINE = "printf('| `%s` | %d | 2 | manual | %.3f | %.3f | %.3f | %.3f | %.2fx | %.2fx |', label, shards, e, ppm, ocr, slowest, speedup, throughput)"
+_SHARD_TOP = "# Process Shard Benchmark\n\n- Generated at: `2024-01-01T00:00:00Z`\n- Input: `in.pdf`\n- Profile: `fast`\n- Local only: `true`\n- Max workers per shard: `2` (manual)\n\n"
+
+
+@query(_SHARD_RUNS + f" SELECT '{_SHARD_TOP}{bench.SHARD_HEAD}' || string_agg({_SHARD_LINE}, chr(10) ORDER BY run_no) || chr(10) || chr(10) || '- Fastest run: `' || arg_min(label, (e, run_no)) || '`' || chr(10) AS value FROM rel")
+def bench_shard_document(spark, sf_dir):
+    from pyspark.sql import Window
+
+    reports = A.shard_reports(spark, sf_dir)
+    t = telemetry.shard_totals(reports, ["run"]).join(reports.groupBy("run").agg(F.count(F.lit(1)).alias("shards")), "run")
+    slowest = F.round("slowest_shard_seconds", 3)
+    # A handful of runs: the window sees one row each.
+    t = t.select(F.row_number().over(Window.orderBy("run")).cast("long").alias("run_no"), "shards", F.lit(2).alias("workers"), F.lit("manual").alias("mode"), slowest.alias("elapsed_seconds"), F.round(F.col("pages") / slowest * 60, 4).alias("pages_per_minute"), F.round("ocr_seconds_total", 3).alias("ocr_seconds_total"), slowest.alias("slowest_shard_seconds"))
+    t = t.withColumn("label", F.concat(F.lit("s"), F.col("run_no").cast("string"), F.lit("-w2")))
+    return bench.shard_markdown(bench.relative(t), "2024-01-01T00:00:00Z", "in.pdf", "fast", True, 2, "manual")

@@ -28,11 +28,11 @@ def misread(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("tion"), F.lit("tlon")), F.lit("the "), F.lit("tbe "))
 
 
-def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_pdf, page, text): a row is a page, and ``PAGES_OF`` ids in a row of one source are a document, whatever the size of the table."""
+def document_pages(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(source_pdf, page, text): a row is a page, and ``PAGES_OF`` ids in a row of one source are a document, whatever the size of the table; or, if ``whole``, a source is one."""
     d = table(spark, sf_dir, "documents")
     volume = F.floor(F.col("doc_id") / PAGES_OF).cast("string")
-    return d.select(F.concat_ws("-", "source", volume).alias("source_pdf"), (F.col("doc_id") + 1).alias("page"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    return d.select((F.col("source") if whole else F.concat_ws("-", "source", volume)).alias("source_pdf"), (F.col("doc_id") + 1).alias("page"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
 
 
 def document_blocks(pages: DataFrame) -> DataFrame:
@@ -52,7 +52,8 @@ def bare(rows: DataFrame, more: tuple[str, ...] = (), blocks: bool = True) -> Da
 
 def gold_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = document_pages(spark, sf_dir).withColumn("text", plain(F.col("text")))
-    first, last = F.regexp_extract("text", r"^\S+(?: \S+){0,7}", 0), F.regexp_extract("text", r"(\S+(?: \S+){0,5})\s*$", 1)
+    # The last words are the first ones of the text read backwards: there the pattern has one place to start.
+    first, last = F.regexp_extract("text", r"^\S+(?: \S+){0,7}", 0), F.reverse(F.regexp_extract(F.reverse("text"), r"^\s*(\S+(?: \S+){0,5})", 1))
     return p.select("source_pdf", "page", first.alias("prose_kr"), last.alias("prose_mixed"), F.col("text").alias("code"), F.array(F.lit("paragraph"), F.lit(" heading "), F.lit("")).alias("expected_block_types"), F.array(first, last).alias("reading_order_snippets"))
 
 

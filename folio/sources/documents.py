@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio import schemas
 from folio.functions import json_text
 from folio.functions import text as T
+from folio.operators import order
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -33,7 +34,11 @@ def explode_pages(docs: DataFrame, keep_empty: bool = False) -> DataFrame:
     With ``keep_empty`` a document without pages has one row, whose ``page`` is null.
     """
     explode = F.posexplode_outer if keep_empty else F.posexplode
-    rows = docs.select("source_pdf", explode("pages").alias("pos", "p"))
+    return page_rows(docs.select("source_pdf", explode("pages").alias("pos", "p")))
+
+
+def page_rows(rows: DataFrame) -> DataFrame:
+    """The page columns of (source_pdf, pos, p)."""
     joined = F.array_join(F.filter(F.transform(F.col("p.blocks"), lambda b: T.utrim(F.coalesce(b["text"], F.lit("")))), lambda x: x != ""), "\n")
     text = F.coalesce(F.nullif(T.utrim(F.col("p.text")), F.lit("")), joined, F.lit(""))
     return rows.select(
@@ -119,6 +124,15 @@ def write_json(df: DataFrame, path: str, indent: bool = False) -> None:
     as_json(df, indent).write.mode("overwrite").option("maxRecordsPerFile", int(indent)).text(path)
 
 
+def write_large_documents(pages: DataFrame, engine: str, path: str) -> None:
+    """Documents of any size as JSON, from pages (source_pdf, page and any fields): a folder for each, whose files in the order of their names are one object; ``pages.read_pages`` reads it."""
+    fields = F.to_json(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != "source_pdf"]))
+    head = F.to_json(F.struct(F.lit(engine).alias("engine"), "source_pdf"))
+    first = F.concat(F.substr(head, F.lit(1), F.char_length(head) - 1), F.lit(',"pages":['), "__json")
+    rows = pages.select("source_pdf", "page", fields.alias("__json"))
+    order.write_ordered(rows.withColumn("folder", F.col("source_pdf")), path, "folder", "page", first, F.concat(F.lit(","), "__json"), F.lit("]}"))
+
+
 def read_json_rows(spark: SparkSession, path: str, schema: str, indent: bool = False) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", indent).json(path)
 
