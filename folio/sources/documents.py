@@ -79,8 +79,13 @@ def discover_files(spark: SparkSession, path: str, recursive: bool = False, suff
 
     No matching file is an error.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    # Folders are no partitions, whatever their names; without ``recursive`` only what lies in the folder itself counts.
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     found = found.select(F.col("path").alias("input_pdf")).where(F.lower("path").endswith(suffix)).orderBy("input_pdf")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not recursive and store.exists(root) and store.getFileStatus(root).isDirectory():
+        found = found.where(F.regexp_extract("input_pdf", r"^(.*)/[^/]*$", 1) == store.makeQualified(root).toString().rstrip("/"))
     if found.isEmpty():
         raise ValueError(f"no {suffix} file in {path}")
     return found
