@@ -12,7 +12,7 @@ packed again.
 
 Sequence ids are ``stretch * 2**32 + counter``: unique, and the same whenever a lost
 task runs again over its split.  The stretch is the number of the split; with
-:func:`pack_in_order` it is the place of the batch's first row in the files that were
+:func:`pack_in_order` it is the number of the batch's first row in the files that were
 read, so sequence ids follow the order of the rows, batch by batch.  Defined cases:
 null text is empty (its piece is the end id alone); repeated or null ``doc_id`` values
 are documents of their own; an empty table gives no rows; other columns are ignored.
@@ -27,7 +27,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import _bytes as B
@@ -36,8 +37,8 @@ from folio.session import ship
 
 #: Ids packed together: about a thousand windows, 8 MB.
 BATCH_IDS = 1 << 22
-#: Bits of a sequence id for the file, for the row a batch begins with, and for the windows of a batch (a batch has less than 2**32 ids).
-FILE_BITS, ROW_BITS, WINDOW_BITS = 20, 23, 20
+#: Bits of a sequence id for the number of the row a batch begins with, and for the windows of a batch (a batch has less than 2**32 ids).
+ROW_BITS, WINDOW_BITS = 43, 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -87,10 +88,10 @@ class CapacityTree:
         return room, self.open[room].pop()
 
 
-def stretch_id(part: int, row: int) -> int:
-    if part >> FILE_BITS or row >> ROW_BITS:
-        raise ValueError(f"row {row} of file {part} has no sequence id; write smaller or fewer files")
-    return (part << ROW_BITS | row) << WINDOW_BITS
+def stretch_id(row: int) -> int:
+    if row >> ROW_BITS:
+        raise ValueError(f"a table of 2**{ROW_BITS} rows or more has no sequence ids")
+    return row << WINDOW_BITS
 
 
 def pack_lengths(lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
@@ -128,13 +129,29 @@ def pack_lengths(lengths: np.ndarray, window: int) -> list[list[tuple[int, int,
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per piece; with ``with_ids`` also its ids as little-endian u32 bytes."""
-    return _pack(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("long").alias("row")), tokenizer, end_id, window, with_ids)
+    return _pack(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.lit(None).cast("long").alias("row")), tokenizer, end_id, window, with_ids)
 
 
 def pack_in_order(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """The same for rows read from files ``part-<number>...``, whose order the sequence ids keep from batch to batch."""
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
-    return _pack(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), part.alias("part"), F.col("_metadata.row_index").alias("row")), tokenizer, end_id, window, with_ids)
+    """The same, with sequence ids that keep the order of the rows from batch to batch.
+
+    Rows of Parquet files are numbered by file and place: files by folder, by the numbers of a
+    writer's ``part-<task>...-c<counter>`` where names have them, then by name.  A table that is
+    not read from Parquet files has the order of its partitions.
+    """
+    own = [F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")]
+    try:
+        placed = docs.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:
+        return pack_documents(docs, tokenizer, end_id, window, text, key, with_ids)
+    name = F.regexp_extract("file", r"([^/]*)$", 1)
+    number = lambda pattern: F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).cast("decimal(38,0)")
+    files = placed.groupBy("file").agg(F.count(F.lit(1)).alias("n")).withColumn("folder", F.regexp_extract("file", r"^(.*)/[^/]*$", 1))
+    before = Window.orderBy("folder", number(r"^part-(\d{1,30})"), number(r"-c(\d{1,30})\b"), name).rowsBetween(Window.unboundedPreceding, -1)
+    first = files.select(F.col("file").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # One row for each file that the driver has listed to plan the scan.
+    rows = placed.join(F.broadcast(first), F.col("file") == F.col("of")).select("doc_id", "text", (F.col("first") + F.col("at")).alias("row"))
+    return _pack(rows, tokenizer, end_id, window, with_ids)
 
 
 def _pack(rows: DataFrame, tokenizer: str, end_id: int, window: int, with_ids: bool) -> DataFrame:
@@ -145,14 +162,14 @@ def _pack(rows: DataFrame, tokenizer: str, end_id: int, window: int, with_ids: b
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
         lengths: list[np.ndarray] = []
-        sequence, held, first_of = 0, 0, (None, 0)
+        sequence, held, first_of, next_row = 0, 0, None, None
 
         def flush() -> pa.RecordBatch:
             nonlocal sequence
             flat, size = np.concatenate(ids).astype("<u4", copy=False), np.concatenate(lengths)
             first = np.cumsum(size) - size
             raw = memoryview(flat).cast("B")
-            begin = (task << 32) + sequence if first_of[0] is None else stretch_id(*first_of)
+            begin = (task << 32) + sequence if first_of is None else stretch_id(first_of)
             out = []
             for n, content in enumerate(pack_lengths(size, window), begin):
                 offset = 0
@@ -172,16 +189,17 @@ def _pack(rows: DataFrame, tokenizer: str, end_id: int, window: int, with_ids: b
 
         for batch in batches:
             for rows, buf, offsets in B.chunks(batch, "text"):
-                part = rows.column("part")
-                edge = [0, *(np.flatnonzero(np.diff(part.to_numpy())) + 1).tolist(), len(part)] if part.null_count == 0 else [0, len(part)]
+                row = rows.column("row")
+                edge = [0, *(np.flatnonzero(np.diff(row.to_numpy()) != 1) + 1).tolist(), len(row)] if row.null_count == 0 else [0, len(row)]
                 flat, off = cache.encode(buf, offsets, end_id)
                 for a, b in zip(edge, edge[1:], strict=False):
-                    now = part[a].as_py()
-                    if keys and now != first_of[0]:  # another file
+                    now = row[a].as_py()
+                    if keys and now != next_row:  # another file
                         yield flush()
                         held = 0
                     if not keys:
-                        first_of = now, rows.column("row")[a].as_py() or 0
+                        first_of = now
+                    next_row = None if now is None else now + b - a
                     ids.append(flat[off[a] : off[b]])
                     keys += rows.column(0).slice(a, b - a).to_pylist()
                     lengths.append(np.diff(off[a : b + 1]))
