@@ -26,6 +26,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces a worker keeps before it starts anew; about 40 bytes each.
 CACHE_PIECES = 1_500_000
+#: Token ids a worker keeps before it starts anew, besides those of the stretch at hand: text without white space makes long pieces.
+CACHE_IDS = 1 << 24
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _STOP = np.zeros(256, bool)
@@ -165,7 +167,7 @@ class PieceCache:
 
     def _slots(self, buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Cache slots of the pieces; those not met before are encoded first."""
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > CACHE_PIECES or self.used > CACHE_IDS:
             self.clear()
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         slot = np.searchsorted(self.known, uniq)

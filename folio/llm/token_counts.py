@@ -2,7 +2,7 @@
 
 Method: a first pass over all texts, in at most ``REPORTERS`` tasks, lets every task
 report its most frequent pieces (so what shuffles has a bound); their sums give a compact table (64-bit piece hash -> token count) of at
-most ``TABLE`` entries, which is broadcast.  The second pass looks every piece up
+most ``TABLE`` entries (pieces of at most ``PIECE_BYTES`` bytes), which is broadcast.  The second pass looks every piece up
 there, and encodes misses once per worker in a bounded cache.  The table changes
 only speed, never a count.
 
@@ -27,6 +27,8 @@ from folio.session import keep, ship
 TABLE = 1 << 16
 #: Pieces a task reports, and those it tracks while it runs.
 REPORT, TRACK = 1 << 14, 1 << 18
+#: Bytes of a piece that is reported, at most; longer ones are left to the workers' caches.
+PIECE_BYTES = 64
 #: Tasks of the first pass, at most; each reads many splits of a large table.
 REPORTERS = 1 << 13
 
@@ -41,6 +43,8 @@ def frequent_pieces(docs: DataFrame, tokenizer: str, text: str = "text", table:
         for batch in batches:
             for _, buf, offsets in B.chunks(batch, "text"):
                 starts, ends, _, h = T.cut(buf, offsets, family)
+                short = ends - starts <= PIECE_BYTES
+                starts, ends, h = starts[short], ends[short], h[short]
                 uniq, first, count = np.unique(h, return_index=True, return_counts=True)
                 top = np.argsort(-count, kind="stable")[:REPORT]
                 begins = set(offsets[:-1].tolist())
