@@ -4,7 +4,8 @@ Pass 1 reads every text once and writes (doc_id, sha256 of the normalised text,
 number).  Two hash functions map each fingerprint to slots of a bit array; the slots
 that more than one row hits are set in a filter of bitmaps.  To find them, every task
 packs the slots of its rows by block of the array, in two bytes each (as a sparse
-bitmap would); no fingerprint, id or text moves.  Pass 2 probes the filter: a row with
+bitmap would), by stretches of 2**STRETCH_BITS rows, and of equal slots of a stretch only two
+go on, so a text in any number of copies stays small; no fingerprint, id or text moves.  Pass 2 probes the filter: a row with
 a slot that nobody else hits is unique and passes straight through; only the others
 shuffle, to be grouped by their full fingerprint.
 
@@ -30,6 +31,8 @@ from folio.session import keep
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 29
 _BLOCK = 32768  # bits of one bitmap
+#: Rows of a task whose slots are gathered at once, as a power of two.
+STRETCH_BITS = 20
 
 
 def normalised(text: Column) -> Column:
@@ -53,12 +56,15 @@ def _filter_bits(rows: int, bits_per_row: int) -> int:
 
 
 def repeated_filter(prints: DataFrame, bits_per_row: int = BITS_PER_ROW) -> tuple[DataFrame, int]:
-    """Bitmaps of the slots that at least two rows hit, and the filter's size in bits."""
+    """Bitmaps of the slots that at least two rows of ``prints`` (print, and row as ``monotonically_increasing_id`` gives it) hit, and the filter's size in bits."""
     bits = _filter_bits(prints.count(), bits_per_row)
-    slots = prints.select(F.explode(F.array(*_slots(F.col("print"), bits))).alias("slot"))
-    # collect_list packs map-side: an array of two-byte places for each block and task.
+    stretch = F.shiftright("row", STRETCH_BITS)  # of one task: its number is in the high bits
+    slots = prints.select(stretch.alias("stretch"), F.explode(F.array(*_slots(F.col("print"), bits))).alias("slot"))
+    # collect_list packs map-side: an array of two-byte places for each block and stretch.
     place = F.bitmap_bit_position("slot").cast("short")
-    packed = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.sort_array(F.collect_list(place)).alias("places"))
+    part = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket"), "stretch").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    two = F.filter("places", lambda x, i: ~F.coalesce(F.get("places", i - 2) == x, F.lit(False)))
+    packed = part.select("bucket", two.alias("places")).groupBy("bucket").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
     twice = F.filter("places", lambda x, i: F.coalesce(F.get("places", i - 1) == x, F.lit(False)))
     hit = packed.select("bucket", F.explode(F.array_distinct(twice).cast("array<bigint>")).alias("place"))
     return keep(hit.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bitmap")), "bloom"), bits
@@ -86,11 +92,15 @@ def with_maybe(rows: DataFrame, maps: DataFrame, bits: int, print_: str = "print
 
 def without_ids(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without the ids in ``gone`` (one column, distinct): only rows that the filter over ``gone`` lets through shuffle."""
-    columns = docs.columns
     maps, bits = member_filter(gone.toDF("print"), gone.count())
-    flagged = with_maybe(docs.withColumn("__print", F.col(f"`{key}`")), maps, bits, "__print", "__maybe")
-    left = flagged.where("__maybe").join(gone.toDF("__gone_id"), F.col("__print").eqNullSafe(F.col("__gone_id")), "left_anti")
-    return flagged.where("not __maybe").unionByName(left).select(*[F.col(f"`{c}`") for c in columns])
+    flagged = with_maybe(_packed(docs, F.col(f"`{key}`")), maps, bits)
+    left = flagged.where("maybe").join(gone.toDF("gone"), F.col("print").eqNullSafe(F.col("gone")), "left_anti")
+    return flagged.where("not maybe").unionByName(left).select("doc.*")
+
+
+def _packed(docs: DataFrame, print_: Column) -> DataFrame:
+    """(doc, print): whole rows in one column, so that theirs may have any name."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), print_.alias("print"))
 
 
 def _prints(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -118,12 +128,11 @@ def duplicate_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -
 
 def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows that stay, with all their columns."""
-    columns = docs.columns
     prints = _prints(docs, text, key)
     maps, bits = repeated_filter(prints)
-    groups = _groups(with_maybe(prints, maps, bits)).select(F.col("print").alias("__group"), F.col("keep_id").alias("__keep"))
-    flagged = with_maybe(docs.withColumn("__print", fingerprint(F.col(f"`{text}`"))), maps, bits, "__print", "__maybe")
-    alone = flagged.where("not __maybe")
+    groups = _groups(with_maybe(prints, maps, bits)).select(F.col("print").alias("group"), "keep_id")
+    flagged = with_maybe(_packed(docs, fingerprint(F.col(f"`{text}`"))), maps, bits).withColumn("id", F.col("doc").getField(key))
+    alone = flagged.where("not maybe")
     # Keyed by fingerprint and id: the copies of a large group go to many tasks.
-    shared = flagged.where("__maybe").join(groups, (F.col("__print") == F.col("__group")) & F.col(f"`{key}`").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["__print", key])
-    return alone.unionByName(shared).select(*[F.col(f"`{c}`") for c in columns])
+    shared = flagged.where("maybe").join(groups, (F.col("print") == F.col("group")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi").dropDuplicates(["print", "id"])
+    return alone.unionByName(shared).select("doc.*")
