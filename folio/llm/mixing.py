@@ -163,6 +163,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     )
 
 
+def ordered(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all their columns under any name, in files in mixed order."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    packed = docs.select(own, F.col(f"`{source}`").alias("source"), F.col(f"`{key}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text"))
+    return in_order(mix(packed, weights, **options)).select("doc.*")
+
+
 def in_order(mixed: DataFrame) -> DataFrame:
     """Mixed rows in files that follow one another in mixed order, without the mix_ columns."""
     mine = [c for c in mixed.columns if not c.startswith("mix_")]
