@@ -23,6 +23,38 @@ def stage_profile(timings: DataFrame, wall: Column) -> DataFrame:
     return timings.agg(*columns)
 
 
+# The keys of a profile's timing map, without their common prefix.
+SECONDS = ("seconds", "render_seconds_total", "recognize_seconds_total", "postprocess_seconds_total", "queue_wait_seconds_total", "page_seconds_total")
+MEANS = ("render_average_seconds", "recognize_average_seconds", "postprocess_average_seconds", "page_average_seconds", "longest_page_seconds")
+WORKERS = ("render_workers", "recognize_workers", "render_queue_capacity")
+PEAKS = ("max_active_pages", "max_active_render_workers", "max_active_recognize_workers", "max_queued_rendered_pages")
+PARALLELISM = ("render_effective_parallelism", "recognize_effective_parallelism", "page_effective_parallelism")
+
+
+def profile_map(timings: DataFrame, wall: Column, queue_capacity: int, prefix: str = "vision_ocr") -> DataFrame:
+    """(key, value): the whole profile of a run, 21 entries.
+
+    A page is rendered from its start, waits, and is recognised and cleaned; the most of each at once
+    are peaks of those spans.
+    """
+    p = stage_profile(timings, wall)
+    p = p.crossJoin(F.broadcast(timings.agg(F.count_distinct("render_worker").alias("render_workers"), F.count_distinct("recognize_worker").alias("recognize_workers"))))
+    micros = lambda c: F.floor(F.col(c) * 1e6).cast("long")
+    start = F.unix_micros("started_at")
+    rendered, taken = start + micros("render_seconds"), start + micros("render_seconds") + micros("queue_wait_seconds")
+    done = taken + micros("recognize_seconds") + micros("postprocess_seconds")
+    spans = {"max_active_pages": (start, done), "max_active_render_workers": (start, rendered), "max_active_recognize_workers": (taken, done), "max_queued_rendered_pages": (rendered, taken)}
+    for name, (a, b) in spans.items():
+        span = timings.select(F.timestamp_micros(a).alias("started_at"), F.timestamp_micros(b).alias("ended_at"))
+        p = p.crossJoin(F.broadcast(peak_concurrency(span).select(F.coalesce("peak", F.lit(0)).alias(name))))
+    own = {"seconds": wall, "render_queue_capacity": F.lit(queue_capacity), "longest_page_seconds": F.col("longest_page_seconds")}
+    own |= {f"{k}_seconds_total": F.col(f"{v}_total_seconds") for k, v in {"render": "render", "recognize": "recognize", "postprocess": "postprocess", "queue_wait": "queue_wait", "page": "total"}.items()}
+    own |= {f"{k}_average_seconds": F.col(f"{v}_average_seconds") for k, v in {"render": "render", "recognize": "recognize", "postprocess": "postprocess", "page": "total"}.items()}
+    own |= {f"{k}_effective_parallelism": F.col(f"{v}_parallelism") for k, v in {"render": "render", "recognize": "recognize", "page": "total"}.items()}
+    entries = [F.struct(F.lit(f"{prefix}_{k}").alias("key"), (own[k] if k in own else F.col(k)).cast("double").alias("value")) for k in (*SECONDS, *MEANS, *WORKERS, *PEAKS, *PARALLELISM)]
+    return p.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+
 def timing_map(profile: DataFrame, prefix: str = "stage_") -> DataFrame:
     return profile.select(F.map_from_arrays(F.array(*[F.lit(prefix + c) for c in profile.columns]), F.array(*[F.col(c).cast("double") for c in profile.columns])).alias("timings"))
 

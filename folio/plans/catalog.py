@@ -878,3 +878,21 @@ def bench_shard_document(spark, sf_dir):
     t = t.select(F.row_number().over(Window.orderBy("run")).cast("long").alias("run_no"), "shards", F.lit(2).alias("workers"), F.lit("manual").alias("mode"), slowest.alias("elapsed_seconds"), F.round(F.col("pages") / slowest * 60, 4).alias("pages_per_minute"), F.round("ocr_seconds_total", 3).alias("ocr_seconds_total"), slowest.alias("slowest_shard_seconds"))
     t = t.withColumn("label", F.concat(F.lit("s"), F.col("run_no").cast("string"), F.lit("-w2")))
     return bench.shard_markdown(bench.relative(t), "2024-01-01T00:00:00Z", "in.pdf", "fast", True, 2, "manual")
+
+
+_SPANS = {"max_active_pages": ("s", "d"), "max_active_render_workers": ("s", "r"), "max_active_recognize_workers": ("t", "d"), "max_queued_rendered_pages": ("r", "t")}
+_PEAK = lambda a, b: f"(SELECT max(o) FROM (SELECT sum(x) OVER (ORDER BY m) AS o FROM (SELECT m, sum(x) AS x FROM (SELECT {a} AS m, 1 AS x FROM b UNION ALL SELECT {b}, -1 FROM b) GROUP BY m)))"
+_MICROS = "floor(value * {0} * 1e6)::BIGINT".format
+_PROFILE = {"seconds": "3600.0", "longest_page_seconds": "(SELECT max(value) FROM events)", "render_workers": "(SELECT count(DISTINCT user_id % 4) FROM events)", "recognize_workers": "(SELECT count(DISTINCT user_id % 4) FROM events)", "render_queue_capacity": "8"}
+_PROFILE |= {f"{k}_seconds_total": f"(SELECT sum(value * {_PARTS['total' if k == 'page' else k]}) FROM events)" for k in ("render", "recognize", "postprocess", "queue_wait", "page")}
+_PROFILE |= {f"{k}_average_seconds": f"(SELECT avg(value * {_PARTS['total' if k == 'page' else k]}) FROM events)" for k in ("render", "recognize", "postprocess", "page")}
+_PROFILE |= {f"{k}_effective_parallelism": f"(SELECT sum(value * {_PARTS['total' if k == 'page' else k]}) / 3600.0 FROM events)" for k in ("render", "recognize", "page")}
+_PROFILE |= {k: _PEAK(*v) for k, v in _SPANS.items()}
+
+
+@query(
+    f"WITH a AS (SELECT epoch_us(ts) AS s, epoch_us(ts) + {_MICROS(0.125)} AS r, value FROM events), c AS (SELECT s, r, r + {_MICROS(0.125)} AS t, value FROM a), b AS (SELECT s, r, t, t + {_MICROS(0.5)} + {_MICROS(0.25)} AS d FROM c) "
+    + " UNION ALL ".join(f"SELECT 'vision_ocr_{k}' AS key, round(({v})::DOUBLE, 4) AS value" for k, v in _PROFILE.items())
+)
+def profile_map(spark, sf_dir):
+    return _rounded(telemetry.profile_map(A.timings(spark, sf_dir), F.lit(3600.0), 8), "value", digits=4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from folio import schemas
 from folio.functions import json_text
@@ -120,13 +121,28 @@ def join_answer_parts(parts: DataFrame) -> DataFrame:
     return out.select("answer_id", F.coalesce(F.nullif(F.array_join(F.transform("d", lambda x: x["part"]), ""), F.lit("")), "whole").alias("text"))
 
 
-def as_json(df: DataFrame, indent: bool = False) -> DataFrame:
+def sorted_fields(c: Column, kind: T_.DataType) -> Column:
+    """The same value with the fields of all its structs in the order of their names."""
+    if isinstance(kind, T_.StructType):
+        inner = [sorted_fields(c.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]
+        return F.when(c.isNotNull(), F.struct(*inner)) if inner else c
+    if isinstance(kind, T_.ArrayType):
+        return F.transform(c, lambda x: sorted_fields(x, kind.elementType))
+    if isinstance(kind, T_.MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(c))) if isinstance(kind.keyType, T_.StringType) and isinstance(kind.valueType, T_.AtomicType) else c
+    return c
+
+
+def as_json(df: DataFrame, indent: bool = False, sort_keys: bool = False) -> DataFrame:
+    """(value): rows as JSON objects, with nulls; with ``sort_keys`` all keys in the order of their names."""
+    if sort_keys:
+        df = df.select(*[sorted_fields(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema, key=lambda f: f.name)])
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": str(indent).lower()}).alias("value"))
 
 
-def write_json(df: DataFrame, path: str, indent: bool = False) -> None:
+def write_json(df: DataFrame, path: str, indent: bool = False, sort_keys: bool = False) -> None:
     """JSON objects written by the executors: one a line, or indented by two blanks and each in a file of its own."""
-    as_json(df, indent).write.mode("overwrite").option("maxRecordsPerFile", int(indent)).text(path)
+    as_json(df, indent, sort_keys).write.mode("overwrite").option("maxRecordsPerFile", int(indent)).text(path)
 
 
 def write_large_documents(pages: DataFrame, engine: str, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folio import api, schemas
 from folio.functions import json_text, lines, nearest
-from folio.operators import bench, correct, jobs, network, order, render, validate
+from folio.operators import bench, correct, jobs, network, order, render, telemetry, validate
 from folio.plans import config as C
 from folio.plans.recognizer import CallRecognizer, FixedRecognizer, LineRecognizer
 from folio.sources import documents as D
@@ -382,3 +382,16 @@ def test_shard_summary(spark):
     text = bench.shard_markdown(bench.relative(runs), "now", "in.pdf", "p", False, 2, "manual").first().value
     assert text.startswith("# Process Shard Benchmark\n\n- Generated at: `now`\n") and "- Local only: `false`\n- Max workers per shard: `2` (manual)\n\n| Label" in text
     assert "| `s4-auto` | 4 | 0 | auto | 5.000 | 120.000 | 9.500 | 4.000 | 4.00x | 4.00x |" in text and text.endswith("\n- Fastest run: `s4-auto`\n")
+
+
+def test_profile_map_has_21_entries(spark):
+    row = ("w1", "w2", 1.0, 0.5, 2.0, 0.5, 4.0)
+    t = spark.createDataFrame([(*row, k) for k in (0.0, 0.5, 10.0)], "render_worker string, recognize_worker string, render_seconds double, queue_wait_seconds double, recognize_seconds double, postprocess_seconds double, total_seconds double, at double").withColumn("started_at", F.timestamp_micros((F.col("at") * 1e6).cast("long")))
+    got = {r.key.removeprefix("x_"): r.value for r in telemetry.profile_map(t, F.lit(6.0), 3, "x").collect()}
+    assert len(got) == 21 and got["seconds"] == 6.0 and got["page_seconds_total"] == 12.0 and got["page_effective_parallelism"] == 2.0
+    assert (got["max_active_pages"], got["max_active_render_workers"], got["max_active_recognize_workers"], got["max_queued_rendered_pages"], got["render_queue_capacity"], got["render_workers"]) == (2, 2, 2, 1, 3, 1)
+
+
+def test_json_with_sorted_keys(spark):
+    rows = spark.range(1).select(F.lit(1).alias("b"), F.struct(F.lit("z").alias("z"), F.array(F.struct(F.lit(2).alias("y"), F.lit(None).cast("int").alias("c"))).alias("a")).alias("a"), F.create_map(F.lit("q"), F.lit(1), F.lit("p"), F.lit(2)).alias("m"))
+    assert D.as_json(rows, sort_keys=True).first().value == '{"a":{"a":[{"c":null,"y":2}],"z":"z"},"b":1,"m":{"p":2,"q":1}}'
