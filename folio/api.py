@@ -157,6 +157,8 @@ def batch(spark: SparkSession, input_path: str, output_root: str, recognizer: Re
     rounds = [max(saved.versions(), default=-1) + 1]
 
     def execute(todo: DataFrame) -> DataFrame:
+        if todo.isEmpty():
+            return todo.select("input_pdf", F.lit(None).cast("string").alias("error"))
         rounds[0] += 1
         try:
             done = run(todo.select("input_pdf"), recognizer, isolate=True, **options)

@@ -82,11 +82,11 @@ def run(jobs: DataFrame, execute: Callable[[DataFrame], DataFrame], retry_failed
     on_change(jobs)
     for attempt in range(retry_failed + 1):
         todo = runnable(jobs, attempt)
-        if todo.isEmpty():
-            continue
+        some = not todo.isEmpty()
         now = F.col("__todo").isNotNull()
         started = jobs.join(todo.select("input_pdf", F.lit(True).alias("__todo")), "input_pdf", "left")
-        on_change(started.withColumn("status", F.when(now, "running").otherwise(F.col("status"))).withColumn("error", F.when(~now, F.col("error"))).drop("__todo"))
+        if some:
+            on_change(started.withColumn("status", F.when(now, "running").otherwise(F.col("status"))).withColumn("error", F.when(~now, F.col("error"))).drop("__todo"))
         got = execute(todo).select("input_pdf", F.col("error").alias("__error"), F.lit(True).alias("__ran"))
         rows = jobs.join(got, "input_pdf", "left")
         ran = F.coalesce("__ran", F.lit(False))
@@ -95,5 +95,6 @@ def run(jobs: DataFrame, execute: Callable[[DataFrame], DataFrame], retry_failed
         rows = rows.withColumn("retryable", F.when(ran, retryable(F.col("__error"))).otherwise(F.col("retryable")))
         rows = rows.withColumn("error", F.when(ran, F.col("__error")).otherwise(F.col("error")))
         jobs = keep(rows.select("input_pdf", "run_dir", "status", "attempts", "retryable", "error"), "jobs")
-        on_change(jobs)
+        if some:
+            on_change(jobs)
     return jobs

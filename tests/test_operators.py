@@ -399,7 +399,7 @@ def test_run_api(spark, tmp_path):
     assert [(r.pages, r.changed_pages, r.output_mode, r.warnings) for r in report] == [(1, 1, "primary_artifacts", [])] * 2
     lines_ = spark.createDataFrame([("/in/a.pdf", 1, 0, "text", 0.0, 0.0)], "source_pdf string, page int, pos int, text string, y0 double, x0 double")
     side = api.run(files, LineRecognizer(lines_), profile=C.Profile(mode="primary_artifacts"))
-    assert [(r.output_mode, r.warnings) for r in side.report.collect()] == [("sidecar", ["primary_artifacts_not_supported_by_provider"])]
+    assert [(r.output_mode, r.warnings) for r in side.report.collect()] == [("sidecar", ["primary_artifacts_not_supported_by_provider"])] * 2  # the second file has no lines
     leak = spark.createDataFrame([(1, "1.1.1.1:53")], "pid long, endpoint string")
     with pytest.raises(api.LocalOnlyViolation) as e:
         api.run(files, FixedRecognizer(samples=leak), local_only=True)
