@@ -9,7 +9,7 @@ weight's share within less than one block.  A source that has run out leaves its
 slots empty; no row is dropped or repeated.
 
 The weights are those given, as integers of ``SCALE``; releases and deadlines are
-exact integers.  With a ``period`` they are rounded to shares of at least 1 of that many
+exact integers (a weight below n / 2**61 of a source of n rows counts as that).  With a ``period`` they are rounded to shares of at least 1 of that many
 slots instead.  Every source has its own weight.  The driver orders the blocks, from
 one number for each source, and writes ``SLOTS_AT_ONCE`` of them at a time; blocks have
 ``BLOCK_ROWS`` rows, or as many more as keep them at ``MAX_BLOCKS``, so this work has a
@@ -36,6 +36,8 @@ from folio.session import fresh_path, keep
 
 #: The sum of all weights as integers.
 SCALE = 1 << 52
+#: A source of n rows has a share of at least n / LEAST_SHARE (a weight of n / 2**61), so that its last position is a 64-bit number.
+LEAST_SHARE = 512
 #: Rows of a block, and blocks (besides one for each source) that the driver orders at most.
 BLOCK_ROWS, MAX_BLOCKS = 64, 1 << 22
 #: Rows numbered by one task, about.
@@ -98,6 +100,8 @@ def _planned(streams: DataFrame, block: int, period: int | None) -> DataFrame:
             continue
         named = bool(w[which[0]] > 0)
         share = shares(w[which] if named else np.ones(len(which)), period if named else None)
+        if period is None:
+            share = [max(s, -(-int(k) * block // LEAST_SHARE)) for s, k in zip(share, blocks[which].tolist(), strict=True)]
         whole, held = sum(share), []
         for i, k, release, due, slot in schedule(share, blocks[which].tolist(), begin):
             held.append((int(ids[which[i]]), share[i] if named else 0, share[i] / whole if named else 0.0, k, release, due, slot))

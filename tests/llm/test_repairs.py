@@ -116,3 +116,11 @@ def test_rows_keep_columns_of_any_name(spark):
         assert out.columns == docs.columns
         got = out.collect()
         assert got and all(tuple(r) == by[r.doc_id] for r in got)
+
+
+def test_tiny_weights_have_positions(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "big").otherwise("tiny").alias("source"))
+    mixed = mixing.mix(docs, {"big": 1.0, "tiny": 1e-15}).select("doc_id", "source", "mix_position").collect()
+    assert len({r.mix_position for r in mixed}) == 3000 and min(r.mix_position for r in mixed) >= 0
+    first = sorted(mixed, key=lambda r: r.mix_position)
+    assert sum(r.source == "tiny" for r in first[:1000]) <= mixing.BLOCK_ROWS
