@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.llm import _tokens as K
-from folio.llm import exact_dedup, mixing, ngram_join, packing, token_counts
+from folio.llm import exact_dedup, mixing, ngram_join, packing, token_counts, token_output
 from folio.llm.queries import tokenizer
 
 WORD = "word_bpe_49k.json"
@@ -124,3 +124,13 @@ def test_tiny_weights_have_positions(spark):
     assert len({r.mix_position for r in mixed}) == 3000 and min(r.mix_position for r in mixed) >= 0
     first = sorted(mixed, key=lambda r: r.mix_position)
     assert sum(r.source == "tiny" for r in first[:1000]) <= mixing.BLOCK_ROWS
+
+
+def test_empty_token_files_and_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    token_output.write_token_files(empty, str(tmp_path / "tokens"), tokenizer("byte_bpe_50k.json"), 2)
+    assert token_output.read_token_files(spark, str(tmp_path / "tokens"), digest=True).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
