@@ -3,8 +3,9 @@
 Method: a range shuffle puts the documents in ascending ``doc_id`` order, each task
 encodes its range with the tokenizer (see ``_tokens``) and cuts the ids into
 segments (see ``pfor``).  A segment is one row of a Parquet file, so any store that
-Spark reads can hold it; ``index`` columns give documents per segment and their
-lengths, the payload gives block starts.
+Spark reads can hold it; index columns give documents per segment, their lengths and the
+ids before it in its range, the payload gives block starts.  A reader adds what the ranges
+before hold, one number for each, so no payload shuffles.
 
 Defined cases: a null text is an empty text (only the end id); rows with a null
 ``doc_id`` come first; rows that repeat a ``doc_id``, or have none, are documents of
@@ -30,7 +31,7 @@ from folio.session import ship
 
 #: Ids of a segment; a longer document has a segment of its own.
 SEGMENT_IDS = 1 << 21
-FILES = "part int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
+FILES = "part int, segment int, before long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, text: str = "text", key: str = "doc_id", percentile: float = 0.9) -> None:
@@ -38,18 +39,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, segment = T.worker_cache(tokenizer), TaskContext.get().partitionId(), 0
+        before = 0
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
         lengths: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal segment
+            nonlocal segment, before
             flat = np.concatenate(ids)
             row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(flat)]), pa.array([list(keys)], pa.list_(pa.int64())), pa.array([list(lengths)], pa.list_(pa.int64())), pa.array([pfor.encode(flat, percentile)], pa.binary())],
-                ["part", "segment", "n_ids", "doc_ids", "lengths", "payload"],
+                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([before]), pa.array([len(flat)]), pa.array([list(keys)], pa.list_(pa.int64())), pa.array([list(lengths)], pa.list_(pa.int64())), pa.array([pfor.encode(flat, percentile)], pa.binary())],
+                ["part", "segment", "before", "n_ids", "doc_ids", "lengths", "payload"],
             )
-            segment += 1
+            segment, before = segment + 1, before + len(flat)
             ids.clear(), keys.clear(), lengths.clear()
             return row
 
@@ -76,15 +78,10 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     """One row per document: doc_id, start (ids of all documents before it), n_tokens and token_ids, or ids_crc32 with ``digest``."""
     ship(spark)
     files = spark.read.schema(FILES).parquet(path)
-    # Prefix sums on two levels: segments inside a task's range, then one row per range.
-    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "segment", "n_ids").withColumn("inner", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
-    parts = starts.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("outer"))
-    # One row per write task: no more than the scheduler itself tracks.
-    starts = starts.join(F.broadcast(parts), "part").select("part", "segment", (F.col("inner") + F.col("outer")).alias("base"))
-    placed = files.join(starts, ["part", "segment"]).select("base", "doc_ids", "lengths", "payload")
+    # A range knows its own prefix sums; one row per range (write task) gives what the ranges before hold.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("outer"))
+    placed = files.join(F.broadcast(parts), "part").select((F.col("before") + F.col("outer")).alias("base"), "doc_ids", "lengths", "payload")
     value = "ids_crc32 long" if digest else "token_ids array<int>"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
