@@ -1,8 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Training reads the texts of the training fold once.  Each task sums the counts of
-tokens and of n-grams up to ``ORDER`` over a stretch of text before anything shuffles;
-a shard (a range of hashes) then adds them up.  A shard keeps exact token counts, and a
+tokens and of n-grams up to ``ORDER`` over a stretch of text before anything shuffles,
+and those of frequent ones over all its stretches, so that a common word reaches its shard
+once a task; a shard (a range of hashes) then adds them up.  A shard keeps exact token counts, and a
 Bloom filter in which an n-gram of count c is entered once for each level
 1 .. 1 + floor(log_BASE(c)); every n-gram counts, those seen once too.  A probe asks
 for level 1, 2, ... until one is missing; the last one found gives the count, rounded
@@ -43,10 +44,12 @@ END, START = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Longest n-gram; levels grow by BASE; exponent of T.
 ORDER, BASE, TYPES = 3, 1.5, 0.75
 #: Filter bits for an entry, and how many of a 64-bit word an entry sets.
-ENTRY_BITS, PROBES = 10, 3
+ENTRY_BITS, PROBES = 12, 3
 #: Largest model that is broadcast, and the bytes of one broadcast.
 MAX_BROADCAST, BROADCAST_PART = 384 << 20, 48 << 20
 TRAIN_CHUNK = 4 << 20
+#: Counts in a stretch from which a hash is held back to the end of the task, and the hashes held back at most.
+FREQUENT, HELD = 8, 1 << 19
 _SHARD_BYTES = 2 << 20
 #: Above the level of any 64-bit count.
 _MAX_LEVEL = 110
@@ -197,18 +200,29 @@ def train(docs: DataFrame, text: str = "text", entry_bits: int = ENTRY_BITS, ord
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(11, int(size // _SHARD_BYTES).bit_length())
 
+    def send(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        while len(keys):  # counts are sent as u16; more in further rows
+            shard, cut = _by_shard(keys, bits)
+            packed = _parts(keys.tobytes(), cut, 8) if kind == 1 else _parts(_pack_keys(keys, bits), cut, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array([min(kind, 2)] * len(shard), pa.int32()), packed, _parts(np.minimum(n, 65535).astype("<u2").tobytes(), cut, 2)], ["shard", "kind", "keys", "n"])
+            more = n > 65535
+            keys, n = keys[more], n[more] - 65535
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {kind: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for kind in range(1, order + 1)}
         for batch in batches:
             for _, buf, offsets in B.chunks(batch, "text", TRAIN_CHUNK):
                 tokens, _, grams = sequences(buf, offsets, order)
                 for kind, hashes in enumerate((tokens, *grams), 1):
                     keys, n = np.unique(hashes, return_counts=True) if kind == 1 else _distinct(hashes, bits)
-                    while len(keys):  # counts are sent as u16; more in further rows
-                        shard, cut = _by_shard(keys, bits)
-                        packed = _parts(keys.tobytes(), cut, 8) if kind == 1 else _parts(_pack_keys(keys, bits), cut, 5)
-                        yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array([min(kind, 2)] * len(shard), pa.int32()), packed, _parts(np.minimum(n, 65535).astype("<u2").tobytes(), cut, 2)], ["shard", "kind", "keys", "n"])
-                        more = n > 65535
-                        keys, n = keys[more], n[more] - 65535
+                    often = n >= FREQUENT
+                    yield from send(kind, keys[~often], n[~often])
+                    held[kind] = _add_up(np.concatenate([held[kind][0], keys[often]]), np.concatenate([held[kind][1], n[often]]))
+                    if len(held[kind][0]) > HELD:
+                        yield from send(kind, *held[kind])
+                        held[kind] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for kind, (keys, n) in held.items():
+            yield from send(kind, keys, n)
 
     def build(table: pa.Table) -> pa.Table:
         shard, kind = table.column("shard")[0].as_py(), table.column("kind").to_numpy()
