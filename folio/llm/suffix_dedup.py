@@ -8,13 +8,15 @@ text are consecutive; the bytes they cover are a context of at most 2 * LENGTH b
 1.  A pass over all texts sends one packed entry per context (about one per 40
     bytes): hashes of anchor and context, place, number of windows.  Contexts that
     repeat inside a stretch of text are settled there and only their first goes on.
-2.  By anchor: of equal contexts all but the earliest are covered.  An anchor with one
-    distinct context is done; the contexts of others are compared below.
+2.  By anchor: contexts of equal hashes form a group.  Its earliest and the one after it
+    are a pair that the arrays compare below; later ones are covered as that pair says by
+    hash.  The earliest contexts of an anchor with several are compared below too.
     Buckets with more than their share of the entries (an anchor in very many
     surroundings, or a context in very many texts) are settled row by row instead, with
     map-side sums, so that no task gets a whole anchor.
-3.  Only texts that hold such contexts shuffle.  Their contexts meet in buckets, where
-    a suffix array (``suffix``) and its adjacent common prefixes find equal windows;
+3.  Only texts that hold such contexts shuffle.  Their contexts meet in buckets (those of a
+    pair by the two documents and a stretch of the first; contexts that overlap are sent as
+    one run of bytes), where a suffix array (``suffix``) and its adjacent common prefixes find equal windows;
     all but the earliest are covered.  An anchor with more than ``PART`` contexts is
     dealt over several buckets, whose earliest windows are compared by hash.
 4.  Covered windows are united per document; other documents never shuffle.
@@ -45,6 +47,8 @@ LENGTH, KGRAM = 100, 24
 PART = 4096
 #: A bucket is heavy with so many times its share of all entries, and so many at least.
 HEAVY, HEAVY_LEAST = 4, 1 << 18
+#: Bytes of the earlier text whose pairs meet in one bucket (a power of two).
+STRETCH_BITS = 17
 _REACH = LENGTH - KGRAM + 1  # k-grams in a window
 _SEGMENT = 1 << 23
 _PLACE = np.uint64((1 << 24) - 1)
@@ -91,6 +95,8 @@ def contexts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 _ENTRY = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("windows", "<u2")])
 _COVER = np.dtype([("doc", "<i8"), ("start", "<i4"), ("windows", "<u2")])
+_PAIR = np.dtype([*_COVER.descr, ("first_doc", "<i8"), ("first_start", "<i4")])
+_PAIR_COLUMNS = "first_doc long, first_start long"
 
 
 def _earliest(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +113,26 @@ def _earliest(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[~again], first[~again]
 
 
+def _take(e: np.ndarray, kind: np.dtype) -> np.ndarray:
+    out = np.empty(len(e), kind)
+    for c in kind.names:
+        if c in e.dtype.names:
+            out[c] = e[c]
+    return out
+
+
+def _pairs(e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The second of every group with its first, and the later ones, from the order of :func:`_earliest`."""
+    second = np.zeros(len(e), bool)
+    second[1:] = first[:-1] & ~first[1:]
+    pairs = _take(e[second], _PAIR)
+    head = e[np.flatnonzero(second) - 1]
+    pairs["first_doc"], pairs["first_start"] = head["doc"], head["start"]
+    return pairs, _take(e[~first & ~second], _COVER)
+
+
 def settle(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc, start, windows, anchor, size): covered windows (anchor null), and contexts still to be compared."""
+    """(doc, start, windows, anchor, size, first_doc, first_start): contexts to be compared by anchor, pairs to be compared (first_doc), and windows covered if those are (neither)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
@@ -120,9 +144,7 @@ def settle(docs: DataFrame, buckets: int) -> DataFrame:
                 e = np.empty(len(row), _ENTRY)
                 e["anchor"], e["context"], e["doc"], e["start"], e["windows"] = anchor, context, part.column("doc_id").to_numpy()[row], start, count
                 e, first = _earliest(e)
-                covered = np.empty(int((~first).sum()), _COVER)
-                for c in _COVER.names:
-                    covered[c] = e[c][~first]
+                here = _pairs(e, first)
                 e = e[first]
                 bucket = (e["anchor"] % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket.astype(np.uint16 if buckets <= 65536 else np.int64), kind="stable")
@@ -130,40 +152,42 @@ def settle(docs: DataFrame, buckets: int) -> DataFrame:
                 cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 ends = [_ENTRY.itemsize * x for x in [*cut.tolist(), len(bucket)]]
                 blobs, target, kind, count = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], bucket[cut].tolist(), [0] * len(cut), np.diff(np.append(cut, len(bucket))).tolist()
-                if len(covered):  # settled here; some bucket hands them on
-                    blobs.append(covered.tobytes())
-                    target.append((int(e["anchor"][0] >> np.uint64(20)) + turn) % buckets)
-                    kind.append(1)
-                    count.append(0)
-                    turn += 1
+                for k, some in ((1, here[1]), (2, here[0])):  # settled here; some bucket hands them on
+                    if len(some):
+                        blobs.append(some.tobytes())
+                        target.append((int(e["anchor"][0] >> np.uint64(20)) + turn) % buckets)
+                        kind.append(k)
+                        count.append(0)
+                        turn += 1
                 yield pa.RecordBatch.from_arrays([pa.array(target, pa.int64()), pa.array(kind, pa.int32()), pa.array(count, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "kind", "entries", "data"])
 
     def meet(table: pa.Table) -> pa.Table:
         kind, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
         e, first = _earliest(np.frombuffer(b"".join(d for k, d in zip(kind, data, strict=True) if k == 0), _ENTRY))
-        handed = np.frombuffer(b"".join(d for k, d in zip(kind, data, strict=True) if k == 1), _COVER)
+        handed = [np.frombuffer(b"".join(d for k, d in zip(kind, data, strict=True) if k == which), dtype) for which, dtype in ((1, _COVER), (2, _PAIR))]
+        pairs, covered = _pairs(e, first)
+        pairs, covered = np.concatenate([handed[1], pairs]), np.concatenate([handed[0], covered])
         rest = e[first]
         new = np.ones(len(rest), bool)
         new[1:] = rest["anchor"][1:] != rest["anchor"][:-1]
         size = np.diff(np.append(np.flatnonzero(new), len(rest))) if len(rest) else np.zeros(0, np.int64)
         size = np.repeat(size, size)
         rest, size = rest[size > 1], size[size > 1]
-        covered = e[~first]
-        out = {c: np.concatenate([handed[c], covered[c], rest[c]]).astype(np.int64) for c in _COVER.names}
-        settled = len(handed) + len(covered)
-        out["anchor"] = pa.array(np.append(np.zeros(settled, np.int64), rest["anchor"].view(np.int64)), mask=np.append(np.ones(settled, bool), np.zeros(len(rest), bool)))
-        out["size"] = np.append(np.zeros(settled, np.int64), size)
+        n = [len(covered), len(pairs), len(rest)]
+        out = {c: np.concatenate([covered[c], pairs[c], rest[c]]).astype(np.int64) for c in _COVER.names}
+        only = lambda x, k: pa.array(np.concatenate([np.zeros(sum(n[:k]), np.int64), x, np.zeros(sum(n[k + 1 :]), np.int64)]), mask=np.repeat(np.arange(3) != k, n))
+        out["anchor"], out["size"] = only(rest["anchor"].view(np.int64), 2), only(size, 2)
+        out["first_doc"], out["first_start"] = only(pairs["first_doc"], 1), only(pairs["first_start"].astype(np.int64), 1)
         return pa.table(out)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "start", "windows", "anchor", "context"]
+        names = ["doc", "start", "windows", "anchor", "context", "first_doc", "first_start"]
         for batch in batches:
             for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
-                e = np.frombuffer(data.as_buffer(), _COVER if kind else _ENTRY)
-                place = [pa.array(e[c].astype(np.int64)) for c in _COVER.names]
-                yield pa.RecordBatch.from_arrays([*place, *([pa.nulls(len(e), pa.int64())] * 2 if kind else [pa.array(e[c].astype(np.int64)) for c in ("anchor", "context")])], names)
+                e = np.frombuffer(data.as_buffer(), (_ENTRY, _COVER, _PAIR)[kind])
+                yield pa.RecordBatch.from_arrays([pa.array(e[c].astype(np.int64)) if c in e.dtype.names else pa.nulls(len(e), pa.int64()) for c in names], names)
 
-    found = "doc long, start long, windows long, anchor long, size long"
+    found = f"doc long, start long, windows long, anchor long, size long, {_PAIR_COLUMNS}"
     sent = keep(docs.mapInArrow(send, "bucket long, kind int, entries long, data binary"), "sent")
     loads = keep(sent.groupBy("bucket").agg(F.sum("entries").alias("load")), "loads")
     total = loads.agg(F.sum("load")).first()[0] or 0
@@ -171,16 +195,21 @@ def settle(docs: DataFrame, buckets: int) -> DataFrame:
     light = sent.join(heavy, F.col("bucket") == F.col("__heavy"), "left_anti").select("bucket", "kind", "data").groupBy("bucket").applyInArrow(meet, found)
     if heavy.isEmpty():
         return keep(light, "contexts")
-    rows = keep(sent.join(heavy, F.col("bucket") == F.col("__heavy"), "left_semi").mapInArrow(unpack, "doc long, start long, windows long, anchor long, context long"), "heavy")
+    rows = keep(sent.join(heavy, F.col("bucket") == F.col("__heavy"), "left_semi").mapInArrow(unpack, f"doc long, start long, windows long, anchor long, context long, {_PAIR_COLUMNS}"), "heavy")
     entries, total = rows.where("anchor is not null"), rows.count()
     first = F.min(F.struct("doc", "start")).alias("first")
     groups = keep(entries.groupBy("anchor", "context").agg(first, F.first("windows").alias("own_windows"), F.count(F.lit(1)).alias("n")), "groups")
     sizes = keep(groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    later = attach(entries, groups.where("n > 1").select("anchor", "context", "first", "n"), ["anchor", "context"], "n", total).where(F.struct("doc", "start") != F.col("first"))
-    none = F.lit(None).cast("long").alias("anchor")
-    covered = rows.where("anchor is null").select("doc", "start", "windows", none, F.lit(0).cast("long").alias("size")).unionByName(later.select("doc", "start", "windows", none, F.lit(0).cast("long").alias("size")))
+    place, none = F.struct("doc", "start"), lambda name: F.lit(None).cast("long").alias(name)
+    later = keep(attach(entries, groups.where("n > 1").select("anchor", "context", "first", "n"), ["anchor", "context"], "n", total).where(place != F.col("first")), "later")
+    seconds = later.groupBy("anchor", "context").agg(F.min(F.struct("doc", "start", "windows")).alias("second"), F.first("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    pairs = seconds.select("second.doc", "second.start", "second.windows", none("anchor"), none("size"), F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"))
+    third = attach(later.drop("first", "n"), seconds.select("anchor", "context", "second", "n"), ["anchor", "context"], "n", total).where(place != F.struct("second.doc", "second.start"))
+    handed = rows.where("anchor is null").select("doc", "start", "windows", "anchor", none("size"), "first_doc", "first_start")
+    covered = handed.unionByName(third.select("doc", "start", "windows", none("anchor"), none("size"), none("first_doc"), none("first_start")))
     rest = attach(groups.select(F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), F.col("own_windows").alias("windows"), "anchor"), sizes, ["anchor"], "size", total)
-    return keep(light.unionByName(covered).unionByName(rest.select("doc", "start", "windows", "anchor", "size")), "contexts")
+    rest = rest.select("doc", "start", "windows", "anchor", "size", none("first_doc"), none("first_start"))
+    return keep(light.unionByName(covered).unionByName(pairs).unionByName(rest), "contexts")
 
 
 def _with_texts(docs: DataFrame, lists: DataFrame, rows: int) -> DataFrame:
@@ -190,12 +219,16 @@ def _with_texts(docs: DataFrame, lists: DataFrame, rows: int) -> DataFrame:
     return likely.join(lists, F.col("doc_id") == F.col("doc"))
 
 
-def compare(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Covered windows (doc, start, windows) among contexts of equal anchors."""
-    count = asked.count()
+def compare(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Covered windows (doc, start, windows) among contexts of equal anchors and in pairs of contexts."""
+    asked, pairs = entries.where("anchor is not null"), entries.where("first_doc is not null")
+    count = asked.count() + 2 * pairs.count()
     buckets = max(256, count // 8000)
     part = F.pmod(F.xxhash64("doc", "start"), F.ceil(F.col("size") / PART))
-    lists = asked.withColumn("split", F.col("size") > PART).withColumn("bucket", F.pmod(F.xxhash64("anchor", part), F.lit(buckets))).groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "bucket", "split")).alias("items"))
+    by_anchor = asked.select("doc", "start", "windows", F.pmod(F.xxhash64("anchor", part), F.lit(buckets)).alias("bucket"), (F.col("size") > PART).alias("split"))
+    meet = F.pmod(F.xxhash64("first_doc", "doc", F.shiftright("first_start", STRETCH_BITS)), F.lit(buckets)).alias("bucket")
+    in_pairs = [pairs.select(F.col(d).alias("doc"), F.col(at).alias("start"), "windows", meet, F.lit(False).alias("split")) for d, at in (("doc", "start"), ("first_doc", "first_start"))]
+    lists = by_anchor.unionByName(in_pairs[0]).unionByName(in_pairs[1]).groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "bucket", "split")).alias("items"))
     lists = keep(lists, "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +236,19 @@ def compare(docs: DataFrame, asked: DataFrame) -> DataFrame:
             docs, texts, items = batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("items")
             out: list[tuple] = []
             for doc, text, mine in zip(docs, texts, items, strict=True):
-                raw = text.as_buffer() if text.is_valid else b""
-                raw = memoryview(raw)
-                for x in mine.as_py():
-                    end = x["start"] + x["windows"] - 1 + LENGTH
-                    if end <= len(raw):
-                        out.append((x["bucket"], doc, x["start"], bytes(raw[x["start"] : end]), x["split"]))
+                raw = memoryview(text.as_buffer() if text.is_valid else b"")
+                x = mine.values
+                start, end, bucket, split = (x.field(c).to_numpy(zero_copy_only=False) for c in ("start", "windows", "bucket", "split"))
+                end = start + end
+                ok = end - 1 + LENGTH <= len(raw)
+                start, end, bucket, split = start[ok], end[ok], bucket[ok], split[ok]
+                order = np.lexsort((start, split, bucket))
+                start, end, bucket, split = start[order], end[order], bucket[order], split[order]
+                new = np.ones(len(start), bool)  # windows that follow each other are one run
+                new[1:] = (bucket[1:] != bucket[:-1]) | (split[1:] != split[:-1]) | (start[1:] > end[:-1])
+                first = np.flatnonzero(new)
+                end = np.maximum.reduceat(end, first) if len(first) else end
+                out += [(k, doc, a, bytes(raw[a : b - 1 + LENGTH]), w) for k, a, b, w in zip(bucket[first].tolist(), start[first].tolist(), end.tolist(), split[first].tolist(), strict=True)]
             for at in range(0, len(out), 20_000):
                 c = list(zip(*out[at : at + 20_000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1]), pa.array(c[2]), pa.array(c[3], pa.binary()), pa.array(c[4])], ["bucket", "doc", "start", "bytes", "split"])
@@ -277,7 +317,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", dig
     known = docs.where("doc_id is not null")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     entries = settle(known, max(512, int(size // (16 << 20))))
-    covers = entries.where("anchor is null").select("doc", "start", "windows").unionByName(compare(known, entries.where("anchor is not null")))
+    covers = entries.where("anchor is null and first_doc is null").select("doc", "start", "windows").unionByName(compare(known, entries))
     lists = keep(covers.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("items")), "covered")
     count = lists.count()
     last = "kept_sha256 string" if digest else "kept binary"

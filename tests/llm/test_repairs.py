@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.llm import _tokens as K
-from folio.llm import exact_dedup, mixing, ngram_join, packing, token_counts, token_output
+from folio.llm import exact_dedup, mixing, ngram_join, packing, suffix_dedup, token_counts, token_output
 from folio.llm.queries import tokenizer
 
 WORD = "word_bpe_49k.json"
@@ -134,3 +134,19 @@ def test_empty_token_files_and_pipeline(spark, tmp_path):
     token_output.write_token_files(empty, str(tmp_path / "tokens"), tokenizer("byte_bpe_50k.json"), 2)
     assert token_output.read_token_files(spark, str(tmp_path / "tokens"), digest=True).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pairs_of_contexts_are_decided_by_their_bytes(spark):
+    same, other = "a passage of its own, " * 12, "quite another passage " * 12
+    docs = spark.createDataFrame([(1, same), (2, same), (3, other)], "doc_id long, text string")
+    entries = "doc long, start long, windows long, anchor long, size long, first_doc long, first_start long"
+    pairs = spark.createDataFrame([(2, 0, 5, None, None, 1, 0), (3, 0, 5, None, None, 1, 0)], entries)
+    assert {(r.doc, r.start, r.windows) for r in suffix_dedup.compare(docs, pairs).collect()} == {(2, 0, 5)}
+
+
+def test_groups_of_contexts_give_a_pair_and_the_rest():
+    e = np.zeros(6, suffix_dedup._ENTRY)
+    e["anchor"], e["context"], e["doc"], e["start"], e["windows"] = 7, [1, 1, 1, 2, 3, 3], [4, 2, 9, 1, 5, 5], [0, 0, 0, 3, 8, 2], 6
+    pairs, later = suffix_dedup._pairs(*suffix_dedup._earliest(e))
+    assert pairs[["doc", "start", "first_doc", "first_start"]].tolist() == [(4, 0, 2, 0), (5, 8, 5, 2)]
+    assert later.tolist() == [(9, 0, 6)]
