@@ -19,6 +19,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """The double rounded as C and SQL engines do it: scaled, then half away from zero; Spark's own ``round`` looks at its shortest decimal text instead."""
+    scale = 10.0**digits
+
+    def nearest(y: Column) -> Column:
+        low = F.floor(F.abs(y)).cast("double")
+        return F.when(F.abs(y) < 2.0**52, F.signum(y) * (low + (F.abs(y) - low >= 0.5).cast("double"))).otherwise(y) / scale
+
+    return let(c * scale, nearest)
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """``%.<digits>f`` as C prints it: by the exact value of the double, ties to even; Java's formatter rounds its shortest decimal text half up.  From 4.6e18 / 10**digits on it is Java's."""
+    scale = 10.0**digits
+
+    def exact(x: Column) -> Column:
+        # Dekker's product: x * scale is ``near + rest`` without any error.
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        near = high * scale + (x - high) * scale
+        return F.struct(near.alias("near"), ((x - high) * scale - (near - high * scale)).alias("rest"))
+
+    def text(v: Column) -> Column:
+        near, rest = v["near"], v["rest"]
+        low = F.floor(near)
+        part = near - low.cast("double")
+        up = F.when(part == 0.5, (rest > 0) | ((rest == 0) & (low % 2 == 1))).otherwise(part > 0.5)
+        k = low + up.cast("long") + F.when(near >= 2.0**52, F.rint(rest)).otherwise(0.0).cast("long")
+        return F.when(near < 2.0**62, F.regexp_replace(F.format_string(f"%0{digits + 1}d", k), f"(.{{{digits}}})$", ".$1"))
+
+    sign = F.when(c.cast("string").startswith("-"), "-").otherwise("")
+    return F.coalesce(F.concat(sign, let(let(F.abs(c), exact), text)), F.format_string(f"%.{digits}f", c))
+
+
 def utrim(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(c, _EDGE, "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions import text as T
+
 
 def auto_workers(bundled: bool, cpus: int) -> int:
     """Two for the bundled recogniser, else one less than the CPUs, between 1 and 8."""
@@ -54,7 +56,7 @@ def fastest(runs: DataFrame) -> DataFrame:
 
 
 def _cell(c: Column, digits: int, suffix: str = "") -> Column:
-    return F.format_string(f"%.{digits}f{suffix}", F.coalesce(c, F.lit(0.0)))
+    return F.concat(T.fixed(F.coalesce(c, F.lit(0.0)), digits), F.lit(suffix))
 
 
 def table_rows(runs: DataFrame) -> DataFrame:
