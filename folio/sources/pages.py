@@ -11,8 +11,8 @@ range starts inside a string, and how deep, follows from what stands before it:
    passed on; only those that a range cuts are shuffled, to be put together;
 4. elements are numbered by prefix sums over pieces of ranges.
 
-Scanning is NumPy over the bytes of a batch; no task holds more than a batch, a page, and
-the fields of the document beside its pages.
+Scanning is NumPy over at most ``PIECE_BYTES`` of a batch at a time; no task holds more than a
+batch, what scanning needs for one piece or page, and the fields of the document beside its pages.
 
 Defined cases: a file without the array, or with a null one, has no pages (with ``keep_empty``
 one row whose ``page`` is null); a null element is a page without fields; text after the outermost object
@@ -37,6 +37,8 @@ _DEPTH = np.zeros(256, np.int64)
 _DEPTH[list(b"{[")] = 1
 _DEPTH[list(b"}]")] = -1
 _PAGES = re.compile(rb'"pages"\s*:\s*\Z')
+#: Bytes that are scanned at once; a longer run without a separator is scanned whole.
+PIECE_BYTES = 2 << 20
 _UNIT = "file string, part string, block long, unit int"
 
 
@@ -49,14 +51,18 @@ def _texts(spark: SparkSession, path: str, separator: str, folders: bool) -> Dat
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], separator: bytes) -> Iterator[tuple[str, str, int, np.ndarray]]:
-    """(file, part, block, bytes) of each batch, cut where a file or block ends."""
+    """(file, part, block, bytes) of each batch, cut where a file or block ends, and after ``PIECE_BYTES`` at the latest separator."""
     end = np.frombuffer(separator, np.uint8)
     for batch in batches:
         for key, rows in _spans(batch):
             values = rows.column("value").cast(pa.large_binary())
             offs = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-            raw = np.frombuffer(values.buffers()[2], np.uint8)[offs[0] : offs[-1]] if values.buffers()[2] is not None else np.zeros(0, np.uint8)
-            yield *key, np.insert(raw, np.repeat(offs[1:] - offs[0], len(end)), np.tile(end, len(values)))
+            raw = np.frombuffer(values.buffers()[2], np.uint8) if values.buffers()[2] is not None else np.zeros(0, np.uint8)
+            at = 0
+            while at < len(values):  # scanning takes about forty times the bytes it looks at
+                stop = max(at + 1, int(np.searchsorted(offs, offs[at] + PIECE_BYTES, side="right")) - 1)
+                yield *key, np.insert(raw[offs[at] : offs[stop]], np.repeat(offs[at + 1 : stop + 1] - offs[at], len(end)), np.tile(end, stop - at))
+                at = stop
 
 
 def _spans(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, str, int], pa.RecordBatch]]:
