@@ -46,18 +46,24 @@ def _direct(positions: np.ndarray, w: np.ndarray) -> np.ndarray:
     new = np.ones(len(pos), bool)
     new[1:] = key[1:] != key[:-1]
     for k in range(1, WORD_COUNT):
-        group = np.cumsum(new) - 1
-        tied = np.flatnonzero(np.bincount(group)[group] > 1)
+        tied = np.flatnonzero(~new | np.append(~new[1:], False))
         if not len(tied):
             break
         key = w[pos[tied] + 8 * k]
-        mine = group[tied]
+        differ = np.zeros(len(tied), bool)
+        differ[1:] = (key[1:] != key[:-1]) & ~new[tied[1:]]
+        if not differ.any():
+            continue
+        # Copies agree word after word; only groups whose members differ here are sorted.
+        group = np.cumsum(new[tied]) - 1
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[differ]] = True
+        rows = np.flatnonzero(mixed[group])
+        at, key, mine = tied[rows], key[rows], group[rows]
         order = np.lexsort((key, mine))
-        pos[tied] = pos[tied][order]
+        pos[at] = pos[at][order]
         key = key[order]
-        fresh = np.ones(len(tied), bool)
-        fresh[1:] = (mine[1:] != mine[:-1]) | (key[1:] != key[:-1])
-        new[tied] |= fresh
+        new[at[1:]] |= (mine[1:] == mine[:-1]) & (key[1:] != key[:-1])
     return pos
 
 
@@ -118,3 +124,14 @@ def common_prefixes(sa: np.ndarray, w: np.ndarray) -> np.ndarray:
         live = live[same]
     out[live] = DEPTH
     return out
+
+
+def shared(sa: np.ndarray, w: np.ndarray, length: int) -> np.ndarray:
+    """Whether each suffix has ``length`` bytes (8 to DEPTH) in common with the one before it; False for the first."""
+    out = np.zeros(len(sa), bool)
+    live = np.arange(1, len(sa))
+    # The last word first: suffixes next to each other begin alike.
+    for k in (length - 8, *range(0, length - 8, 8)):
+        live = live[w[sa[live] + k] == w[sa[live - 1] + k]]
+    out[live] = True
+    return out

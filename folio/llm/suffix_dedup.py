@@ -258,7 +258,7 @@ def compare(docs: DataFrame, entries: DataFrame) -> DataFrame:
         t, offsets = B.text_buffer(table.column("bytes"))
         w = suffix.words_at(t)
         sa = suffix.suffix_array(t, w)
-        same = suffix.common_prefixes(sa, w) >= LENGTH
+        same = suffix.shared(sa, w, LENGTH)
         row = np.searchsorted(offsets, sa, side="right") - 1
         whole = sa + LENGTH <= offsets[row + 1]
         group = np.cumsum(~same)[whole]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.llm import _tokens as K
-from folio.llm import exact_dedup, mixing, ngram_join, packing, suffix_dedup, token_counts, token_output
+from folio.llm import exact_dedup, mixing, ngram_join, packing, suffix, suffix_dedup, token_counts, token_output
 from folio.llm.queries import tokenizer
 
 WORD = "word_bpe_49k.json"
@@ -150,3 +150,24 @@ def test_groups_of_contexts_give_a_pair_and_the_rest():
     pairs, later = suffix_dedup._pairs(*suffix_dedup._earliest(e))
     assert pairs[["doc", "start", "first_doc", "first_start"]].tolist() == [(4, 0, 2, 0), (5, 8, 5, 2)]
     assert later.tolist() == [(9, 0, 6)]
+
+
+def test_copies_are_not_sorted_again_word_by_word(monkeypatch):
+    r = np.random.default_rng(4)
+    parts = [r.integers(97, 123, 150, dtype=np.uint8) for _ in range(60)]
+    t = np.concatenate([parts[k] for k in r.permutation(np.repeat(np.arange(60), 3))])
+    w, sorted_, lexsort = suffix.words_at(t), [0], np.lexsort
+
+    def counted(keys):
+        sorted_[0] += len(keys[0])
+        return lexsort(keys)
+
+    monkeypatch.setattr(np, "lexsort", counted)
+    sa = suffix.suffix_array(t, w)
+    monkeypatch.undo()
+    assert sorted_[0] < len(t) // 2  # before, every copied suffix was sorted for each of its words: 4 times the text
+    raw = t.tobytes()
+    cut = [raw[i : i + suffix.DEPTH].ljust(suffix.DEPTH, b"\0") for i in sa.tolist()]
+    assert cut == sorted(cut) and sorted(sa.tolist()) == list(range(len(t)))
+    for length in (8, 50, 100):
+        assert (suffix.shared(sa, w, length) == (suffix.common_prefixes(sa, w) >= length)).all()
