@@ -50,7 +50,10 @@ MAX_BROADCAST, BROADCAST_PART = 384 << 20, 48 << 20
 TRAIN_CHUNK = 4 << 20
 #: Counts in a stretch from which a hash is held back to the end of the task, and the hashes held back at most.
 FREQUENT, HELD = 8, 1 << 19
-_SHARD_BYTES = 2 << 20
+#: Text bytes of a shard, from 2048 shards on, and of a chunk whose probes go to the shards: each chunk sends rows to every shard, so few of both keep their product small.
+_SHARD_BYTES, _ASK_CHUNK = 32 << 20, 4 << 20
+#: Probes that a shard answers at once.
+_ANSWERS = 1 << 20
 #: Above the level of any 64-bit count.
 _MAX_LEVEL = 110
 #: n-gram hashes keep the bits that name a shard and 40 more.
@@ -198,7 +201,7 @@ def train(docs: DataFrame, text: str = "text", entry_bits: int = ENTRY_BITS, ord
     ship(docs.sparkSession)
     texts = docs.select(F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(11, int(size // _SHARD_BYTES).bit_length())
+    bits = shard_bits(size)
 
     def send(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         while len(keys):  # counts are sent as u16; more in further rows
@@ -376,13 +379,33 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", max_broadcas
     return rows.mapInArrow(run, schema)
 
 
+def answers_to(kinds: np.ndarray, raw: list[bytes], part: Model, order: int) -> list[bytes]:
+    """Counts and levels for the packed hashes of many chunks, which one shard owns: a look-up for each ``_ANSWERS`` of a kind, not for each chunk."""
+    none, data = np.zeros(0, np.uint64), [b""] * len(raw)
+    for kind in range(1, order + 1):
+        mine = np.flatnonzero(kinds == kind)
+        size = np.array([len(raw[i]) // (8 if kind == 1 else 5) for i in mine], np.int64)
+        for rows in np.split(np.arange(len(mine)), np.flatnonzero(np.diff((np.cumsum(size) - size) // _ANSWERS)) + 1):
+            keys = b"".join(raw[i] for i in mine[rows])
+            c, level = look_up([part], np.frombuffer(keys, np.uint64) if kind == 1 else none, [none if kind == 1 else _unpack_keys(keys, part.low, part.bits)])
+            out, cut = c if kind == 1 else level[0], np.append(0, np.cumsum(size[rows])).tolist()
+            for i, a, b in zip(mine[rows].tolist(), cut, cut[1:], strict=False):
+                data[i] = out[a:b].tobytes()
+    return data
+
+
+def shard_bits(size: int) -> int:
+    """Hash bits that name a shard, for so many bytes of text."""
+    return max(11, int(size // _SHARD_BYTES).bit_length())
+
+
 def _score_in_shards(rows: DataFrame, model: DataFrame, bits: int, order: int, finish, schema: str) -> DataFrame:
     """The same scores from a model that is not broadcast: probes go to the shards, answers come back to the text."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part, _, _ in B.chunks(batch, "text"):
+            for part, _, _ in B.chunks(batch, "text", _ASK_CHUNK):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema) as out:
                     out.write_batch(part)
@@ -410,10 +433,7 @@ def _score_in_shards(rows: DataFrame, model: DataFrame, bits: int, order: int, f
         blob = lambda c, kind: np.frombuffer(own.column(c)[0].as_py() if own.num_rows else b"", kind)
         filter_ = blob("filter", np.uint64)
         part = Model(shard, shard + 1, bits, blob("known", np.uint64), blob("counts", "<i8"), np.zeros(1, np.uint64), np.array([len(filter_)], np.uint64), filter_)
-        none, data = np.zeros(0, np.uint64), []
-        for kind, raw in zip(asked.column("kind").to_pylist(), asked.column("keys").to_pylist(), strict=True):
-            c, level = look_up([part], np.frombuffer(raw, np.uint64) if kind == 1 else none, [none if kind == 1 else _unpack_keys(raw, shard, bits)])
-            data.append((c if kind == 1 else level[0]).tobytes())
+        data = answers_to(asked.column("kind").to_numpy(), asked.column("keys").to_pylist(), part, order)
         return pa.table({"chunk": asked.column("chunk"), "kind": asked.column("kind"), "shard": asked.column("shard"), "data": pa.array(data, pa.binary())})
 
     def place(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -429,7 +449,7 @@ def _score_in_shards(rows: DataFrame, model: DataFrame, bits: int, order: int, f
             got.append(np.where(keys[at] == hashes, own[at], 0).astype(own.dtype) if len(keys) else np.zeros(len(hashes), own.dtype))
         return pa.Table.from_batches([finish(part, off, got[0], got[1:])])
 
-    chunks = keep(rows.mapInArrow(pack, "chunk long, data binary"), "chunks")
+    chunks = keep(rows.mapInArrow(pack, "chunk long, data binary"), "chunks", wide=True)
     asked = chunks.mapInArrow(ask, "shard long, chunk long, kind int, keys binary")
     answers = asked.groupBy("shard").cogroup(model.select("shard", "known", "counts", "filter").groupBy("shard")).applyInArrow(answer, "chunk long, kind int, shard long, data binary")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(place, schema)

@@ -54,14 +54,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
 
+    ``wide`` rows hold megabytes: they get row groups of two, since Spark's reader holds up to 4096 rows of a group at once.
     Results may read it until they are used, so it stays until :func:`clean`.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    few = {"parquet.block.row.count.limit": 2}
+    df.write.options(**few if wide else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

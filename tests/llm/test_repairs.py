@@ -4,11 +4,13 @@ import collections
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from folio.llm import _tokens as K
-from folio.llm import exact_dedup, mixing, ngram_join, packing, suffix, suffix_dedup, token_counts, token_output
+from folio.llm import exact_dedup, lm_scoring, mixing, ngram_join, packing, suffix, suffix_dedup, token_counts, token_output
+from folio.session import keep
 from folio.llm.queries import tokenizer
 
 WORD = "word_bpe_49k.json"
@@ -171,3 +173,35 @@ def test_copies_are_not_sorted_again_word_by_word(monkeypatch):
     assert cut == sorted(cut) and sorted(sa.tolist()) == list(range(len(t)))
     for length in (8, 50, 100):
         assert (suffix.shared(sa, w, length) == (suffix.common_prefixes(sa, w) >= length)).all()
+
+
+def test_a_shard_answers_many_chunks_at_once(monkeypatch):
+    # Shards and chunks both grew with the text, and every pair of them had look-ups of its own.
+    assert [lm_scoring.shard_bits(n << 30) for n in (0, 1, 9, 40)] == [11] * 4 and lm_scoring.shard_bits(1 << 40) == 16
+    r, bits, shard = np.random.default_rng(6), 11, 5
+    own = lambda n: np.sort(r.integers(0, 1 << 53, n, dtype=np.uint64)) | np.uint64(shard << 53)
+    known = np.unique(own(500))
+    part = lm_scoring.Model(shard, shard + 1, bits, known, r.integers(1, 1 << 40, len(known)), np.zeros(1, np.uint64), np.array([200], np.uint64), r.integers(0, 1 << 63, 200, dtype=np.uint64))
+    kinds = r.integers(1, 4, 300)
+    asked = [(r.choice(known, 40) if j % 2 else own(j % 50)) for j in range(300)]
+    raw = [h.tobytes() if k == 1 else lm_scoring._pack_keys(h, bits) for h, k in zip(asked, kinds, strict=True)]
+    calls, look_up, none = [], lm_scoring.look_up, np.zeros(0, np.uint64)
+    monkeypatch.setattr(lm_scoring, "look_up", lambda *x: calls.append(1) or look_up(*x))
+    for most in (1 << 20, 1000):
+        calls.clear()
+        monkeypatch.setattr(lm_scoring, "_ANSWERS", most)
+        got = lm_scoring.answers_to(kinds, raw, part, 3)
+        assert len(calls) <= 3 + 300 * 50 // most
+        for k, h, data in zip(kinds, asked, got, strict=True):
+            c, level = look_up([part], h if k == 1 else none, [none if k == 1 else h])
+            assert data == (c if k == 1 else level[0]).tobytes()
+    assert lm_scoring.answers_to(np.zeros(0, np.int32), [], part, 3) == []
+
+
+def test_rows_of_megabytes_are_kept_in_small_row_groups(spark):
+    df = spark.range(0, 30, 1, 1).selectExpr("id", "cast(rpad(cast(id as string), 3000000, uuid()) as binary) as data")
+    for wide, most in ((True, 2), (False, 30)):
+        back = keep(df, "wide", wide=wide)
+        groups = pq.ParquetFile(next(f for f in back.inputFiles()).removeprefix("file://")).metadata
+        assert groups.num_rows == 30 and max(groups.row_group(k).num_rows for k in range(groups.num_row_groups)) <= most
+        assert back.where("octet_length(data) = 3000000").count() == 30
