@@ -13,6 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _fallback: dict[str, str] = {}
 _shipped: set[str] = set()
 _made: dict[str, list[str]] = {}
@@ -54,16 +55,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+def keep(df: DataFrame, name: str, wide: bool = False, release: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
 
     ``wide`` rows hold megabytes: they get row groups of two, since Spark's reader holds up to 4096 rows of a group at once.
+    ``release`` deletes the shuffle files of the write when it is done; else they stay until the driver collects its garbage.
     Results may read it until they are used, so it stays until :func:`clean`.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     few = {"parquet.block.row.count.limit": 2}
-    df.write.options(**few if wide else {}).parquet(path)
+    before = spark.conf.get(_RELEASE, None)
+    if release:
+        spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.options(**few if wide else {}).parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(_RELEASE) if before is None else spark.conf.set(_RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -205,3 +205,43 @@ def test_rows_of_megabytes_are_kept_in_small_row_groups(spark):
         groups = pq.ParquetFile(next(f for f in back.inputFiles()).removeprefix("file://")).metadata
         assert groups.num_rows == 30 and max(groups.row_group(k).num_rows for k in range(groups.num_row_groups)) <= most
         assert back.where("octet_length(data) = 3000000").count() == 30
+
+
+def test_no_model_passes_through_the_driver(spark, monkeypatch):
+    # A model of up to 384 MB was read by the driver and broadcast, which took more than the driver has.
+    def refused(*_):
+        raise AssertionError("the model is at the driver")
+
+    table = [(i, " ".join(f"w{(i * k) % 41}" for k in range(i % 60))) for i in range(200)] + [(None, "w1 w2 " * 70_000), (500, None), (501, "w3 " * 90_000)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    want = lm_scoring.score(docs, max_broadcast=1 << 30, entry_bits=400).collect()
+    for module, name in ((lm_scoring, "share"), (type(spark.sparkContext), "broadcast")):
+        monkeypatch.setattr(module, name, refused)
+    monkeypatch.setattr(lm_scoring, "_ASK_CHUNK", 3000)
+    by = lambda x: (x.doc_id is None, x.doc_id)
+    got = sorted(lm_scoring.score(docs, entry_bits=400).collect(), key=by)
+    assert len(got) == 203
+    for g, w in zip(got, sorted(want, key=by), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
+def test_packed_keys_come_back_in_lists():
+    r = np.random.default_rng(8)
+    for bits in (11, 24, 30):
+        low, shard = max(0, 64 - bits - 40), 3
+        lists = [np.sort(r.integers(0, 1 << (64 - bits), n, dtype=np.uint64)) >> np.uint64(low) << np.uint64(low) | np.uint64(shard << (64 - bits)) for n in (0, 700, 1, 0, 60, 0)]
+        raw = [lm_scoring._pack_keys(x, bits) for x in lists]
+        assert [len(x) for x in raw] == [5 * len(x) for x in lists]
+        assert (lm_scoring._unpack_keys(raw, shard, bits) == np.concatenate(lists)).all()
+        cut = np.append(0, np.cumsum([len(x) for x in lists])).tolist()
+        assert lm_scoring._pack_keys(np.concatenate(lists), bits, cut) == b"".join(raw)
+        assert len(lm_scoring._unpack_keys([], shard, bits)) == 0
+
+
+def test_shuffle_files_of_a_kept_table_are_released(spark):
+    left = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    spark.range(9).groupBy("id").count().write.format("noop").mode("overwrite").save()
+    before = left()
+    kept = keep(spark.range(0, 1000, 1, 3).groupBy((F.col("id") % 7).alias("k")).count(), "released", release=True)
+    assert left() <= before and kept.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
