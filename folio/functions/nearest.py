@@ -13,7 +13,7 @@ import numpy as np
 #: Snippets measured together.
 GROUP = 1024
 #: The white space that is trimmed from lines.
-EDGE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+EDGE = "\t\n\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _ONE, _TOP = np.uint64(1), np.uint64(63)
 
 

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folio.functions.text import let, utrim
+from folio.functions.text import SPACE, let, utrim
 
 # The patterns and symbols below define what the block types mean.
 SYMBOLS = "{}[]();=<>:+-*/_.`\"'\\"
 CHAPTER_SUFFIX = r"\b(\d{1,2})\s*[강잔정]\b"
 REST_PATH = r"(?i)\b(GET|POST|PUT|DELETE)\s+users/(\d+)"
-HEADING = r"(?i)^(\d+\s*장|chapter\s+\d+|part\s+\d+)"
+HEADING = rf"(?i)^(\d+{SPACE}*장|chapter{SPACE}+\d+|part{SPACE}+\d+)"
 CAPTION = r"(?i)^(그림|표|fig\.?|figure|table)\s*"
-CODE_WORD = r"(?i)(\bdef\b|\bclass\b|\breturn\b|\bimport\b|\bSELECT\b|\bFROM\b|\bWHERE\b|\bif\b|\bfor\b|\bwhile\b|[{}\[\];]|=>|==|!=)"
-JSON_KEY = r'^\s*"[A-Za-z0-9_]+"\s*:'
-VERB_PREFIX = r"(?i)^(GET|POST|PUT|DELETE) /"
+# Words end where no letter, number or underscore stands; Java's \b leaves out some numbers and lets marks continue a word.  The letter 𝒊 in the look-behind makes Java step by code points there.  The long s is an s in any case, which Java's (?i) leaves out.
+CODE_WORD = r"(?i)((?<![\p{L}\p{N}_𝒊])(def|cla[sſ][sſ]|return|import|[sſ]elect|from|where|if|for|while)(?![\p{L}\p{N}_])|[{}\[\];]|=>|==|!=)"
+JSON_KEY = rf'^{SPACE}*"[A-Za-z0-9_]+"{SPACE}*:'
+VERB_PREFIX = r"(?i)^(GET|PO[Sſ]T|PUT|DELETE) /"
 CODE_RATIO = 0.12
 SCALES = {"quality": 3.0, "fast": 2.0}
 DEFAULT_SCALE = 2.4

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as an edge, a number and an address.
-_EDGE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+# What counts as white space (as in RE2: no vertical tab), an edge, a number and an address.  Java's ``$`` also stands before a last U+0085, U+2028 or U+2029; ``\z`` does not.
+SPACE = r"[ \t\n\f\r]"
+_EDGE = r"^[ \t\n\f\r\p{Z}]+|[ \t\n\f\r\p{Z}]+\z"
 NUMBER = r"([0-9]+)"
 #: Dotted domains, www and http addresses; ASCII look-arounds stand for an ASCII word boundary.
 URL = r"(?i)(https?://\S+|www\.\S+|(?<![A-Za-z0-9_])(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/\S*)?(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?:[a-z0-9-]+\.)+[a-z]{2,}(?![A-Za-z0-9_]))"
@@ -53,7 +54,7 @@ def fixed(c: Column, digits: int) -> Column:
 
 
 def utrim(c: Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
+    """Trim white space and Unicode separators, not only blanks."""
     return F.regexp_replace(c, _EDGE, "")
 
 
@@ -76,14 +77,14 @@ def normalize_prose(c: Column) -> Column:
 
 def normalize_code(c: Column) -> Column:
     """Line feeds only, no blanks at line ends, no empty lines around."""
-    return F.regexp_replace(_right_trimmed(c), r"^\n+|\n+$", "")
+    return F.regexp_replace(_right_trimmed(c), r"^\n+|\n+\z", "")
 
 
 def normalize_code_line(c: Column) -> Column:
     """One code line with single blanks and none around brackets, commas, colons and slashes."""
-    one = F.regexp_replace(c, r"\s+", " ")
-    tight = F.regexp_replace(one, r"\s*([{}\[\],:])\s*", "$1")
-    return utrim(F.regexp_replace(tight, r"\s*/\s*", "/"))
+    one = F.regexp_replace(c, f"{SPACE}+", " ")
+    tight = F.regexp_replace(one, SPACE + r"*([{}\[\],:])" + SPACE + "*", "$1")
+    return utrim(F.regexp_replace(tight, f"{SPACE}*/{SPACE}*", "/"))
 
 
 def code_lines(c: Column) -> Column:
